@@ -40,22 +40,50 @@ class WordEncoder:
     """Ids by word, for tokenizers whose pre-tokens never hold ASCII white space and drop it.
 
     Neither normalisation nor pre-tokens reach across such white space, so a text's ids are
-    its words' ids in a row; a word's are asked for once and remembered as little-endian bytes.
+    its words' ids in a row. Each distinct word of a batch is looked up once; a worker remembers
+    ``most`` words, and gives up those that the latest batch did not hold when that is reached.
     """
 
     def __init__(self, name: str, most: int = CACHE_WORDS) -> None:
         self.tokenizer, self.most, self.known = load(name), most, {}
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        here = set().union(*words)
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.mark, self.mark_id = max(special.items(), key=lambda x: x[1])
+        self.special = list(special)
+
+    def _learn(self, words: list[str]) -> None:
+        plain = []
+        for w in words:
+            if any(s in w for s in self.special):
+                self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                plain.append(w)
+        for i in range(0, len(plain), 100):  # a special token between words keeps them apart
+            part = plain[i : i + 100]
+            ids = np.array(self.tokenizer.encode(self.mark.join(part), add_special_tokens=False).ids, "<u4")
+            cut = [-1, *np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
+            raw = ids.tobytes()
+            for w, a, b in zip(part, cut, cut[1:], strict=False):
+                self.known[w] = raw[4 * a + 4 : 4 * b]
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """The little-endian 32-bit ids of each text."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        here = coded.dictionary.to_pylist()
         if len(self.known) + len(here) > self.most:
             self.known = {w: self.known[w] for w in here if w in self.known}
-        new = [w for w in here if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        self._learn([w for w in here if w not in self.known])
+        each = [self.known[w] for w in here]
+        flat = np.frombuffer(b"".join(each), "<u4")
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        first = np.cumsum(size) - size
+        code = coded.indices.to_numpy()
+        width = size[code]
+        end = np.cumsum(width)
+        total = int(end[-1]) if len(end) else 0
+        ids = flat[np.repeat(first[code] - (end - width), width) + np.arange(total)]
+        at = np.concatenate([[0], end])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [ids[a:b].tobytes() for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -67,9 +95,9 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _ENCODERS.setdefault(tokenizer, WordEncoder(tokenizer))
         end, step, salt = np.array([end_id], "<u4").tobytes(), 4 * capacity, 0
-        for batch in slices(batches, most=2 << 20):
+        for batch in slices(batches, most=4 << 20):
             rows = []
-            texts = pc.cast(pc.fill_null(batch.column("text"), ""), pa.binary()).to_pylist()
+            texts = pc.fill_null(batch.column("text"), "")
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), step)):
