@@ -29,7 +29,7 @@ TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 SHARD_PIECES = 20_000
 #: Words whose ids a worker remembers at most.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, salt bigint"
 PACKED = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 #: Tries of the local search for each underfull bin.
@@ -67,6 +67,8 @@ class WordEncoder:
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
         """The little-endian 32-bit ids of each text."""
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # the normaliser lower-cases all but special tokens
+            texts = pc.ascii_lower(texts)
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         here = coded.dictionary.to_pylist()
