@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.llm import packing, quality_rules, secrets_scan, token_counts, winnowing
+from talus.llm import mixing, packing, quality_rules, secrets_scan, token_counts, winnowing
 from talus.session import table
 
 
+def op1_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,7 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_temperature_mixing": op1_temperature_mixing,
     "op2_token_counts": op2_token_counts,
     "op3_secret_scans": op3_secret_scans,
     "op6_best_fit_packing": op6_best_fit_packing,
