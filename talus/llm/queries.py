@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.llm import mixing, packing, quality_rules, secrets_scan, token_counts, winnowing
+from talus.llm import minhash, mixing, packing, quality_rules, secrets_scan, token_counts, winnowing
 from talus.session import table
 
 
@@ -20,6 +20,10 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.digest(secrets_scan.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ QUERIES = {
     "op1_temperature_mixing": op1_temperature_mixing,
     "op2_token_counts": op2_token_counts,
     "op3_secret_scans": op3_secret_scans,
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
     "op9_winnowing": op9_winnowing,
