@@ -29,15 +29,19 @@ TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 SHARD_PIECES = 20_000
 #: Words whose ids a worker remembers at most.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_500_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, salt bigint"
 PACKED = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 #: Tries of the local search for each underfull bin.
 EFFORT = 200
 
 
+#: A comma or full stop between a Latin letter and white space is a pre-token of its own.
+_STOP = r"([a-z\x{00DF}-\x{00F6}\x{00F8}-\x{024F}])([,.])([ \n]|$)"
+
+
 class WordEncoder:
-    """Ids by word, for tokenizers whose pre-tokens never hold ASCII white space and drop it.
+    """Ids by word, for tokenizers whose pre-tokens never hold ASCII white space, drop it, and part letters from signs.
 
     Neither normalisation nor pre-tokens reach across such white space, so a text's ids are
     its words' ids in a row. Each distinct word of a batch is looked up once; a worker remembers
@@ -69,6 +73,7 @@ class WordEncoder:
         """The little-endian 32-bit ids of each text."""
         if not pc.any(pc.match_substring(texts, "<|")).as_py():  # the normaliser lower-cases all but special tokens
             texts = pc.ascii_lower(texts)
+        texts = pc.replace_substring_regex(texts, _STOP, r"\1 \2\3")
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         here = coded.dictionary.to_pylist()
