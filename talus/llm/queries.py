@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.llm import minhash, mixing, packing, quality_rules, secrets_scan, token_counts, winnowing
+from talus.llm import automaton_dedup, minhash, mixing, packing, quality_rules, secrets_scan, suffix_dedup, token_counts, winnowing
 from talus.session import table
 
 
@@ -33,10 +33,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected")
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op10_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton_dedup.automaton_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_temperature_mixing": op1_temperature_mixing,
     "op2_token_counts": op2_token_counts,
@@ -44,7 +52,9 @@ QUERIES = {
     "op4_minhash_dedup": op4_minhash_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_winnowing": op9_winnowing,
+    "op10_automaton_dedup": op10_automaton_dedup,
 }
 
 ORACLES: dict[str, str] = {}
