@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.llm import automaton_dedup, minhash, mixing, packing, quality_rules, secrets_scan, suffix_dedup, token_counts, winnowing
+from talus.llm import automaton_dedup, minhash, mixing, packing, pitman_yor, quality_rules, secrets_scan, suffix_dedup, token_counts, winnowing
 from talus.session import table
 
 
@@ -24,6 +24,10 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
 
+def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.pitman_yor_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_secret_scans": op3_secret_scans,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op5_pitman_yor": op5_pitman_yor,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
