@@ -59,7 +59,8 @@ class Runs:
         self._second = second
 
     def slot(self) -> np.ndarray:
-        return (self.anchor >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        """From the low bits: the high ones are small in every anchor."""
+        return (self.anchor & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
 
     def keep(self, mask: np.ndarray) -> None:
         for name in ("doc", "at", "start", "n", "anchor"):
@@ -75,7 +76,7 @@ class Runs:
 
 def bitmap(spark: SparkSession, repeated: DataFrame):
     """A broadcast bitmap with a slot set for every anchor of ``repeated(anchor)``: of fixed size, and without misses."""
-    slot = F.shiftrightunsigned("anchor", 64 - SLOT_BITS) + 1  # Spark's bitmaps count from 1
+    slot = F.col("anchor").bitwiseAND((1 << SLOT_BITS) - 1) + 1  # Spark's bitmaps count from 1
     rows = repeated.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
     out = np.zeros(1 << (SLOT_BITS - 3), np.uint8)
     for r in rows:
