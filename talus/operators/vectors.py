@@ -1,10 +1,25 @@
-"""Exact vector search: ranking, pre-filtering, relevance band, interleaving."""
+"""Exact vector search: ranking, pre-filters, relevance band, interleaved scopes, index tables.
+
+Queries are a stated set: they are sent to the executors in blocks of bounded size and multiplied with
+batches of vectors; each batch passes on its best ``k`` only, so what is shuffled does not grow with the
+number of vectors per batch. Filters belong before the search: a filter after it would not be the same.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talus.functions import fixed as X
+
+#: Queries in one block: the only part that is sent to every executor.
+BLOCK = 4096
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -15,19 +30,150 @@ def norm(a: Column) -> Column:
 
 
 def probe_set(emb: DataFrame, below: int = 20) -> DataFrame:
-    """The stated query set: the first vectors by id."""
-    return emb.where(F.col("vec_id") < below).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("label").alias("query_label"))
+    """A stated query set: the first vectors by id."""
+    return emb.where(F.col("vec_id") < below).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+
+
+def _matrix(lists: pa.Array, rows: int) -> np.ndarray:
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(rows, -1) if rows else np.zeros((0, 0))
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return m / np.where(n == 0, 1.0, n)
+
+
+def _block(ids: np.ndarray, queries: np.ndarray, k: int | None) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = _unit(queries)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vec = batch.column("vec_id").to_numpy(zero_copy_only=False)
+            distance = np.abs(np.round(1.0 - unit @ _unit(_matrix(batch.column("embedding"), batch.num_rows)).T, 6))  # no negative zero
+            order = np.lexsort((np.broadcast_to(vec, distance.shape), distance), axis=1)[:, : k or None]
+            q = np.repeat(np.arange(len(ids)), order.shape[1])
+            v = order.ravel()
+            yield pa.record_batch([pa.array(ids[q]), batch.column("vec_id").take(pa.array(v)), pa.array(distance[q, v])], ["query_id", "vec_id", "distance"])
+
+    return run
+
+
+def distances(probes: DataFrame, emb: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, vec_id, distance): cosine distance to six decimals, a zero norm counting as 1; at least the best ``k``."""
+    vectors = emb.select("vec_id", "embedding")
+    parts, ids, rows = [], [], []
+    for r in probes.select("query_id", "query_vec").toLocalIterator():
+        ids.append(r.query_id)
+        rows.append(r.query_vec)
+        if len(ids) == BLOCK:
+            parts.append((ids, rows))
+            ids, rows = [], []
+    if ids or not parts:
+        parts.append((ids, rows))
+    made = [vectors.mapInArrow(_block(np.array(i, np.int64), np.array(q, np.float64).reshape(len(i), -1), k), "query_id bigint, vec_id bigint, distance double") for i, q in parts if i]
+    return reduce(DataFrame.unionAll, made) if made else probes.select("query_id").join(vectors.select("vec_id"), F.lit(False)).withColumn("distance", F.lit(0.0))
+
+
+def rank(found: DataFrame, k: int | None = None) -> DataFrame:
+    """With ``rank`` by distance, ties by id; the best ``k``."""
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id")))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
+
+
+def top_k(probes: DataFrame, emb: DataFrame, k: int = X.K_DEFAULT) -> DataFrame:
+    return rank(distances(probes, emb, k), k)
+
+
+def prefilter(chunks: DataFrame, degrees: list[str] | None = None, year: str | None = None, kind: str | None = None) -> DataFrame:
+    """Chunks of any of the degrees (whole elements), of a year (prefix) and of a kind."""
+    if degrees:
+        chunks = chunks.where(F.arrays_overlap("degrees", F.array(*map(F.lit, degrees))))
+    if year:
+        chunks = chunks.where(F.startswith(F.lower("year"), F.lit(year.lower())))
+    return chunks.where(F.col("kind") == kind) if kind else chunks
+
+
+def band(ranked: DataFrame, floor: float = X.FLOOR, factor: float = X.CUT_FACTOR, least: int = X.K_LEAST, most: int = X.K_MOST, key: str | list[str] = "query_id") -> DataFrame:
+    """Nothing if the best is beyond ``floor``; else what is within ``factor`` of it, ``least`` to ``most`` rows."""
+    w = Window.partitionBy(key)
+    best = F.min("distance").over(w)
+    near = ranked.withColumn("_best", best).withColumn("_near", F.count_if(F.col("distance") <= F.col("_best") * F.lit(factor)).over(w))
+    keep = F.greatest(F.lit(least), F.least(F.col("_near"), F.lit(most)))
+    return near.where((F.col("_best") <= floor) & (F.col("rank") <= keep)).drop("_best", "_near")
+
+
+def interleave(scoped: DataFrame, keys: list[str], most: int = X.K_MOST) -> DataFrame:
+    """Round robin by rank over scopes, each chunk once, at most ``most`` a query."""
+    w = Window.partitionBy("query_id", *keys).orderBy("rank", "scope")
+    once = scoped.withColumn("_seen", F.row_number().over(w)).where("_seen = 1").drop("_seen")
+    v = Window.partitionBy("query_id").orderBy("rank", "scope")
+    return once.withColumn("position", F.row_number().over(v)).where(F.col("position") <= most)
+
+
+def resolve_names(wanted: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(wanted, name) by exact normalised name, else by every name that contains it."""
+    from talus.functions.text import normalize
+
+    left = wanted.select("wanted", normalize(F.col("wanted")).alias("_w"))
+    right = catalogue.select("name", normalize(F.col("name")).alias("_n"))
+    exact = left.join(right, F.col("_w") == F.col("_n"))
+    other = left.join(exact.select("_w").distinct(), "_w", "left_anti")
+    return exact.select("wanted", "name").union(other.join(right, F.contains(F.col("_n"), F.col("_w"))).select("wanted", "name"))
+
+
+def fidelity(exact: DataFrame, got: DataFrame) -> DataFrame:
+    """Share of the exact neighbours that were got, by query."""
+    hit = exact.select("query_id", "vec_id").join(got.select("query_id", "vec_id").withColumn("hit", F.lit(1)), ["query_id", "vec_id"], "left")
+    return hit.groupBy("query_id").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")).alias("fidelity"))
+
+
+def norm_check(emb: DataFrame) -> DataFrame:
+    """Least and largest norm and whether the vectors are normalised."""
+    n = emb.select(norm(F.col("embedding")).alias("n"))
+    return n.agg(F.round(F.min("n"), 6).alias("least"), F.round(F.max("n"), 6).alias("largest"), ((F.stddev_pop("n") < 1e-5) & (F.abs(F.avg("n") - 1) < 1e-5)).alias("normalised"))
+
+
+def hash_embedder(texts: list[str], dims: int = 64) -> list[list[float]]:
+    """A stand-in for a model: the words' hashed directions, summed. Any function of this shape can be given to ``embed``."""
+    import zlib
+
+    out = np.zeros((len(texts), dims))
+    for i, t in enumerate(texts):
+        for w in t.split():
+            h = zlib.crc32(w.encode())
+            out[i, h % dims] += 1.0 if h & (1 << 20) else -1.0
+    return _unit(out).tolist()
+
+
+def embed(df: DataFrame, text: str = "text", embedder: Callable[[list[str]], list[list[float]]] = hash_embedder, prefix: str = X.PASSAGE_PREFIX, batch: int = 64) -> DataFrame:
+    """``df`` with ``embedding``, the embedder being called for ``batch`` texts at a time."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, batch):
+                part = b.slice(i, batch)
+                vectors = embedder([prefix + (t or "") for t in part.column(text).to_pylist()])
+                yield part.append_column("embedding", pa.array(vectors, pa.list_(pa.float32())))
+
+    from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("embedding", ArrayType(FloatType()))]))
 
 
-def distances(probes: DataFrame, emb: DataFrame) -> DataFrame:
-    """Cosine distance of each probe to each vector, six decimals; zero norms count as 1."""
-    one = lambda c: F.when(c == 0, F.lit(1.0)).otherwise(c)
-    left = probes.withColumn("query_norm", one(norm(F.col("query_vec"))))
-    right = emb.withColumn("vec_norm", one(norm(F.col("embedding"))))
-    pair = right.join(F.broadcast(left))
-    return pair.withColumn("distance", F.round(1 - dot(F.col("query_vec"), F.col("embedding")) / (F.col("query_norm") * F.col("vec_norm")), 6))
+def write_index(chunks: DataFrame, path: str, model: str, prefix: str = X.PASSAGE_PREFIX, metric: str = "cosine") -> None:
+    """Rebuild an index: the vectors and a table of one row that says how they were made."""
+    chunks.write.mode("overwrite").parquet(f"{path}/vectors")
+    chunks.sparkSession.createDataFrame([(model, prefix, metric)], "model string, prefix string, metric string").write.mode("overwrite").parquet(f"{path}/about")
 
 
-def top_k(probes: DataFrame, emb: DataFrame, k: int = 10) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return distances(probes, emb).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "vec_id", "label", "distance", "rank")
+def read_index(spark, path: str, model: str, prefix: str = X.PASSAGE_PREFIX) -> DataFrame:
+    """The vectors of an index; raises if it was made with another model or prefix, accepts one that does not say."""
+    try:
+        about = spark.read.parquet(f"{path}/about").first()
+    except Exception:  # noqa: BLE001 - an index without the table is accepted
+        about = None
+    if about and (about.model, about.prefix) != (model, prefix):
+        raise ValueError(f"the index was made with {about.model} and {about.prefix!r}, not {model} and {prefix!r}")
+    return spark.read.parquet(f"{path}/vectors")
