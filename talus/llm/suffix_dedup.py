@@ -24,43 +24,44 @@ from talus.llm import anchors
 from talus.llm.common import buffers, materialize, slices
 
 WINDOW, GRAM = 100, 24
-SHARD_WINDOWS = 1_000_000
+SHARD_WINDOWS = 250_000
 SPANS = "doc_id bigint, start bigint, end bigint"
 
 
-def _keys(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on, as numbers in the order of strings."""
-    out = np.zeros(len(at), np.uint64)
+def byte_keys(text: np.ndarray) -> np.ndarray:
+    """For each place the eight bytes from there on, as a number in the order of strings; ``text`` is padded."""
+    out = np.zeros(len(text) - 8, np.uint64)
     for k in range(8):
-        out = (out << np.uint64(8)) | text[at + k]
+        out <<= np.uint64(8)
+        out |= text[k : k + len(out)]
     return out
 
 
-def direct_sort(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """``at`` in the order of the suffixes that start there, compared over ``depth`` bytes; ``text`` is padded."""
-    order = at[np.argsort(key := _keys(text, at), kind="stable")]
-    key = np.sort(key, kind="stable")
+def direct_sort(keys: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """``at`` in the order of the suffixes that start there, compared over ``depth`` bytes."""
+    key = keys[at]
+    by = np.argsort(key, kind="stable")
+    order, key = at[by], key[by]
     new = np.ones(len(order), bool)
     new[1:] = key[1:] != key[:-1]
     for k in range(8, depth, 8):
-        group = np.cumsum(new)
         tied = ~new
         tied[:-1] |= ~new[1:]
-        if not tied.any():
-            break
         where = np.flatnonzero(tied)
-        sub, g = order[where], group[where]
-        key = _keys(text, sub + k)
-        by = np.lexsort((key, g))
+        if not len(where):
+            break
+        # ties stand together: sorting within them keeps the groups in place
+        group = np.cumsum(new[where])
+        sub = order[where]
+        key = keys[sub + k]
+        by = np.lexsort((key, group))
         order[where] = sub[by]
-        key, g = key[by], g[by]
-        change = np.ones(len(where), bool)
-        change[1:] = (key[1:] != key[:-1]) | (g[1:] != g[:-1])
-        new[where] |= change
+        key = key[by]
+        new[where[1:]] |= key[1:] != key[:-1]
     return order
 
 
-def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
+def suffix_order(text: np.ndarray, keys: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     """The ``wanted`` places (a mask, the last one a zero byte) in suffix order to ``depth`` bytes, by two-stage sorting.
 
     A suffix is small if it is less than its successor. Places beyond the wanted ones are added up to the next small one,
@@ -69,8 +70,7 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray
     n = len(wanted)
     # the type of a place is that of the next place with another byte
     rise, same = text[: n - 1] < text[1:n], text[: n - 1] == text[1:n]
-    at = np.arange(n - 1)
-    last = np.where(same, n, at)
+    last = np.where(same, np.int32(n), np.arange(n - 1, dtype=np.int32))
     nxt = np.minimum.accumulate(last[::-1])[::-1] if n > 1 else last
     small = np.zeros(n, bool)
     small[: n - 1] = (nxt < n) & rise[np.minimum(nxt, max(0, n - 2))]
@@ -82,7 +82,7 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray
         chain = chain[~need[chain]]
         need[chain] = True
         chain = chain[~small[chain]]
-    ordered = direct_sort(text, np.flatnonzero(need & small), depth)
+    ordered = direct_sort(keys, np.flatnonzero(need & small), depth)
     first = text[ordered]
     cuts = np.searchsorted(first, np.arange(257))
     larger = need & ~small
@@ -118,14 +118,14 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray
     return found[wanted[found]]
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+def common_prefixes(keys: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """For each place in ``order`` whether its suffix agrees with the one before it over ``depth`` bytes or more."""
     agree = np.zeros(len(order), bool)
     agree[1:] = True
     left = np.arange(1, len(order))
     for k in range(0, depth, 8):
         k = min(k, depth - 8)
-        left = left[_keys(text, order[left] + k) == _keys(text, order[left - 1] + k)]
+        left = left[keys[order[left] + k] == keys[order[left - 1] + k]]
         if not len(left):
             break
     agree[:] = False
@@ -144,8 +144,9 @@ def repeated_windows(contents: list[bytes], docs: np.ndarray, starts: np.ndarray
     edge[base] += 1
     edge[base + length - window + 1] -= 1
     wanted[:] = np.cumsum(edge)[: total + 1] > 0
-    order = suffix_order(text, wanted, window)
-    same = common_prefixes(text, order, window)
+    keys = byte_keys(text)
+    order = suffix_order(text, keys, wanted, window)
+    same = common_prefixes(keys, order, window)
     group = np.cumsum(~same) - 1
     segment = np.searchsorted(base, order, "right") - 1
     # the earliest place of each group of equal strings

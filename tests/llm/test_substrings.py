@@ -80,7 +80,7 @@ def test_suffix_order_is_the_sorted_order():
         body = r.integers(0, letters, n).astype(np.uint8)
         text = np.concatenate([body, np.zeros(64, np.uint8)])
         for wanted in (np.ones(n + 1, bool), np.append(r.random(n) < 0.4, False)):
-            got = suffix_dedup.suffix_order(text, wanted, 40)
+            got = suffix_dedup.suffix_order(text, suffix_dedup.byte_keys(text), wanted, 40)
             raw = text.tobytes()
             assert sorted(got.tolist()) == np.flatnonzero(wanted).tolist()
             keys = [raw[i : i + 40] for i in got.tolist()]
