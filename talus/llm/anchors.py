@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm.common import _BYTES, _BYTES2, buffers, materialize, mix, partitions, prefix_hash, signed, slices, sliding_min, small, span_hash, word_bounds, word_hashes
+from talus.llm.common import _BYTES, buffers, materialize, partitions, prefix_hash, release, settle, signed, slices, sliding_min, small, span_hash, word_bounds, word_hashes
 
 #: Ids that are sent to all executors to pick texts; beyond, the texts are shuffled to them.
 BROADCAST_IDS = 500_000
@@ -23,13 +23,13 @@ BROADCAST_IDS = 500_000
 _LOW = np.uint64(0xFFFFFFFF)
 #: Slots of the bitmap of repeated anchors, whatever the size of the corpus: 8 MB.
 SLOT_BITS = 26
-RUN = "anchor bigint, s1 bigint, s2 bigint, doc_id bigint, start bigint, n bigint"
+RUN = "anchor bigint, s1 bigint, doc_id bigint, start bigint, n bigint"
 
 
 class Runs:
-    """The runs of a batch of documents: document number, start, number of windows, anchor, 128-bit segment hash."""
+    """The runs of a batch of documents: document number, start, number of windows, anchor, segment hash."""
 
-    def __init__(self, values: np.ndarray, second: np.ndarray, first: np.ndarray, window: int, gram: int) -> None:
+    def __init__(self, values: np.ndarray, first: np.ndarray, window: int, gram: int) -> None:
         empty = np.zeros(0, np.int64)
         self.window, self.gram = window, gram
         if len(values) < window:
@@ -56,7 +56,6 @@ class Runs:
         self.n = stop - self.at
         self.start = self.at - first[self.doc]
         self.anchor = h[least[self.at]]
-        self._second = second
 
     def slot(self) -> np.ndarray:
         """From the low bits: the high ones are small in every anchor."""
@@ -66,12 +65,11 @@ class Runs:
         for name in ("doc", "at", "start", "n", "anchor"):
             setattr(self, name, getattr(self, name)[mask])
 
-    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent hashes of each segment."""
+    def hashes(self) -> np.ndarray:
+        """A hash of each segment's content: with the anchor's, 128 bits tell contents apart."""
         if not len(self.at):
-            return self.at, self.at
-        ends = self.at + self.n + self.window - 1
-        return signed(span_hash(self.p1, self.at, ends)), signed(span_hash(prefix_hash(self._second, 1), self.at, ends, 1))
+            return self.at
+        return signed(span_hash(self.p1, self.at, self.at + self.n + self.window - 1))
 
 
 def bitmap(spark: SparkSession, repeated: DataFrame):
@@ -91,13 +89,12 @@ def marked(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
 
 
 def symbols(column, words: bool):
-    """(values, second values, first symbol of each document, symbol starts, symbol ends, bytes) of a string column."""
+    """(values, first symbol of each document, bytes) of a string column."""
     data, offs = buffers(column)
     if not words:
-        return _BYTES[data], _BYTES2[data], offs, None, None, data
+        return _BYTES[data], offs, data
     starts, ends, first = word_bounds(data, offs)
-    w = word_hashes(data, starts, ends)
-    return w, mix(w), first, starts, ends, data
+    return word_hashes(data, starts, ends), first, data
 
 
 def _batch(arrays, names) -> pa.RecordBatch:
@@ -109,8 +106,8 @@ def anchor_rows(docs: DataFrame, words: bool, window: int, gram: int) -> DataFra
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=1 << 20):
-            values, second, first, *_ = symbols(batch.column("text"), words)
-            r = Runs(values, second, first, window, gram)
+            values, first, _ = symbols(batch.column("text"), words)
+            r = Runs(values, first, window, gram)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             yield _batch([signed(r.anchor), ids[r.doc]], ["anchor", "doc_id"])
 
@@ -122,13 +119,13 @@ def run_rows(docs: DataFrame, words: bool, window: int, gram: int, bits) -> Data
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=1 << 20):
-            values, second, first, *_ = symbols(batch.column("text"), words)
-            r = Runs(values, second, first, window, gram)
+            values, first, _ = symbols(batch.column("text"), words)
+            r = Runs(values, first, window, gram)
             if len(r.at):
                 r.keep(marked(bits.value, r.slot()))
-            s1, s2 = r.hashes()
+            s1 = r.hashes()
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            yield _batch([signed(r.anchor), s1, s2, ids[r.doc], r.start, r.n], ["anchor", "s1", "s2", "doc_id", "start", "n"])
+            yield _batch([signed(r.anchor), s1, ids[r.doc], r.start, r.n], ["anchor", "s1", "doc_id", "start", "n"])
 
     return docs.mapInArrow(run, RUN)
 
@@ -147,17 +144,22 @@ def repeated_segments(docs: DataFrame, words: bool, window: int, gram: int, acro
     else:
         repeated = rows.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")
     repeated = materialize(repeated.select("anchor"), "anchors")
+    del rows
     bits = bitmap(spark, repeated)
+    settle(spark)
     occurrences = materialize(run_rows(docs, words, window, gram, bits), "runs")
-    classes = occurrences.groupBy("anchor", "s1", "s2", "n").agg(F.min(F.struct("doc_id", "start")).alias("rep"), F.count("*").alias("c"))
+    classes = occurrences.groupBy("anchor", "s1", "n").agg(F.min(F.struct("doc_id", "start")).alias("rep"), F.count("*").alias("c"))
     classes = classes.join(repeated, "anchor", "left_semi")
-    classes = classes.select("anchor", "s1", "s2", "n", F.col("rep.doc_id").alias("rep_doc"), F.col("rep.start").alias("rep_start"), "c")
-    return occurrences, materialize(classes, "segments")
+    classes = classes.select("anchor", "s1", "n", F.col("rep.doc_id").alias("rep_doc"), F.col("rep.start").alias("rep_start"), "c")
+    classes = materialize(classes, "segments")
+    release(repeated)
+    settle(spark)
+    return occurrences, classes
 
 
 def with_content(docs: DataFrame, classes: DataFrame, words: bool, window: int, shards: int) -> DataFrame:
     """``classes`` with shard number and content: bytes, or the words' 64-bit hashes as bytes."""
-    names = ["anchor", "s1", "s2", "n", "rep_start"]
+    names = ["anchor", "s1", "n", "rep_start"]
     wanted = classes.groupBy("rep_doc").agg(F.collect_list(F.struct(*names)).alias("segments"))
     ids = classes.select(F.col("rep_doc").alias("doc_id")).distinct()
     here = docs.join(F.broadcast(ids), "doc_id", "left_semi") if small(ids, BROADCAST_IDS) else docs
@@ -165,7 +167,7 @@ def with_content(docs: DataFrame, classes: DataFrame, words: bool, window: int,
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=1 << 20):
-            values, _, first, *_, data = symbols(batch.column("text"), words)
+            values, first, data = symbols(batch.column("text"), words)
             whole = values if words else data
             lists = batch.column("segments")
             flat = lists.flatten()
@@ -180,7 +182,7 @@ def with_content(docs: DataFrame, classes: DataFrame, words: bool, window: int,
                 ["shard", *names, "rep_doc", "content"],
             )
 
-    return here.mapInArrow(run, "shard bigint, anchor bigint, s1 bigint, s2 bigint, n bigint, rep_start bigint, rep_doc bigint, content binary")
+    return here.mapInArrow(run, "shard bigint, anchor bigint, s1 bigint, n bigint, rep_start bigint, rep_doc bigint, content binary")
 
 
 def shard_count(classes: DataFrame, windows: int) -> int:

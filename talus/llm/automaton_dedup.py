@@ -25,7 +25,7 @@ from talus.llm.common import buffers, materialize, slices
 
 WINDOW, GRAM = 50, 8
 SHARD_WINDOWS = 60_000
-_CLASS = "anchor bigint, s1 bigint, s2 bigint, n bigint, parts array<struct<start:bigint,end:bigint>>"
+_CLASS = "anchor bigint, s1 bigint, n bigint, parts array<struct<start:bigint,end:bigint>>"
 
 
 class SuffixAutomaton:
@@ -113,27 +113,32 @@ def _shard(window: int):
             a, b = anchors.ranges(np.array(machine.first_owners(s, window)) < d)
             parts.append([{"start": x, "end": y + window - 1} for x, y in zip(a.tolist(), b.tolist(), strict=True)])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table([*[rows.column(c) for c in ("anchor", "s1", "s2", "n")], pa.array(parts, kind)], ["anchor", "s1", "s2", "n", "parts"])
+        return pa.table([*[rows.column(c) for c in ("anchor", "s1", "n")], pa.array(parts, kind)], ["anchor", "s1", "n", "parts"])
 
     return run
 
 
 def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
-    """Spans (doc_id, start, end) of words that repeat an earlier document; they may overlap."""
+    """Spans (doc_id, start, end) of words that repeat an earlier document, as a written table; they may overlap."""
     occurrences, classes = anchors.repeated_segments(docs, True, window, gram, across=True)
     shards = anchors.shard_count(classes, shard_windows)
-    keys = ["anchor", "s1", "s2", "n"]
+    keys = ["anchor", "s1", "n"]
     found = anchors.with_content(docs, classes, True, window, shards).groupBy("shard").applyInArrow(_shard(window), _CLASS).where("size(parts) > 0")
     placed = occurrences.join(classes.select(*keys, "rep_doc"), keys)
     later = placed.where("doc_id > rep_doc").select("doc_id", "start", (F.col("start") + F.col("n") + window - 1).alias("end"))
     own = placed.where("doc_id = rep_doc").join(found, keys).select("doc_id", "start", F.explode("parts").alias("p"))
-    return later.union(own.select("doc_id", F.col("start") + F.col("p.start"), F.col("start") + F.col("p.end")))
+    spans = materialize(later.union(own.select("doc_id", F.col("start") + F.col("p.start"), F.col("start") + F.col("p.end"))), "spans")
+    del found, placed, later, own
+    release(occurrences)
+    release(classes)
+    settle(docs.sparkSession)
+    return spans
 
 
 def automaton_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 for every row of ``docs``."""
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
-    spans = materialize(find_repeats(docs, window, gram, shard_windows), "spans")
+    spans = find_repeats(docs, window, gram, shard_windows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -7,6 +7,7 @@ that is what ``bytes.split()`` returns, and ``bytes.lower()`` lower-cases A-Z on
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -66,6 +67,12 @@ def release(df: DataFrame) -> None:
     _delete(df.sparkSession, df._talus_path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of phases that are over: it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

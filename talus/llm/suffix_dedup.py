@@ -175,18 +175,23 @@ def _shard(window: int):
 
 
 def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
-    """Spans (doc_id, start, end) of bytes that repeat an earlier place; they may overlap."""
+    """Spans (doc_id, start, end) of bytes that repeat an earlier place, as a written table; they may overlap."""
     occurrences, classes = anchors.repeated_segments(docs, False, window, gram, across=False)
     shards = anchors.shard_count(classes, shard_windows)
     first = anchors.with_content(docs, classes, False, window, shards).groupBy("shard").applyInArrow(_shard(window), SPANS)
-    again = occurrences.join(classes.where("c > 1"), ["anchor", "s1", "s2", "n"]).where("doc_id <> rep_doc or start <> rep_start")
-    return first.union(again.select("doc_id", "start", (F.col("start") + F.col("n") + window - 1).alias("end")))
+    again = occurrences.join(classes.where("c > 1").select("anchor", "s1", "n", "rep_doc", "rep_start"), ["anchor", "s1", "n"]).where("doc_id <> rep_doc or start <> rep_start")
+    spans = materialize(first.union(again.select("doc_id", "start", (F.col("start") + F.col("n") + window - 1).alias("end"))), "spans")
+    del first, again
+    release(occurrences)
+    release(classes)
+    settle(docs.sparkSession)
+    return spans
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text's length for every row of ``docs``."""
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
-    spans = materialize(find_repeats(docs, window, gram, shard_windows), "spans")
+    spans = find_repeats(docs, window, gram, shard_windows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
