@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.llm import anchors
-from talus.llm.common import buffers, materialize, slices
+from talus.llm.common import buffers, materialize, release, settle, slices
 
 WINDOW, GRAM = 50, 8
 SHARD_WINDOWS = 60_000
