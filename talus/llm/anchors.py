@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -203,10 +204,12 @@ def removal(docs: DataFrame, spans: DataFrame, run, schema: str) -> DataFrame:
     return docs.join(lists, F.col("doc_id") == F.col("_d"), "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
 
 
-def covered(spans, length: int) -> np.ndarray:
-    """A mask of the symbols that the spans of one document cover."""
-    edge = np.zeros(length + 1, np.int64)
-    for s in spans or ():
-        edge[min(s["start"], length)] += 1
-        edge[min(s["end"], length)] -= 1
+def covered(spans: pa.ListArray, lengths: np.ndarray) -> np.ndarray:
+    """A mask over the symbols of a batch, document after document: those that its documents' spans cover."""
+    base = np.cumsum(lengths) - lengths
+    doc = np.repeat(np.arange(len(lengths)), pc.fill_null(pc.list_value_length(spans), 0).to_numpy())
+    flat = spans.flatten()
+    edge = np.zeros(int(lengths.sum()) + 1, np.int32)
+    for name, step in (("start", 1), ("end", -1)):
+        np.add.at(edge, base[doc] + np.minimum(flat.field(name).to_numpy(), lengths[doc]), step)
     return np.cumsum(edge[:-1]) > 0

@@ -143,14 +143,16 @@ def automaton_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, sha
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             data, offs = buffers(batch.column("text"))
-            rows = []
-            for doc, a, b, s in zip(batch.column("doc_id").to_pylist(), offs[:-1].tolist(), offs[1:].tolist(), batch.column("spans").to_pylist(), strict=True):
-                words = data[a:b].tobytes().split()
-                n, removed = len(words), 0
-                if s:
-                    mask = anchors.covered(s, n)
-                    removed = int(mask.sum())
-                    words = [w for w, gone in zip(words, mask.tolist(), strict=True) if not gone]
+            split = [data[a:b].tobytes().split() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+            lengths = np.fromiter(map(len, split), np.int64, len(split))
+            gone, rows, at = anchors.covered(batch.column("spans"), lengths), [], 0
+            for doc, words in zip(batch.column("doc_id").to_pylist(), split, strict=True):
+                n = len(words)
+                mask = gone[at : at + n]
+                at += n
+                removed = int(mask.sum())
+                if removed:
+                    words = [w for w, g in zip(words, mask.tolist(), strict=True) if not g]
                 rows.append((doc, n, removed, hashlib.sha256(b" ".join(words)).hexdigest()))
             kinds = [pa.int64()] * 3 + [pa.string()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256"])

@@ -175,17 +175,17 @@ def _shard(window: int):
 
 
 def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
-    """Spans (doc_id, start, end) of bytes that repeat an earlier place, as a written table; they may overlap."""
+    """Spans (doc_id, start, end) of bytes that repeat an earlier place, as written tables; they may overlap."""
     occurrences, classes = anchors.repeated_segments(docs, False, window, gram, across=False)
     shards = anchors.shard_count(classes, shard_windows)
-    first = anchors.with_content(docs, classes, False, window, shards).groupBy("shard").applyInArrow(_shard(window), SPANS)
+    first = materialize(anchors.with_content(docs, classes, False, window, shards).groupBy("shard").applyInArrow(_shard(window), SPANS), "spans")
+    settle(docs.sparkSession)
     again = occurrences.join(classes.where("c > 1").select("anchor", "s1", "n", "rep_doc", "rep_start"), ["anchor", "s1", "n"]).where("doc_id <> rep_doc or start <> rep_start")
-    spans = materialize(first.union(again.select("doc_id", "start", (F.col("start") + F.col("n") + window - 1).alias("end"))), "spans")
-    del first, again
+    again = materialize(again.select("doc_id", "start", (F.col("start") + F.col("n") + window - 1).alias("end")), "spans")
     release(occurrences)
     release(classes)
     settle(docs.sparkSession)
-    return spans
+    return first.union(again)
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
@@ -196,14 +196,12 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             data, offs = buffers(batch.column("text"))
-            rows = []
-            for doc, a, b, s in zip(batch.column("doc_id").to_pylist(), offs[:-1].tolist(), offs[1:].tolist(), batch.column("spans").to_pylist(), strict=True):
-                text, removed, count = data[a:b], 0, 0
-                if s:
-                    mask = anchors.covered(s, b - a)
-                    removed, count = int(mask.sum()), len(anchors.ranges(mask)[0])
-                    text = text[~mask]
-                rows.append((doc, b - a, removed, count, hashlib.sha256(text.tobytes()).hexdigest()))
+            rows, gone = [], anchors.covered(batch.column("spans"), np.diff(offs))
+            for doc, a, b in zip(batch.column("doc_id").to_pylist(), offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+                mask = gone[a:b]
+                removed = int(mask.sum())
+                text = data[a:b][~mask] if removed else data[a:b]
+                rows.append((doc, b - a, removed, len(anchors.ranges(mask)[0]) if removed else 0, hashlib.sha256(text.tobytes()).hexdigest()))
             kinds = [pa.int64()] * 4 + [pa.string()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
