@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.llm import automaton_dedup, minhash, mixing, packing, pitman_yor, quality_rules, secrets_scan, suffix_dedup, token_counts, winnowing
+from talus.llm import automaton_dedup, minhash, mixing, oracles, packing, pitman_yor, quality_rules, secrets_scan, suffix_dedup, token_counts, winnowing
 from talus.session import table
 
 
@@ -62,4 +62,9 @@ QUERIES = {
     "op10_automaton_dedup": op10_automaton_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_minhash_dedup": oracles.NEAR_DUPLICATES,
+    "op7_quality_rules": oracles.QUALITY,
+    "op8_suffix_array_dedup": oracles.SUBSTRINGS,
+    "op10_automaton_dedup": oracles.WORD_WINDOWS,
+}
