@@ -55,19 +55,18 @@ class WordEncoder:
         self.special = list(special)
 
     def _learn(self, words: list[str]) -> None:
-        plain = []
-        for w in words:
-            if any(s in w for s in self.special):
-                self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                plain.append(w)
-        for i in range(0, len(plain), 100):  # a special token between words keeps them apart
-            part = plain[i : i + 100]
-            ids = np.array(self.tokenizer.encode(self.mark.join(part), add_special_tokens=False).ids, "<u4")
-            cut = [-1, *np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
+        """Encode words by fifties, a special token keeping them apart."""
+        parts = [words[i : i + 50] for i in range(0, len(words), 50)]
+        texts = [self.mark.join(p) for p in parts]
+        for part, text, e in zip(parts, texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            if sum(map(text.count, self.special)) > len(part) - 1:  # a word holds a special token itself
+                for w in part:
+                    self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+                continue
+            ids = np.array(e.ids, "<u4")
+            cut = (4 * np.flatnonzero(ids == self.mark_id)).tolist()
             raw = ids.tobytes()
-            for w, a, b in zip(part, cut, cut[1:], strict=False):
-                self.known[w] = raw[4 * a + 4 : 4 * b]
+            self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *[c + 4 for c in cut]], [*cut, len(raw)])), strict=True))
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
         """The little-endian 32-bit ids of each text."""
@@ -79,16 +78,18 @@ class WordEncoder:
         here = coded.dictionary.to_pylist()
         if len(self.known) + len(here) > self.most:
             self.known = {w: self.known[w] for w in here if w in self.known}
-        self._learn([w for w in here if w not in self.known])
-        each = [self.known[w] for w in here]
+        each = list(map(self.known.get, here))
+        if None in each:
+            self._learn([w for w, ids in zip(here, each, strict=True) if ids is None])
+            each = list(map(self.known.__getitem__, here))
         flat = np.frombuffer(b"".join(each), "<u4")
-        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        first = np.cumsum(size) - size
+        size = np.fromiter(map(len, each), np.int32, len(each)) // 4
+        first = np.cumsum(size, dtype=np.int32) - size
         code = coded.indices.to_numpy()
         width = size[code]
-        end = np.cumsum(width)
+        end = np.cumsum(width, dtype=np.int32)
         total = int(end[-1]) if len(end) else 0
-        ids = flat[np.repeat(first[code] - (end - width), width) + np.arange(total)]
+        ids = flat[np.repeat(first[code] - (end - width), width) + np.arange(total, dtype=np.int32)]
         at = np.concatenate([[0], end])[split.offsets.to_numpy() - split.offsets[0].as_py()]
         return [ids[a:b].tobytes() for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
 
@@ -102,7 +103,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _ENCODERS.setdefault(tokenizer, WordEncoder(tokenizer))
         end, step, salt = np.array([end_id], "<u4").tobytes(), 4 * capacity, 0
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches, most=8 << 20):
             rows = []
             texts = pc.fill_null(batch.column("text"), "")
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
