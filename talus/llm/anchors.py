@@ -22,6 +22,8 @@ from talus.llm.common import _BYTES, buffers, materialize, partitions, prefix_ha
 BROADCAST_IDS = 500_000
 
 _LOW = np.uint64(0xFFFFFFFF)
+#: Anchors with more contents than this are dealt over shards of their own.
+HOT_CLASSES = 1000
 #: Slots of the bitmap of repeated anchors, whatever the size of the corpus: 8 MB.
 SLOT_BITS = 26
 RUN = "anchor bigint, s1 bigint, doc_id bigint, start bigint, n bigint"
@@ -158,9 +160,26 @@ def repeated_segments(docs: DataFrame, words: bool, window: int, gram: int, acro
     return occurrences, classes
 
 
-def with_content(docs: DataFrame, classes: DataFrame, words: bool, window: int, shards: int) -> DataFrame:
-    """``classes`` with shard number and content: bytes, or the words' 64-bit hashes as bytes."""
-    names = ["anchor", "s1", "n", "rep_start"]
+def with_shards(classes: DataFrame, windows: int) -> tuple[DataFrame, int]:
+    """(``classes`` with ``shard``, the number of ordinary shards), each of about ``windows`` windows.
+
+    An anchor's classes meet in one shard, unless there are very many: these are salted over further shards, numbered
+    after the ordinary ones, whose results have to be united by window.
+    """
+    spark = classes.sparkSession
+    hot = materialize(classes.groupBy("anchor").agg(F.count("*").alias("k"), F.sum("n").alias("w")).where(F.col("k") > HOT_CLASSES), "hot")
+    total, many = classes.agg(F.sum("n")).first()[0] or 0, hot.agg(F.sum("w")).first()[0] or 0
+    shards = max(partitions(spark), -(-total // windows))
+    salted = max(partitions(spark), -(-many // windows))
+    flag = hot.select("anchor", F.lit(True).alias("_hot"))
+    both = classes.join(F.broadcast(flag) if small(hot) else flag, "anchor", "left")
+    shard = F.when(F.col("_hot"), F.lit(shards) + F.pmod(F.xxhash64("anchor", "s1"), F.lit(salted))).otherwise(F.pmod("anchor", F.lit(shards)))
+    return both.withColumn("shard", shard.cast("bigint")).drop("_hot"), shards
+
+
+def with_content(docs: DataFrame, classes: DataFrame, words: bool, window: int) -> DataFrame:
+    """``classes`` (with ``shard``) with their content: bytes, or the words' 64-bit hashes as bytes."""
+    names = ["shard", "anchor", "s1", "n", "rep_start"]
     wanted = classes.groupBy("rep_doc").agg(F.collect_list(F.struct(*names)).alias("segments"))
     ids = classes.select(F.col("rep_doc").alias("doc_id")).distinct()
     here = docs.join(F.broadcast(ids), "doc_id", "left_semi") if small(ids, BROADCAST_IDS) else docs
@@ -177,19 +196,14 @@ def with_content(docs: DataFrame, classes: DataFrame, words: bool, window: int,
             ids = batch.column("doc_id").to_numpy()
             at = first[doc] + cols["rep_start"]
             content = [whole[a:b].tobytes() for a, b in zip(at.tolist(), (at + cols["n"] + window - 1).tolist(), strict=True)]
-            shard = (cols["anchor"].view(np.uint64) % np.uint64(shards)).astype(np.int64)
-            yield pa.record_batch(
-                [pa.array(shard), *[pa.array(cols[c]) for c in names], pa.array(ids[doc]), pa.array(content, pa.binary())],
-                ["shard", *names, "rep_doc", "content"],
-            )
+            yield pa.record_batch([*[pa.array(cols[c]) for c in names], pa.array(ids[doc]), pa.array(content, pa.binary())], [*names, "rep_doc", "content"])
 
     return here.mapInArrow(run, "shard bigint, anchor bigint, s1 bigint, n bigint, rep_start bigint, rep_doc bigint, content binary")
 
 
-def shard_count(classes: DataFrame, windows: int) -> int:
-    """Shards of about ``windows`` windows each: their number, not their size, grows with the corpus."""
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    return max(partitions(classes.sparkSession), -(-total // windows))
+def window_hashes(values: np.ndarray, second: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the windows that start at ``at``."""
+    return signed(span_hash(prefix_hash(values), at, at + window)), signed(span_hash(prefix_hash(second, 1), at, at + window, 1))
 
 
 def ranges(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -4,6 +4,7 @@ The reference is cut into shards by anchors (see ``anchors``), each of bounded s
 make one suffix automaton, whose states know the smallest document that holds their strings. Segments are
 streamed through it: with the match kept at ``window`` words, the state tells in which document the window
 first stands, and windows that stand in an earlier document are removed.
+Anchors with very many contents are salted over shards, and their windows' first documents are united by hash.
 Automata of the whole reference would outgrow any broadcast, so segments are sent to the automaton of their shard instead.
 
 Null texts have no words. Rows that repeat an id are one document. An empty table gives an empty result.
@@ -21,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.llm import anchors
-from talus.llm.common import buffers, materialize, release, settle, slices
+from talus.llm.common import buffers, materialize, mix, release, settle, slices
 
 WINDOW, GRAM = 50, 8
 SHARD_WINDOWS = 60_000
-_CLASS = "anchor bigint, s1 bigint, n bigint, parts array<struct<start:bigint,end:bigint>>"
+_CLASS = "anchor bigint, s1 bigint, n bigint, start bigint, end bigint, h1 bigint, h2 bigint, rep_doc bigint, owner bigint"
 
 
 class SuffixAutomaton:
@@ -97,23 +98,33 @@ class SuffixAutomaton:
         return out
 
 
-def _shard(window: int):
+def _shard(window: int, ordinary: int):
+    """Removed parts of each class of a shard; of salted shards every window, with its hashes and its first document there."""
+
     def run(rows: pa.Table) -> pa.Table:
         docs = rows.column("rep_doc").to_pylist()
-        whole = np.frombuffer(b"".join(rows.column("content").to_pylist()), np.int64)
+        whole = np.frombuffer(b"".join(rows.column("content").to_pylist()), np.uint64)
         _, code = np.unique(whole, return_inverse=True)
         ends = np.cumsum(rows.column("n").to_numpy() + window - 1)
-        strings = [code[a:b].tolist() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        begins = np.append(0, ends[:-1])
+        strings = [code[a:b].tolist() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
         machine = SuffixAutomaton()
         for s, d in zip(strings, docs, strict=True):
             machine.add(s, d)
         machine.finish()
-        parts = []
-        for s, d in zip(strings, docs, strict=True):
-            a, b = anchors.ranges(np.array(machine.first_owners(s, window)) < d)
-            parts.append([{"start": x, "end": y + window - 1} for x, y in zip(a.tolist(), b.tolist(), strict=True)])
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table([*[rows.column(c) for c in ("anchor", "s1", "n")], pa.array(parts, kind)], ["anchor", "s1", "n", "parts"])
+        salted = rows.column("shard")[0].as_py() >= ordinary
+        row, start, end, owner = [], [], [], []
+        for i, (s, d) in enumerate(zip(strings, docs, strict=True)):
+            first = np.array(machine.first_owners(s, window), np.int64)
+            a, b = (np.arange(len(first)), np.arange(1, len(first) + 1)) if salted else anchors.ranges(first < d)
+            row.append(np.full(len(a), i))
+            start.append(a)
+            end.append(b + window - 1)
+            owner.append(first[a])
+        row, start, end, owner = (np.concatenate(x).astype(np.int64) for x in (row, start, end, owner))
+        hashes = anchors.window_hashes(whole, mix(whole), begins[row] + start, window) if salted else [pa.nulls(len(row), pa.int64())] * 2
+        keys = [rows.column(c).to_numpy()[row] for c in ("anchor", "s1", "n")]
+        return pa.table([pa.array(x) for x in (*keys, start, end, *hashes, np.array(docs)[row], owner)], ["anchor", "s1", "n", "start", "end", "h1", "h2", "rep_doc", "owner"])
 
     return run
 
@@ -121,14 +132,20 @@ def _shard(window: int):
 def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
     """Spans (doc_id, start, end) of words that repeat an earlier document, as a written table; they may overlap."""
     occurrences, classes = anchors.repeated_segments(docs, True, window, gram, across=True)
-    shards = anchors.shard_count(classes, shard_windows)
     keys = ["anchor", "s1", "n"]
-    found = anchors.with_content(docs, classes, True, window, shards).groupBy("shard").applyInArrow(_shard(window), _CLASS).where("size(parts) > 0")
+    sharded, ordinary = anchors.with_shards(classes, shard_windows)
+    made = materialize(anchors.with_content(docs, sharded, True, window).groupBy("shard").applyInArrow(_shard(window, ordinary), _CLASS), "parts")
+    settle(docs.sparkSession)
+    left = made.where("h1 is not null")
+    owners = left.groupBy("h1", "h2").agg(F.min("owner").alias("first"))
+    late = left.join(owners, ["h1", "h2"]).where("first < rep_doc")
+    found = made.where("h1 is null").select(*keys, F.col("start").alias("a"), F.col("end").alias("b")).union(late.select(*keys, "start", "end"))
     placed = occurrences.join(classes.select(*keys, "rep_doc"), keys)
     later = placed.where("doc_id > rep_doc").select("doc_id", "start", (F.col("start") + F.col("n") + window - 1).alias("end"))
-    own = placed.where("doc_id = rep_doc").join(found, keys).select("doc_id", "start", F.explode("parts").alias("p"))
-    spans = materialize(later.union(own.select("doc_id", F.col("start") + F.col("p.start"), F.col("start") + F.col("p.end"))), "spans")
-    del found, placed, later, own
+    own = placed.where("doc_id = rep_doc").join(found, keys)
+    spans = materialize(later.union(own.select("doc_id", F.col("start") + F.col("a"), F.col("start") + F.col("b"))), "spans")
+    del found, placed, later, own, left, late, owners
+    release(made)
     release(occurrences)
     release(classes)
     settle(docs.sparkSession)

@@ -4,6 +4,7 @@ Equal strings of ``window`` bytes meet by their anchors (see ``anchors``): a seg
 first place. The distinct segments of a shard are sorted as suffixes: only suffixes
 smaller than their successors are compared, the others are induced by scanning the buckets of first bytes in order.
 Adjacent common prefixes of ``window`` bytes or more show equal strings; every place but the first is removed.
+Anchors with very many contents are salted over shards; the windows that these leave are united by hash.
 Places are (doc_id, start). Matches never cross documents.
 
 Null texts are empty. Rows that repeat an id are one document. An empty table gives an empty result.
@@ -21,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.llm import anchors
-from talus.llm.common import buffers, materialize, release, settle, slices
+from talus.llm.common import _BYTES, _BYTES2, buffers, materialize, release, settle, slices
 
 WINDOW, GRAM = 100, 24
 SHARD_WINDOWS = 250_000
-SPANS = "doc_id bigint, start bigint, end bigint"
+SPANS = "doc_id bigint, start bigint, end bigint, h1 bigint, h2 bigint"
 
 
 def byte_keys(text: np.ndarray) -> np.ndarray:
@@ -133,8 +134,8 @@ def common_prefixes(keys: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
     return agree
 
 
-def repeated_windows(contents: list[bytes], docs: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
-    """A mask over all bytes of the contents: windows that start there and stand at an earlier place as well."""
+def repeated_windows(contents: list[bytes], docs: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two masks over all bytes of the contents: windows that start there and stand at an earlier place as well, and all windows."""
     length = np.array([len(c) for c in contents], np.int64)
     base = np.cumsum(length) - length
     text = np.concatenate([np.frombuffer(b"".join(contents), np.uint8), np.zeros(window + 16, np.uint8)]).astype(np.uint8)
@@ -156,20 +157,31 @@ def repeated_windows(contents: list[bytes], docs: np.ndarray, starts: np.ndarray
     gone = np.zeros(total, bool)
     gone[order[by[~first]]] = True
     # one place may stand in two segments only if they are one class, so equal places do not meet here
-    return gone
+    return gone, wanted[:total]
 
 
-def _shard(window: int):
+def _shard(window: int, ordinary: int):
+    """Removed spans of a shard; for salted shards also the windows that are left, one by one with their hashes."""
+
     def run(rows: pa.Table) -> pa.Table:
         docs, starts = rows.column("rep_doc").to_numpy(), rows.column("rep_start").to_numpy()
         contents = rows.column("content").to_pylist()
-        gone = repeated_windows(contents, docs, starts, window)
+        gone, windows = repeated_windows(contents, docs, starts, window)
         length = np.array([len(c) for c in contents], np.int64)
         base = np.cumsum(length) - length
         a, b = anchors.ranges(gone)  # the last window of a segment starts before its end, so runs stay inside
         segment = np.searchsorted(base, a, "right") - 1
         shift = starts[segment] - base[segment]
-        return pa.table({"doc_id": docs[segment], "start": a + shift, "end": b + shift + window - 1})
+        none = pa.nulls(len(a), pa.int64())
+        out = pa.table({"doc_id": docs[segment], "start": a + shift, "end": b + shift + window - 1, "h1": none, "h2": none})
+        if rows.column("shard")[0].as_py() < ordinary:
+            return out
+        text = np.frombuffer(b"".join(contents), np.uint8)
+        at = np.flatnonzero(windows & ~gone)
+        h1, h2 = anchors.window_hashes(_BYTES[text], _BYTES2[text], at, window)
+        segment = np.searchsorted(base, at, "right") - 1
+        place = starts[segment] + at - base[segment]
+        return pa.concat_tables([out, pa.table({"doc_id": docs[segment], "start": place, "end": place + window, "h1": h1, "h2": h2})])
 
     return run
 
@@ -177,15 +189,18 @@ def _shard(window: int):
 def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
     """Spans (doc_id, start, end) of bytes that repeat an earlier place, as written tables; they may overlap."""
     occurrences, classes = anchors.repeated_segments(docs, False, window, gram, across=False)
-    shards = anchors.shard_count(classes, shard_windows)
-    first = materialize(anchors.with_content(docs, classes, False, window, shards).groupBy("shard").applyInArrow(_shard(window), SPANS), "spans")
+    sharded, ordinary = anchors.with_shards(classes, shard_windows)
+    made = materialize(anchors.with_content(docs, sharded, False, window).groupBy("shard").applyInArrow(_shard(window, ordinary), SPANS), "spans")
     settle(docs.sparkSession)
+    first, left = made.where("h1 is null").select("doc_id", "start", "end"), made.where("h1 is not null")
+    owners = left.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("c")).where("c > 1")
+    late = left.join(owners, ["h1", "h2"]).where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", "end")
     again = occurrences.join(classes.where("c > 1").select("anchor", "s1", "n", "rep_doc", "rep_start"), ["anchor", "s1", "n"]).where("doc_id <> rep_doc or start <> rep_start")
     again = materialize(again.select("doc_id", "start", (F.col("start") + F.col("n") + window - 1).alias("end")), "spans")
     release(occurrences)
     release(classes)
     settle(docs.sparkSession)
-    return first.union(again)
+    return first.union(late).union(again)
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_windows: int = SHARD_WINDOWS) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from talus.llm import automaton_dedup, suffix_dedup
+from talus.llm import anchors, automaton_dedup, suffix_dedup
 from tests.llm.cases import SCHEMA, frame, rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -67,6 +67,16 @@ def test_suffix_dedup(spark, seed, window, gram, shard):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == plain_bytes(data, window)
 
 
+@pytest.mark.parametrize("hot", [0, 3])
+def test_salted_anchors(spark, monkeypatch, hot):
+    monkeypatch.setattr(anchors, "HOT_CLASSES", hot)
+    data = patchwork(7)
+    got = suffix_dedup.suffix_dedup(frame(spark, data)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == plain_bytes(data, 100)
+    got = automaton_dedup.automaton_dedup(frame(spark, data), 10, 3).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == plain_words(data, 10)
+
+
 @pytest.mark.parametrize("seed,window,gram,shard", [(0, 50, 8, 60_000), (1, 50, 8, 200), (2, 10, 3, 60_000)])
 def test_automaton_dedup(spark, seed, window, gram, shard):
     data = rows() if seed == 0 else patchwork(seed)
