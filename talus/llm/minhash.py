@@ -139,7 +139,8 @@ def _sized(percent: int, a: str = "n", b: str = "hub_n"):
 
 def _star(members: DataFrame, turn: int, percent: int) -> DataFrame:
     """Candidates (a, b): in each bucket one class, drawn by ``turn``, with those of other components."""
-    hub = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "root")).alias("hub"))
+    # written first, so that the join below is not bound to the aggregate's partitions and a large bucket can be split
+    hub = materialize(members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "root")).alias("hub")), "hubs")
     pairs = members.join(hub, "bucket").where(F.col("hub.root") != F.col("root"))
     pairs = pairs.select(F.col("hub.rep").alias("h"), "rep", "n", F.col("hub.n").alias("hub_n")).where(_sized(percent))
     return pairs.select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b")).distinct()
@@ -150,7 +151,7 @@ def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
     roots = components(links)
     now = members.select("bucket", "rep", "n").join(roots.select(F.col("a").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = now.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 <> r1").select("bucket", "size")
-    return materialize(now.join(mixed, "bucket"), "mixed")
+    return materialize(now.join(materialize(mixed, "buckets"), "bucket"), "mixed")
 
 
 def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -187,7 +188,7 @@ def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def link_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
     """(a, root) of every class with a link; ``classes`` has rep, n and bands."""
     exploded = classes.where("n > 0").select("rep", "n", F.explode("bands").alias("bucket"))
-    held = exploded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    held = materialize(exploded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     members = materialize(exploded.join(held.select("bucket"), "bucket").select("bucket", "rep", "n", F.col("rep").alias("root")), "members")
     sets = materialize(sets_of(docs, members.select("rep").distinct(), size), "sets")
     links = materialize(_confirm(_star(members, 0, percent), sets, percent), "confirmed")
