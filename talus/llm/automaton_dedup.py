@@ -26,7 +26,7 @@ from talus.llm.common import buffers, materialize, mix, release, settle, slices
 
 WINDOW, GRAM = 50, 8
 SHARD_WINDOWS = 60_000
-_CLASS = "anchor bigint, s1 bigint, n bigint, start bigint, end bigint, h1 bigint, h2 bigint, rep_doc bigint, owner bigint"
+_CLASS = "anchor bigint, s1 bigint, n bigint, start bigint, end bigint, h1 bigint, h2 bigint, rep_doc bigint"
 
 
 class SuffixAutomaton:
@@ -99,7 +99,7 @@ class SuffixAutomaton:
 
 
 def _shard(window: int, ordinary: int):
-    """Removed parts of each class of a shard; of salted shards every window, with its hashes and its first document there."""
+    """Removed parts of each class of a shard; of salted shards also the windows that are left, with their hashes."""
 
     def run(rows: pa.Table) -> pa.Table:
         docs = rows.column("rep_doc").to_pylist()
@@ -113,18 +113,22 @@ def _shard(window: int, ordinary: int):
             machine.add(s, d)
         machine.finish()
         salted = rows.column("shard")[0].as_py() >= ordinary
-        row, start, end, owner = [], [], [], []
+        gone, left = [], []
         for i, (s, d) in enumerate(zip(strings, docs, strict=True)):
-            first = np.array(machine.first_owners(s, window), np.int64)
-            a, b = (np.arange(len(first)), np.arange(1, len(first) + 1)) if salted else anchors.ranges(first < d)
-            row.append(np.full(len(a), i))
-            start.append(a)
-            end.append(b + window - 1)
-            owner.append(first[a])
-        row, start, end, owner = (np.concatenate(x).astype(np.int64) for x in (row, start, end, owner))
-        hashes = anchors.window_hashes(whole, mix(whole), begins[row] + start, window) if salted else [pa.nulls(len(row), pa.int64())] * 2
+            late = np.array(machine.first_owners(s, window), np.int64) < d
+            a, b = anchors.ranges(late)
+            gone.append((np.full(len(a), i), a, b + window - 1))
+            if salted:
+                a = np.flatnonzero(~late)
+                left.append((np.full(len(a), i), a, a + window))
+        row, start, end = (np.concatenate(x).astype(np.int64) for x in zip(*gone, *left, strict=True))
+        removed = sum(len(x[0]) for x in gone)
+        h1, h2 = anchors.window_hashes(whole, mix(whole), begins[row[removed:]] + start[removed:], window)
+        none = np.zeros(removed, np.int64)
+        left_ = np.arange(len(row)) >= removed
+        hashes = [pa.array(np.concatenate([none, h]), mask=~left_) for h in (h1, h2)]
         keys = [rows.column(c).to_numpy()[row] for c in ("anchor", "s1", "n")]
-        return pa.table([pa.array(x) for x in (*keys, start, end, *hashes, np.array(docs)[row], owner)], ["anchor", "s1", "n", "start", "end", "h1", "h2", "rep_doc", "owner"])
+        return pa.table([*[pa.array(x) for x in (*keys, start, end)], *hashes, pa.array(np.array(docs, np.int64)[row])], ["anchor", "s1", "n", "start", "end", "h1", "h2", "rep_doc"])
 
     return run
 
@@ -137,7 +141,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_
     made = materialize(anchors.with_content(docs, sharded, True, window).groupBy("shard").applyInArrow(_shard(window, ordinary), _CLASS), "parts")
     settle(docs.sparkSession)
     left = made.where("h1 is not null")
-    owners = left.groupBy("h1", "h2").agg(F.min("owner").alias("first"))
+    owners = left.groupBy("h1", "h2").agg(F.min("rep_doc").alias("first"))
     late = left.join(owners, ["h1", "h2"]).where("first < rep_doc")
     found = made.where("h1 is null").select(*keys, F.col("start").alias("a"), F.col("end").alias("b")).union(late.select(*keys, "start", "end"))
     placed = occurrences.join(classes.select(*keys, "rep_doc"), keys)
