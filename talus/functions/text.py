@@ -225,7 +225,7 @@ def close_sentence(text: Column) -> Column:
 def units(text: Column) -> Column:
     """Sentences with their boundary, and what remains."""
     found = F.regexp_extract_all(text, F.lit("[^.!?\\n]*[.!?\\n]"), 0)
-    rest = F.regexp_extract(text, "[^.!?\\n]+$", 0)
+    rest = F.substring(text, F.char_length(F.regexp_extract(text, "(?s)^.*[.!?\\n]", 0)) + 1, F.char_length(text))
     return F.when(rest == "", found).otherwise(F.concat(found, F.array(rest)))
 
 
