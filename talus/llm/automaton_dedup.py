@@ -7,7 +7,7 @@ first stands, and windows that stand in an earlier document are removed.
 Anchors with very many contents are salted over shards, and their windows' first documents are united by hash.
 Automata of the whole reference would outgrow any broadcast, so segments are sent to the automaton of their shard instead.
 
-Null texts have no words. Rows that repeat an id are one document. An empty table gives an empty result.
+Null texts have no words. Rows that repeat an id are one document; rows without an id have no place in the order and are left out. An empty table gives an empty result.
 Extra columns are ignored.
 """
 
@@ -158,7 +158,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_
 
 def automaton_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 for every row of ``docs``."""
-    docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
+    docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").where("doc_id is not null")
     spans = find_repeats(docs, window, gram, shard_windows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

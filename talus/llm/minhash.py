@@ -9,7 +9,7 @@ completely: pair by pair in small buckets, in blocks that output confirmed links
 that share a bucket is lost; at similarity 0.8 two classes share none with probability (1 - 0.8**4)**32 < 1e-7.
 
 Null texts and texts without words are empty sets, linked with nothing. Rows with equal ids are one
-node and stand or fall together. An empty table gives an empty result. Extra columns are ignored.
+node and stand or fall together; rows without an id are not compared, and dropping duplicates keeps them. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ Adjacent common prefixes of ``window`` bytes or more show equal strings; every p
 Anchors with very many contents are salted over shards; the windows that these leave are united by hash.
 Places are (doc_id, start). Matches never cross documents.
 
-Null texts are empty. Rows that repeat an id are one document. An empty table gives an empty result.
+Null texts are empty. Rows that repeat an id are one document; rows without an id have no place in the order and are left out. An empty table gives an empty result.
 Extra columns are ignored.
 """
 
@@ -205,7 +205,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text's length for every row of ``docs``."""
-    docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
+    docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").where("doc_id is not null")
     spans = find_repeats(docs, window, gram, shard_windows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

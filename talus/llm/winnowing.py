@@ -5,7 +5,8 @@ rightmost of equals; positions are kept. Any common passage of w + k - 1 code po
 none shorter than k is seen. A text shorter than k is one gram; shorter than a window, one window.
 
 Null texts are empty and have no fingerprint; two empty fingerprints are alike (1); repeated rows are
-documents each, equal ids standing in the order of their texts; an empty table gives an empty result.
+documents each, equal ids standing in the order of their texts; rows without an id
+have no next document and are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -160,3 +160,16 @@ def test_empty_table(spark):
     docs = frame(spark, [])
     for made in (quality_rules.quality_rules(docs), token_counts.token_counts(docs), secrets_scan.find_secrets(docs), winnowing.compare_edited(docs), packing.best_fit_packing(docs)):
         assert made.count() == 0
+
+
+def test_rows_without_an_id(spark):
+    from talus.llm import automaton_dedup, minhash, mixing, pitman_yor, suffix_dedup
+
+    data = rows()[:20] + [(None, "a text without an id " * 30, None, None, None), (None, None, None, None, None)]
+    docs, n = frame(spark, data), 20
+    for made in (quality_rules.quality_rules(docs), token_counts.token_counts(docs), secrets_scan.find_secrets(docs), mixing.mix_sources(docs).select("doc_id").distinct()):
+        assert made.count() in (n + 2, n + 1)
+    assert packing.best_fit_packing(docs).where("doc_id is null").count() == 2
+    for made in (winnowing.compare_edited(docs), minhash.near_duplicates(docs), pitman_yor.pitman_yor_scores(docs), suffix_dedup.suffix_dedup(docs), automaton_dedup.automaton_dedup(docs)):
+        assert made.count() == n
+    assert minhash.drop_near_duplicates(docs).where("doc_id is null").count() == 2
