@@ -82,7 +82,7 @@ def small(df: DataFrame, rows: int = 10_000) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each has ``most`` bytes of ``column`` or a single row."""
     for batch in batches:
         if not batch.num_rows:
@@ -159,7 +159,7 @@ class Powers:
 
     def need(self, n: int) -> None:
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
+            n = -(-n // (1 << 18)) * (1 << 18)
             self.up, self.down = self._row(n, self.base), self._row(n, self.inverse)
 
 

@@ -28,8 +28,8 @@ from talus.llm.token_counts import load
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 SHARD_PIECES = 20_000
-#: Words whose ids a worker remembers at most.
-CACHE_WORDS = 1_500_000
+#: Words whose ids a task remembers at most.
+CACHE_WORDS = 700_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, salt bigint"
 PACKED = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 #: Tries of the local search for each underfull bin.
@@ -44,7 +44,7 @@ class WordEncoder:
     """Ids by word, for tokenizers whose pre-tokens never hold ASCII white space, drop it, and part letters from signs.
 
     Neither normalisation nor pre-tokens reach across such white space, so a text's ids are
-    its words' ids in a row. Each distinct word of a batch is looked up once; a worker remembers
+    its words' ids in a row. Each distinct word of a batch is looked up once; a task remembers
     ``most`` words, and gives up those that the latest batch did not hold when that is reached.
     """
 
@@ -94,16 +94,13 @@ class WordEncoder:
         return [ids[a:b].tobytes() for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """A row for each piece of each row of ``docs``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _ENCODERS.setdefault(tokenizer, WordEncoder(tokenizer))
+        encode = WordEncoder(tokenizer)  # goes with the task: workers live on and serve other stages
         end, step, salt = np.array([end_id], "<u4").tobytes(), 4 * capacity, 0
-        for batch in slices(batches, most=8 << 20):
+        for batch in slices(batches, most=4 << 20):
             rows = []
             texts = pc.fill_null(batch.column("text"), "")
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
