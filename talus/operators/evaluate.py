@@ -75,3 +75,34 @@ def paired(ledger: DataFrame, a: str, b: str) -> DataFrame:
     both = ledger.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     s = both.agg(F.count("*").alias("n"), F.count_if((F.col(a) >= 1) & (F.col(b) < 1)).alias("only_a"), F.count_if((F.col(a) < 1) & (F.col(b) >= 1)).alias("only_b"))
     return s.withColumn("p", F.round(mcnemar(F.col("only_a"), F.col("only_b")), 9))
+
+
+def run_models(pairs: DataFrame, answer) -> DataFrame:
+    """(model, id, answer, seconds) for ``pairs(model, id, question)``: an injected model in batches; a failure is a null answer."""
+    import time
+
+    import pandas as pd
+
+    def run(batches):
+        for rows in batches:
+            out = []
+            for model, key, question in zip(rows["model"], rows["id"], rows["question"], strict=True):
+                start = time.perf_counter()
+                try:
+                    said = answer(model, question)
+                except Exception:  # noqa: BLE001 - the run goes on, the ledger shows what is missing
+                    said = None
+                out.append((model, key, said, time.perf_counter() - start))
+            yield pd.DataFrame(out, columns=["model", "id", "answer", "seconds"])
+
+    return pairs.select("model", "id", "question").mapInPandas(run, "model string, id bigint, answer string, seconds double")
+
+
+def follow_up(turns: DataFrame, prepared: DataFrame) -> DataFrame:
+    """(conv_id, turn, strategy, text): a question alone, after the one before it, and with the state of its conversation."""
+    before = F.lag("question").over(Window.partitionBy("conv_id").orderBy("turn"))
+    plain = turns.withColumn("_b", before).where("_b is not null")
+    alone = plain.select("conv_id", "turn", F.lit("alone").alias("strategy"), F.col("question").alias("text"))
+    after = plain.select("conv_id", "turn", F.lit("concatenated").alias("strategy"), F.concat_ws(" ", "_b", "question").alias("text"))
+    stateful = plain.select("conv_id", "turn").join(prepared, ["conv_id", "turn"]).select("conv_id", "turn", F.lit("stateful").alias("strategy"), F.concat_ws(" ", "text", F.array_join("scope", " ")).alias("text"))
+    return alone.union(after).union(stateful)
