@@ -201,6 +201,12 @@ def with_content(docs: DataFrame, classes: DataFrame, words: bool, window: int)
     return here.mapInArrow(run, "shard bigint, anchor bigint, s1 bigint, n bigint, rep_start bigint, rep_doc bigint, content binary")
 
 
+def once(rows: pa.Table) -> pa.Table:
+    """Each class once: rows of one document that stand in the input twice bring its classes twice."""
+    keys = np.stack([rows.column(c).to_numpy() for c in ("anchor", "s1", "n")], axis=1)
+    return rows.take(np.unique(keys, axis=0, return_index=True)[1])
+
+
 def window_hashes(values: np.ndarray, second: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Two independent hashes of the windows that start at ``at``."""
     return signed(span_hash(prefix_hash(values), at, at + window)), signed(span_hash(prefix_hash(second, 1), at, at + window, 1))

@@ -102,6 +102,7 @@ def _shard(window: int, ordinary: int):
     """Removed parts of each class of a shard; of salted shards also the windows that are left, with their hashes."""
 
     def run(rows: pa.Table) -> pa.Table:
+        rows = anchors.once(rows)
         docs = rows.column("rep_doc").to_pylist()
         whole = np.frombuffer(b"".join(rows.column("content").to_pylist()), np.uint64)
         _, code = np.unique(whole, return_inverse=True)

@@ -164,6 +164,7 @@ def _shard(window: int, ordinary: int):
     """Removed spans of a shard; for salted shards also the windows that are left, one by one with their hashes."""
 
     def run(rows: pa.Table) -> pa.Table:
+        rows = anchors.once(rows)
         docs, starts = rows.column("rep_doc").to_numpy(), rows.column("rep_start").to_numpy()
         contents = rows.column("content").to_pylist()
         gone, windows = repeated_windows(contents, docs, starts, window)

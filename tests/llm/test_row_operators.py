@@ -173,3 +173,16 @@ def test_rows_without_an_id(spark):
     for made in (winnowing.compare_edited(docs), minhash.near_duplicates(docs), pitman_yor.pitman_yor_scores(docs), suffix_dedup.suffix_dedup(docs), automaton_dedup.automaton_dedup(docs)):
         assert made.count() == n
     assert minhash.drop_near_duplicates(docs).where("doc_id is null").count() == 2
+
+
+def test_repeated_rows(spark):
+    from talus.llm import automaton_dedup, minhash, mixing, pitman_yor, suffix_dedup
+
+    once, twice = frame(spark, rows()[:30]), frame(spark, rows()[:30] * 2)
+    for made in (quality_rules.quality_rules(twice), token_counts.token_counts(twice), secrets_scan.find_secrets(twice), winnowing.compare_edited(twice)):
+        assert made.count() == 60
+    assert packing.best_fit_packing(twice).count() == 2 * packing.best_fit_packing(once).count()
+    assert mixing.mix_sources(twice).groupBy("doc_id").count().where("count < 2").count() == 0
+    assert pitman_yor.pitman_yor_scores(twice).count() == 30
+    for make in (minhash.near_duplicates, suffix_dedup.suffix_dedup, automaton_dedup.automaton_dedup):
+        assert sorted(make(twice).collect()) == sorted(make(once).collect() * 2)
