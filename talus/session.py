@@ -30,9 +30,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a session: they need not have it installed."""
+    """Send this package to the executors, once a session: they need not have it installed.
+
+    Arrow batches go down to 2,000 rows unless the session has set its own number: whole texts are long rows.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "2000")
     if getattr(context, "_talus_shipped", False):
         return
     package = Path(__file__).resolve().parent
