@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from talus.llm.common import partitions, prefix_hash, sliding_min, slices, span_hash
 
-K, WIDTH = 24, 77
+K, WIDTH = 8, 8
 _LOW = np.uint64(0xFFFFFFFF)
 PAIRS = (
     "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string,"

@@ -186,3 +186,9 @@ def test_repeated_rows(spark):
     assert pitman_yor.pitman_yor_scores(twice).count() == 30
     for make in (minhash.near_duplicates, suffix_dedup.suffix_dedup, automaton_dedup.automaton_dedup):
         assert sorted(make(twice).collect()) == sorted(make(once).collect() * 2)
+
+
+def test_winnowing_sees_the_kept_half_of_short_texts(spark):
+    data = [(i, f"{chr(97 + i) * 3} short text no {i:02d} of many words"[: 30 + i], "en", "s", 0) for i in range(20)]
+    for r in winnowing.compare_edited(spark.createDataFrame(data, SCHEMA)).collect():
+        assert r.near_edited > 0
