@@ -1,12 +1,16 @@
 """Token counts by overlap resynchronisation.
 
-Documents up to ``whole`` characters are encoded at once. Longer ones are encoded in chunks that
-overlap; the offsets of two neighbouring encodings are compared, and the chunks are spliced where
-both have a pre-token boundary in front of a plain space with ordinary text on both sides: no pre-token
-reaches across it and merges never cross pre-tokens, so what stands after it does not depend on
-what stands before. Where an overlap holds no such place, it is widened, at last to the whole text.
+Every text is cut into chunks of ``chunk`` bytes that reach ``overlap`` bytes into the next one, and each chunk is encoded
+with the offsets of its pre-token pieces. Neighbouring chunks are spliced at the last place of their overlap at which both have
+a proven stable boundary; where the overlap holds none, the text is cut again with twice the overlap, at last as one chunk.
 
-Null texts are empty; repeated rows are counted each; an empty table gives an empty result.
+A boundary in front of white space that follows another character is proven: no alternative of the splitting pattern reaches across
+it, matching never looks behind, and merges never cross pre-tokens. So a chunk is also encoded piece by piece between its stable
+boundaries, each distinct piece of a batch once; a task remembers ``most`` pieces. A piece longer than a chunk (text without white
+space) is encoded by ``encode_long``: overlapping chunks through the library with its offsets, spliced where the class of characters changes.
+
+Null texts are empty; repeated rows are counted each, in any order, and nothing is ranked, so ties do not arise; an empty table gives an empty
+result; extra columns are ignored. A very long text costs time and memory in proportion to its length.
 """
 
 from __future__ import annotations
@@ -14,19 +18,28 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from talus.llm.common import slices
+from talus.llm.common import buffers, slices
 
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 TOKENIZER = "byte_bpe_50k.json"
-WHOLE, CHUNK, OVERLAP = 65_536, 32_768, 256
-#: A letter, a space, a letter: letters of every script are one class for the splitting pattern.
-_STABLE = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
+CHUNK, OVERLAP = 4096, 128
+#: Pieces whose counts a task remembers at most, and the longest that it remembers in bytes.
+CACHE_PIECES, CACHED_BYTES = 400_000, 64
+#: Inside a piece: ASCII letter, digit and sign next to another class (an apostrophe may bind the letters after it), or a space between letters.
+_SIGN = r"[!-&(-/:-@\[-`{-~]"
+_STABLE = re.compile(rf"(?<=[^\W\d_]) (?=[^\W\d_])|(?<=[A-Za-z])(?=[0-9]|{_SIGN}|')|(?<=[0-9])(?=[A-Za-z]|{_SIGN}|')|(?<={_SIGN})(?=[A-Za-z0-9])")
 
 _LOADED: dict[str, object] = {}
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: ASCII characters that are no white space by any definition.
+_SOLID = np.zeros(256, bool)
+_SOLID[33:127] = True
 
 
 def load(name: str):
@@ -94,26 +107,132 @@ def encode_long(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP
     return ids + current.ids[skip:]
 
 
-def count_tokens(texts: list[str], tokenizer, whole: int = WHOLE, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """The number of tokens of each text."""
-    short = [i for i, t in enumerate(texts) if len(t) <= whole]
-    out = [0] * len(texts)
-    for i, e in zip(short, tokenizer.encode_batch_fast([texts[i] for i in short], add_special_tokens=False), strict=True):
-        out[i] = len(e)
-    for i, t in enumerate(texts):
-        if len(t) > whole:
-            out[i] = len(encode_long(tokenizer, t, chunk, overlap))
+def stable(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where a stable boundary stands: white space after another character, both in one chunk; ``first`` has the chunks' starts.
+
+    Of characters beyond ASCII those with a leading byte or first two bytes of Unicode white space do not count.
+    """
+    out = np.zeros(len(data), bool)
+    at = np.flatnonzero(_SPACE[data])
+    inside = at - first[np.searchsorted(first, at, "right") - 1]  # bytes of the chunk in front of each place
+    at, inside = at[inside > 0], inside[inside > 0]
+    one = data[at - 1]
+    good = _SOLID[one]
+    far = np.flatnonzero((one >= 0x80) & (inside >= 4) & (at >= 4))
+    two, three, four = (data[at[far] - k] for k in (2, 3, 4))
+    blank = (three >= 0xE1) & (three <= 0xE3) & np.isin(two, (0x80, 0x81, 0x9A, 0xA0))
+    good[far] = ((two >= 0xC3) & (two <= 0xDF)) | ((three >= 0xE0) & (two < 0xC0) & ~blank) | ((four >= 0xF0) & (three < 0xC0) & (two < 0xC0))
+    out[at[good]] = True
     return out
 
 
-def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = 512, whole: int = WHOLE, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+class PieceCounts:
+    """Numbers of tokens by piece, each distinct piece of a call encoded once; remembers ``most`` short pieces."""
+
+    def __init__(self, tokenizer, most: int = CACHE_PIECES, chunk: int = CHUNK, overlap: int = OVERLAP) -> None:
+        self.tokenizer, self.most, self.chunk, self.overlap, self.known = tokenizer, most, chunk, overlap, {}
+
+    def _encode(self, pieces: list[str]) -> list[int]:
+        short = [p for p in pieces if len(p) <= self.chunk]
+        found = iter([len(e) for e in self.tokenizer.encode_batch_fast(short, add_special_tokens=False)])
+        return [next(found) if len(p) <= self.chunk else len(encode_long(self.tokenizer, p, self.chunk, self.overlap)) for p in pieces]
+
+    def __call__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of tokens of each piece data[start:end]; pieces stand in order and do not overlap."""
+        if not len(start):
+            return np.zeros(0, np.int64)
+        size = end - start
+        offs = np.append(0, np.cumsum(size)).astype(np.int32)
+        if offs[-1] != len(data):  # drop what is in no piece
+            data = data[np.repeat(start - offs[:-1], size) + np.arange(offs[-1])]
+        column = pa.StringArray.from_buffers(len(size), pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(data)))
+        coded = column.dictionary_encode()
+        here = coded.dictionary.to_pylist()
+        if len(self.known) + len(here) > self.most:
+            self.known = {p: self.known[p] for p in here if p in self.known}
+        each = list(map(self.known.get, here))
+        if None in each:
+            new = [p for p, n in zip(here, each, strict=True) if n is None]
+            got = dict(zip(new, self._encode(new), strict=True))
+            each = [got[p] if n is None else n for p, n in zip(here, each, strict=True)]
+            self.known.update((p, n) for p, n in got.items() if len(p) <= CACHED_BYTES)
+        return np.array(each, np.int64)[coded.indices.to_numpy()]
+
+
+def _chunks(length: np.ndarray, chunk: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start in it, length) of the chunks of documents of ``length`` bytes."""
+    many = np.maximum(1, -(-(length - overlap) // chunk))
+    doc = np.repeat(np.arange(len(length)), many)
+    start = (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * chunk
+    return doc, start, np.minimum(length[doc] - start, chunk + overlap)
+
+
+def resynchronised(data: np.ndarray, offs: np.ndarray, count: PieceCounts, chunk: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of tokens, number of splices) of each document; -1 tokens where two chunks have no stable boundary in common."""
+    doc, start, size = _chunks(np.diff(offs), chunk, overlap)
+    first = np.cumsum(size) - size
+    if len(doc) > len(offs) - 1:
+        data = data[np.repeat(offs[doc] + start - first, size) + np.arange(int(size.sum()))]
+    cut = stable(data, first) if len(data) else np.zeros(0, bool)
+    low, high = first.copy(), first + size
+    after = np.flatnonzero(doc[1:] == doc[:-1]) + 1  # chunks that continue the one before
+    failed = np.zeros(len(offs) - 1, bool)
+    if len(after):
+        at = np.flatnonzero(cut)
+        of = np.searchsorted(first, at, "right") - 1
+        shift = np.zeros(len(doc), np.int64)  # from a place to the same in the chunk before
+        shift[after] = first[after - 1] + start[after] - start[after - 1] - first[after]
+        begins = np.zeros(len(doc), bool)
+        begins[after] = True
+        common = begins[of] & (at - first[of] < np.append(0, first[:-1] + size[:-1])[of] - first[of] - shift[of])
+        at, of = at[common], of[common]
+        both = cut[at + shift[of]]
+        at, of = at[both], of[both]
+        splice = np.full(len(doc), -1, np.int64)
+        np.maximum.at(splice, of, at)
+        none = after[splice[after] < 0]
+        failed[doc[none]] = True
+        good = after[splice[after] >= 0]
+        low[good] = splice[good]
+        high[good - 1] = splice[good] + shift[good]
+    # the pieces of each chunk from its first splice to its last
+    head = np.zeros(len(data) + 1, bool)
+    use = np.flatnonzero((low < high) & ~failed[doc])
+    head[: len(data)] = cut
+    head[low[use]] = True
+    cover = np.zeros(len(data) + 1, np.int8)
+    np.add.at(cover, low[use], 1)
+    np.add.at(cover, high[use], -1)
+    begin = np.flatnonzero(head[: len(data)] & (np.cumsum(cover[: len(data)]) > 0))
+    of = np.searchsorted(first, begin, "right") - 1
+    last = np.append(of[1:] != of[:-1], True) if len(of) else np.zeros(0, bool)
+    end = np.where(last, high[of], np.append(begin[1:], 0)) if len(of) else begin
+    n = np.bincount(doc[of], count(data, begin, end), len(failed)).astype(np.int64) if len(of) else np.zeros(len(failed), np.int64)
+    n[failed] = -1
+    return n, np.bincount(doc[after], minlength=len(failed))
+
+
+def count_tokens(texts: pa.Array, count: PieceCounts) -> tuple[np.ndarray, np.ndarray]:
+    """(number of tokens, number of splices) of each text."""
+    data, offs = buffers(texts)
+    n, splices = resynchronised(data, offs, count, count.chunk, count.overlap)
+    overlap = count.overlap
+    while (n < 0).any():
+        overlap *= 2
+        for i in np.flatnonzero(n < 0).tolist():
+            part = data[offs[i] : offs[i + 1]]
+            n[i : i + 1], splices[i : i + 1] = resynchronised(part, np.array([0, len(part)]), count, count.chunk, overlap)
+    return n, splices
+
+
+def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = 512, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of ``docs``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = load(tokenizer)
-        for batch in slices(batches, most=1 << 20):
+        count = PieceCounts(load(tokenizer), chunk=chunk, overlap=overlap)  # goes with the task: workers live on and serve other stages
+        for batch in slices(batches, most=2 << 20):
             text = pc.fill_null(batch.column("text"), "")
-            n = pa.array(count_tokens(text.to_pylist(), tok, whole, chunk, overlap), pa.int64())
+            n = pa.array(count_tokens(text, count)[0])
             yield pa.record_batch([batch.column("doc_id"), pc.cast(pc.binary_length(text), pa.int64()), n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, SCHEMA)

@@ -40,15 +40,26 @@ def test_host_verdict_rejects_a_bad_host_only(spark):
     assert {r.doc_id for r in quality_rules.filter_documents(docs).collect()} == {d for d, r in got.items() if r.kept}
 
 
+def test_doubtful_documents_go_on_worse_hosts_only(spark):
+    good = "\n".join(f"word{i} other{i} third{i}" for i in range(30))
+    doubt = good.replace(" ", " ### ")
+    data = [(1000 * h + i, doubt if i < (30 if h == 1 else 2) else good, "en", f"host{h}", 1) for h in range(1, 6) for i in range(60)]
+    got = quality_rules.quality_rules(spark.createDataFrame(data, SCHEMA)).collect()
+    assert {r.doc_id for r in got if r.host_rejected} == {1000 + i for i in range(30)}
+
+
 def test_filter_keeps_the_columns(spark):
-    docs = frame(spark)
+    docs = frame(spark).selectExpr("*", "doc_id > 50 as host_rejected", "'z' as base_failed", "1 as short", "2 as rejects_all")
     assert quality_rules.filter_documents(docs).dtypes == docs.dtypes
+    kept = {r.doc_id for r in quality_rules.quality_rules(frame(spark)).where("kept").collect()}
+    rows_ = quality_rules.filter_documents(docs).collect()
+    assert {r.doc_id for r in rows_} == kept and all(r.host_rejected == (r.doc_id > 50) for r in rows_)
 
 
-@pytest.mark.parametrize("sizes", [(65536, 32768, 256), (50, 60, 8), (10, 25, 2)])
+@pytest.mark.parametrize("sizes", [(4096, 128), (60, 8), (25, 2)])
 def test_token_counts(spark, sizes):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    got = {r.doc_id: r for r in token_counts.token_counts(frame(spark), whole=sizes[0], chunk=sizes[1], overlap=sizes[2]).collect()}
+    got = {r.doc_id: r for r in token_counts.token_counts(frame(spark), chunk=sizes[0], overlap=sizes[1]).collect()}
     for doc, text, *_ in rows():
         n = len(tok.encode(text or "", add_special_tokens=False).ids)
         assert (got[doc].n_tokens, got[doc].n_bytes, got[doc].over_limit) == (n, len((text or "").encode()), n > 512)
@@ -63,6 +74,31 @@ def test_long_texts_splice_to_the_same_ids():
             assert token_counts.encode_long(tok, text, chunk, overlap) == whole
 
 
+def test_chunks_resynchronise_on_random_texts():
+    """Signs, contractions, white space of all kinds, special strings: counts as the library gives them, whatever the chunks."""
+    import random
+
+    import pyarrow as pa
+
+    tok, r = token_counts.load("byte_bpe_50k.json"), random.Random(1)
+    alphabet = [*"ab'sld 12 .,\n\t\r\x0b\x0c\x1c-_!", "\x85", "\xa0", "\u2003", "\u200b", "\u3000", "é", "文", "ع", "\U0001f600", "<|endoftext|>", "'ll", "  "]
+    for _ in range(400):
+        texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 300))) for _ in range(4)]
+        chunk, overlap = r.choice([(8, 1), (16, 4), (64, 8), (40, 40)])
+        got, _ = token_counts.count_tokens(pa.array(texts), token_counts.PieceCounts(tok, chunk=chunk, overlap=overlap))
+        assert got.tolist() == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_very_long_texts_are_spliced():
+    import pyarrow as pa
+
+    tok = token_counts.load("byte_bpe_50k.json")
+    texts = [" ".join(f"wort{i % 997}" for i in range(200_000)), "x1" * 50_000, "文字" * 9_000, "a" * 70_000]
+    got, splices = token_counts.count_tokens(pa.array(texts), token_counts.PieceCounts(tok))
+    assert got.tolist() == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert splices[0] > 300 and splices[1] == 0
+
+
 def plain_secrets(text):
     found = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
