@@ -11,21 +11,31 @@ _WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORDS = f"list_filter(string_split_regex({{0}}, '{_SPLIT}'), lambda x: x <> '')"
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _prior(rule: str) -> str:
+    """Mean and strength of a rule's beta prior over the hosts ``h``."""
+    m, v = f"greatest(1e-6, least(1 - 1e-6, avg({rule} / n)))", f"var_pop({rule} / n)"
+    return f"{m} as m_{rule}, case when {v} > 0 and {v} < {m} * (1 - {m}) then {m} * (1 - {m}) / {v} - 1 when {v} = 0 then 1e6 else 1e-6 end as s_{rule}"
+
+
+def _rate(rule: str) -> str:
+    return f"(h.{rule} + m_{rule} * s_{rule}) / (h.n + s_{rule})"
+
+
+_RULES = ("short", "repeated", "symbols", "dup_lines")
+
 QUALITY = f"""
 with d as (select doc_id, source, coalesce(text, '') as t from documents),
 w as (select doc_id, {_WORDS.format('t')} as ws, list_filter(string_split(t, chr(10)), lambda x: trim(x, {_WS}) <> '') as ls from d),
 g as (select doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as k from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from w where len(ws) >= 3)),
 c as (select doc_id, count(distinct i + o) as n from (select doc_id, i, count(*) over (partition by doc_id, k) as m from g), (values (0), (1), (2)) v(o) where m > 1 group by doc_id),
 m as (select doc_id, source, len(ws) as n_words, length(translate(t, {_WS}, '')) as word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) as n_symbols,
-  len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words from d join w using (doc_id) left join c using (doc_id)),
-f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m),
-h as (select source, count(*) as n, count(*) filter (where base_failed) as k from f where source <> '' group by source),
-p as (select avg(k / n) as m, var_pop(k / n) as v from h),
-q as (select greatest(1e-6, least(1 - 1e-6, m)) as m, v from p),
-s as (select m, case when v > 0 and v < m * (1 - m) then m * (1 - m) / v - 1 when v = 0 then 1e6 else 1e-6 end as n from q),
-b as (select source from h, s where (h.k + s.m * s.n) / (h.n + s.n) > 0.8)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and source is distinct from b_source as kept, b_source is not null as host_rejected
-from (select f.*, b.source as b_source from f left join b on f.source = b.source)
+  len(ls) as n_lines, len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words from d join w using (doc_id) left join c using (doc_id)),
+f as (select *, n_words < 50 as short, 100 * n_repeat_words > 50 * n_words as repeated, 100 * n_symbols > 5 * word_chars as symbols, 100 * n_dup_lines > 30 * n_lines as dup_lines from m),
+h as (select source, count(*) as n, {', '.join(f"count(*) filter (where {r}) as {r}" for r in _RULES)} from f where source <> '' group by source),
+p as (select {', '.join(map(_prior, _RULES))} from h),
+b as (select source as host, {_rate('short')} > 0.8 or {_rate('repeated')} > 0.8 as bad, {_rate('symbols')} > m_symbols * (1 + 1e-9) as bad_symbols, {_rate('dup_lines')} > m_dup_lines * (1 + 1e-9) as bad_lines from h, p),
+r as (select f.*, short or repeated as base_failed, coalesce(bad or (symbols and bad_symbols) or (dup_lines and bad_lines), false) as host_rejected from f left join b on source = host)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not host_rejected as kept, host_rejected from r
 """
 
 NEAR_DUPLICATES = f"""

@@ -1,11 +1,16 @@
 """Quality rules with host verdicts, in DataFrame functions only.
 
-Each document's rule measures come from array functions over its words. Failures are summed by host
-(``source`` here), the host's failure rate is shrunk with an empirical beta prior, and hosts whose
-shrunk rate is over ``host_max_rate`` reject all their documents.
+Each document's rule measures come from array functions over its words. Of two hard rules (``short``, ``repeated``: together
+``base_failed``) each rejects a document by itself; two soft ones (``symbols``, ``dup_lines``) only raise a doubt. Failures of
+each rule are summed by host (``source`` here), and the host's rate is shrunk with an empirical beta prior of that rule. The verdicts:
 
-Null texts have no words; a null or empty host has no verdict; repeated rows count as rows each;
-an empty table gives an empty result; extra columns are ignored by name.
+* a host whose shrunk rate of a hard rule is over ``host_max_rate`` rejects all its documents;
+* a document that fails a soft rule is rejected where its host's shrunk rate of that rule is over ``soft_factor`` times the
+  mean of the hosts; on better hosts it stays. Documents that fail no rule stay on every host of the first kind's good side.
+
+Null texts have no words; a null or empty host has no verdict; repeated rows count as rows each; nothing is ranked, and a rate
+equal to its bound does not reject; very long texts take memory in proportion to their words; an empty table gives an empty
+result; extra columns are ignored by name, whatever they are called.
 """
 
 from __future__ import annotations
@@ -19,6 +24,10 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 WINDOW = 3
+#: Soft rules: signs in a hundred characters of words, repeated lines in a hundred lines.
+MAX_SYMBOL_PERCENT, MAX_DUP_LINE_PERCENT = 5, 30
+HARD, SOFT = ("short", "repeated"), ("symbols", "dup_lines")
+HOST_MAX_RATE, SOFT_FACTOR = 0.8, 1.0
 #: Hosts with at most this many verdict rows are sent to all executors; beyond it the join is a shuffle.
 BROADCAST_HOSTS = 10_000
 
@@ -39,7 +48,7 @@ def _covered(places: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+    """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed and a flag for each rule.
 
     Windows of three words are compared by 64-bit hash within one document.
     """
@@ -60,6 +69,7 @@ def measure(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
         F.size(w).cast("long").alias(f"{p}n_words"),
         f"{p}word_chars",
         f"{p}n_symbols",
+        F.size(lines).cast("long").alias(f"{p}n_lines"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias(f"{p}n_dup_lines"),
         F.when(F.size(w) >= WINDOW, hashes).otherwise(F.array().cast("array<bigint>")).alias(f"{p}_h"),
     )
@@ -67,62 +77,78 @@ def measure(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     order = F.when(
         F.size(F.array_distinct(h)) < F.size(h), F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
-    measures = [f"{p}{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines")]
+    measures = [f"{p}{c}" for c in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines")]
     out = out.select(*kept, *measures, order.alias(f"{p}_o"))
     o = F.col(f"{p}_o")
     same = F.filter(o, lambda x, k: (x["h"] == F.get(o, k - 1)["h"]) | (x["h"] == F.get(o, k + 1)["h"]))
     out = out.select(*kept, *measures, F.sort_array(F.transform(same, lambda x: x["i"])).alias(f"{p}_r"))
     r = F.col(f"{p}_r")
     out = out.select(*kept, *measures, _covered(r).alias(f"{p}n_repeat_words"))
-    n, rep = F.col(f"{p}n_words"), F.col(f"{p}n_repeat_words")
-    return out.withColumn(f"{p}base_failed", (n < MIN_WORDS) | (100 * rep > MAX_REPEAT_PERCENT * n))
-
-
-def host_stats(measured: DataFrame, host: str = "source", failed: str = "base_failed") -> DataFrame:
-    """host, n_docs and n_failed; a hot host is summed before the shuffle."""
+    value = lambda c: F.col(f"{p}{c}")
+    rules = {
+        "short": value("n_words") < MIN_WORDS,
+        "repeated": 100 * value("n_repeat_words") > MAX_REPEAT_PERCENT * value("n_words"),
+        "symbols": 100 * value("n_symbols") > MAX_SYMBOL_PERCENT * value("word_chars"),
+        "dup_lines": 100 * value("n_dup_lines") > MAX_DUP_LINE_PERCENT * value("n_lines"),
+    }
+    out = out.withColumns({f"{p}{rule}": failed for rule, failed in rules.items()})
+    return out.withColumn(f"{p}base_failed", value("short") | value("repeated"))
+
+
+def host_stats(measured: DataFrame, host: str = "source", prefix: str = "") -> DataFrame:
+    """host, n_docs and the failures of each rule; a hot host is summed before the shuffle."""
     h = F.col(f"`{host}`")
-    return measured.where(h.isNotNull() & (h != "")).groupBy(h.alias("host")).agg(F.count("*").alias("n_docs"), F.sum(F.col(f"`{failed}`").cast("long")).alias("n_failed"))
-
-
-def beta_prior(hosts: DataFrame) -> tuple[float, float]:
-    """Alpha and beta by the method of moments over the hosts' rates; one row comes to the driver."""
-    rate = F.col("n_failed") / F.col("n_docs")
-    row = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v")).first()
-    m, v = row["m"], row["v"]
-    if m is None:
-        return 1.0, 1.0
-    m = min(max(m, 1e-6), 1 - 1e-6)
-    strength = m * (1 - m) / v - 1 if v and v < m * (1 - m) else 1e6 if not v else 1e-6
-    return m * strength, (1 - m) * strength
-
-
-def host_verdicts(hosts: DataFrame, host_max_rate: float) -> DataFrame:
-    """host, shrunk_rate and host_rejected."""
-    alpha, beta = beta_prior(hosts)
-    shrunk = (F.col("n_failed") + F.lit(alpha)) / (F.col("n_docs") + F.lit(alpha + beta))
-    return hosts.withColumn("shrunk_rate", shrunk).withColumn("host_rejected", F.col("shrunk_rate") > F.lit(host_max_rate))
-
-
-def with_verdict(measured: DataFrame, host: str = "source", failed: str = "base_failed", host_max_rate: float = 0.8) -> DataFrame:
-    """``measured`` (a written table, since it is read twice) with ``host_rejected``."""
-    bad = host_verdicts(host_stats(measured, host, failed), host_max_rate).where("host_rejected").select(F.col("host").alias("_bad_host"))
+    failures = [F.sum(F.col(f"{prefix}{r}").cast("long")).alias(r) for r in HARD + SOFT]
+    return measured.where(h.isNotNull() & (h != "")).groupBy(h.alias("host")).agg(F.count("*").alias("n_docs"), *failures)
+
+
+def beta_priors(hosts: DataFrame) -> dict[str, tuple[float, float]]:
+    """Mean and strength of each rule's beta prior, by the method of moments over the hosts' rates; one row comes to the driver."""
+    rate = {r: F.col(r) / F.col("n_docs") for r in HARD + SOFT}
+    row = hosts.agg(*[f(x).alias(f"{k}_{r}") for r, x in rate.items() for k, f in (("m", F.avg), ("v", F.var_pop))]).first()
+    out = {}
+    for r in HARD + SOFT:
+        m, v = row[f"m_{r}"], row[f"v_{r}"]
+        m = min(max(0.5 if m is None else m, 1e-6), 1 - 1e-6)
+        out[r] = m, m * (1 - m) / v - 1 if v and v < m * (1 - m) else 1e6 if not v else 1e-6
+    return out
+
+
+def host_verdicts(hosts: DataFrame, host_max_rate: float = HOST_MAX_RATE, soft_factor: float = SOFT_FACTOR) -> DataFrame:
+    """``hosts`` with each rule's shrunk rate, ``rejects_all`` and a flag ``rejects_<rule>`` for each soft rule."""
+    priors = beta_priors(hosts)
+    shrunk = {r: (F.col(r) + F.lit(m * s)) / (F.col("n_docs") + F.lit(s)) for r, (m, s) in priors.items()}
+    out = hosts.withColumns({f"rate_{r}": x for r, x in shrunk.items()})
+    out = out.withColumn("rejects_all", F.greatest(*[F.col(f"rate_{r}") for r in HARD]) > F.lit(host_max_rate))
+    # the margin keeps rates that equal the mean but for rounding on its good side
+    return out.withColumns({f"rejects_{r}": F.col(f"rate_{r}") > F.lit(soft_factor * priors[r][0] * (1 + 1e-9)) for r in SOFT})
+
+
+def with_verdict(measured: DataFrame, host: str = "source", prefix: str = "", host_max_rate: float = HOST_MAX_RATE, soft_factor: float = SOFT_FACTOR) -> DataFrame:
+    """``measured`` (a written table, since it is read twice) with ``<prefix>host_rejected``."""
+    verdicts = host_verdicts(host_stats(measured, host, prefix), host_max_rate, soft_factor)
+    names = ["rejects_all", *[f"rejects_{r}" for r in SOFT]]
+    bad = verdicts.where(" or ".join(names)).select(F.col("host").alias("_talus_host"), *[F.col(n).alias(f"_talus_{n}") for n in names])
     if small(bad, BROADCAST_HOSTS):
         bad = F.broadcast(bad)
-    joined = measured.join(bad, F.col(f"`{host}`") == F.col("_bad_host"), "left")
-    return joined.withColumn("host_rejected", F.col("_bad_host").isNotNull()).drop("_bad_host")
+    joined = measured.join(bad, F.col(f"`{host}`") == F.col("_talus_host"), "left")
+    doubts = [F.col(f"{prefix}{r}") & F.col(f"_talus_rejects_{r}") for r in SOFT]
+    verdict = F.coalesce(F.col("_talus_rejects_all") | doubts[0] | doubts[1], F.lit(False))
+    return joined.withColumn(f"{prefix}host_rejected", verdict).drop("_talus_host", *[f"_talus_{n}" for n in names])
 
 
-def quality_rules(docs: DataFrame, host_max_rate: float = 0.8) -> DataFrame:
+def quality_rules(docs: DataFrame, host_max_rate: float = HOST_MAX_RATE, soft_factor: float = SOFT_FACTOR) -> DataFrame:
     """Per row: doc_id, the measures, base_failed, host_rejected and kept."""
     measured = materialize(measure(docs.select("doc_id", "text", "source")).drop("text"), "rules")
-    out = with_verdict(measured, host_max_rate=host_max_rate)
+    out = with_verdict(measured, host_max_rate=host_max_rate, soft_factor=soft_factor)
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
-def filter_documents(docs: DataFrame, host_max_rate: float = 0.8) -> DataFrame:
+def filter_documents(docs: DataFrame, host_max_rate: float = HOST_MAX_RATE, soft_factor: float = SOFT_FACTOR) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns."""
-    p = "_talus_"
+    p = "_talus_own_"
     own = [F.col(f"`{c}`") for c in docs.columns]
-    measured = materialize(measure(docs, prefix=p).select(*own, f"{p}base_failed"), "ruled")
-    out = with_verdict(measured, failed=f"{p}base_failed", host_max_rate=host_max_rate)
-    return out.where(~F.col(f"{p}base_failed") & ~F.col("host_rejected")).select(*own)
+    flags = [f"{p}{c}" for c in (*HARD, *SOFT, "base_failed")]
+    measured = materialize(measure(docs, prefix=p).select(*own, *flags), "ruled")
+    out = with_verdict(measured, prefix=p, host_max_rate=host_max_rate, soft_factor=soft_factor)
+    return out.where(~F.col(f"{p}base_failed") & ~F.col(f"{p}host_rejected")).select(*own)
