@@ -219,7 +219,7 @@ def test_repeated_rows(spark):
         assert made.count() == 60
     assert packing.best_fit_packing(twice).count() == 2 * packing.best_fit_packing(once).count()
     assert mixing.mix_sources(twice).groupBy("doc_id").count().where("count < 2").count() == 0
-    assert pitman_yor.pitman_yor_scores(twice).count() == 30
+    assert pitman_yor.pitman_yor_scores(twice).count() == 60
     for make in (minhash.near_duplicates, suffix_dedup.suffix_dedup, automaton_dedup.automaton_dedup):
         assert sorted(make(twice).collect()) == sorted(make(once).collect() * 2)
 
