@@ -3,16 +3,16 @@
 Documents become token ids (with an end id) and pieces of at most ``capacity`` tokens. Pieces are dealt
 by hash into shards of bounded size; each shard is packed best-fit decreasing, then a local search
 moves pieces, exchanges one for one and two for one between underfull bins whenever the sum of squared
-fills grows, until bins empty. A shard loses less than one sequence against packing everything at once.
+fills grows, until bins empty. The lengths alone ask for less than one sequence a shard more than packing everything at once would.
 
-Null texts are empty (one piece: the end id); repeated rows are packed each; an empty table gives an
-empty result; other columns are ignored.
+Null texts are empty (one piece: the end id); repeated rows are packed each, rows without an id too; pieces of equal length stand by
+id, piece and place of reading; an empty table gives an empty result; other columns, whatever their names, are ignored. A very long
+text is cut into pieces like others; its encoding takes memory in proportion to its length.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,12 +32,10 @@ SHARD_PIECES = 20_000
 CACHE_WORDS = 400_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, salt bigint"
 PACKED = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
-#: Tries of the local search for each underfull bin.
-EFFORT = 200
 
 
-#: A comma or full stop between a Latin letter and white space is a pre-token of its own.
-_STOP = r"([a-z\x{00DF}-\x{00F6}\x{00F8}-\x{024F}])([,.])([ \n]|$)"
+#: A comma or full stop between a Latin letter and white space is a pre-token of its own. Not after U+0130, whose small form ends in a mark.
+_STOP = r"([a-z\x{00DF}-\x{00F6}\x{00F8}-\x{012F}\x{0131}-\x{024F}])([,.])([ \n]|$)"
 
 
 class WordEncoder:
@@ -140,79 +138,96 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAPACITY, effort: int = EFFORT) -> list[list[int]]:
-    """Empty underfull bins by moves, one-for-one and two-for-one exchanges that raise the sum of squared fills.
+class LocalSearch:
+    """Exchanges between underfull bins: each raises the sum of squared fills, so the search ends.
 
-    Every change fills a bin that is at least as full as the one it takes from, so the sum grows each time
-    and the search ends; ``effort`` bounds the partners that are tried for a bin.
+    A bin is filled from another one by one piece for none (a move), one for one, two for one or none, or one for two. Bins are taken from the fullest
+    to the emptiest; each gets the exchange that leaves least of its free space, of equals the one that takes from the
+    emptiest bin, for as long as there is one that leaves it fuller than its partner was. So free space gathers in few bins until they
+    are empty. All underfull bins are partners, and passes go on until one changes nothing or ``least`` bins are left.
     """
-    size = lengths.tolist()
-    fill = [sum(size[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
-    alive = len(bins)
-    # underfull bins, the emptiest last so that it is taken first
-    queue = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: (-fill[b], b))
-    others = sorted((fill[b], b) for b in queue)
-    while queue and alive > least:
-        x = queue.pop()
-        at = bisect_left(others, (fill[x], x))
-        if at < len(others) and others[at] == (fill[x], x):
-            others.pop(at)
-        tries = 0
-        for y in [b for _, b in reversed(others[-effort:])] + [b for _, b in others[: effort // 4]]:
-            if not bins[x]:
-                break
-            if y == x or fill[y] < fill[x] or fill[y] == capacity:
+
+    def __init__(self, bins: list[list[int]], lengths: np.ndarray, capacity: int) -> None:
+        self.size, self.capacity = lengths.astype(np.int64), capacity
+        self.bins = [list(b) for b in bins]
+        self.fill = np.array([int(self.size[b].sum()) for b in self.bins], np.int64)
+        self.where = np.zeros(len(lengths), np.int64)
+        self.twos: list[tuple[np.ndarray, np.ndarray]] = []
+        for k, b in enumerate(self.bins):
+            self.where[b] = k
+        self.alive = sum(map(bool, self.bins))
+
+    def _pairs(self, k: int) -> np.ndarray:
+        b = np.array(self.bins[k], np.int64)
+        i, j = np.triu_indices(len(b), 1)
+        return np.stack([b[i], b[j]], axis=1)
+
+    def _partners(self) -> None:
+        """The pieces of all underfull bins, and the pairs of pieces that share one, with their sums and bins."""
+        open_ = np.flatnonzero((self.fill < self.capacity) & (self.fill > 0))
+        self.ones = np.concatenate([self.bins[k] for k in open_.tolist()]).astype(np.int64) if len(open_) else np.zeros(0, np.int64)
+        pairs = [self._pairs(k) for k in open_.tolist()]
+        self.twos = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+        self.sums = self.size[self.twos].sum(axis=1)
+        self.of = self.where[self.twos[:, 0]] if len(self.twos) else np.zeros(0, np.int64)
+
+    def _best(self, y: int) -> tuple[list[int], list[int]] | None:
+        """What bin ``y`` takes and gives back."""
+        free, fill, mine = self.capacity - self.fill[y], self.fill[y], self.bins[y]
+        best, chosen = (0, 0), None
+        size, where = self.size[self.ones], self.where[self.ones]
+        # pairs that an exchange has parted are left for the next pass
+        whole = self.where[self.twos[:, 1]] == self.where[self.twos[:, 0]] if len(self.twos) else np.zeros(0, bool)
+        of = self.where[self.twos[:, 0]] if len(self.twos) else self.of
+        tries = [(size, where, None, ())] + [(size, where, None, (b,)) for b in mine]
+        tries += [(self.sums, of, whole, ())] + [(self.sums, of, whole, (b,)) for b in mine]
+        tries += [(size, where, None, tuple(p)) for p in self._pairs(y).tolist()]
+        for sizes, bins, use, back in tries:
+            gain = sizes - int(self.size[list(back)].sum())
+            at = np.flatnonzero((gain > 0) & (gain <= free) & (gain >= best[0]))
+            at = at[(bins[at] != y) & (fill + gain[at] > self.fill[bins[at]]) & (self.fill[bins[at]] < self.capacity)]
+            if use is not None:
+                at = at[use[at]]
+            if not len(at):
                 continue
-            tries += 1
-            free, before = capacity - fill[y], fill[y]
-            while True:
-                change = _step(bins[x], bins[y], size, free)
-                if not change:
-                    break
-                out, back = change
-                for i in out:
-                    bins[x].remove(i)
-                for i in back:
-                    bins[y].remove(i)
-                bins[x] += back
-                bins[y] += out
-                gain = sum(size[i] for i in out) - sum(size[i] for i in back)
-                fill[x] -= gain
-                fill[y] += gain
-                free -= gain
-                if not free or not bins[x]:
-                    break
-            if fill[y] != before:
-                at = bisect_left(others, (before, y))
-                others.pop(at)
-                if fill[y] < capacity:
-                    insort(others, (fill[y], y))
-        if not bins[x]:
-            alive -= 1
-    return [b for b in bins if b]
-
-
-def _step(mine: list[int], theirs: list[int], size: list[int], free: int) -> tuple[list[int], list[int]] | None:
-    """The change that fills most of ``free``: a move, else one for one, else two for one."""
-    moves = [i for i in mine if size[i] <= free]
-    if moves:
-        return [max(moves, key=lambda i: (size[i], -i))], []
-    best, gain = None, 0
-    for a in mine:
-        for b in theirs:
-            g = size[a] - size[b]
-            if gain < g <= free:
-                best, gain = ([a], [b]), g
-    if best:
-        return best
-    for k, a in enumerate(mine):
-        for a2 in mine[k + 1 :]:
-            for b in theirs:
-                g = size[a] + size[a2] - size[b]
-                if gain < g <= free:
-                    best, gain = ([a, a2], [b]), g
-    return best
+            at = at[gain[at] == gain[at].max()]
+            k = at[np.argmin(self.fill[bins[at]])]
+            found = (int(gain[k]), -int(self.fill[bins[k]]))
+            if found > best or chosen is None:
+                best, chosen = found, (([int(self.ones[k])] if use is None else self.twos[k].tolist()), list(back))
+            if best[0] == free:
+                break
+        return chosen
+
+    def _exchange(self, y: int, out: list[int], back: list[int]) -> None:
+        x = int(self.where[out[0]])
+        for source, target, moved in ((x, y, out), (y, x, back)):
+            for i in moved:
+                self.bins[source].remove(i)
+                self.bins[target].append(i)
+                self.where[i] = target
+        gain = int(self.size[out].sum()) - int(self.size[back].sum())
+        self.fill[x] -= gain
+        self.fill[y] += gain
+        self.alive -= not self.bins[x]
+
+    def run(self, least: int) -> list[list[int]]:
+        changed = True
+        while changed and self.alive > least:
+            changed = False
+            self._partners()
+            order = np.lexsort((np.arange(len(self.fill)), -self.fill))
+            for y in order.tolist():
+                while 0 < self.fill[y] < self.capacity and self.alive > least and (found := self._best(y)):
+                    self._exchange(y, *found)
+                    changed = True
+        return [b for b in self.bins if b]
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
+    """``bins`` after the exchanges; those that are as few as the lengths allow are left as they are."""
+    least = -(-int(lengths.sum()) // capacity)
+    return LocalSearch(bins, lengths, capacity).run(least) if len(bins) > least else bins
 
 
 def pack_shard(rows: pd.DataFrame, capacity: int = CAPACITY) -> pd.DataFrame:

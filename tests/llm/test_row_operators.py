@@ -180,16 +180,49 @@ def test_packing(spark):
     assert len(by_sequence) <= -(-sum(r.length for r in got) // 64) * 1.01
 
 
-def test_local_search_empties_bins():
+def planted(seed, full=150):
+    """Three pieces for each of ``full`` sequences that they fill."""
+    import numpy as np
+
+    r, lengths = np.random.default_rng(seed), []
+    while len(lengths) < 3 * full:
+        a, b = r.integers(520, 1011, 2).tolist()
+        if 520 <= 2048 - a - b <= 1010:
+            lengths += [a, b, 2048 - a - b]
+    return np.array(lengths)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_local_search_empties_bins(seed):
+    lengths = planted(seed)
+    first = packing.best_fit(lengths)
+    after = packing.local_search([list(b) for b in first], lengths)
+    assert sorted(i for b in after for i in b) == list(range(len(lengths)))
+    assert all(lengths[b].sum() <= 2048 for b in after)
+    assert len(first) >= 168 and len(after) <= 155
+
+
+def test_local_search_on_random_lengths():
     import numpy as np
 
     r = np.random.default_rng(3)
-    for _ in range(20):
+    for _ in range(10):
         lengths = r.integers(300, 1100, 400)
         first = packing.best_fit(lengths)
         after = packing.local_search([list(b) for b in first], lengths)
         assert sorted(i for b in after for i in b) == list(range(400))
-        assert all(lengths[b].sum() <= 2048 for b in after) and len(after) <= len(first)
+        assert all(lengths[b].sum() <= 2048 for b in after) and len(after) < len(first)
+
+
+def test_packing_ids_of_every_character_before_a_stop():
+    import pyarrow as pa
+
+    encode = packing.WordEncoder("word_bpe_49k.json")
+    tok = token_counts.load("word_bpe_49k.json")
+    texts = [f"{chr(c)}. a{chr(c)}, {chr(c)}{chr(c)}.\n'{chr(c)}." for c in range(1, 0x3000)]
+    texts += ["İ.", "İ, a", "aİ. İ,", "it's. 'tis, l'été."]
+    for t, ids in zip(texts, encode(pa.array(texts)), strict=True):
+        assert ids == b"".join(i.to_bytes(4, "little") for i in tok.encode(t, add_special_tokens=False).ids), t
 
 
 def test_empty_table(spark):
