@@ -9,7 +9,8 @@ completely: pair by pair in small buckets, in blocks that output confirmed links
 that share a bucket is lost; at similarity 0.8 two classes share none with probability (1 - 0.8**4)**32 < 1e-7.
 
 Null texts and texts without words are empty sets, linked with nothing. Rows with equal ids are one
-node and stand or fall together; rows without an id are not compared, and dropping duplicates keeps them. An empty table gives an empty result. Extra columns are ignored.
+node and stand or fall together; rows without an id are not compared, and dropping duplicates keeps them. Of linked documents the smallest
+id stays, so ties do not arise. A very long text is one set: memory grows with its length. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ PERCENT = 80
 STARS = 2
 #: Cross-component pairs of buckets up to this size are listed: at most half as many a member.
 LISTED = 12
-BLOCK_FEW, BLOCK_MANY = 128, 1024
+BLOCK_FEW, BLOCK_MANY = 128, 256
+#: Shingles of the two sides of a block, on average: blocks are smaller where sets are large.
+FEW_SHINGLES, MANY_SHINGLES = 300_000, 1_000_000
 #: Ids that are sent to all executors to pick texts; beyond, the texts are shuffled to them.
 BROADCAST_IDS = 500_000
 _TRIES = 4096
@@ -156,9 +159,12 @@ def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links in large buckets: all but the commonest component's classes, in blocks, against all classes of the bucket."""
-    sizes = members.groupBy("bucket", "root").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("m"), F.sum("k").alias("size"))
-    main = main.select("bucket", F.col("m.root").alias("main"), F.ceil((F.col("size") - F.col("m.k")) / BLOCK_FEW).cast("int").alias("few"), F.ceil(F.col("size") / BLOCK_MANY).cast("int").alias("many"))
+    sizes = members.groupBy("bucket", "root").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "root", "s")).alias("m"), F.sum("k").alias("k"), F.sum("s").alias("s"))
+    blocks = lambda k, most, s, shingles: F.greatest(F.lit(1), F.ceil(k / most), F.ceil(s / shingles)).cast("int")
+    few = blocks(F.col("k") - F.col("m.k"), BLOCK_FEW, F.col("s") - F.col("m.s"), FEW_SHINGLES).alias("few")
+    # written first, so that a large bucket can be split in the join below
+    main = materialize(main.select("bucket", F.col("m.root").alias("main"), few, blocks(F.col("k"), BLOCK_MANY, F.col("s"), MANY_SHINGLES).alias("many")), "blocks")
     all_ = members.select("bucket", "rep", "root").join(main, "bucket").join(sets, "rep")
     place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
