@@ -24,8 +24,8 @@ BROADCAST_IDS = 500_000
 _LOW = np.uint64(0xFFFFFFFF)
 #: Anchors with more contents than this are dealt over shards of their own.
 HOT_CLASSES = 1000
-#: Slots of the bitmap of repeated anchors, whatever the size of the corpus: 8 MB.
-SLOT_BITS = 26
+#: Slots of the bitmap of repeated anchors: at least sixteen an anchor, from 128 kB to 32 MB; beyond, more segments pass than need to.
+LEAST_BITS, MOST_BITS = 20, 28
 RUN = "anchor bigint, s1 bigint, doc_id bigint, start bigint, n bigint"
 
 
@@ -60,9 +60,9 @@ class Runs:
         self.start = self.at - first[self.doc]
         self.anchor = h[least[self.at]]
 
-    def slot(self) -> np.ndarray:
+    def slot(self, slots: int) -> np.ndarray:
         """From the low bits: the high ones are small in every anchor."""
-        return (self.anchor & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
+        return (self.anchor & np.uint64(slots - 1)).astype(np.int64)
 
     def keep(self, mask: np.ndarray) -> None:
         for name in ("doc", "at", "start", "n", "anchor"):
@@ -76,14 +76,15 @@ class Runs:
 
 
 def bitmap(spark: SparkSession, repeated: DataFrame):
-    """A broadcast bitmap with a slot set for every anchor of ``repeated(anchor)``: of fixed size, and without misses."""
-    slot = F.col("anchor").bitwiseAND((1 << SLOT_BITS) - 1) + 1  # Spark's bitmaps count from 1
+    """A broadcast bitmap with a slot set for every anchor of ``repeated(anchor)``: of bounded size, and without misses."""
+    bits = min(MOST_BITS, max(LEAST_BITS, int(repeated.count()).bit_length() + 4))
+    slot = F.col("anchor").bitwiseAND((1 << bits) - 1) + 1  # Spark's bitmaps count from 1
     rows = repeated.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
-    out = np.zeros(1 << (SLOT_BITS - 3), np.uint8)
+    out = np.zeros(1 << (bits - 3), np.uint8)
     for r in rows:
-        bits = np.frombuffer(bytes(r.bits), np.uint8)
+        part = np.frombuffer(bytes(r.bits), np.uint8)
         at = (r.k - 1) * 4096
-        out[at : at + len(bits)] = bits
+        out[at : at + len(part)] = part
     return spark.sparkContext.broadcast(out)
 
 
@@ -125,7 +126,7 @@ def run_rows(docs: DataFrame, words: bool, window: int, gram: int, bits) -> Data
             values, first, _ = symbols(batch.column("text"), words)
             r = Runs(values, first, window, gram)
             if len(r.at):
-                r.keep(marked(bits.value, r.slot()))
+                r.keep(marked(bits.value, r.slot(8 * len(bits.value))))
             s1 = r.hashes()
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             yield _batch([signed(r.anchor), s1, ids[r.doc], r.start, r.n], ["anchor", "s1", "doc_id", "start", "n"])
@@ -179,7 +180,7 @@ def with_shards(classes: DataFrame, windows: int) -> tuple[DataFrame, int]:
 
 def with_content(docs: DataFrame, classes: DataFrame, words: bool, window: int) -> DataFrame:
     """``classes`` (with ``shard``) with their content: bytes, or the words' 64-bit hashes as bytes."""
-    names = ["shard", "anchor", "s1", "n", "rep_start"]
+    names = ["shard", "anchor", "s1", "n", "rep_start", "c"]
     wanted = classes.groupBy("rep_doc").agg(F.collect_list(F.struct(*names)).alias("segments"))
     ids = classes.select(F.col("rep_doc").alias("doc_id")).distinct()
     here = docs.join(F.broadcast(ids), "doc_id", "left_semi") if small(ids, BROADCAST_IDS) else docs
@@ -198,7 +199,7 @@ def with_content(docs: DataFrame, classes: DataFrame, words: bool, window: int)
             content = [whole[a:b].tobytes() for a, b in zip(at.tolist(), (at + cols["n"] + window - 1).tolist(), strict=True)]
             yield pa.record_batch([*[pa.array(cols[c]) for c in names], pa.array(ids[doc]), pa.array(content, pa.binary())], [*names, "rep_doc", "content"])
 
-    return here.mapInArrow(run, "shard bigint, anchor bigint, s1 bigint, n bigint, rep_start bigint, rep_doc bigint, content binary")
+    return here.mapInArrow(run, "shard bigint, anchor bigint, s1 bigint, n bigint, rep_start bigint, c bigint, rep_doc bigint, content binary")
 
 
 def once(rows: pa.Table) -> pa.Table:
@@ -218,6 +219,15 @@ def ranges(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def stretches(*values: np.ndarray) -> np.ndarray:
+    """Where each run begins in which all of ``values`` stay the same."""
+    new = np.zeros(len(values[0]), bool)
+    new[:1] = True
+    for v in values:
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
 def removal(docs: DataFrame, spans: DataFrame, run, schema: str) -> DataFrame:
     """Every row of ``docs`` with the spans of its document, through ``run``."""
     lists = spans.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))

@@ -26,7 +26,7 @@ from talus.llm.common import _BYTES, _BYTES2, buffers, materialize, release, set
 
 WINDOW, GRAM = 100, 24
 SHARD_WINDOWS = 250_000
-SPANS = "doc_id bigint, start bigint, end bigint, h1 bigint, h2 bigint"
+SPANS = "anchor bigint, s1 bigint, n bigint, doc_id bigint, start bigint, end bigint, first bigint, h1 bigint, h2 bigint"
 
 
 def byte_keys(text: np.ndarray) -> np.ndarray:
@@ -134,8 +134,8 @@ def common_prefixes(keys: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
     return agree
 
 
-def repeated_windows(contents: list[bytes], docs: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two masks over all bytes of the contents: windows that start there and stand at an earlier place as well, and all windows."""
+def first_places(contents: list[bytes], docs: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all bytes of the contents: document and place at which the window from there first stands, and whether there is one."""
     length = np.array([len(c) for c in contents], np.int64)
     base = np.cumsum(length) - length
     text = np.concatenate([np.frombuffer(b"".join(contents), np.uint8), np.zeros(window + 16, np.uint8)]).astype(np.uint8)
@@ -147,42 +147,52 @@ def repeated_windows(contents: list[bytes], docs: np.ndarray, starts: np.ndarray
     wanted[:] = np.cumsum(edge)[: total + 1] > 0
     keys = byte_keys(text)
     order = suffix_order(text, keys, wanted, window)
-    same = common_prefixes(keys, order, window)
-    group = np.cumsum(~same) - 1
+    group = np.cumsum(~common_prefixes(keys, order, window)) - 1
     segment = np.searchsorted(base, order, "right") - 1
-    # the earliest place of each group of equal strings
-    by = np.lexsort((starts[segment] + order - base[segment], docs[segment], group))
-    first = np.ones(len(by), bool)
-    first[1:] = group[by][1:] != group[by][:-1]
-    gone = np.zeros(total, bool)
-    gone[order[by[~first]]] = True
-    # one place may stand in two segments only if they are one class, so equal places do not meet here
-    return gone, wanted[:total]
+    # the earliest place of each group of equal strings; one place may stand in two segments only if they are one class
+    doc, place = docs[segment], starts[segment] + order - base[segment]
+    by = np.lexsort((place, doc, group))
+    least = by[anchors.stretches(group[by])] if len(by) else by
+    first_doc, first_place = np.zeros(total, np.int64), np.zeros(total, np.int64)
+    first_doc[order], first_place[order] = doc[least][group], place[least][group]
+    return first_doc, first_place, wanted[:total]
 
 
 def _shard(window: int, ordinary: int):
-    """Removed spans of a shard; for salted shards also the windows that are left, one by one with their hashes."""
+    """Removed spans of each class's first place; first places of the windows of classes with other places; of salted shards the windows left.
+
+    Rows of the second kind have the class's key, and ``first`` is where the window at ``start`` first stands, in ``doc_id``.
+    """
 
     def run(rows: pa.Table) -> pa.Table:
         rows = anchors.once(rows)
-        docs, starts = rows.column("rep_doc").to_numpy(), rows.column("rep_start").to_numpy()
+        docs, starts, many = (rows.column(c).to_numpy() for c in ("rep_doc", "rep_start", "c"))
         contents = rows.column("content").to_pylist()
-        gone, windows = repeated_windows(contents, docs, starts, window)
         length = np.array([len(c) for c in contents], np.int64)
         base = np.cumsum(length) - length
+        first_doc, first_place, windows = first_places(contents, docs, starts, window)
+        of = np.repeat(np.arange(len(length)), length)
+        place = starts[of] + np.arange(len(of)) - base[of]
+        gone = windows & ((first_doc != docs[of]) | (first_place != place))
         a, b = anchors.ranges(gone)  # the last window of a segment starts before its end, so runs stay inside
-        segment = np.searchsorted(base, a, "right") - 1
-        shift = starts[segment] - base[segment]
-        none = pa.nulls(len(a), pa.int64())
-        out = pa.table({"doc_id": docs[segment], "start": a + shift, "end": b + shift + window - 1, "h1": none, "h2": none})
-        if rows.column("shard")[0].as_py() < ordinary:
-            return out
-        text = np.frombuffer(b"".join(contents), np.uint8)
-        at = np.flatnonzero(windows & ~gone)
-        h1, h2 = anchors.window_hashes(_BYTES[text], _BYTES2[text], at, window)
-        segment = np.searchsorted(base, at, "right") - 1
-        place = starts[segment] + at - base[segment]
-        return pa.concat_tables([out, pa.table({"doc_id": docs[segment], "start": place, "end": place + window, "h1": h1, "h2": h2})])
+        parts = [(None, docs[of[a]], place[a], place[a] + b - a + window - 1, None, None)]
+        # windows of classes with other places: stretches whose first places run along
+        at = np.flatnonzero(windows & (many[of] > 1))
+        head = anchors.stretches(of[at], first_doc[at], first_place[at] - at) if len(at) else at
+        size, at = np.diff(np.append(head, len(at))), at[head]
+        inside = at - base[of[at]]
+        parts.append((of[at], first_doc[at], inside, inside + size + window - 1, first_place[at], None))
+        if rows.column("shard")[0].as_py() >= ordinary:
+            at = np.flatnonzero(windows & ~gone)
+            text = np.frombuffer(b"".join(contents), np.uint8)
+            parts.append((None, docs[of[at]], place[at], place[at] + window, None, anchors.window_hashes(_BYTES[text], _BYTES2[text], at, window)))
+        tables = []
+        for cls, doc, start, end, first, hashes in parts:
+            none = pa.nulls(len(doc), pa.int64())
+            key = [none] * 3 if cls is None else [rows.column(c).combine_chunks().take(pa.array(cls)) for c in ("anchor", "s1", "n")]
+            columns = [*key, pa.array(doc), pa.array(start), pa.array(end), none if first is None else pa.array(first), *([none] * 2 if hashes is None else map(pa.array, hashes))]
+            tables.append(pa.table(columns, ["anchor", "s1", "n", "doc_id", "start", "end", "first", "h1", "h2"]))
+        return pa.concat_tables(tables)
 
     return run
 
@@ -192,14 +202,16 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_
     occurrences, classes = anchors.repeated_segments(docs, False, window, gram, across=False)
     sharded, ordinary = anchors.with_shards(classes, shard_windows)
     made = materialize(anchors.with_content(docs, sharded, False, window).groupBy("shard").applyInArrow(_shard(window, ordinary), SPANS), "spans")
+    release(classes)
     settle(docs.sparkSession)
-    first, left = made.where("h1 is null").select("doc_id", "start", "end"), made.where("h1 is not null")
+    first, left = made.where("h1 is null and anchor is null").select("doc_id", "start", "end"), made.where("h1 is not null").select("doc_id", "start", "end", "h1", "h2")
     owners = left.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("c")).where("c > 1")
     late = left.join(owners, ["h1", "h2"]).where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", "end")
-    again = occurrences.join(classes.where("c > 1").select("anchor", "s1", "n", "rep_doc", "rep_start"), ["anchor", "s1", "n"]).where("doc_id <> rep_doc or start <> rep_start")
-    again = materialize(again.select("doc_id", "start", (F.col("start") + F.col("n") + window - 1).alias("end")), "spans")
+    # places of classes that have several, by the first places that the array gave their windows
+    ranked = made.where("anchor is not null").select("anchor", "s1", "n", F.col("doc_id").alias("d"), F.col("start").alias("a"), F.col("end").alias("b"), "first")
+    placed = occurrences.join(ranked, ["anchor", "s1", "n"]).where("d < doc_id or d = doc_id and first < start + a")
+    again = materialize(placed.select("doc_id", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b")).alias("end")), "spans")
     release(occurrences)
-    release(classes)
     settle(docs.sparkSession)
     return first.union(late).union(again)
 
