@@ -26,7 +26,7 @@ from talus.llm.common import buffers, materialize, mix, release, settle, slices
 
 WINDOW, GRAM = 50, 8
 SHARD_WINDOWS = 60_000
-_CLASS = "anchor bigint, s1 bigint, n bigint, start bigint, end bigint, h1 bigint, h2 bigint, rep_doc bigint"
+_CLASS = "anchor bigint, s1 bigint, n bigint, start bigint, end bigint, owner bigint, h1 bigint, h2 bigint, rep_doc bigint"
 
 
 class SuffixAutomaton:
@@ -99,11 +99,14 @@ class SuffixAutomaton:
 
 
 def _shard(window: int, ordinary: int):
-    """Removed parts of each class of a shard; of salted shards also the windows that are left, with their hashes."""
+    """Parts of each class of a shard with the smallest document that holds their windows; of salted shards also the windows left, with their hashes.
+
+    Parts are told where the class has other places or where that document is another one.
+    """
 
     def run(rows: pa.Table) -> pa.Table:
         rows = anchors.once(rows)
-        docs = rows.column("rep_doc").to_pylist()
+        docs, places = rows.column("rep_doc").to_pylist(), rows.column("c").to_pylist()
         whole = np.frombuffer(b"".join(rows.column("content").to_pylist()), np.uint64)
         _, code = np.unique(whole, return_inverse=True)
         ends = np.cumsum(rows.column("n").to_numpy() + window - 1)
@@ -114,22 +117,24 @@ def _shard(window: int, ordinary: int):
             machine.add(s, d)
         machine.finish()
         salted = rows.column("shard")[0].as_py() >= ordinary
-        gone, left = [], []
-        for i, (s, d) in enumerate(zip(strings, docs, strict=True)):
-            late = np.array(machine.first_owners(s, window), np.int64) < d
-            a, b = anchors.ranges(late)
-            gone.append((np.full(len(a), i), a, b + window - 1))
+        told, left = [], []
+        for i, (s, d, c) in enumerate(zip(strings, docs, places, strict=True)):
+            owner = np.array(machine.first_owners(s, window), np.int64)
+            a = anchors.stretches(owner)
+            b = np.append(a[1:], len(owner))
+            use = np.ones(len(a), bool) if c > 1 else owner[a] < d
+            told.append((np.full(int(use.sum()), i), a[use], b[use] + window - 1, owner[a[use]]))
             if salted:
-                a = np.flatnonzero(~late)
-                left.append((np.full(len(a), i), a, a + window))
-        row, start, end = (np.concatenate(x).astype(np.int64) for x in zip(*gone, *left, strict=True))
-        removed = sum(len(x[0]) for x in gone)
-        h1, h2 = anchors.window_hashes(whole, mix(whole), begins[row[removed:]] + start[removed:], window)
-        none = np.zeros(removed, np.int64)
-        left_ = np.arange(len(row)) >= removed
+                a = np.flatnonzero(owner == d)
+                left.append((np.full(len(a), i), a, a + window, np.full(len(a), d)))
+        row, start, end, owner = (np.concatenate(x).astype(np.int64) for x in zip(*told, *left, strict=True))
+        known = sum(len(x[0]) for x in told)
+        h1, h2 = anchors.window_hashes(whole, mix(whole), begins[row[known:]] + start[known:], window)
+        none = np.zeros(known, np.int64)
+        left_ = np.arange(len(row)) >= known
         hashes = [pa.array(np.concatenate([none, h]), mask=~left_) for h in (h1, h2)]
         keys = [rows.column(c).to_numpy()[row] for c in ("anchor", "s1", "n")]
-        return pa.table([*[pa.array(x) for x in (*keys, start, end)], *hashes, pa.array(np.array(docs, np.int64)[row])], ["anchor", "s1", "n", "start", "end", "h1", "h2", "rep_doc"])
+        return pa.table([*[pa.array(x) for x in (*keys, start, end, owner)], *hashes, pa.array(np.array(docs, np.int64)[row])], ["anchor", "s1", "n", "start", "end", "owner", "h1", "h2", "rep_doc"])
 
     return run
 
@@ -140,19 +145,18 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_
     keys = ["anchor", "s1", "n"]
     sharded, ordinary = anchors.with_shards(classes, shard_windows)
     made = materialize(anchors.with_content(docs, sharded, True, window).groupBy("shard").applyInArrow(_shard(window, ordinary), _CLASS), "parts")
+    release(classes)
     settle(docs.sparkSession)
     left = made.where("h1 is not null")
     owners = left.groupBy("h1", "h2").agg(F.min("rep_doc").alias("first"))
-    late = left.join(owners, ["h1", "h2"]).where("first < rep_doc")
-    found = made.where("h1 is null").select(*keys, F.col("start").alias("a"), F.col("end").alias("b")).union(late.select(*keys, "start", "end"))
-    placed = occurrences.join(classes.select(*keys, "rep_doc"), keys)
-    later = placed.where("doc_id > rep_doc").select("doc_id", "start", (F.col("start") + F.col("n") + window - 1).alias("end"))
-    own = placed.where("doc_id = rep_doc").join(found, keys)
-    spans = materialize(later.union(own.select("doc_id", F.col("start") + F.col("a"), F.col("start") + F.col("b"))), "spans")
-    del found, placed, later, own, left, late, owners
+    late = left.join(owners, ["h1", "h2"]).where("first < rep_doc").select(*keys, "start", "end", F.col("first").alias("owner"))
+    found = made.where("h1 is null").select(*keys, "start", "end", "owner").union(late).withColumnsRenamed({"start": "a", "end": "b"})
+    # every place of a class, copies and first one alike, by the documents that the automaton gave its windows
+    spans = occurrences.join(found, keys).where("owner < doc_id").select("doc_id", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b")).alias("end"))
+    spans = materialize(spans, "spans")
+    del found, left, late, owners
     release(made)
     release(occurrences)
-    release(classes)
     settle(docs.sparkSession)
     return spans
 
