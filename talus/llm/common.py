@@ -57,23 +57,24 @@ def _delete_at_exit(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, name: str, schema: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    ``release`` deletes it early; what is left goes when the driver ends.
+    ``release`` deletes it early, or the part with one value of ``by``; what is left goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/talus-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._talus_path = path
     atexit.register(_delete_at_exit, spark, path)
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete a table that ``materialize`` wrote and nothing reads any more."""
-    _delete(df.sparkSession, df._talus_path)
+def release(df: DataFrame, part: str = "") -> None:
+    """Delete a table that ``materialize`` wrote and nothing reads any more, or a part such as ``key=value`` of it."""
+    _delete(df.sparkSession, f"{df._talus_path}/{part}" if part else df._talus_path)
 
 
 def settle(spark: SparkSession) -> None:
