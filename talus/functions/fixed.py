@@ -52,6 +52,11 @@ ADVICE_PHRASES = ["no se que estudiar", "no se que carrera", "no tengo claro", "
 QUOTED = "«[^»]*»|\"[^\"]*\"|“[^”]*”|'[^']{4,}'"
 DOMAIN_SENTENCE = "Titulaciones, grados y dobles grados de la Escuela Politécnica Superior de Jaén, sus asignaturas y sus salidas profesionales."
 OWN_PLACES = ["jaen", "lagunillas"]
+#: A centre of studies in normalised text; what it captures is its place.
+CENTRE = "(?:universidad|universitat|escuela|facultad|campus)(?: +[a-z]+){0,3}? +(?:de +(?:la|las|los|el)|del|de) +([a-z]+)"
+ABBREVIATIONS = {"ing.": "ingenieria"}
+NO_CREDITS_LISTED, NO_CREDITS_SAID, NO_YEAR_SAID = " (créditos no publicados)", ". La web de la EPSJ no publica sus créditos", ", sin curso asignado en el plan"
+NOT_OFFERED_SAID = ". No ofertada en el curso rastreado"
 PLAN_WORDS = ["creditos", "credito", "ects", "curso", "cuatrimestre", "semestre"]
 
 SECTION_SUMMARY, SECTION_CONTENTS = "RESUMEN", "DESCRIPCIÓN DE CONTENIDOS"

@@ -42,5 +42,4 @@ def fixed_reply(text: str) -> bool:
         return True
     if said & set(X.FAREWELL) and "?" not in text and not said & set(X.INTERROGATIVES):
         return True
-    places = re.findall("(?:universidad|escuela|facultad|campus) (?:de |del |en )([a-z]+)", normalize(text))
-    return any(p not in X.OWN_PLACES for p in places)
+    return any(p not in X.OWN_PLACES for p in re.findall(X.CENTRE, normalize(text)))

@@ -92,8 +92,9 @@ def split_mentions(cell: Column) -> Column:
 
 
 def core(name: Column) -> Column:
-    """Without parentheses, normalised, abbreviations written out."""
-    return squeeze(F.regexp_replace(normalize(F.regexp_replace(name, "[ \\t]*\\([^)]*\\)", "")), "ing\\.", "ingenieria"))
+    """Without parentheses, normalised, words that are abbreviations written out."""
+    words = F.split(normalize(F.regexp_replace(name, "[ \\t]*\\([^)]*\\)", " ")), " ")
+    return F.array_join(F.transform(words, lambda w: one_of(w, X.ABBREVIATIONS, w)), " ")
 
 
 def without_study_type(name: Column) -> Column:
@@ -101,35 +102,37 @@ def without_study_type(name: Column) -> Column:
 
 
 def credits(ects: Column) -> Column:
-    return F.when(F.coalesce(ects, F.lit("")) == "", F.lit("sin créditos publicados")).otherwise(F.concat(F.lit("de "), ects, F.lit(" ECTS")))
+    """The credits in parentheses, as a listing says them."""
+    ects = F.coalesce(ects, F.lit(""))
+    return F.when(ects == "", F.lit(X.NO_CREDITS_LISTED)).otherwise(F.concat(F.lit(" ("), ects, F.lit(" ECTS)")))
 
 
 def placement(term: Column, year: Column) -> Column:
-    """Where in the plan a subject stands, as far as it is published."""
-    term, year = F.coalesce(term, F.lit("")), F.coalesce(year, F.lit(""))
-    return (
-        F.when((term == "") & (year == ""), F.lit("La fuente no publica el curso ni el cuatrimestre."))
-        .when(year == "", F.concat(F.lit("Se imparte en el "), F.lower(term), F.lit(".")))
-        .when(term == "", F.concat(F.lit("Se imparte en el "), F.lower(year), F.lit(".")))
-        .otherwise(F.concat(F.lit("Se imparte en el "), F.lower(term), F.lit(" de "), F.lower(year), F.lit(".")))
-    )
+    """Where in the plan a subject stands; empty if neither is published, and a term alone says that the year is missing."""
+    term, year = (squeeze(F.lower(F.coalesce(x, F.lit("")))) for x in (term, year))
+    both = F.concat_ws(" de ", F.nullif(term, F.lit("")), F.nullif(year, F.lit("")))
+    return F.when(both == "", "").otherwise(F.concat(F.lit("el "), both, F.when((year == "") & (term != ""), F.lit(X.NO_YEAR_SAID)).otherwise("")))
 
 
 def subject_header(name: Column, kind: Column, ects: Column, degrees: Column, mentions: Column, term: Column, year: Column, offered: Column) -> Column:
-    """A header that names its unit by itself."""
-    where = F.when(F.size(degrees) == 1, F.concat(F.lit("del "), degrees[0])).otherwise(F.concat(F.lit("impartida en "), F.size(degrees).cast("string"), F.lit(" titulaciones: "), F.array_join(degrees, "; ")))
-    label = one_of(kind, X.TYPE_LABELS, F.lit("asignatura"))
-    return F.concat_ws(
-        " ",
-        F.concat(F.lit("«"), name, F.lit("»:"), F.lit(" "), label, F.lit(" "), credits(ects), F.lit(" "), where, F.lit(".")),
-        F.when((F.size(degrees) == 1) & (F.size(mentions) > 0), F.concat(F.lit("Mención: "), F.array_join(mentions, ", "), F.lit("."))),
-        placement(term, year),
-        F.when(~offered, F.lit("No se oferta.")),
-    )
+    """A header that names its unit by itself; mentions only where there is one degree, and what is not published is said."""
+    single, ects, place = F.size(degrees) == 1, F.coalesce(ects, F.lit("")), placement(term, year)
+    label = one_of(kind, X.TYPE_LABELS, F.concat(F.lit("asignatura ("), kind, F.lit(")")))
+    several = F.concat(F.lit("impartida en "), F.size(degrees).cast("string"), F.lit(" titulaciones: "), F.array_join(degrees, "; "))
+    first = [
+        F.concat(F.lit("«"), name, F.lit("», "), label),
+        F.when(ects != "", F.concat(F.lit("de "), ects, F.lit(" ECTS"))),
+        F.when(single, F.concat(F.lit("del "), degrees[0])).otherwise(several),
+        F.when(single & (F.size(mentions) > 0), F.concat(F.lit("(mención: "), F.array_join(mentions, ", "), F.lit(")"))),
+    ]
+    said = [F.when(place != "", F.concat(F.lit(". Se imparte en "), place)), F.when(~F.coalesce(offered, F.lit(True)), F.lit(X.NOT_OFFERED_SAID)), F.when(ects == "", F.lit(X.NO_CREDITS_SAID))]
+    return F.concat(F.concat_ws(" ", *first), F.concat_ws("", *said), F.lit("."))
 
 
 def plain_header(name: Column, degrees: Column) -> Column:
-    return F.concat(F.lit("«"), name, F.lit("»"), F.when(F.size(degrees) == 1, F.concat(F.lit(", "), degrees[0])).otherwise(F.concat(F.lit(", en "), F.array_join(degrees, "; "))))
+    """The header of a guide without a subject."""
+    where = F.when(F.size(degrees) == 1, F.concat(F.lit(" del "), degrees[0])).otherwise(F.concat(F.lit(" impartida en: "), F.array_join(degrees, "; ")))
+    return F.concat(F.lit("«"), name, F.lit("», asignatura"), where, F.lit("."))
 
 
 def year_order(label: Column) -> Column:
@@ -148,11 +151,12 @@ def highest_year(label: Column) -> Column:
 
 
 def year_of_listing(name: Column) -> Column:
+    """The year that a listing's name says, from 1 on; one more than the last if it says none."""
     low = F.lower(name)
     out = F.when(F.lit(False), 0)
-    for i, o in enumerate(X.YEAR_ORDER):
+    for i, o in enumerate(X.YEAR_ORDER, start=1):
         out = out.when(F.contains(low, F.lit(f"de {o}")), i)
-    return out.otherwise(7)
+    return out.otherwise(len(X.YEAR_ORDER) + 1)
 
 
 def expand(question: Column) -> Column:
@@ -189,14 +193,17 @@ def closes(text: Column) -> Column:
 
 
 def courtesy_without_context(text: Column) -> Column:
-    """The ladder for messages that found nothing."""
+    """The reply to messages that found nothing: thanks without a question mark, any greeting, or two words at most that ask nothing."""
     said = tokens(text)
-    return F.when(closes(text), "farewell").when((F.size(said) <= 2) & F.arrays_overlap(said, strings(X.GREETING)), "greeting")
+    asks = F.contains(text, F.lit("?"))
+    thanks = F.arrays_overlap(said, strings(X.FAREWELL)) & ~asks
+    short = (F.size(said) <= 2) & ~asks & ~F.arrays_overlap(said, strings(X.INTERROGATIVES))
+    return F.when(thanks, "farewell").when(F.arrays_overlap(said, strings(X.GREETING)) | short, "greeting")
 
 
 def other_centre(text: Column) -> Column:
     """Whether a university, school, faculty or campus elsewhere is named."""
-    places = F.regexp_extract_all(normalize(text), F.lit("(?:universidad|escuela|facultad|campus) (?:de |del |en )([a-z]+)"), 1)
+    places = F.regexp_extract_all(normalize(text), F.lit(X.CENTRE), 1)
     return F.exists(places, lambda p: ~F.array_contains(strings(X.OWN_PLACES), p))
 
 
@@ -217,33 +224,33 @@ def content(text: Column, catalogue_tokens: Column | None = None) -> Column:
 
 
 def close_sentence(text: Column) -> Column:
-    """Cut after the last boundary; unchanged if there is none."""
+    """Cut after the last boundary, without white space at the end; unchanged if there is none."""
     cut = F.regexp_extract(text, "(?s)^.*[.!?\\n]", 0)
-    return F.when(cut == "", text).otherwise(cut)
+    return F.when(cut == "", text).otherwise(F.rtrim(cut, F.lit(" \t\n\x0b\f\r")))
 
 
 def units(text: Column) -> Column:
     """Sentences with their boundary, and what remains."""
     found = F.regexp_extract_all(text, F.lit("[^.!?\\n]*[.!?\\n]"), 0)
-    rest = F.substring(text, F.char_length(F.regexp_extract(text, "(?s)^.*[.!?\\n]", 0)) + 1, F.char_length(text))
+    rest = F.substring(text, F.char_length(F.array_join(found, "")) + 1, F.char_length(text))
     return F.when(rest == "", found).otherwise(F.concat(found, F.array(rest)))
 
 
 def admissible_years(label: Column) -> Column:
-    return F.transform(F.split(F.lower(label), " o "), lambda x: F.btrim(x))
+    """The ordinals of a label, normalised and without the word for year."""
+    bare = F.btrim(F.replace(normalize(label), F.lit(" curso"), F.lit("")))
+    return F.filter(F.transform(F.split(bare, " o "), lambda x: F.btrim(x)), lambda x: x != "")
 
 
 def as_written(name: Column) -> Column:
     """Sentence case for names in capitals; words in parentheses stay."""
-    words = F.transform(
-        F.split(name, " "),
-        lambda w, i: F.when(F.startswith(w, F.lit("(")), w).when(i == 0, F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))).otherwise(F.lower(w)),
-    )
-    return F.when((F.upper(name) == name) & (F.lower(name) != name), F.array_join(words, " ")).otherwise(name)
+    words = F.transform(F.split(squeeze(name), " "), lambda w: F.when(F.startswith(w, F.lit("(")), w).otherwise(F.lower(w)))
+    said = F.array_join(words, " ")
+    return F.when((F.upper(name) == name) & (F.lower(name) != name), F.concat(F.upper(F.substr(said, F.lit(1), F.lit(1))), F.substr(said, F.lit(2)))).otherwise(name)
 
 
 def looks_binary(text: Column) -> Column:
-    signs = F.length(text) - F.length(F.regexp_replace(text, "[\\x00-\\x08\\x0E-\\x1F]", ""))
+    signs = F.length(text) - F.length(F.regexp_replace(text, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", ""))
     return F.contains(text, F.lit("%PDF")) | (signs > 0.02 * F.length(text))
 
 
@@ -277,9 +284,9 @@ def unadorned(text: Column) -> Column:
 
 
 def redact_personal(text: Column) -> Column:
-    """E-mail addresses and separate numbers of nine digits become empty."""
-    mail = F.regexp_replace(text, "[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+\\.[A-Za-z0-9_]+", "")
-    return F.regexp_replace(mail, "(^|[^0-9A-Za-z_])[0-9]{9}($|[^0-9A-Za-z_])", "$1$2")
+    """E-mail addresses and separate numbers of nine digits become empty, whatever stands beside them."""
+    mail = F.regexp_replace(text, "(?U)[\\w.-]+@[\\w.-]+\\.\\w+", "")
+    return F.regexp_replace(mail, "(?U)(?<!\\w)\\d{9}(?!\\w)", "")
 
 
 def safe_name(text: Column) -> Column:

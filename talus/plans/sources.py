@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talus.functions import fixed as X
 from talus.functions import text as T
-from talus.plans.text import LABEL, NORMAL
+from talus.plans.text import LABEL, redacted_sql
 from talus.session import table
 from talus.sources import guide as U
 from talus.sources import web as P
@@ -47,7 +47,7 @@ def page_text_fallback(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", F.md5(P.text_or_fallback(head, P.strip_tags(html), 40)).alias("text"))
 
 
-_HEADINGS = "case when p_size % 9 = 0 then 'Código' when p_size % 9 = 1 then 'Asignatura' when p_size % 9 = 2 then 'CARÁCTER' when p_size % 9 = 3 then 'Tipo' when p_size % 9 = 4 then 'Mención' when p_size % 9 = 5 then 'Créditos ECTS' when p_size % 9 = 6 then 'ECTS' else p_name end"
+_HEADINGS = "case when p_size % 9 = 0 then 'Código' when p_size % 9 = 1 then 'Asignatura' when p_size % 9 = 2 then 'CARÁCTER' when p_size % 9 = 3 then 'Tipo' when p_size % 9 = 4 then 'Mención' when p_size % 9 = 5 then 'Créditos ECTS' when p_size % 9 = 6 then 'Nº ECTS' else p_name end"
 
 
 def header_map(spark, sf_dir):
@@ -63,7 +63,10 @@ def html_tables(spark, sf_dir):
     return P.table_rows(page.select("page_id", html.alias("html"))).select("page_id", "table", F.col("code").cast("bigint").alias("code"), "name", "kind", "ects")
 
 
-_STEPS = "case when p_partkey % 7 = 0 then 'Primer curso' when p_partkey % 7 = 2 then 'Segundo Cuatrimestre' when p_partkey % 11 = 5 then 'Optativas' when p_partkey % 13 = 3 then 'Tercero curso' else p_name end"
+_STEPS = (
+    "case when p_partkey % 7 = 0 then 'Primer curso' when p_partkey % 7 = 2 then 'Segundo Cuatrimestre' when p_partkey % 11 = 5 then 'Asignaturas optativas' "
+    "when p_partkey % 11 = 6 then 'Cuarto curso, primer cuatrimestre' when p_partkey % 11 = 7 then 'Optativas del segundo cuatrimestre' when p_partkey % 13 = 3 then 'Tercero curso' else p_name end"
+)
 
 
 def nearest_label(spark, sf_dir):
@@ -122,13 +125,12 @@ _SQ = "trim(regexp_replace({0}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
 _ITEMS = f"list_filter(list_transform(regexp_extract_all(html, '<li>(.*?)</li>', 1), lambda x: {_STRIP.format('x')}), lambda x: x <> '')"
 _UNIQUE = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
 _PARAS = f"list_filter(list_transform(regexp_extract_all(html, '<p>([^<]*)', 1), lambda x: {_SQ.format('x')}), lambda x: x <> '')"
-_FIELD = "case " + " ".join(f"when starts_with({LABEL.format('label')}, '{p}') then '{f}'" for p, f in P.FIELDS.items()) + " end"
+_FIELD = "case " + " ".join(f"when starts_with({LABEL.format('label')}, '{p}') then '{f}'" for p, f in P.FIELDS.items()) + f" when contains({LABEL.format('label')}, 'ects') then 'ects' end"
 _ONE = "replace(substr(text, 1, 80), chr(10), ' ')"
 _KIND = "case when doc_id % 4 = 1 then 'other' when doc_id % 5 = 1 then 'empty' when doc_id % 7 = 1 then 'blank' else 'full' end"
 _G = f"(select doc_id, {_KIND} as kind, trim({_ONE}) as one, {_ONE} as raw from documents)"
 #: A summary line as the redaction leaves it; an address in the text itself goes as well.
-_RED = "regexp_replace(regexp_replace({0}, '[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+\\.[A-Za-z0-9_]+', '', 'g'), '(^|[^0-9A-Za-z_])[0-9]{{9}}($|[^0-9A-Za-z_])', '\\1\\2', 'g')"
-_LAB = f"(select *, {NORMAL.format('label')} as low from (select p_brand, p_partkey, {_STEPS} as label from part))"
+_LAB = f"(select *, {LABEL.format('label')} as low from (select p_brand, p_partkey, {_STEPS} as label from part))"
 _LINES = "case kind when 'full' then ['FICHA IDENTIFICATIVA', 'x', 'RESUMEN', trim(raw || ' mail a.b@c.es 123456789'), 'PROFESORADO', 'Nadie', 'DESCRIPCIÓN DE CONTENIDOS', one, 'BIBLIOGRAFÍA', 'fin'] when 'other' then ['Otro', one] when 'empty' then ['RESUMEN', 'PROFESORADO', 'x'] else []::varchar[] end"
 ORACLES = {
     "page_links": f"select page_id, pos, regexp_extract(a, '<a href=\"([^\"]*)\"', 1) as href, regexp_extract(a, '>([^<]*)</a>', 1) as label from {_LINKS}",
@@ -139,9 +141,16 @@ ORACLES = {
     "page_text_fallback": f"select page_id, md5(case when length(h) < 40 then {_STRIP.format('html')} else h end) as text from (select page_id, html, {_SQ.format(chr(39).join(['regexp_extract(html, ', '<h1>([^<]*)</h1>', ', 1)']))} as h from pages)",
     "header_map": f"select p_brand, field, min(p_partkey) as p_partkey from (select p_brand, p_partkey, {_FIELD} as field from (select p_brand, p_partkey, {_HEADINGS} as label from part)) where field is not null group by p_brand, field",
     "html_tables": "select p_partkey % 50 as page_id, 0 as \"table\", p_partkey as code, p_name as name, p_type as kind, '6' as ects from part",
-    "nearest_label": f"with s as (select *, sum(starts_with(low, 'optativ')::int) over (partition by p_brand order by p_partkey) as part from {_LAB}) select p_brand, p_partkey, label, last_value(nullif(regexp_extract(low, '(primer|segundo) cuatrimestre', 1), '') ignore nulls) over (partition by p_brand, part order by p_partkey) as term, last_value(nullif(regexp_extract(low, '(primer[o]?|segundo|tercer[o]?|cuarto|quinto|sexto) curso', 1), '') ignore nulls) over (partition by p_brand, part order by p_partkey) as year from s",
+    "nearest_label": (
+        # each row walks back by itself: the nearest heading that says something, then the one before it
+        f"with h as (select p_brand, p_partkey as at, nullif(regexp_extract(low, '{P.TERM}', 1), '') as t, nullif(regexp_extract(low, '{P.YEAR}', 1), '') as y, contains(low, 'optativ') as o from {_LAB}), "
+        "k as (select * from h where t is not null or y is not null or o), "
+        f"n as (select s.p_brand, s.p_partkey, s.label, max(k.at) as a from {_LAB} s left join k on k.p_brand = s.p_brand and k.at <= s.p_partkey group by all), "
+        "m as (select n.p_brand, n.p_partkey, n.label, k.t, k.y, k.o, max(z.at) as b from n left join k on k.p_brand = n.p_brand and k.at = n.a left join k z on z.p_brand = n.p_brand and z.at < n.a and (z.y is not null or z.o) group by all) "
+        "select m.p_brand, m.p_partkey, m.label, m.t as term, case when m.t is not null then case when z.o then null else z.y end when m.o then null else m.y end as year from m left join k z on z.p_brand = m.p_brand and z.at = m.b"
+    ),
     "format_sniff": "select doc_id, doc_id % 3 = 0 or doc_id % 5 = 0 or starts_with(text, '%PDF-') as pdf from documents",
-    "guide_extraction": f"select doc_id, case when kind = 'full' then {_RED.format(chr(39).join(['trim(raw || ', ' mail a.b@c.es 123456789', ')']))} end as summary, case when kind = 'full' then {_RED.format('one')} end as contents from {_G}",
+    "guide_extraction": f"select doc_id, case when kind = 'full' then {redacted_sql(chr(39).join(['trim(raw || ', ' mail a.b@c.es 123456789', ')']))} end as summary, case when kind = 'full' then {redacted_sql('one')} end as contents from {_G}",
     "guide_lines": f"select doc_id, len(ls) as n, md5(array_to_string(ls, '|')) as lines from (select doc_id, list_filter({_LINES}, lambda x: x <> '') as ls from {_G})",
     "section_slice": f"select doc_id, case kind when 'full' then 'Nadie' when 'empty' then 'x' end as staff from {_G}",
     "no_guide_reason": f"select doc_id, case when doc_id % 9 = 0 then 'ilegible' when kind = 'blank' then 'sin_texto' when kind = 'other' then 'rotulos_desconocidos' when kind = 'empty' then 'secciones_vacias' end as reason from {_G}",

@@ -52,7 +52,11 @@ _COURTESY = (
     f"case when len({_SAID}) > 0 and {sql_subset(_SAID, _list(X.COURTESY))} then case when list_has_any({_SAID}, {_list(X.FAREWELL)}) then 'farewell' "
     f"when list_has_any({_SAID}, {_list(X.GREETING)}) or {_PAIRS} then 'greeting' end end"
 )
-_PLACES = f"regexp_extract_all({NORMAL.format('text')}, '(?:universidad|escuela|facultad|campus) (?:de |del |en )([a-z]+)', 1)"
+_LADDER = (
+    f"case when list_has_any({_SAID}, {_list(X.FAREWELL)}) and not contains(text, '?') then 'farewell' when list_has_any({_SAID}, {_list(X.GREETING)}) then 'greeting' "
+    f"when contains(text, '?') or list_has_any({_SAID}, {_list(X.INTERROGATIVES)}) then null when len({_SAID}) <= 2 then 'greeting' end"
+)
+_PLACES = f"regexp_extract_all({NORMAL.format('text')}, '{X.CENTRE}', 1)"
 _OTHER = f"len(list_filter({_PLACES}, lambda p: not list_contains({_list(X.OWN_PLACES)}, p))) > 0"
 _BARE = f"regexp_replace(text, {_quote(X.QUOTED)}, ' ', 'g')"
 _ADVICE = f"(list_has_any({sql_tokens(_BARE)}, {_list(X.ADVICE)}) or len(list_filter({_list(X.ADVICE_PHRASES)}, lambda p: contains({NORMAL.format(_BARE)}, p))) > 0)"
@@ -62,7 +66,8 @@ SAMPLES = [
     "¡Hola!", "Hola, ¿qué tal?", "Muchas gracias", "gracias, ¿y qué asignaturas tiene?", "me gusta la idea, muchas gracias", "Buenos días", "¿Cómo va?",
     "vale", "buen día", "No sé qué estudiar", "¿Qué asignaturas tiene Ingeniería Informática?", 'Traduce "qué carrera me recomiendas"', "Me gustan las matemáticas",
     "¿Y la Universidad de Granada?", "Háblame de la Universidad de Jaén", "la facultad de derecho", "¿Cuáles de esas son optativas?", "¿Y en segundo?", "",
-    "hasta luego", "hey", "q tal", "Explícame los créditos de Física",
+    "hasta luego", "hey", "q tal", "Explícame los créditos de Física", "si claro", "hola q tal tio", "campus de las Lagunillas", "Universidad Politécnica de Valencia",
+    "la Escuela Politécnica Superior de Linares", "Universitat de Girona", "resúmeme la guerra", "gracias dime algo",
 ]
 _SAMPLE_SQL = f"(select conv_id, turn, text from conversations union all select -1 - i as conv_id, 0 as turn, s as text from (select unnest({_list(SAMPLES)}) as s, unnest(range({len(SAMPLES)})) as i))"
 
@@ -120,16 +125,26 @@ _UNITS = "list_concat(regexp_extract_all(text, '[^.!?\\n]*[.!?\\n]'), list_filte
 _MENTION_CELL = "p_name || ' / ' || p_brand || '/ ' || p_name || ' /'"
 _ORDER_SQL = "case when trim(coalesce(year, '')) = '' then 99 " + " ".join(f"when starts_with(lower(trim(year)), '{o}') then {i}" for i, o in enumerate(X.YEAR_ORDER)) + " else 98 end"
 _DEGREES = "case when p_size % 2 = 0 then [p_brand] else [p_brand, p_type] end"
+#: The sentences as a reader of the rule would write them, case by case.
 _PLACE_SQL = (
-    "case when term = '' and coalesce(year, '') = '' then 'La fuente no publica el curso ni el cuatrimestre.' when coalesce(year, '') = '' then 'Se imparte en el ' || lower(term) || '.' "
-    "when term = '' then 'Se imparte en el ' || lower(year) || '.' else 'Se imparte en el ' || lower(term) || ' de ' || lower(year) || '.' end"
+    "case when coalesce(year, '') <> '' and term <> '' then 'el ' || lower(term) || ' de ' || lower(year) when coalesce(year, '') <> '' then 'el ' || lower(year) "
+    "when term <> '' then 'el ' || lower(term) || ', sin curso asignado en el plan' else '' end"
 )
-_CREDITS_SQL = "case when ects = '' then 'sin créditos publicados' else 'de ' || ects || ' ECTS' end"
-_WHERE_SQL = f"case when len({_DEGREES}) = 1 then 'del ' || p_brand else 'impartida en 2 titulaciones: ' || array_to_string({_DEGREES}, '; ') end"
+_CREDITS_SQL = "case when ects = '' then ' (créditos no publicados)' else ' (' || ects || ' ECTS)' end"
+_WHERE_SQL = f"case when len({_DEGREES}) = 1 then ' del ' || p_brand || ' (mención: ' || p_type || ')' else ' impartida en 2 titulaciones: ' || p_brand || '; ' || p_type end"
+_LABEL_SQL = case_of("upper(trim(kind))", X.TYPE_LABELS, "'asignatura (' || upper(trim(kind)) || ')'")
 _HEAD_SQL = (
-    f"concat_ws(' ', '«' || name || '»: ' || {case_of('p_type_', X.TYPE_LABELS, _quote('asignatura'))} || ' ' || {_CREDITS_SQL} || ' ' || {_WHERE_SQL} || '.', "
-    f"case when len({_DEGREES}) = 1 then 'Mención: ' || p_type || '.' end, {_PLACE_SQL}, case when p_size % 7 = 0 then 'No se oferta.' end)"
-).replace("p_type_", "upper(trim(kind))")
+    f"'«' || name || '», ' || {_LABEL_SQL} || case when ects = '' then '' else ' de ' || ects || ' ECTS' end || {_WHERE_SQL} "
+    f"|| case when {_PLACE_SQL} = '' then '' else '. Se imparte en ' || {_PLACE_SQL} end || case when p_size % 7 = 0 then '. No ofertada en el curso rastreado' else '' end "
+    "|| case when ects = '' then '. La web de la EPSJ no publica sus créditos' else '' end || '.'"
+)
+_MAIL = "regexp_replace({0}, '[\\p{{L}}\\p{{Nd}}_.-]+@[\\p{{L}}\\p{{Nd}}_.-]+\\.[\\p{{L}}\\p{{Nd}}_]+', '', 'g')"
+_PHONE = "regexp_replace({0}, '(^|[^\\p{{L}}\\p{{Nd}}_])[0-9]{{9}}($|[^\\p{{L}}\\p{{Nd}}_])', '\\1\\2', 'g')"
+
+
+def redacted_sql(e: str) -> str:
+    """A number of nine digits takes its neighbours along, so a second pass meets those that share one."""
+    return _PHONE.format(_PHONE.format(_MAIL.format(e)))
 
 
 def _degrees():
@@ -148,29 +163,29 @@ on(S, "b09_placeholder", {"placeholder": (lambda: T.is_placeholder(C("name")), "
 on(S, "b10_valid_subject", {"valid": (lambda: T.is_valid_subject(C("name"), T.normalize_type(C("kind"))), f"name <> '' and not regexp_matches(trim(name), '(?i)^optativa[ \\t]+[0-9]+$') and upper({case_of('lower(trim(kind))', X.TYPE_SYNONYMS, 'trim(kind)')}) in {tuple(X.VALID_TYPES)}")})
 on(P, "b11_year_of_url", {"none": (lambda: T.year_of_url(C("url")), "nullif(regexp_extract(url, '/([0-9]{4}-[0-9]{2})/', 1), '')"), "year": (lambda: T.year_of_url(F.concat(C("url"), F.lit("/2024-25/guia"))), "regexp_extract(url || '/2024-25/guia', '/([0-9]{4}-[0-9]{2})/', 1)")})
 on(S, "b12_split_mentions", {"mentions": (lambda: F.array_join(T.split_mentions(F.expr(_MENTION_CELL)), "|"), "p_name || '|' || p_brand")})
-on(S, "b13_core_name", {"core": (lambda: T.core(C("name")), SQUEEZE.format("regexp_replace(" + NORMAL.format("regexp_replace(name, '[ \\t]*\\([^)]*\\)', '', 'g')") + ", 'ing\\.', 'ingenieria', 'g')"))})
+on(S, "b13_core_name", {"core": (lambda: T.core(C("name")), "array_to_string(list_transform(string_split(" + NORMAL.format("regexp_replace(name, '[ \\t]*\\([^)]*\\)', ' ', 'g')") + ", ' '), lambda w: case when w = 'ing.' then 'ingenieria' else w end), ' ')")})
 on(S, "b14_without_study_type", {"name": (lambda: T.without_study_type(T.normalize(C("name"))), f"regexp_replace({NORMAL.format('name')}, '^(doble +)?grado +en +', '')")})
 on(S, "b15_credits_placement", {"credits": (lambda: T.credits(C("ects")), _CREDITS_SQL), "placement": (lambda: T.placement(C("term"), C("year")), _PLACE_SQL)})
 on(S, "b16_subject_header", {"header": (lambda: T.subject_header(C("name"), F.upper(F.btrim("kind")), C("ects"), _degrees(), F.array("p_type"), C("term"), C("year"), C("p_size") % 7 != 0), _HEAD_SQL)})
-on(S, "b17_plain_header", {"header": (lambda: T.plain_header(C("name"), _degrees()), f"'«' || name || '»' || case when len({_DEGREES}) = 1 then ', ' || p_brand else ', en ' || array_to_string({_DEGREES}, '; ') end")})
+on(S, "b17_plain_header", {"header": (lambda: T.plain_header(C("name"), _degrees()), f"'«' || name || '», asignatura ' || case when len({_DEGREES}) = 1 then 'del ' || p_brand else 'impartida en: ' || p_brand || '; ' || p_type end || '.'")})
 on(S, "b18_year_order", {"place": (lambda: T.year_order(C("year")), _ORDER_SQL)})
 on(S, "b19_duration", {"highest": (lambda: T.highest_year(C("year")), "greatest(" + ", ".join(f"case when contains(lower(coalesce(year, '')), '{o}') then {i + 1} else 0 end" for i, o in enumerate(X.YEAR_ORDER)) + ")")})
-on(S, "b20_year_of_listing", {"place": (lambda: T.year_of_listing(F.concat(F.lit("Asignaturas de "), F.coalesce("year", F.lit("")))), "case " + " ".join(f"when contains(lower('Asignaturas de ' || coalesce(year, '')), 'de {o}') then {i}" for i, o in enumerate(X.YEAR_ORDER)) + " else 7 end")})
+on(S, "b20_year_of_listing", {"place": (lambda: T.year_of_listing(F.concat(F.lit("Asignaturas de "), F.coalesce("year", F.lit("")))), "case " + " ".join(f"when contains(lower('Asignaturas de ' || coalesce(year, '')), 'de {o}') then {i + 1}" for i, o in enumerate(X.YEAR_ORDER)) + " else 7 end")})
 on(D, "b22_prefix", {"passage": (lambda: F.md5(F.concat(F.lit(X.PASSAGE_PREFIX), C("text"))), "md5('passage: ' || text)"), "query": (lambda: F.md5(F.concat(F.lit(X.QUERY_PREFIX), C("text"))), "md5('query: ' || text)")})
 on(M, "b23_expand", {"expanded": (lambda: F.md5(T.expand(C("text"))), f"md5(text || ' ' || {_quote(X.DOMAIN_SENTENCE)})")})
 on(M, "b24_asks_advice", {"advice": (lambda: T.asks_advice(C("text")), _ADVICE)})
 on(M, "b25_courtesy", {"courtesy": (lambda: T.courtesy(C("text")), _COURTESY)})
 on(M, "b26_closes", {"closes": (lambda: T.closes(C("text")), _CLOSES)})
-on(M, "b27_courtesy_without_context", {"courtesy": (lambda: T.courtesy_without_context(C("text")), f"case when {_CLOSES} then 'farewell' when len({_SAID}) <= 2 and list_has_any({_SAID}, {_list(X.GREETING)}) then 'greeting' end")})
+on(M, "b27_courtesy_without_context", {"courtesy": (lambda: T.courtesy_without_context(C("text")), _LADDER)})
 on(M, "b28_other_centre", {"other": (lambda: T.other_centre(C("text")), _OTHER)})
 on(M, "b29_fixed_reply", {"reply": (lambda: T.fixed_reply(C("text")), f"coalesce({_COURTESY}, case when {_CLOSES} then 'farewell' end, case when {_OTHER} then 'other_centre' end)")})
 on(M, "b30_narrows", {"narrows": (lambda: T.narrows(C("text")), f"len(list_filter({_list(X.ANAPHORA)}, lambda p: contains({NORMAL.format('text')}, p))) > 0")})
 on(M, "b31_content", {"content": (lambda: joined(T.content(C("text"))), SORTED.format(f"list_filter({_SAID}, lambda z: not list_contains({_list(X.STOPWORDS + X.ORDINALS)}, z))"))})
-on(D, "b32_close_sentence", {"cut": (lambda: F.md5(T.close_sentence(F.concat(C("text"), F.lit(" and more")))), "md5(case when regexp_extract(text || ' and more', '(?s)^.*[.!?\\n]') = '' then text || ' and more' else regexp_extract(text || ' and more', '(?s)^.*[.!?\\n]') end)")})
+on(D, "b32_close_sentence", {"cut": (lambda: F.md5(T.close_sentence(F.concat(C("text"), F.lit(". \n and more")))), "md5(rtrim(text || '. ' || chr(10), ' ' || chr(10)))")})
 on(D, "b33_units", {"n_units": (lambda: F.size(T.units(C("text"))), f"len({_UNITS})"), "units": (lambda: F.md5(F.array_join(T.units(C("text")), "|")), f"md5(array_to_string({_UNITS}, '|'))")})
-on(S, "b34_admissible_years", {"years": (lambda: F.array_join(T.admissible_years(C("year")), "|"), "replace(lower(year), ' o ', '|')")})
+on(S, "b34_admissible_years", {"years": (lambda: F.array_join(T.admissible_years(C("year")), "|"), "case when p_size % 8 = 7 then '' when p_size % 8 = 6 then 'tercer|cuarto' when p_size % 8 = 5 then 'libre' when year is not null then lower(replace(year, ' curso', '')) end")})
 on(S, "b35_as_written", {"name": (lambda: T.as_written(C("name")), "case when p_size % 7 = 3 then upper(substr(p_name, 1, 1)) || lower(substr(p_name, 2)) || ' (GIE)' else name end")})
-on(D, "b36_looks_binary", {"binary": (lambda: T.looks_binary(C("text")), "contains(text, '%PDF') or length(text) - length(regexp_replace(text, '[\\x00-\\x08\\x0E-\\x1F]', '', 'g')) > 0.02 * length(text)"), "sniffed": (lambda: T.looks_binary(F.concat(F.lit("%PDF-1.4"), C("text"))), "true")})
+on(D, "b36_looks_binary", {"binary": (lambda: T.looks_binary(C("text")), "contains(text, '%PDF') or length(text) - length(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')) > 0.02 * length(text)"), "sniffed": (lambda: T.looks_binary(F.concat(F.lit("%PDF-1.4"), C("text"))), "true")})
 on(D, "b37_position_of_id", {"chunk_id": (lambda: F.format_string("chunk-%04d", C("doc_id")), "printf('chunk-%04d', doc_id)"), "position": (lambda: T.position_of_id(F.format_string("chunk-%04d", C("doc_id"))), "cast(doc_id as integer)")})
 on(S, "b38_labels", {"label": (lambda: T.label(C("p_name"), _degrees()), f"p_name || ' — ' || array_to_string({_DEGREES}, ' · ')"), "source": (lambda: T.source_label(F.when(C("p_size") % 3 == 0, F.lit("guia")).when(C("p_size") % 3 == 1, F.lit("salidas")).otherwise(C("p_type"))), "case when p_size % 3 = 0 then 'Guía docente' when p_size % 3 = 1 then 'Salidas profesionales' else p_type end")})
 on(S, "b39_list_ornaments", {
@@ -178,6 +193,10 @@ on(S, "b39_list_ornaments", {
     "from_capital": (lambda: T.from_capital(F.expr("'la asignatura ' || upper(substr(p_name, 1, 1)) || substr(p_name, 2)")), "regexp_extract('la asignatura ' || upper(substr(p_name, 1, 1)) || substr(p_name, 2), '(?:^| )([A-ZÁÉÍÓÚÑ].*)$', 1)"),
     "bare": (lambda: T.unadorned(F.expr("'** `' || p_name || '` **'")), "p_name"),
 })
-on(D, "a14_redact_personal", {"redacted": (lambda: F.md5(T.redact_personal(C("text"))), "md5(regexp_replace(regexp_replace(text, '[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+\\.[A-Za-z0-9_]+', '', 'g'), '(^|[^0-9A-Za-z_])[0-9]{9}($|[^0-9A-Za-z_])', '\\1\\2', 'g'))")})
+_CALLS = "' 612345678 698765432,600000001 x612345670 é612345671 á.b@c.es 6123456789'"
+on(D, "a14_redact_personal", {
+    "redacted": (lambda: F.md5(T.redact_personal(C("text"))), f"md5({redacted_sql('text')})"),
+    "called": (lambda: F.md5(T.redact_personal(F.concat("text", F.expr(_CALLS)))), f"md5({redacted_sql('text')} || '  , x612345670 é612345671  6123456789')"),
+})
 on(P, "a18_safe_name", {"name": (lambda: T.safe_name(C("url")), "coalesce(nullif(regexp_replace(url, '[^A-Za-z0-9_-]', '', 'g'), ''), 'sin_codigo')"), "none": (lambda: T.safe_name(F.lit("¿?")), "'sin_codigo'")})
 

@@ -60,8 +60,9 @@ def text_or_fallback(structured: Column, whole: Column, least: int = 200) -> Col
     return F.when(F.char_length(structured) < least, whole).otherwise(structured)
 
 
-#: Header labels by prefix, as fields.
-FIELDS = {"codigo": "code", "asignatura": "name", "tipo": "kind", "caracter": "kind", "mencion": "mention", "ects": "ects", "credito": "ects"}
+#: Header labels by prefix, as fields; any other label with ``CREDITS`` in it is one of credits too.
+FIELDS = {"codigo": "code", "asignatura": "name", "tipo": "kind", "caracter": "kind", "mencion": "mention", "credito": "ects"}
+CREDITS = "ects"
 
 
 def field_of(label: Column) -> Column:
@@ -70,7 +71,7 @@ def field_of(label: Column) -> Column:
     out = F.when(F.lit(False), F.lit(""))
     for prefix, name in FIELDS.items():
         out = out.when(F.startswith(bare, F.lit(prefix)), F.lit(name))
-    return out
+    return out.when(F.contains(bare, F.lit(CREDITS)), F.lit("ects"))
 
 
 def header_map(cells: DataFrame, key: str, position: str, label: str) -> DataFrame:
@@ -94,7 +95,8 @@ def read_tables(html: str) -> list[tuple[int, dict[str, str]]]:
             continue
         place: dict[str, int] = {}
         for i, label in enumerate(rows[0]):
-            name = next((f for p, f in FIELDS.items() if normalize(label).startswith(p)), None)
+            bare = normalize(label)
+            name = next((f for p, f in FIELDS.items() if bare.startswith(p)), "ects" if CREDITS in bare else None)
             if name:
                 place.setdefault(name, i)
         if not {"name", "ects"} <= place.keys() or not place.keys() & {"kind", "mention"}:
@@ -117,15 +119,26 @@ def table_rows(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInArrow(run, "page_id bigint, table int, code string, name string, kind string, mention string, ects string")
 
 
+TERM, YEAR, ELECTIVE = "(primer|segundo) cuatrimestre", "(primer[o]?|segundo|tercer[o]?|cuarto|quinto|sexto) curso", "optativ"
+
+
 def nearest_labels(sequence: DataFrame, key: str, position: str, label: str) -> DataFrame:
-    """With the term and the year of the headings before a row; a heading of electives ends their reach."""
+    """With the term and the year that the headings up to a row say.
+
+    Seen from the row, the nearest heading that says a term or a year or ``ELECTIVE`` counts. One that says a term gives it, and the
+    next such heading before it gives the year; a year alone leaves the term open; an elective leaves both open. Each heading
+    thus settles what the rows after it get, with one look at the headings before it.
+    """
+    low = T.normalize_label(F.col(label))
+    found = lambda p: F.nullif(F.regexp_extract(low, p, 1), F.lit(""))
+    elective = F.contains(low, F.lit(ELECTIVE))
+    own = F.when(elective | found(YEAR).isNotNull(), F.struct(F.when(~elective, found(YEAR)).alias("year")))
     w = Window.partitionBy(key).orderBy(position)
-    low = T.normalize(F.col(label))
-    part = F.sum(F.startswith(low, F.lit("optativ")).cast("int")).over(w)
-    out = sequence.withColumn("_part", part)
-    v = Window.partitionBy(key, "_part").orderBy(position)
-    take = lambda p: F.last(F.nullif(F.regexp_extract(low, p, 1), F.lit("")), ignorenulls=True).over(v)
-    return out.withColumn("term", take("(primer|segundo) cuatrimestre")).withColumn("year", take("(primer[o]?|segundo|tercer[o]?|cuarto|quinto|sexto) curso")).drop("_part")
+    out = sequence.withColumn("_own", own).withColumn("_before", F.last("_own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    said = F.when(found(TERM).isNotNull(), F.struct(found(TERM).alias("term"), F.col("_before.year").alias("year")))
+    said = said.when(F.col("_own").isNotNull(), F.struct(F.lit(None).cast("string").alias("term"), F.col("_own.year").alias("year")))
+    out = out.withColumn("_said", F.last(said, ignorenulls=True).over(w))
+    return out.withColumns({"term": F.col("_said.term"), "year": F.col("_said.year")}).drop("_own", "_before", "_said")
 
 
 def is_pdf(content_type: Column, body: Column) -> Column:

@@ -63,9 +63,56 @@ CASES = [
     (T.year_order, " ", 99),
     (T.year_order, "Libre", 98),
     (T.highest_year, "Tercer o cuarto curso", 4),
+    (T.core, "marketing. digital", "marketing. digital"),
+    (T.year_of_listing, "Asignaturas de primer curso", 1),
+    (T.year_of_listing, "Asignaturas optativas", 7),
+    (T.courtesy_without_context, "si claro", "greeting"),
+    (T.courtesy_without_context, "hola q tal tio", "greeting"),
+    (T.courtesy_without_context, "resúmeme la guerra", None),
+    (T.courtesy_without_context, "gracias dime algo", "farewell"),
+    (T.courtesy_without_context, "¿y ahora?", None),
+    (T.other_centre, "campus de las Lagunillas", False),
+    (T.other_centre, "Universidad Politécnica de Valencia", True),
+    (T.other_centre, "la Escuela Politécnica Superior de Linares", True),
+    (T.other_centre, "la Escuela Politécnica Superior de Jaén", False),
+    (T.other_centre, "Universitat de Girona", True),
+    (T.close_sentence, "Uno. \n Dos", "Uno."),
+    (T.admissible_years, "Tercer o cuarto curso", ["tercer", "cuarto"]),
+    (T.admissible_years, " Cuarto  o  tercer curso ", ["cuarto", "tercer"]),
+    (T.as_written, "A" * 1500, "A" + "a" * 1499),
+    (T.as_written, "(GIE) CÁLCULO", "(GIE) cálculo"),
+    (T.looks_binary, "a\x0b\x0cb", True),
+    (T.looks_binary, "a\n\r\tb", False),
+    (T.redact_personal, "612345678 698765432", " "),
+    (T.redact_personal, "á.ñ@c.es,x612345678 é612345678", ",x612345678 é612345678"),
+    (T.credits, "4,5", " (4,5 ECTS)"),
+    (T.credits, None, " (créditos no publicados)"),
 ]
 
 
+def test_headers(spark):
+    schema = "name string, kind string, ects string, degrees array<string>, mentions array<string>, term string, year string, offered boolean"
+    rows = [
+        ("Física", "FB", "6", ["Grado A"], ["M1", "M2"], "Primer cuatrimestre", "Primer curso", True),
+        ("Física", "OB", "", ["Grado A", "Grado B"], ["M1"], "Segundo cuatrimestre", "", False),
+        ("Física", "XX", None, ["Grado A"], [], "", " Tercer curso ", None),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    got = df.select(T.subject_header(*map(F.col, schema.replace(",", "").split()[::2])).alias("h"), T.plain_header(F.col("name"), F.col("degrees")).alias("p")).collect()
+    assert [r.h for r in got] == [
+        "«Física», asignatura de formación básica de 6 ECTS del Grado A (mención: M1, M2). Se imparte en el primer cuatrimestre de primer curso.",
+        "«Física», asignatura obligatoria impartida en 2 titulaciones: Grado A; Grado B. Se imparte en el segundo cuatrimestre, sin curso asignado en el plan. "
+        "No ofertada en el curso rastreado. La web de la EPSJ no publica sus créditos.",
+        "«Física», asignatura (XX) del Grado A. Se imparte en el tercer curso. La web de la EPSJ no publica sus créditos.",
+    ]
+    assert [r.p for r in got[:2]] == ["«Física», asignatura del Grado A.", "«Física», asignatura impartida en: Grado A; Grado B."]
+
+
+@pytest.mark.parametrize("text", ["campus de las Lagunillas", "Universidad Politécnica de Valencia", "hola", "si claro", "Universidad de Jaén"])
+def test_fixed_reply_twin_agrees(apply, text):
+    assert P.fixed_reply(text) == (apply(T.fixed_reply, text)[0] is not None)
+
+
 @pytest.mark.parametrize("function,value,want", CASES)
 def test_text(apply, function, value, want):
     assert apply(function, value) == [want]
