@@ -15,6 +15,21 @@ def recall_at_k(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     return total.join(hits, "query_id", "left").select("query_id", (F.coalesce("hits", F.lit(0)) / F.col("total")).alias("recall"), "total")
 
 
+def recall_of_hits(found: DataFrame, total: DataFrame, k: int) -> DataFrame:
+    """As ``recall_at_k``, from the best rows with a flag ``hit`` and each query's number of relevant chunks."""
+    hits = found.where(F.col("rank") <= k).groupBy("query_id").agg(F.sum("hit").alias("hits"))
+    return total.join(hits, "query_id", "left").select("query_id", (F.coalesce("hits", F.lit(0)) / F.col("total")).alias("recall"), "total")
+
+
+def missing_runs(ledger: DataFrame, most: int = 1000) -> DataFrame:
+    """(model, id) that ``ledger(model, id)`` lacks, of all its models (``most`` at most) and ids."""
+    models = sorted(r[0] for r in ledger.select("model").distinct().limit(most + 1).collect())
+    if len(models) > most:
+        raise ValueError(f"more than {most} models")
+    have = ledger.groupBy("id").agg(F.collect_set("model").alias("have"))
+    return have.select("id", F.explode(F.array_except(F.array(*map(F.lit, models)) if models else F.array().cast("array<string>"), "have")).alias("model"))
+
+
 def unit_recall_at_k(ranked: DataFrame, relevant: DataFrame, units: DataFrame, k: int) -> DataFrame:
     """As ``recall_at_k`` over units: the first ``k`` distinct units by their best rank."""
     best = ranked.join(units, "vec_id").groupBy("query_id", "unit").agg(F.min("rank").alias("rank"))
@@ -29,9 +44,9 @@ def reciprocal_rank(ranked: DataFrame, relevant: DataFrame, queries: DataFrame)
     return queries.select("query_id").join(first, "query_id", "left").select("query_id", F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"))
 
 
-def recall_ceiling(relevant: DataFrame, k: int) -> DataFrame:
-    n = relevant.groupBy("query_id").agg(F.count("*").alias("n"))
-    return n.agg(F.round(F.avg(F.least("n", F.lit(k)) / F.col("n")), 6).alias("ceiling"))
+def recall_ceiling(total: DataFrame, k: int) -> DataFrame:
+    """The best mean recall there is, from each query's number of relevant chunks."""
+    return total.agg(F.round(F.avg(F.least("total", F.lit(k)) / F.col("total")), 6).alias("ceiling"))
 
 
 def wilson(successes: Column, n: Column, z: float = X.Z95) -> Column:
@@ -63,11 +78,13 @@ def nearest_rank(values: str, share: float) -> Column:
 
 def stratified(rows: DataFrame, family: str, key: str, per_family: int, total: int, seed: int) -> DataFrame:
     """An equal quota from each family in seeded hash order, filled up from the rest; ``position`` keeps the original order."""
-    order = F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")))
-    numbered = rows.withColumn("_h", order).withColumn("_r", F.row_number().over(Window.partitionBy(family).orderBy("_h", key)))
-    # the first ``total`` in the order (quota first, then hash) are one short top-k, not a global window
-    top = numbered.withColumn("_q", F.col("_r") > per_family).orderBy("_q", "_h", key).limit(total)
-    return top.drop("_h", "_r", "_q")
+    hashed = rows.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string"))))
+    nth = F.row_number().over(Window.partitionBy(family).orderBy("_h", key))
+    quota = hashed.withColumn("_r", nth).where(F.col("_r") <= per_family).drop("_r")
+    # as many rows in hash order as the quota may take away still hold what fills up
+    rest = hashed.orderBy("_h", key).limit(total + quota.count()).join(quota.select(key), key, "left_anti")
+    both = quota.withColumn("_q", F.lit(0)).unionByName(rest.withColumn("_q", F.lit(1)))
+    return both.orderBy("_q", "_h", key).limit(total).drop("_h", "_q")
 
 
 def paired(ledger: DataFrame, a: str, b: str) -> DataFrame:

@@ -1,24 +1,26 @@
 """Exact vector search: ranking, pre-filters, relevance band, interleaved scopes, index tables.
 
-Queries are a stated set: they are sent to the executors in blocks of bounded size and multiplied with
-batches of vectors; each batch passes on its best ``k`` only, so what is shuffled does not grow with the
-number of vectors per batch. Filters belong before the search: a filter after it would not be the same.
+Queries are a stated set: up to ``BLOCK`` of them are sent to all executors and multiplied with batches of vectors; beyond
+that both sides are dealt into blocks, and each block of queries meets each block of vectors in a task. Batches and blocks
+pass on their best ``k`` only. Filters belong before the search: a filter after it would not be the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talus.functions import fixed as X
 
-#: Queries in one block: the only part that is sent to every executor.
-BLOCK = 4096
+#: Queries that are sent to all executors, or stand in one block; vectors in one block.
+BLOCK, VECTORS = 4096, 65_536
+#: Of the vectors, one in so many is a query.
+EVERY = 50
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,9 +31,9 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def probe_set(emb: DataFrame, below: int = 20) -> DataFrame:
-    """A stated query set: the first vectors by id."""
-    return emb.where(F.col("vec_id") < below).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+def probe_set(emb: DataFrame, every: int = EVERY, *extra: str) -> DataFrame:
+    """A stated query set, which grows with the table: the vectors whose id is divisible by ``every``."""
+    return emb.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), *extra)
 
 
 def _matrix(lists: pa.Array, rows: int) -> np.ndarray:
@@ -44,42 +46,98 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(n == 0, 1.0, n)
 
 
-def _block(ids: np.ndarray, queries: np.ndarray, k: int | None) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit = _unit(queries)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            vec = batch.column("vec_id").to_numpy(zero_copy_only=False)
-            distance = np.abs(np.round(1.0 - unit @ _unit(_matrix(batch.column("embedding"), batch.num_rows)).T, 6))  # no negative zero
-            order = np.lexsort((np.broadcast_to(vec, distance.shape), distance), axis=1)[:, : k or None]
-            q = np.repeat(np.arange(len(ids)), order.shape[1])
-            v = order.ravel()
-            yield pa.record_batch([pa.array(ids[q]), batch.column("vec_id").take(pa.array(v)), pa.array(distance[q, v])], ["query_id", "vec_id", "distance"])
-
-    return run
-
-
-def distances(probes: DataFrame, emb: DataFrame, k: int | None = None) -> DataFrame:
-    """(query_id, vec_id, distance): cosine distance to six decimals, a zero norm counting as 1; at least the best ``k``."""
-    vectors = emb.select("vec_id", "embedding")
-    parts, ids, rows = [], [], []
-    for r in probes.select("query_id", "query_vec").toLocalIterator():
-        ids.append(r.query_id)
-        rows.append(r.query_vec)
-        if len(ids) == BLOCK:
-            parts.append((ids, rows))
-            ids, rows = [], []
-    if ids or not parts:
-        parts.append((ids, rows))
-    made = [vectors.mapInArrow(_block(np.array(i, np.int64), np.array(q, np.float64).reshape(len(i), -1), k), "query_id bigint, vec_id bigint, distance double") for i, q in parts if i]
-    return reduce(DataFrame.unionAll, made) if made else probes.select("query_id").join(vectors.select("vec_id"), F.lit(False)).withColumn("distance", F.lit(0.0))
-
-
-def rank(found: DataFrame, k: int | None = None) -> DataFrame:
+#: What a search does with a block: (queries, vectors) as tables of arrays, and their distances, to the rows it gives.
+Kernel = Callable[[dict[str, np.ndarray], dict[str, np.ndarray], np.ndarray], dict[str, np.ndarray]]
+
+
+def _arrays(rows: pa.Table | pa.RecordBatch, names: list[str]) -> dict[str, np.ndarray]:
+    return {n: rows.column(n).to_numpy() if isinstance(rows, pa.Table) else rows.column(n).to_numpy(zero_copy_only=False) for n in names}
+
+
+def search(probes: DataFrame, emb: DataFrame, kernel: Kernel, schema: str, of_query: tuple[str, ...] = (), of_vector: tuple[str, ...] = ()) -> DataFrame:
+    """``kernel`` over all pairs of ``probes`` (query_id, query_vec, ...) and ``emb`` (vec_id, embedding, ...), block by block.
+
+    Distances are cosine distances to six decimals, a zero norm counting as 1.
+    """
+    names_q, names_v = ["query_id", *of_query], ["vec_id", *of_vector]
+    probes, emb = probes.select(*names_q, "query_vec"), emb.select(*names_v, "embedding")
+
+    def meet(q: dict[str, np.ndarray], queries: np.ndarray, v: dict[str, np.ndarray], vectors: np.ndarray) -> pa.RecordBatch:
+        distance = np.abs(np.round(1.0 - queries @ vectors.T, 6))  # no negative zero
+        return pa.record_batch({k: pa.array(x) for k, x in kernel(q, v, distance).items()})
+
+    few = probes.limit(BLOCK + 1).toArrow()
+    if len(few) <= BLOCK:
+        q, queries = _arrays(few, names_q), _unit(_matrix(few.column("query_vec").combine_chunks(), len(few)))
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows and len(queries):
+                    yield meet(q, queries, _arrays(batch, names_v), _unit(_matrix(batch.column("embedding"), batch.num_rows)))
+
+        return emb.mapInArrow(run, schema)
+    rows, columns = -(-probes.count() // BLOCK), max(1, -(-emb.count() // VECTORS))
+    place = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = probes.select(place("query_id", rows).alias("i"), spread(columns).alias("j"), F.lit(True).alias("asks"), *names_q, F.col("query_vec").alias("x"))
+    right = emb.select(spread(rows).alias("i"), place("vec_id", columns).alias("j"), F.lit(False).alias("asks"), *names_v, F.col("embedding").alias("x"))
+
+    def both(table: pa.Table) -> pa.Table:
+        asks = table.column("asks")
+        a, b = (table.filter(m).combine_chunks() for m in (asks, pc.invert(asks)))
+        parts = [_unit(_matrix(t.column("x").combine_chunks(), len(t))) for t in (a, b)]
+        if not len(a) or not len(b):
+            return pa.Table.from_batches([meet(_arrays(a, names_q), np.zeros((len(a), 1)), _arrays(b, names_v), np.zeros((len(b), 1)))])
+        return pa.Table.from_batches([meet(_arrays(a, names_q), parts[0], _arrays(b, names_v), parts[1])])
+
+    return left.unionByName(right, allowMissingColumns=True).groupBy("i", "j").applyInArrow(both, schema)
+
+
+def _best(k: int) -> Kernel:
+    def kernel(q: dict[str, np.ndarray], v: dict[str, np.ndarray], distance: np.ndarray) -> dict[str, np.ndarray]:
+        order = np.lexsort((np.broadcast_to(v["vec_id"], distance.shape), distance), axis=1)[:, :k]
+        rows = np.repeat(np.arange(len(distance)), order.shape[1])
+        return {"query_id": q["query_id"][rows], "vec_id": v["vec_id"][order.ravel()], "distance": distance[rows, order.ravel()]}
+
+    return kernel
+
+
+def distances(probes: DataFrame, emb: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, distance) of at least the best ``k`` of each query."""
+    return search(probes, emb, _best(k), "query_id bigint, vec_id bigint, distance double")
+
+
+def first_relevant(probes: DataFrame, emb: DataFrame, relevant: str = "label", itself: bool = True) -> DataFrame:
+    """(query_id, rank) of the first vector with the query's ``relevant`` value, over the whole ranking; queries without any have no row.
+
+    First the nearest such vector is found, then the vectors before it are counted: nothing is ranked as a whole. Without ``itself``
+    the query's own vector is not relevant, but keeps its place in the ranking.
+    """
+
+    def nearest(q: dict[str, np.ndarray], v: dict[str, np.ndarray], distance: np.ndarray) -> dict[str, np.ndarray]:
+        same = q["_of"][:, None] == v[relevant][None, :]
+        if not itself:
+            same &= q["query_id"][:, None] != v["vec_id"][None, :]
+        masked = np.where(same, distance, np.inf)
+        order = np.lexsort((np.broadcast_to(v["vec_id"], masked.shape), masked), axis=1)[:, 0] if masked.shape[1] else np.zeros(0, np.int64)
+        rows = np.flatnonzero(same.any(axis=1))
+        return {"query_id": q["query_id"][rows], "d": masked[rows, order[rows]], "id": v["vec_id"][order[rows]]}
+
+    def before(q: dict[str, np.ndarray], v: dict[str, np.ndarray], distance: np.ndarray) -> dict[str, np.ndarray]:
+        ahead = (distance < q["d"][:, None]) | ((distance == q["d"][:, None]) & (v["vec_id"][None, :] < q["id"][:, None]))
+        return {"query_id": q["query_id"], "n": ahead.sum(axis=1)}
+
+    asked = probes.join(emb.select(F.col("vec_id").alias("query_id"), F.col(relevant).alias("_of")), "query_id")
+    found = search(asked, emb, nearest, "query_id bigint, d double, id bigint", ("_of",), (relevant,))
+    best = found.groupBy("query_id").agg(F.min(F.struct("d", "id")).alias("b")).select("query_id", "b.d", "b.id")
+    counted = search(probes.join(best, "query_id"), emb, before, "query_id bigint, n bigint", ("d", "id"))
+    return counted.groupBy("query_id").agg((F.sum("n") + 1).alias("rank"))
+
+
+def rank(found: DataFrame, k: int) -> DataFrame:
     """With ``rank`` by distance, ties by id; the best ``k``."""
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id")))
-    return ranked if k is None else ranked.where(F.col("rank") <= k)
+    return ranked.where(F.col("rank") <= k)
 
 
 def top_k(probes: DataFrame, emb: DataFrame, k: int = X.K_DEFAULT) -> DataFrame:
@@ -112,15 +170,18 @@ def interleave(scoped: DataFrame, keys: list[str], most: int = X.K_MOST) -> Data
     return once.withColumn("position", F.row_number().over(v)).where(F.col("position") <= most)
 
 
-def resolve_names(wanted: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(wanted, name) by exact normalised name, else by every name that contains it."""
+def resolve_names(wanted: DataFrame, catalogue: DataFrame, strict: bool = True) -> DataFrame:
+    """(wanted, name) by exact normalised name, else by every name that contains it; a name that is in none raises, unless not ``strict``."""
     from talus.functions.text import normalize
 
     left = wanted.select("wanted", normalize(F.col("wanted")).alias("_w"))
     right = catalogue.select("name", normalize(F.col("name")).alias("_n"))
     exact = left.join(right, F.col("_w") == F.col("_n"))
     other = left.join(exact.select("_w").distinct(), "_w", "left_anti")
-    return exact.select("wanted", "name").union(other.join(right, F.contains(F.col("_n"), F.col("_w"))).select("wanted", "name"))
+    found = exact.select("wanted", "name").union(other.join(right, F.contains(F.col("_n"), F.col("_w"))).select("wanted", "name"))
+    if not strict:
+        return found
+    return wanted.select("wanted").join(found, "wanted", "left").select("wanted", F.coalesce("name", F.raise_error(F.concat(F.lit("not in the catalogue: "), "wanted")).cast("string")).alias("name"))
 
 
 def fidelity(exact: DataFrame, got: DataFrame) -> DataFrame:
@@ -170,10 +231,14 @@ def write_index(chunks: DataFrame, path: str, model: str, prefix: str = X.PASSAG
 
 def read_index(spark, path: str, model: str, prefix: str = X.PASSAGE_PREFIX) -> DataFrame:
     """The vectors of an index; raises if it was made with another model or prefix, accepts one that does not say."""
+    from pyspark.errors import AnalysisException
+
     try:
         about = spark.read.parquet(f"{path}/about").first()
-    except Exception:  # noqa: BLE001 - an index without the table is accepted
-        about = None
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        about = None  # an index without the table is accepted
     if about and (about.model, about.prefix) != (model, prefix):
         raise ValueError(f"the index was made with {about.model} and {about.prefix!r}, not {model} and {prefix!r}")
     return spark.read.parquet(f"{path}/vectors")

@@ -14,13 +14,18 @@ from talus.functions import text as T
 from talus.session import table
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(vectors, queries, relevant pairs' sizes by query, labels of the queries): relevant is what has the query's label."""
     emb = table(spark, sf_dir, "embeddings")
-    probes = V.probe_set(emb)
-    ranked = V.rank(V.distances(probes, emb))
-    labels = emb.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("label"))
-    relevant = emb.select("vec_id", "label").join(F.broadcast(labels), "label").select("query_id", "vec_id")
-    return ranked, relevant, labels
+    labels = V.probe_set(emb, V.EVERY, "label").select("query_id", "label")
+    total = labels.join(emb.groupBy("label").agg(F.count("*").alias("total")), "label").select("query_id", "total")
+    return emb, V.probe_set(emb), total, labels
+
+
+def _found(emb: DataFrame, probes: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` with a flag of those that are relevant."""
+    top = V.top_k(probes, emb, k).join(emb.select("vec_id", F.col("label").alias("_l")), "vec_id").join(labels, "query_id")
+    return top.withColumn("hit", (F.col("_l") == F.col("label")).cast("int"))
 
 
 def relevance_join(spark, sf_dir):
@@ -32,35 +37,46 @@ def relevance_join(spark, sf_dir):
 
 
 def recall_at_k(spark, sf_dir):
-    ranked, relevant, _ = _parts(spark, sf_dir)
+    emb, probes, total, labels = _parts(spark, sf_dir)
+    found = _found(emb, probes, labels, 10)
     made = None
     for k in (3, 5, 10):
-        one = H.recall_at_k(ranked, relevant, k).select("query_id", F.lit(k).alias("k"), F.round("recall", 6).alias("recall"))
+        one = H.recall_of_hits(found, total, k).select("query_id", F.lit(k).alias("k"), F.round("recall", 6).alias("recall"))
         made = one if made is None else made.union(one)
     return made
 
 
 def unit_recall_at_k(spark, sf_dir):
-    ranked, relevant, _ = _parts(spark, sf_dir)
-    units = table(spark, sf_dir, "embeddings").select("vec_id", F.expr("vec_id div 3").alias("unit"))
-    return H.unit_recall_at_k(ranked, relevant, units, 10).select("query_id", F.round("recall", 6).alias("recall"))
+    """Units hold three chunks, so the first ten units stand among the first thirty chunks."""
+    emb, probes, _, labels = _parts(spark, sf_dir)
+    unit = lambda x: F.expr(f"{x} div 3").alias("unit")
+    top = V.top_k(probes, emb, 30).groupBy("query_id", unit("vec_id")).agg(F.min("rank").alias("rank"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    first = top.withColumn("place", place).where("place <= 10").join(labels, "query_id")
+    of_label = emb.select("label", unit("vec_id")).distinct()
+    hits = first.join(of_label, ["label", "unit"], "left_semi").groupBy("query_id").agg(F.count("*").alias("hits"))
+    total = labels.join(of_label.groupBy("label").agg(F.count("*").alias("total")), "label")
+    return total.join(hits, "query_id", "left").select("query_id", F.round(F.coalesce("hits", F.lit(0)) / F.col("total"), 6).alias("recall"))
 
 
 def mrr(spark, sf_dir):
-    ranked, relevant, labels = _parts(spark, sf_dir)
-    rr = H.reciprocal_rank(ranked.where("vec_id <> query_id"), relevant.where("vec_id <> query_id"), labels)
-    return rr.join(labels, "query_id").groupBy("label").agg(F.round(F.avg("rr"), 6).alias("mrr"), F.count("*").alias("n"))
+    emb, probes, _, labels = _parts(spark, sf_dir)
+    first = V.first_relevant(probes, emb, itself=False)
+    rr = labels.join(first, "query_id", "left").select("label", F.coalesce(1 / F.col("rank"), F.lit(0.0)).alias("rr"))
+    return rr.groupBy("label").agg(F.round(F.avg("rr"), 6).alias("mrr"), F.count("*").alias("n"))
 
 
 def metrics_by_type(spark, sf_dir):
     """Macro means over all queries and by label, in one pass."""
-    ranked, relevant, labels = _parts(spark, sf_dir)
-    both = H.recall_at_k(ranked, relevant, 10).join(H.reciprocal_rank(ranked, relevant, labels), "query_id").join(labels, "query_id")
-    return both.groupBy("query_id", "label", "recall", "rr").agg(F.lit(1)).rollup("label").agg(F.count("*").alias("n"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("rr"), 6).alias("rr"))
+    emb, probes, total, labels = _parts(spark, sf_dir)
+    recall = H.recall_of_hits(_found(emb, probes, labels, 10), total, 10)
+    first = V.first_relevant(probes, emb).select("query_id", (1 / F.col("rank")).alias("rr"))
+    both = recall.join(first, "query_id").join(labels, "query_id")
+    return both.rollup("label").agg(F.count("*").alias("n"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("rr"), 6).alias("rr"))
 
 
 def recall_ceiling(spark, sf_dir):
-    return H.recall_ceiling(_parts(spark, sf_dir)[1], 10)
+    return H.recall_ceiling(_parts(spark, sf_dir)[2], 10)
 
 
 def param_sweep(spark, sf_dir):
@@ -112,10 +128,8 @@ def summary_by_family(spark, sf_dir):
 
 def completeness_gate(spark, sf_dir):
     """Questions that a model lacks: customers of which a status has no order."""
-    o = table(spark, sf_dir, "orders")
-    want = o.select(F.col("o_orderstatus").alias("model")).distinct().crossJoin(o.select(F.col("o_custkey").alias("id")).distinct())  # a few models
-    gone = want.join(o.select(F.col("o_orderstatus").alias("model"), F.col("o_custkey").alias("id")), ["model", "id"], "left_anti")
-    return gone.groupBy("model").agg(F.count("*").alias("missing"), F.min("id").alias("first"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("model"), F.col("o_custkey").alias("id"))
+    return H.missing_runs(o).groupBy("model").agg(F.count("*").alias("missing"), F.min("id").alias("first"))
 
 
 def grade_system(spark, sf_dir):
@@ -151,7 +165,8 @@ def paired_compare(spark, sf_dir):
 def latency_percentiles(spark, sf_dir):
     """Median and linear p90 by event type, five warm-ups left out."""
     e = table(spark, sf_dir, "events")
-    kept = e.withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))).where("r > 5")
+    warm = e.select("event_type", "event_id").withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))).where("r <= 5")
+    kept = e.join(warm, ["event_type", "event_id"], "left_anti")
     return kept.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"), F.round(F.percentile("value", 0.9), 6).alias("p90"))
 
 

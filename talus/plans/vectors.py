@@ -34,7 +34,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_Q = "q as (select vec_id as query_id, embedding as qe from embeddings where vec_id < 20)"
+_Q = "q as (select vec_id as query_id, embedding as qe from embeddings where vec_id % 50 = 0)"
 
 
 def _dist(where: str = "true", from_: str = CHUNKS, extra: str = "") -> str:
@@ -53,7 +53,7 @@ def vector_topk(spark, sf_dir):
 
 def vector_rank(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings")
-    return V.rank(V.distances(V.probe_set(emb, 5), emb)).select("query_id", "vec_id", "distance", "rank")
+    return V.top_k(V.probe_set(emb), emb, 100).select("query_id", "vec_id", "distance", "rank")
 
 
 def vector_topk_prefilter(spark, sf_dir):
@@ -70,7 +70,7 @@ def membership_vs_substring(spark, sf_dir):
 def resolve_name(spark, sf_dir):
     catalogue = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
     wanted = spark.createDataFrame([("  Blue  BOLT ",), ("Ring",), ("blue w",), ("no such thing",)], "wanted string")
-    return V.resolve_names(wanted, F.broadcast(catalogue))
+    return V.resolve_names(wanted, catalogue, strict=False)
 
 
 _WANTED = "(select unnest(['  Blue  BOLT ', 'Ring', 'blue w', 'no such thing']) as wanted)"
@@ -78,7 +78,7 @@ _WANTED = "(select unnest(['  Blue  BOLT ', 'Ring', 'blue w', 'no such thing'])
 
 def vector_band(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings")
-    return V.band(V.top_k(V.probe_set(emb, 60), emb, 20), floor=FLOOR).select("query_id", "vec_id", "distance", "rank")
+    return V.band(V.top_k(V.probe_set(emb), emb, 20), floor=FLOOR).select("query_id", "vec_id", "distance", "rank")
 
 
 _BAND = f"b as (select *, min(distance) over (partition by {{key}}) as best, count(*) filter (where near) over (partition by {{key}}) as n_near from (select *, distance <= {X.CUT_FACTOR} * min(distance) over (partition by {{key}}) as near from r where rank <= 20))"
@@ -105,8 +105,8 @@ def vector_interleave(spark, sf_dir):
     for i, d in enumerate(("L1", "L2", "L3")):
         one = V.band(V.top_k(probes, V.prefilter(c, [d]), 20), floor=1.0).withColumn("scope", F.lit(i))
         made = one if made is None else made.union(one)
-    named = made.join(c.select("vec_id", "origin", "name", "chunk_index"), "vec_id")
-    return V.interleave(named, ["origin", "name", "chunk_index"]).select("query_id", "position", "vec_id", "scope", "rank", "distance")
+    named = made.join(c.select("vec_id", "origin", "name", "degrees", "chunk_index"), "vec_id")
+    return V.interleave(named, ["origin", "name", "degrees", "chunk_index"]).select("query_id", "position", "vec_id", "scope", "rank", "distance")
 
 
 _SCOPES = " union all ".join(
@@ -122,14 +122,15 @@ def prefilter_probe(spark, sf_dir):
     probes = V.probe_set(emb)
     groups = emb.groupBy("label").agg(F.count("*").alias("members")).where("members >= 10")
     top = V.top_k(probes, emb).join(emb.select("vec_id", "label"), "vec_id").select("query_id", "label").distinct()
-    return probes.select("query_id").join(F.broadcast(groups)).join(top, ["query_id", "label"], "left_anti").select("query_id", "label", "members")
+    return probes.select("query_id").crossJoin(groups).join(top, ["query_id", "label"], "left_anti").select("query_id", "label", "members")
 
 
 def fidelity(spark, sf_dir):
-    """The unfiltered top ten against the top ten of even ids."""
+    """The exact top ten against that of an index of all vectors in five bits a number."""
     emb = table(spark, sf_dir, "embeddings")
     probes = V.probe_set(emb)
-    return V.fidelity(V.top_k(probes, emb), V.top_k(probes, emb.where("vec_id % 2 = 0"))).select("query_id", F.round("fidelity", 6).alias("fidelity"))
+    index = emb.select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") * 15) / 15).alias("embedding"))
+    return V.fidelity(V.top_k(probes, emb), V.top_k(probes, index)).select("query_id", F.round("fidelity", 6).alias("fidelity"))
 
 
 def norm_check(spark, sf_dir):
@@ -201,16 +202,17 @@ def embedded_documents(spark, sf_dir):
     return out.select("doc_id", F.size("embedding").alias("dims"), F.round(V.norm(F.col("embedding")), 4).alias("norm"))
 
 
+_INDEXED = _dist(from_="x")[len("d as (") : -1]
 QUERIES = {f.__name__: f for f in (vector_topk, vector_rank, vector_topk_prefilter, membership_vs_substring, resolve_name, vector_band, retrieve_context, vector_interleave, prefilter_probe, fidelity, norm_check, structural_scan, existence_count, context_order, prompt_assembly, incomplete_guides, suggestions, embedded_documents)}
 _N = "sqrt(list_inner_product(embedding::double[], embedding::double[]))"
 _FILTER = "list_has_any(degrees, ['L1', 'L2x', 'L5']) and starts_with(lower(year), 'tercer') and kind = 'OB'"
 ORACLES = {
     "vector_topk": f"{BASE} select query_id, vec_id, label, distance, rank from r where rank <= 10",
-    "vector_rank": f"{BASE} select query_id, vec_id, distance, rank from r where query_id < 5",
+    "vector_rank": f"{BASE} select query_id, vec_id, distance, rank from r where rank <= 100",
     "vector_topk_prefilter": f"with {_Q}, {_dist(_FILTER)}, {_R} select query_id, vec_id, distance, rank from r where rank <= 10",
     "membership_vs_substring": f"select kind, count(*) filter (where list_contains(degrees, 'L1')) as exact, count(*) filter (where s) as by_substring, count(*) filter (where s and not list_contains(degrees, 'L1')) as false_positives from (select *, len(list_filter(degrees, lambda d: contains(d, '1'))) > 0 as s from {CHUNKS}) group by kind",
     "resolve_name": f"with c as (select distinct p_name as name from part), w as (select wanted, {NORMAL.format('wanted')} as w from {_WANTED}), e as (select wanted, name, w from w join c on w = {NORMAL.format('name')}) select wanted, name from e union all select wanted, name from w join c on contains({NORMAL.format('name')}, w) where w not in (select w from e)",
-    "vector_band": f"with {_Q.replace('< 20', '< 60')}, {_dist()}, {_R}, {_BAND.format(key='query_id')} select query_id, vec_id, distance, rank from b where {_KEEP.format(floor=FLOOR)}",
+    "vector_band": f"with {_Q}, {_dist()}, {_R}, {_BAND.format(key='query_id')} select query_id, vec_id, distance, rank from b where {_KEEP.format(floor=FLOOR)}",
     "retrieve_context": (
         f"with {_Q}, {_dist()}, f as (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from d where kind = 'OB'), "
         f"fb as (select *, min(distance) over (partition by query_id) as best, count(*) filter (where near) over (partition by query_id) as n_near from (select *, distance <= {X.CUT_FACTOR} * min(distance) over (partition by query_id) as near from f where rank <= 20)), "
@@ -218,9 +220,13 @@ ORACLES = {
         f"select * from n union all select query_id, vec_id, distance, rank, 'advice' from f where query_id % 7 = 0 and rank <= 10 "
         f"union all select query_id, vec_id, distance, rank, 'fallback' from b where query_id % 7 <> 0 and query_id not in (select query_id from n) and {_KEEP.format(floor=FLOOR)}"
     ),
-    "vector_interleave": f"with {_Q}, {_dist()}, s as ({_SCOPES}), o as (select *, row_number() over (partition by query_id, origin, name, chunk_index order by rank, scope) as seen from s), p as (select *, row_number() over (partition by query_id order by rank, scope) as position from o where seen = 1) select query_id, position, vec_id, scope, rank, distance from p where position <= {X.K_MOST}",
+    "vector_interleave": f"with {_Q}, {_dist()}, s as ({_SCOPES}), o as (select *, row_number() over (partition by query_id, origin, name, degrees, chunk_index order by rank, scope) as seen from s), p as (select *, row_number() over (partition by query_id order by rank, scope) as position from o where seen = 1) select query_id, position, vec_id, scope, rank, distance from p where position <= {X.K_MOST}",
     "prefilter_probe": f"{BASE}, g as (select label, count(*) as members from embeddings group by label having count(*) >= 10) select query_id, g.label, members from q, g where not exists (select 1 from r where r.query_id = q.query_id and r.label = g.label and rank <= 10)",
-    "fidelity": f"{BASE}, e as (select *, row_number() over (partition by query_id order by distance, vec_id) as er from d where vec_id % 2 = 0) select r.query_id, round(count(e.vec_id) / 10, 6) as fidelity from r left join e on r.query_id = e.query_id and r.vec_id = e.vec_id and er <= 10 where r.rank <= 10 group by r.query_id",
+    "fidelity": (
+        f"{BASE}, x as (select vec_id, list_transform(embedding, lambda x: round(x::double * 15) / 15) as embedding from embeddings), g as ({_INDEXED}), "
+        "e as (select *, row_number() over (partition by query_id order by distance, vec_id) as er from g) "
+        "select r.query_id, round(count(e.vec_id) / 10, 6) as fidelity from r left join e on r.query_id = e.query_id and r.vec_id = e.vec_id and er <= 10 where r.rank <= 10 group by r.query_id"
+    ),
     "norm_check": f"select round(min(n), 6) as least, round(max(n), 6) as largest, stddev_pop(n) < 1e-5 and abs(avg(n) - 1) < 1e-5 as normalised from (select {_N} as n from embeddings)",
     "structural_scan": f"select vec_id, name, year from {CHUNKS} where list_contains(degrees, 'L3') and starts_with(lower(year), 'primer')",
     "existence_count": f"with w(degree, kind) as (values ('L1', 'OB'), ('L9x', 'OP'), ('L77', 'OB')), h as (select d as degree, kind, count(*) as n from (select unnest(degrees) as d, kind from {CHUNKS}) group by all) select w.degree, w.kind, coalesce(n, 0) as n, n is not null as present from w left join h on w.degree = h.degree and w.kind = h.kind",

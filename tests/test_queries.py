@@ -25,7 +25,7 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert set(registry.ORACLES) <= set(e.oracle_sql()) <= set(e.queries())
-    assert e.entry(spark).count() == 200
+    assert e.entry(spark).count() == 100  # ten queries
 
 
 def test_the_rest_does_not_import_the_optional_part():

@@ -27,22 +27,45 @@ def vectors(spark, rows):
 
 def test_zero_vectors_rank_without_nan(spark):
     emb = vectors(spark, [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [1.0, 1.0]), (3, [-1.0, 0.0])])
-    got = V.top_k(V.probe_set(emb, 1), emb, 4).orderBy("rank").collect()
+    got = V.top_k(V.probe_set(emb), emb, 4).orderBy("rank").collect()
     assert [(r.vec_id, round(r.distance, 4)) for r in got] == [(0, 0.0), (2, 0.2929), (1, 1.0), (3, 2.0)]
 
 
 def test_query_blocks(spark, monkeypatch):
     emb = vectors(spark, [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)])
-    whole = V.top_k(V.probe_set(emb), emb, 5).collect()
+    labelled = emb.withColumn("label", F.col("vec_id") % 4)
+    whole, first = V.top_k(V.probe_set(emb, 3), emb, 5).collect(), V.first_relevant(V.probe_set(emb, 3), labelled, itself=False).collect()
+    assert len(whole) == 100 and len(first) == 20
     monkeypatch.setattr(V, "BLOCK", 3)
-    assert sorted(V.top_k(V.probe_set(emb), emb.repartition(4), 5).collect()) == sorted(whole)
+    monkeypatch.setattr(V, "VECTORS", 16)
+    assert sorted(V.top_k(V.probe_set(emb, 3), emb.repartition(4), 5).collect()) == sorted(whole)
+    assert sorted(V.first_relevant(V.probe_set(emb, 3), labelled, itself=False).collect()) == sorted(first)
     assert V.top_k(V.probe_set(emb.where("false")), emb, 5).count() == 0
 
 
+def test_first_relevant_is_the_first_of_the_ranking(spark):
+    emb = vectors(spark, [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)]).withColumn("label", F.col("vec_id") % 9)
+    order = V.top_k(V.probe_set(emb, 7), emb, 60).collect()
+    want = {}
+    for r in sorted(order, key=lambda r: r["rank"]):
+        if r.vec_id % 9 == r.query_id % 9:
+            want.setdefault(r.query_id, r["rank"])
+    assert {r.query_id: r["rank"] for r in V.first_relevant(V.probe_set(emb, 7), emb).collect()} == want
+
+
+def test_an_unknown_name_raises(spark):
+    catalogue = spark.createDataFrame([("Grado en Informática",)], "name string")
+    wanted = lambda x: spark.createDataFrame([(x,)], "wanted string")
+    assert [r.name for r in V.resolve_names(wanted(" grado EN informatica"), catalogue).collect()] == ["Grado en Informática"]
+    assert [r.name for r in V.resolve_names(wanted("informatica"), catalogue).collect()] == ["Grado en Informática"]
+    with pytest.raises(Exception, match="not in the catalogue"):
+        V.resolve_names(wanted("x'] OR 1=1 --"), catalogue).collect()
+
+
 def test_prefilter_is_whole_elements_and_before_the_search(spark):
     rows = [(i, [1.0, i / 100], ["Doble Grado en A y B"] if i < 10 else ["Grado en A"], "Tercer o cuarto curso", "OB") for i in range(20)]
     c = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, degrees array<string>, year string, kind string")
-    got = V.top_k(V.probe_set(c, 1), V.prefilter(c, ["Grado en A"], "TERCER", "OB"), 5)
+    got = V.top_k(V.probe_set(c), V.prefilter(c, ["Grado en A"], "TERCER", "OB"), 5)
     assert [r.vec_id for r in got.orderBy("rank").collect()] == [10, 11, 12, 13, 14]
     assert V.prefilter(c, ["x'] OR 1=1 --"]).count() == 0
 
