@@ -131,8 +131,7 @@ _SEGMENT = "case when p_size % 3 = 0 then 'La asignatura **' || p_name || '** es
 
 def segment_subject(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    known = F.broadcast(p.where("p_size < 30").agg(F.array_sort(F.collect_set("p_name")).alias("known")))  # the distinct names of one context
-    return p.crossJoin(known).select("p_partkey", V.segment_subject(F.expr(_SEGMENT), F.col("known")).alias("subject"))
+    return V.segment_subjects(p.select("p_partkey", F.expr(_SEGMENT).alias("segment")), p.select(F.col("p_name").alias("name")), "p_partkey", "segment")
 
 
 def correct_attributes(spark, sf_dir):
@@ -167,10 +166,9 @@ _SELF = (
 _W = f"(select name, unnest({sql_tokens('name')}) as word from {_CAT})"
 _DW = f"(select word from {_W} group by word having count(*) < {len(NAMES)} / 2 and length(word) >= 4)"
 _ELEMENT = f"trim(regexp_replace(raw, '{_q(V.TAIL)}', ''), ' .;:')"
-_CORE = "trim(regexp_replace(regexp_replace(" + NORMAL.format("regexp_replace({0}, '[ \\t]*\\([^)]*\\)', '', 'g')") + ", 'ing\\.', 'ingenieria', 'g'), ' +', ' ', 'g'))"
 _ORDCASE = lambda e: "case lower(" + e + ") " + " ".join(f"when '{k}' then {v}" for k, v in V.ORDINALS.items()) + " end"
 _PLACE = f"(?i)se imparte en el ({V._ORD})[ \\t]+cuatrimestre(?:[ \\t]+de[ \\t]+({V._ORD})[ \\t]+curso)?"
-_HEADERS = "(select " + _HEAD_SQL.replace("'«' || name || '»: '", "'«' || name || ' ' || p_type || '»: '").replace(", case when p_size % 7 = 0 then 'No se oferta.' end)", ")") + f" as text, name || ' ' || p_type as n0 from {SUBJECTS_SQL})"
+_HEADERS = "(select " + _HEAD_SQL.replace("'«' || name || '», '", "'«' || name || ' ' || p_type || '», '").replace("p_size % 7 = 0 then '. No", "false then '. No") + f" as text, name || ' ' || p_type as n0 from {SUBJECTS_SQL})"
 _TERM = _ORDCASE(f"regexp_extract(text, '{_PLACE}', 1)")
 ORACLES = {
     "names_in_text": f"select distinct c_custkey, name from (select c_custkey, unnest({sql_tokens('text')}) as word from {ANSWERS}) q join {_W} w using (word) where word in {_DW}",
@@ -193,7 +191,14 @@ ORACLES = {
         f"nullif(regexp_extract(text, '(?i)de[ ]+([0-9]+(?:[.,][0-9]+)?)[ ]+ECTS', 1), '') as ects, contains(text, 'impartida en') as shared from {_HEADERS}) "
         "select name, max(term) as term, max(year) as year, max(ects) as ects from h where term is not null or year is not null or ects is not null group by name having count(distinct coalesce(term::varchar, '-') || '/' || coalesce(year::varchar, '-') || '/' || coalesce(ects, '-')) = 1 and count(*) filter (where not shared) > 0"
     ),
-    "segment_subject": "with k as (select distinct p_name as n from part where p_size < 30) select p_partkey, case when p_size % 3 = 0 and p_name in (select n from k) then p_name when p_size % 3 = 1 then case when p_name = 'red widget' or p_name not in (select n from k) then (select n from k where n = 'red widget') when 'red widget' not in (select n from k) then p_name end end as subject from part",
+    "correct_attributes": (
+        "select p_partkey as key, '**' || p_name || '** se imparte en el ' || case p_name when 'blue bolt' then 'primer cuatrimestre de segundo curso, con 6' when 'red widget' then 'segundo cuatrimestre de primer curso, con 4,5' "
+        "else 'tercer cuatrimestre de segundo curso, con 9' end || ' ECTS' as corrected, case p_name when 'blue bolt' then 2 when 'red widget' then 3 else 0 end as warnings from part"
+    ),
+    "segment_subject": (
+        "with k as (select distinct p_name as n from part), has as (select count(*) > 0 as red from k where n = 'red widget') "
+        "select p_partkey, case when p_size % 3 = 0 then p_name when p_size % 3 = 1 and (p_name = 'red widget' or not red) then p_name end as subject from part, has"
+    ),
     "stream_retraction": f"with s as (select conv_id, turn, contains(string_agg(text, '') over (partition by conv_id order by turn), 'hainti') as bad from {_PARTS}), f as (select *, sum(bad::int) over (partition by conv_id order by turn) as n from s) select conv_id, turn, case when bad then 'retract' else 'part' end as kind from f where n = 0 or (n = 1 and bad)",
     "drop_greeting": "select conv_id, turn from (select *, count(*) over (partition by conv_id) as n from conversations) where not (turn = 0 and conv_id % 2 = 0 and n > 1)",
 }
