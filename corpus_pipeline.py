@@ -6,7 +6,12 @@
 4. mixing: rows are repeated as the sources' token budgets ask; every document stays at least once.
 5. packing: pieces with their place in sequences of 2,048 tokens.
 
-All but the last keep the columns of ``documents``. SQL cannot express stages 2, 4 and 5.
+All but the last keep the columns of ``documents``, whatever else a table holds and however its columns are called. SQL cannot express
+stages 2, 4 and 5, so the whole is tested against plain versions.
+
+Null texts are empty: stage 1 rejects them. Rows without an id pass stages 1 to 4 as documents of their own (stage 2 does not compare
+them) and are packed. Repeated rows are judged each; as equal ids they stand or fall together in stage 2. Ties: of near copies the
+smallest id stays. An empty table stays empty. A very long text is one row to the end and is cut in stage 5 only.
 """
 
 from __future__ import annotations
