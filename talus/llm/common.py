@@ -230,6 +230,13 @@ def signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with more underscores in front for as long as a column of ``taken`` starts with it."""
+    while any(c.lower().startswith(name.lower()) for c in taken):
+        name = f"_{name}"
+    return name
+
+
 def doc_columns(docs: DataFrame, *names: str) -> DataFrame:
     """Only the columns that an operator reads: others, whatever their names, do not clash."""
     return docs.select(*[F.col(f"`{n}`") for n in names])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talus.llm.common import buffers, lower, materialize, mix, prefix_hash, signed, slices, small, span_hash, word_bounds, word_hashes
+from talus.llm.common import buffers, fresh, lower, materialize, mix, prefix_hash, signed, slices, small, span_hash, word_bounds, word_hashes
 from talus.llm.components import components
 
 BINS, BANDS = 128, 32
@@ -226,6 +226,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> D
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stand for their component, with their own columns."""
-    gone = materialize(near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    key = fresh("_gone", docs.columns)
+    gone = materialize(near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias(key)).distinct(), "gone")
     gone = F.broadcast(gone) if small(gone, BROADCAST_IDS) else gone
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")

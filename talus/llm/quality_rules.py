@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talus.llm.common import WS, materialize, small
+from talus.llm.common import WS, fresh, materialize, small
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -127,14 +127,14 @@ def host_verdicts(hosts: DataFrame, host_max_rate: float = HOST_MAX_RATE, soft_f
 def with_verdict(measured: DataFrame, host: str = "source", prefix: str = "", host_max_rate: float = HOST_MAX_RATE, soft_factor: float = SOFT_FACTOR) -> DataFrame:
     """``measured`` (a written table, since it is read twice) with ``<prefix>host_rejected``."""
     verdicts = host_verdicts(host_stats(measured, host, prefix), host_max_rate, soft_factor)
-    names = ["rejects_all", *[f"rejects_{r}" for r in SOFT]]
-    bad = verdicts.where(" or ".join(names)).select(F.col("host").alias("_talus_host"), *[F.col(n).alias(f"_talus_{n}") for n in names])
+    names, q = ["rejects_all", *[f"rejects_{r}" for r in SOFT]], fresh("_verdict_", measured.columns)
+    bad = verdicts.where(" or ".join(names)).select(F.col("host").alias(f"{q}host"), *[F.col(n).alias(f"{q}{n}") for n in names])
     if small(bad, BROADCAST_HOSTS):
         bad = F.broadcast(bad)
-    joined = measured.join(bad, F.col(f"`{host}`") == F.col("_talus_host"), "left")
-    doubts = [F.col(f"{prefix}{r}") & F.col(f"_talus_rejects_{r}") for r in SOFT]
-    verdict = F.coalesce(F.col("_talus_rejects_all") | doubts[0] | doubts[1], F.lit(False))
-    return joined.withColumn(f"{prefix}host_rejected", verdict).drop("_talus_host", *[f"_talus_{n}" for n in names])
+    joined = measured.join(bad, F.col(f"`{host}`") == F.col(f"{q}host"), "left")
+    doubts = [F.col(f"{prefix}{r}") & F.col(f"{q}rejects_{r}") for r in SOFT]
+    verdict = F.coalesce(F.col(f"{q}rejects_all") | doubts[0] | doubts[1], F.lit(False))
+    return joined.withColumn(f"{prefix}host_rejected", verdict).drop(f"{q}host", *[f"{q}{n}" for n in names])
 
 
 def quality_rules(docs: DataFrame, host_max_rate: float = HOST_MAX_RATE, soft_factor: float = SOFT_FACTOR) -> DataFrame:
@@ -146,7 +146,7 @@ def quality_rules(docs: DataFrame, host_max_rate: float = HOST_MAX_RATE, soft_fa
 
 def filter_documents(docs: DataFrame, host_max_rate: float = HOST_MAX_RATE, soft_factor: float = SOFT_FACTOR) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns."""
-    p = "_talus_own_"
+    p = fresh("_own_", docs.columns)
     own = [F.col(f"`{c}`") for c in docs.columns]
     flags = [f"{p}{c}" for c in (*HARD, *SOFT, "base_failed")]
     measured = materialize(measure(docs, prefix=p).select(*own, *flags), "ruled")
