@@ -8,14 +8,18 @@ from __future__ import annotations
 
 import re
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talus.functions import fixed as X
+from talus.operators.vectors import Embedder, hash_embedder
 
+_BLANKS = " \t\n\x0b\f\r"
 _BLANK_LINES = re.compile(r"\n{2,}")
 _SENTENCE_END = re.compile(r"(?<=[.;!?])\s+")
 
@@ -64,40 +68,111 @@ def merge_short(chunks: list[str], least: int = X.CHUNK_MIN, most: int = X.CHUNK
     """
     left: list[str] = []
     right = deque(chunks)
+    safe = 0  # so many of ``left`` stand before the first short one: a new start would pass over them
     while right:
         if len(right[0]) >= least or len(left) + len(right) == 1:
+            safe += safe == len(left) and len(right[0]) >= least
             left.append(right.popleft())
             continue
         first = left.pop() if left else right.popleft()
         second = right.popleft()
+        safe = min(safe, len(left))
         joined = f"{first}\n{second}"
         if len(joined) <= most:
             even = [joined]
         else:
             even = pack(split_pieces(joined, most), min(len(joined) // 2 + 1, most))
         if len(even) < 2:
-            right = deque([*left, *even, *right])
-            left = []
+            right.extendleft(reversed([*left[safe:], *even]))
+            del left[safe:]
         else:
             left += [first, second] if len(even) > 2 else even
     return left
 
 
+def _visible(text: str) -> int:
+    """Characters but blanks."""
+    return len(text) - sum(map(text.count, _BLANKS))
+
+
+def _under(header: str, bodies: list[str]) -> list[str]:
+    return [f"{header}\n{b}" if header else b for b in bodies]
+
+
+def _room(header: str, most: int) -> int:
+    """Characters that a header leaves to the body."""
+    return max(1, most - len(header) - 1 if header else most)
+
+
 def chunk_text(text: str, header: str = "", goal: int = X.CHUNK_MAX, most: int = X.CHUNK_MAX, least: int = X.CHUNK_MIN) -> list[str]:
     """The chunks of one unit, each under its header."""
-    extra = len(header) + 1 if header else 0
-    body = merge_short(pack(split_pieces(text, max(1, most - extra)), max(1, goal - extra)), least, max(1, most - extra))
-    return [f"{header}\n{b}" if header else b for b in body]
+    return structural_text(Pieces(text, hash_embedder), header, goal, most, least)
 
 
-def structural_chunks(units: DataFrame, goal: int = X.CHUNK_MAX, most: int = X.CHUNK_MAX, least: int = X.CHUNK_MIN) -> DataFrame:
-    """(key, chunk_index, total_chunks, chunk) from ``units(key, header, text)``."""
+def structural_text(pieces: Pieces, header: str, goal: int, most: int, least: int) -> list[str]:
+    room = _room(header, most)
+    return _under(header, merge_short(pack(pieces.split(room), _room(header, goal)), least, room))
+
+
+def fixed_text(text: str, header: str = "", overlap: float = 0.0, most: int = X.CHUNK_MAX, least: int = X.CHUNK_MIN) -> list[str]:
+    """Windows of what the header leaves of ``most``, overlapping by a ratio; short tails are merged. A blank text has none."""
+    room = _room(header, most)
+    step = max(1, room - int(room * overlap))
+    bodies = [b for b in (text[i : i + room].strip() for i in range(0, len(text), step)) if b]
+    return _under(header, merge_short(bodies, min(least, room), room))
+
+
+class Pieces:
+    """The pieces of one text at several limits; a limit that recurs is cut once, a piece that recurs embedded once."""
+
+    def __init__(self, text: str, embedder: Embedder) -> None:
+        self.text, self.embedder = text, embedder
+        self.vectors: dict[str, np.ndarray] = {}
+        self.parts: dict[int, list[str]] = {}
+        self.jumps: dict[int, np.ndarray] = {}
+
+    def split(self, room: int) -> list[str]:
+        if room not in self.parts:
+            self.parts[room] = split_pieces(self.text, room)
+        return self.parts[room]
+
+    def distances(self, room: int) -> np.ndarray:
+        """The cosine distance of each piece but the first to the one before, to six decimals."""
+        if room not in self.jumps:
+            self.jumps[room] = self._jumps(self.split(room))
+        return self.jumps[room]
+
+    def _jumps(self, pieces: list[str]) -> np.ndarray:
+        if len(pieces) < 2:
+            return np.zeros(0)
+        new = [p for p in dict.fromkeys(pieces) if p not in self.vectors]
+        if new:
+            self.vectors.update(zip(new, np.asarray(self.embedder([X.PASSAGE_PREFIX + p for p in new]), dtype=np.float64), strict=True))
+        m = np.stack([self.vectors[p] for p in pieces])
+        n = np.sqrt((m * m).sum(axis=1))
+        n[n == 0] = 1.0
+        return np.abs(np.round(1.0 - (m[1:] * m[:-1]).sum(axis=1) / (n[1:] * n[:-1]), 6))
+
+
+def semantic_text(pieces: Pieces, threshold: float, header: str = "", most: int = X.CHUNK_MAX, least: int = X.CHUNK_MIN) -> list[str]:
+    """Pieces joined until the distance to the next reaches the threshold; groups over the limit are packed, short ones merged."""
+    room = _room(header, most)
+    parts = pieces.split(room)
+    starts = [0, *(np.flatnonzero(pieces.distances(room) >= threshold) + 1).tolist(), len(parts)]
+    bodies: list[str] = []
+    for a, b in pairwise(starts):
+        bodies += pack(parts[a:b], room)  # a group within the limit is one
+    return _under(header, merge_short(bodies, min(least, room), room))
+
+
+def _per_unit(units: DataFrame, cut: Callable[[str, str], list[str]]) -> DataFrame:
+    """(key, chunk_index, total_chunks, chunk) of ``units(key, header, text)``; nulls are empty."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for key, header, text in zip(*(b.column(c).to_pylist() for c in ("key", "header", "text")), strict=True):
-                made = chunk_text(text or "", header or "", goal, most, least)
+                made = cut(text or "", header or "")
                 rows += [(key, i, len(made), c) for i, c in enumerate(made)]
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string()]
             columns = list(zip(*rows, strict=True)) or [[], [], [], []]
@@ -106,6 +181,79 @@ def structural_chunks(units: DataFrame, goal: int = X.CHUNK_MAX, most: int = X.C
     return units.select("key", "header", "text").mapInArrow(run, "key bigint, chunk_index int, total_chunks int, chunk string")
 
 
+def structural_chunks(units: DataFrame, goal: int = X.CHUNK_MAX, most: int = X.CHUNK_MAX, least: int = X.CHUNK_MIN) -> DataFrame:
+    """(key, chunk_index, total_chunks, chunk) from ``units(key, header, text)``."""
+    return _per_unit(units, lambda text, header: chunk_text(text, header, goal, most, least))
+
+
+def fixed_chunks(units: DataFrame, overlap: float = 0.0, most: int = X.CHUNK_MAX, least: int = X.CHUNK_MIN) -> DataFrame:
+    """As ``structural_chunks``, by windows."""
+    return _per_unit(units, lambda text, header: fixed_text(text, header, overlap, most, least))
+
+
+def semantic_chunks(units: DataFrame, threshold: float, embedder: Embedder = hash_embedder, most: int = X.CHUNK_MAX, least: int = X.CHUNK_MIN) -> DataFrame:
+    """As ``structural_chunks``, cut where neighbouring pieces are far apart."""
+    return _per_unit(units, lambda text, header: semantic_text(Pieces(text, embedder), threshold, header, most, least))
+
+
+def distance_percentiles(units: DataFrame, sizes: list[int], shares: list[float], embedder: Embedder = hash_embedder) -> dict[int, list[float]]:
+    """For each limit the percentiles of the distances between neighbouring pieces, none across units.
+
+    Distances have six decimals, so a limit has two million values at most, which come counted by batch; what reaches the
+    driver is one row a limit. Without any distance a limit's percentiles are infinite: nothing is cut.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: dict[int, list[np.ndarray]] = {n: [] for n in sizes}
+            for header, text in zip(*(b.column(c).to_pylist() for c in ("header", "text")), strict=True):
+                pieces = Pieces(text or "", embedder)
+                for n in sizes:
+                    seen[n].append(pieces.distances(_room(header or "", n)))
+            for n, found in seen.items():
+                value, count = np.unique(np.concatenate([np.zeros(0), *found]), return_counts=True)
+                yield pa.record_batch({"most": pa.array(np.full(len(value), n, np.int32)), "distance": pa.array(value), "n": pa.array(count.astype(np.int64))})
+
+    counted = units.select("header", "text").mapInArrow(run, "most int, distance double, n bigint").groupBy("most", "distance").agg(F.sum("n").alias("n"))
+    rows = counted.groupBy("most").agg(F.percentile("distance", F.array(*map(F.lit, shares)), F.col("n")).alias("p")).collect()  # a row a limit
+    return {n: [float("inf")] * len(shares) for n in sizes} | {r.most: list(r.p) for r in rows}
+
+
+#: What a run of a configuration is judged by.
+FIGURES = ("texts", "chunks", "chars", "short", "longest")
+
+
+def run_grid(units: DataFrame, configurations: list[tuple[int, str, float]], thresholds: dict[tuple[int, float], float], embedder: Embedder = hash_embedder, least: int = X.CHUNK_MIN) -> DataFrame:
+    """Chunk every unit under every configuration (limit, strategy, setting), in one pass over the texts.
+
+    Gives a row a configuration: units with chunks, chunks, characters of their bodies without white space, bodies below the
+    minimum, length of the longest chunk. ``thresholds`` holds the cut of each (limit, setting) of the semantic strategy.
+    """
+
+    def chunks(pieces: Pieces, header: str, most: int, strategy: str, setting: float) -> list[str]:
+        if strategy == "structural":
+            return structural_text(pieces, header, int(most * setting), most, least)
+        if strategy == "fixed":
+            return fixed_text(pieces.text, header, setting, most, least)
+        return semantic_text(pieces, thresholds[most, setting], header, most, least)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total = np.zeros((len(configurations), len(FIGURES)), np.int64)
+            for header, text in zip(*(b.column(c).to_pylist() for c in ("header", "text")), strict=True):
+                pieces, before = Pieces(text or "", embedder), len(header) + 1 if header else 0
+                for row, one in zip(total, configurations, strict=True):
+                    made = chunks(pieces, header or "", *one)
+                    row[:4] += (bool(made), len(made), sum(_visible(c[before:]) for c in made), sum(len(c) - before < least for c in made))
+                    row[4] = max([row[4], *map(len, made)])
+            columns = [pa.array(c, k) for c, k in zip(zip(*configurations, strict=True), (pa.int32(), pa.string(), pa.float64()), strict=True)]
+            yield pa.record_batch([*columns, *map(pa.array, total.T)], ["most", "strategy", "setting", *FIGURES])
+
+    parts = units.select("header", "text").mapInArrow(run, "most int, strategy string, setting double, " + ", ".join(f"{f} bigint" for f in FIGURES))
+    sums = [F.sum(f).alias(f) for f in FIGURES[:4]]
+    return parts.groupBy("most", "strategy", "setting").agg(*sums, F.max("longest").alias("longest"))
+
+
 def greedy_pack(pieces: Column, goal: int) -> Column:
     """``pack`` as a fold: array<struct<chunk, n>> with each group's text and number of pieces."""
     start = F.array().cast("array<struct<chunk:string,n:int>>")

@@ -46,6 +46,9 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(n == 0, 1.0, n)
 
 
+#: A model: texts to their vectors.
+Embedder = Callable[[list[str]], list[list[float]]]
+
 #: What a search does with a block: (queries, vectors) as tables of arrays, and their distances, to the rows it gives.
 Kernel = Callable[[dict[str, np.ndarray], dict[str, np.ndarray], np.ndarray], dict[str, np.ndarray]]
 
@@ -208,7 +211,7 @@ def hash_embedder(texts: list[str], dims: int = 64) -> list[list[float]]:
     return _unit(out).tolist()
 
 
-def embed(df: DataFrame, text: str = "text", embedder: Callable[[list[str]], list[list[float]]] = hash_embedder, prefix: str = X.PASSAGE_PREFIX, batch: int = 64) -> DataFrame:
+def embed(df: DataFrame, text: str = "text", embedder: Embedder = hash_embedder, prefix: str = X.PASSAGE_PREFIX, batch: int = 64) -> DataFrame:
     """``df`` with ``embedding``, the embedder being called for ``batch`` texts at a time."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

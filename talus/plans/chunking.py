@@ -13,10 +13,14 @@ def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
+def _units(spark, sf_dir):
+    header = F.concat(F.lit("«"), "lang", F.lit("» "), "source").alias("header")
+    return _docs(spark, sf_dir).select(F.col("doc_id").alias("key"), header, "text")
+
+
 def structural_chunks(spark, sf_dir):
     """Whole texts to chunks under a header (language and source)."""
-    units = _docs(spark, sf_dir).select(F.col("doc_id").alias("key"), F.concat(F.lit("«"), "lang", F.lit("» "), "source").alias("header"), "text")
-    return K.structural_chunks(units)
+    return K.structural_chunks(_units(spark, sf_dir))
 
 
 def split_pieces_audit(spark, sf_dir):
@@ -61,11 +65,36 @@ def semantic_groups(spark, sf_dir):
     return out.groupBy("unit", "group").agg(F.count("*").alias("pieces"), F.min("pos").alias("first"))
 
 
+SIZES, SHARES = (600, 900, 1200, 1500, 1800), (0.3, 0.5, 0.7)
+#: Five limits, for each three settings of three strategies: share of the limit aimed at, percentile of the cut, overlap.
+SETTINGS = {"structural": (0.6, 0.8, 1.0), "semantic": tuple(100 * s for s in SHARES), "fixed": (0.0, 0.1, 0.2)}
+GRID = [(most, way, setting) for most in SIZES for way, settings in SETTINGS.items() for setting in settings]
+
+
+def fixed_chunks(spark, sf_dir):
+    """Whole texts to windows that overlap by a fifth, under their header."""
+    return K.fixed_chunks(_units(spark, sf_dir), 0.2)
+
+
+def semantic_chunks(spark, sf_dir):
+    """Whole texts cut at distances from the median on."""
+    units = _units(spark, sf_dir)
+    (threshold,) = K.distance_percentiles(units, [X.CHUNK_MAX], [0.5])[X.CHUNK_MAX]
+    return K.semantic_chunks(units, threshold)
+
+
 def chunk_grid(spark, sf_dir):
-    """The 45 configurations: limits by strategies by their settings."""
-    sizes = spark.createDataFrame([(n,) for n in (600, 900, 1200, 1500, 1800)], "most int")
-    ways = spark.createDataFrame([("fixed", 0.0), ("fixed", 0.1), ("fixed", 0.2), ("structural", 0.6), ("structural", 0.8), ("structural", 1.0), ("semantic", 30.0), ("semantic", 50.0), ("semantic", 70.0)], "strategy string, setting double")
-    return sizes.crossJoin(F.broadcast(ways)).select("most", "strategy", "setting", F.when(F.col("strategy") == "fixed", F.col("most") - F.floor(F.col("most") * F.col("setting"))).alias("step"))
+    """All documents chunked under the 45 configurations, with the figures of each."""
+    units = _units(spark, sf_dir)
+    found = K.distance_percentiles(units, list(SIZES), list(SHARES))
+    cuts = {(most, setting): p for most, ps in found.items() for setting, p in zip(SETTINGS["semantic"], ps, strict=True)}
+    return K.run_grid(units, GRID, cuts)
+
+
+def chunk_grid_audit(spark, sf_dir):
+    """Of each configuration the texts it chunked, the characters in its chunks, and whether all chunks keep to the limit."""
+    figures = chunk_grid(spark, sf_dir)
+    return figures.select("most", "strategy", "setting", "texts", "chars", (F.col("longest") <= F.col("most")).alias("bounded"))
 
 
 def truncation_audit(spark, sf_dir):
@@ -86,7 +115,20 @@ _PIECES = (
     "n as (select unit, pos, abs(round(1 - list_inner_product(e, b) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(b, b))), 6)) as distance from (select *, lag(e) over (partition by unit order by pos) as b from p)), "
     "t as (select quantile_cont(distance, 0.3) as p30, quantile_cont(distance, 0.5) as p50, quantile_cont(distance, 0.7) as p70 from n)"
 )
-QUERIES = {f.__name__: f for f in (structural_chunks, split_pieces_audit, greedy_pack, fixed_window_overlap, semantic_threshold, semantic_groups, chunk_grid, truncation_audit, chunk_numbering)}
+_BLANKS = "'[ \\t\\n\\x0B\\f\\r]'"
+_SETTING_ROWS = ", ".join(f"('{w}', {s}::double)" for w, settings in SETTINGS.items() for s in settings)
+# no characters are lost or doubled but by the overlap of windows, whose width the header makes
+_GRID_AUDIT = f"""
+with d as (select doc_id, text, 4 + length(lang) + length(source) as before from documents where regexp_replace(text, {_BLANKS}, '', 'g') <> ''),
+s as (select unnest({list(SIZES)}) as most),
+w as (select strategy, setting from (values {_SETTING_ROWS}) t(strategy, setting)),
+f as (select most, setting, doc_id, text, most - before as width from d, s, w where strategy = 'fixed'),
+p as (select most, setting, doc_id, text, width, unnest(range(0, length(text), width - floor(width * setting)::bigint)) as start from f),
+x as (select most, 'fixed' as strategy, setting, count(distinct doc_id) as texts, sum(length(regexp_replace(substr(text, start + 1, width), {_BLANKS}, '', 'g')))::bigint as chars from p group by all),
+o as (select count(*) as texts, sum(length(regexp_replace(text, {_BLANKS}, '', 'g')))::bigint as chars from d)
+select *, true as bounded from (select * from x union all select most, strategy, setting, texts, chars from o, s, w where strategy <> 'fixed')
+"""
+QUERIES = {f.__name__: f for f in (structural_chunks, split_pieces_audit, greedy_pack, fixed_window_overlap, fixed_chunks, semantic_threshold, semantic_groups, semantic_chunks, chunk_grid, chunk_grid_audit, truncation_audit, chunk_numbering)}
 ORACLES = {
     "split_pieces_audit": "select doc_id, true as whole, true as bounded, true as contiguous, true as counted from documents",
     "greedy_pack": (
@@ -97,7 +139,7 @@ ORACLES = {
     "fixed_window_overlap": f"select doc_id, start, md5(chunk) as chunk from {_WINDOWS.format(w=600, s=480)} where chunk <> ''",
     "semantic_threshold": f"with {_PIECES} select round(p30, 6) as p30, round(p50, 6) as p50, round(p70, 6) as p70 from t",
     "semantic_groups": f"with {_PIECES}, g as (select unit, pos, sum(case when distance >= p50 then 1 else 0 end) over (partition by unit order by pos) as grp from n, t) select unit, grp as \"group\", count(*) as pieces, min(pos) as first from g group by unit, grp",
-    "chunk_grid": "with s(most) as (values (600), (900), (1200), (1500), (1800)), w(strategy, setting) as (values ('fixed', 0.0), ('fixed', 0.1), ('fixed', 0.2), ('structural', 0.6), ('structural', 0.8), ('structural', 1.0), ('semantic', 30.0), ('semantic', 50.0), ('semantic', 70.0)) select most, strategy, setting::double as setting, case when strategy = 'fixed' then most - floor(most * setting)::bigint end as step from s, w",
+    "chunk_grid_audit": _GRID_AUDIT,
     "truncation_audit": "select count(*) as texts, count(*) filter (where n > 510) as truncated, round(sum(least(n, 510)) / sum(n), 6) as share_read from (select len(list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) as n from documents)",
     "chunk_numbering": f"select doc_id, row_number() over (partition by doc_id order by start) - 1 as chunk_index, count(*) over (partition by doc_id) as total_chunks, length(chunk) as chars from {_WINDOWS.format(w=900, s=900)} where chunk <> ''",
 }
