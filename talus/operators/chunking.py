@@ -26,14 +26,16 @@ _SENTENCE_END = re.compile(r"(?<=[.;!?])\s+")
 
 def _bounded(text: str, most: int) -> Iterator[str]:
     """``text`` in parts of at most ``most`` characters, cut at the last space that allows it."""
-    rest = text
-    while len(rest) > most:
-        space = rest.rfind(" ", 0, most)
-        at = space if space > 0 else most
-        yield rest[:at].strip()
-        rest = rest[at:].strip()
-    if rest:
-        yield rest
+    start, end = 0, len(text)
+    while end - start > most:
+        space = text.rfind(" ", start, start + most)
+        at = space if space > start else start + most
+        yield text[start:at].strip()
+        start = at
+        while start < end and text[start].isspace():
+            start += 1
+    if start < end:
+        yield text[start:]
 
 
 def split_pieces(text: str, most: int = X.CHUNK_MAX) -> list[str]:
@@ -68,25 +70,32 @@ def merge_short(chunks: list[str], least: int = X.CHUNK_MIN, most: int = X.CHUNK
     """
     left: list[str] = []
     right = deque(chunks)
-    safe = 0  # so many of ``left`` stand before the first short one: a new start would pass over them
+    safe = 0  # so many of ``left`` a new start would leave as they are, so it begins behind them
     while right:
+        whole = safe == len(left)
         if len(right[0]) >= least or len(left) + len(right) == 1:
-            safe += safe == len(left) and len(right[0]) >= least
             left.append(right.popleft())
+            safe += whole
             continue
         first = left.pop() if left else right.popleft()
         second = right.popleft()
-        safe = min(safe, len(left))
         joined = f"{first}\n{second}"
         if len(joined) <= most:
             even = [joined]
         else:
             even = pack(split_pieces(joined, most), min(len(joined) // 2 + 1, most))
-        if len(even) < 2:
+        if len(even) > 2 or even == [first, second]:
+            left += [first, second]
+            safe = len(left) if whole else safe
+            continue
+        safe = min(safe, len(left))
+        if safe == 1 and len(left[0]) < least:
+            safe = 0  # a short first chunk is taken together with the next
+        if len(even) == 2:
+            left += even
+        else:
             right.extendleft(reversed([*left[safe:], *even]))
             del left[safe:]
-        else:
-            left += [first, second] if len(even) > 2 else even
     return left
 
 
