@@ -58,6 +58,11 @@ ABBREVIATIONS = {"ing.": "ingenieria"}
 NO_CREDITS_LISTED, NO_CREDITS_SAID, NO_YEAR_SAID = " (créditos no publicados)", ". La web de la EPSJ no publica sus créditos", ", sin curso asignado en el plan"
 NOT_OFFERED_SAID = ". No ofertada en el curso rastreado"
 PLAN_WORDS = ["creditos", "credito", "ects", "curso", "cuatrimestre", "semestre"]
+CATALOGUE_HEADING = "TITULACIONES DE LA ESCUELA. Son estas y no hay ninguna más:"
+ONE_SCOPE = "ÁMBITO: la consulta es sobre el "
+SCOPES_HEADING = "ÁMBITO: la consulta abarca estas titulaciones:"
+EARLIER_HEADING = "PREGUNTAS ANTERIORES DEL ESTUDIANTE:"
+NO_CONTEXT = "(no se ha recuperado ningún fragmento)"
 
 SECTION_SUMMARY, SECTION_CONTENTS = "RESUMEN", "DESCRIPCIÓN DE CONTENIDOS"
 SECTION_LABELS = [

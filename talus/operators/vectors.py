@@ -165,6 +165,63 @@ def band(ranked: DataFrame, floor: float = X.FLOOR, factor: float = X.CUT_FACTOR
     return near.where((F.col("_best") <= floor) & (F.col("rank") <= keep)).drop("_best", "_near")
 
 
+def retrieve(questions: DataFrame, chunks: DataFrame, fallback: DataFrame | None = None, floor: float = X.FLOOR) -> DataFrame:
+    """(query_id, vec_id, distance, rank, way) of ``questions(query_id, query_vec, advice)`` among ``chunks``.
+
+    Way ``advice``: the best ones without a band, for a question that asks for advice. ``own``: the band of any other. ``fallback``:
+    the band of the vector that ``fallback(query_id, query_vec)`` has for a question whose own band is empty, if it has one.
+    """
+    found = top_k(questions, chunks, X.K_MOST).join(questions.select("query_id", "advice"), "query_id")
+    columns = ["query_id", "vec_id", "distance", "rank", "way"]
+    advice = found.where("advice").withColumn("way", F.lit("advice")).select(columns)
+    own = band(found.where("not advice"), floor).withColumn("way", F.lit("own")).select(columns)
+    out = advice.unionByName(own)
+    if fallback is None:
+        return out
+    empty = questions.where("not advice").join(own.select("query_id").distinct(), "query_id", "left_anti").select("query_id")
+    again = band(top_k(fallback.join(empty, "query_id"), chunks, X.K_MOST), floor).withColumn("way", F.lit("fallback"))
+    return out.unionByName(again.select(columns))
+
+
+def incomplete_guides(questions: DataFrame, context: DataFrame) -> DataFrame:
+    """(query_id, name) of the guides that a question names as whole words and of which ``context`` lacks parts.
+
+    ``questions(query_id, question)``; ``context(query_id, origin, name, degrees, chunk_index, total_chunks)``. A unit is a name with
+    its degrees. Questions for data that every part's header has are left out.
+    """
+    from talus.functions.text import normalize, strings, tokens
+
+    part = context.where("origin = 'guia'").groupBy("query_id", "name", "degrees").agg(F.count_distinct("chunk_index").alias("got"), F.max("total_chunks").alias("of"))
+    asked = questions.where(~F.arrays_overlap(tokens(F.col("question")), strings(X.PLAN_WORDS))).select("query_id", normalize(F.col("question")).alias("_said"))
+    quoted = F.replace(normalize(F.col("name")), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    named = F.regexp_like("_said", F.concat(F.lit("(?U)(?<!\\w)\\Q"), quoted, F.lit("\\E(?!\\w)")))
+    return part.where("got < of").join(asked, "query_id").where(named).select("query_id", "name").distinct()
+
+
+def prompts(questions: DataFrame, context: DataFrame, instructions: str) -> DataFrame:
+    """(query_id, prompt): instructions, catalogue, scope, last questions, context and question; what is empty is left out.
+
+    ``questions(query_id, question, catalogue, scope, earlier)``, the last three being arrays or null; ``context(query_id, place, name,
+    degrees, text)``, a few rows a question.
+    """
+    listed = lambda a: F.array_join(F.transform(a, lambda x: F.concat(F.lit("- "), x)), "\n")
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    under = lambda heading, a: F.concat(F.lit(heading + "\n"), listed(a), F.lit("\n\n"))
+    part = F.struct("place", F.concat("name", F.lit(" — "), F.array_join("degrees", ", "), F.lit("\n"), "text").alias("t"))
+    found = context.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["t"]), "\n\n").alias("_context"))
+    scope = F.when(F.size("scope") == 1, F.concat(F.lit(X.ONE_SCOPE), F.col("scope")[0], F.lit(".\n\n"))).otherwise(under(X.SCOPES_HEADING, F.col("scope")))
+    last = F.slice("earlier", F.greatest(F.size("earlier") - (X.REMEMBERED - 1), F.lit(1)), X.REMEMBERED)
+    prompt = F.concat(
+        F.lit(instructions + "\n\n"),
+        F.when(some("catalogue"), under(X.CATALOGUE_HEADING, F.col("catalogue"))).otherwise(""),
+        F.when(some("scope"), scope).otherwise(""),
+        F.when(some("earlier"), under(X.EARLIER_HEADING, last)).otherwise(""),
+        F.lit("CONTEXTO:\n"), F.coalesce("_context", F.lit(X.NO_CONTEXT)),
+        F.lit("\n\nPREGUNTA: "), F.coalesce("question", F.lit("")), F.lit("\n\nRESPUESTA:"),
+    )
+    return questions.join(found, "query_id", "left").select("query_id", prompt.alias("prompt"))
+
+
 def interleave(scoped: DataFrame, keys: list[str], most: int = X.K_MOST) -> DataFrame:
     """Round robin by rank over scopes, each chunk once, at most ``most`` a query."""
     w = Window.partitionBy("query_id", *keys).orderBy("rank", "scope")

@@ -95,9 +95,12 @@ def param_sweep(spark, sf_dir):
 
 
 def out_of_domain(spark, sf_dir):
-    m = messages(spark, sf_dir)
-    flagged = m.select(T.asks_advice(F.col("text")).alias("advice"), T.other_centre(F.col("text")).alias("other_centre"))
-    return flagged.groupBy("advice", "other_centre").agg(F.count("*").alias("n"))
+    """For each question how many chunks the retrieval keeps, and what else stops it: a wish for advice, another centre."""
+    asked = PV.asking(spark, sf_dir).withColumn("advice", T.asks_advice(F.col("question")))
+    # a question's own vector is in the table: it is looked for among the other ones
+    others = PV.chunks(spark, sf_dir).where(F.col("vec_id") % V.EVERY != 0)
+    kept = V.retrieve(asked, others, floor=PV.NARROW).groupBy("query_id").agg(F.count("*").alias("kept"))
+    return asked.join(kept, "query_id", "left").select("query_id", F.coalesce("kept", F.lit(0)).alias("kept"), "advice", T.other_centre(F.col("question")).alias("other_centre"))
 
 
 def scalar_accuracy(spark, sf_dir):
@@ -280,7 +283,11 @@ ORACLES = {
         "z as (select query_id, y.least, most, factor, floor, count(*) filter (where k) as kept, max((k and same)::int) as hit from (select *, best <= floor and rank - 1 <= greatest(y.least, least(near, most)) as k from y) y group by all) "
         "select z.least, most, factor, floor, sum(kept) as kept, sum(hit) as hits, count(*) filter (where kept = 0) as rejected from z group by all"
     ),
-    "out_of_domain": f"select {_ADVICE} as advice, {_OTHER} as other_centre, count(*) as n from {_SAMPLE_SQL} group by all",
+    "out_of_domain": (
+        f"with {PV._Q}, {PV._dist('vec_id % 50 <> 0')}, {PV._R}, {PV._BAND.format(key='query_id')}, a as (select query_id, {_ADVICE} as advice, {_OTHER} as other_centre from {PV._ASKING}), "
+        f"k as (select query_id, count(*) as n from b where {PV._KEEP.format(floor=PV.NARROW)} group by query_id), w as (select query_id, count(*) as n from r where rank <= {X.K_MOST} group by query_id) "
+        "select a.query_id, coalesce(case when advice then w.n else k.n end, 0) as kept, advice, other_centre from a left join k on k.query_id = a.query_id left join w on w.query_id = a.query_id"
+    ),
     "scalar_accuracy": f"with a as (select p_partkey, printf('Tiene %.1f ECTS y otros %d ECTS', p_size / 10, p_size) as answer, printf('%.1f', p_size / 10) as expected from part), s as (select *, list_transform(regexp_extract_all(answer, '([0-9]+(?:[.,][0-9]+)?) ECTS', 1), lambda x: {_PLAIN.format('x')}) as said from a) select p_partkey, array_to_string(said, '|') as said, list_contains(said, {_PLAIN.format('expected')}) as right from s".replace(" as right from s", " as \"right\" from s"),
     "summary_by_model": f"select model, {_SUM} from {_LEDGER} group by model",
     "summary_by_family": f"select model, family, {_SUM} from {_LEDGER} group by model, family",

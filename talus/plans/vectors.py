@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from talus.functions import fixed as X
 from talus.functions import text as T
 from talus.operators import vectors as V
-from talus.plans.text import NORMAL
+from talus.plans.text import NORMAL, SAMPLES, _ADVICE, _list
 from talus.session import table
 
 #: The driver's vectors lie far apart, so the floor is wider than the corpus' own.
 FLOOR = 0.63
+#: So narrow that some questions find nothing among chunks without their own.
+NARROW = 0.6
 
 _ORIGIN = "case when vec_id % 5 = 0 then 'plan' when vec_id % 5 = 1 then 'salidas' else 'guia' end"
 _YEAR = "case when vec_id % 4 = 0 then 'Primer curso' when vec_id % 4 = 1 then 'Segundo curso' when vec_id % 4 = 2 then 'Tercer o cuarto curso' else '' end"
@@ -85,17 +87,20 @@ _BAND = f"b as (select *, min(distance) over (partition by {{key}}) as best, cou
 _KEEP = f"best <= {{floor}} and rank <= greatest({X.K_LEAST}, least(n_near, {X.K_MOST}))"
 
 
+def asking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set with a text, which is one of the samples by turns."""
+    text = F.element_at(F.array(*map(F.lit, SAMPLES)), (F.expr(f"query_id div {V.EVERY}") % len(SAMPLES) + 1).cast("int"))
+    return V.probe_set(chunks(spark, sf_dir)).withColumn("question", text)
+
+
+_ASKING = f"(select query_id, {_list(SAMPLES)}[(query_id // {V.EVERY}) % {len(SAMPLES)} + 1] as text from q)"
+
+
 def retrieve_context(spark, sf_dir):
-    """A question's own band; what that leaves empty is searched again without its filter; advice skips the band."""
-    c = chunks(spark, sf_dir)
-    probes = V.probe_set(c)
-    first = V.top_k(probes, V.prefilter(c, kind="OB"), 20)
-    advice = F.col("query_id") % 7 == 0
-    narrow = V.band(first.where(~advice), floor=0.6).withColumn("way", F.lit("own"))
-    open_ = first.where(advice & (F.col("rank") <= 10)).withColumn("way", F.lit("advice"))
-    left = probes.where(F.col("query_id") % 7 != 0).join(narrow.select("query_id").distinct(), "query_id", "left_anti")
-    again = V.band(V.top_k(left, c, 20), floor=FLOOR).withColumn("way", F.lit("fallback"))
-    return narrow.union(open_).union(again).select("query_id", "vec_id", "distance", "rank", "way")
+    """A question's band among optional chunks; one left empty takes the question before; advice has no band."""
+    asked = asking(spark, sf_dir).withColumn("advice", T.asks_advice(F.col("question")))
+    before = V.probe_set(chunks(spark, sf_dir)).withColumn("query_id", F.col("query_id") + V.EVERY)
+    return V.retrieve(asked, V.prefilter(chunks(spark, sf_dir), kind="OP"), before, floor=NARROW)
 
 
 def vector_interleave(spark, sf_dir):
@@ -163,20 +168,43 @@ _YEAR_PLACE = "case when trim(year) = '' then 99 " + " ".join(f"when starts_with
 
 
 def prompt_assembly(spark, sf_dir):
-    """Instruction, context by rank and question as one text."""
+    """Prompts of the query set: scopes of none to two degrees, none to four earlier questions, no context for every seventh."""
     c = chunks(spark, sf_dir)
-    r = V.top_k(V.probe_set(c), c, 5).join(c.select("vec_id", "name"), "vec_id")
-    parts = F.array_sort(F.collect_list(F.struct("rank", "name")))
-    out = r.groupBy("query_id").agg(F.concat_ws("\n", F.transform(parts, lambda p: F.concat(F.lit("- "), p["name"]))).alias("context"))
-    return out.select("query_id", F.concat_ws("\n\n", F.lit("Responde solo con el contexto."), F.concat(F.lit("CONTEXTO:\n"), "context"), F.concat(F.lit("PREGUNTA: "), "query_id")).alias("prompt"))
+    number = lambda x: F.concat(F.lit("pregunta "), x)
+    i = F.expr(f"query_id div {V.EVERY}")
+    asked = V.probe_set(c, V.EVERY, "label").select(
+        "query_id", number(F.col("query_id")).alias("question"),
+        F.when(i % 2 == 0, F.array(F.lit("Grado A"), F.lit("Grado B"))).alias("catalogue"),
+        F.slice(F.array(F.concat(F.lit("L"), "label"), F.lit("Lx")), F.lit(1), (i % 3).cast("int")).alias("scope"),
+        F.slice(F.array(*[number(F.lit(n)) for n in range(4)]), F.lit(1), (i % 5).cast("int")).alias("earlier"),
+    )
+    placed = context_order(spark, sf_dir).where(i % 7 != 3).join(c.select("vec_id", "name", "degrees", F.concat_ws(" ", "origin", "year").alias("text")), "vec_id")
+    return V.prompts(asked, placed, INSTRUCTIONS)
+
+
+INSTRUCTIONS = "Responde solo con el contexto."
+_NL = "chr(10)"
+_LISTED = "array_to_string(list_transform({0}, lambda x: '- ' || x), chr(10))"
+_PROMPT = f"""
+select query_id, '{INSTRUCTIONS}' || {_NL} || {_NL}
+|| case when i % 2 = 0 then '{X.CATALOGUE_HEADING}' || {_NL} || '- Grado A' || {_NL} || '- Grado B' || {_NL} || {_NL} else '' end
+|| case i % 3 when 1 then '{X.ONE_SCOPE}L' || label || '.' || {_NL} || {_NL} when 2 then '{X.SCOPES_HEADING}' || {_NL} || '- L' || label || {_NL} || '- Lx' || {_NL} || {_NL} else '' end
+|| case when i % 5 > 0 then '{X.EARLIER_HEADING}' || {_NL} || {_LISTED.format("list_transform(range(greatest(i % 5 - 3, 0), i % 5), lambda n: 'pregunta ' || n)")} || {_NL} || {_NL} else '' end
+|| 'CONTEXTO:' || {_NL} || coalesce(context, '{X.NO_CONTEXT}') || {_NL} || {_NL} || 'PREGUNTA: pregunta ' || query_id || {_NL} || {_NL} || 'RESPUESTA:' as prompt
+from (select vec_id as query_id, vec_id // {V.EVERY} as i, label from embeddings where vec_id % {V.EVERY} = 0) a left join (
+    select query_id, string_agg(name || ' — ' || array_to_string(degrees, ', ') || {_NL} || concat_ws(' ', origin, year), {_NL} || {_NL} order by place) as context
+    from ({{order}}) o join {CHUNKS} c using (vec_id) where (query_id // {V.EVERY}) % 7 <> 3 group by query_id) b using (query_id)
+"""
 
 
 def incomplete_guides(spark, sf_dir):
-    """Units of which a question got fewer parts than there are."""
+    """Guides got in part that a question names, here the nearest; every third asks for credits, every third names a longer word."""
     c = chunks(spark, sf_dir)
-    r = V.top_k(V.probe_set(c), c, 20).join(c.where("origin = 'guia'").select("vec_id", "name", "chunk_index", "total_chunks"), "vec_id")
-    n = F.count_distinct("chunk_index")
-    return r.groupBy("query_id", "name").agg(n.alias("parts"), F.max("total_chunks").alias("total")).where("parts < total")
+    i = F.expr(f"query_id div {V.EVERY}") % 3
+    context = V.top_k(V.probe_set(c), c, 20).join(c.select("vec_id", "origin", "name", "degrees", "chunk_index", "total_chunks"), "vec_id")
+    nearest = context.where("origin = 'guia'").groupBy("query_id").agg(F.min_by("name", "rank").alias("unit"))
+    question = F.concat(F.when(i == 1, "¿Cuántos créditos tiene ").otherwise("¿Qué tal es "), "unit", F.when(i == 2, "0?").otherwise("?"))
+    return V.incomplete_guides(nearest.select("query_id", question.alias("question")), context)
 
 
 def suggestions(spark, sf_dir):
@@ -186,6 +214,7 @@ def suggestions(spark, sf_dir):
     templates = spark.createDataFrame([(i, "OB" if i % 2 else "OP", f"plantilla {i}") for i in range(10)], "t int, kind string, template string")
     turns = spark.createDataFrame([(t, f"L{t}") for t in range(6)], "turn int, scope string")
     pair = turns.join(F.broadcast(templates)).join(have, "kind")
+    pair = pair.where(F.col("t") != F.col("turn") * 3 % 10)  # what was just asked
     pair = pair.withColumn("place", (F.col("t") + F.col("turn")) % 10).withColumn("own", F.col("degree") == F.col("scope"))
     w = Window.partitionBy("turn", "degree").orderBy("place")
     kept = pair.withColumn("nth", F.row_number().over(w)).where("nth <= case when own then 2 else 1 end")
@@ -214,11 +243,11 @@ ORACLES = {
     "resolve_name": f"with c as (select distinct p_name as name from part), w as (select wanted, {NORMAL.format('wanted')} as w from {_WANTED}), e as (select wanted, name, w from w join c on w = {NORMAL.format('name')}) select wanted, name from e union all select wanted, name from w join c on contains({NORMAL.format('name')}, w) where w not in (select w from e)",
     "vector_band": f"with {_Q}, {_dist()}, {_R}, {_BAND.format(key='query_id')} select query_id, vec_id, distance, rank from b where {_KEEP.format(floor=FLOOR)}",
     "retrieve_context": (
-        f"with {_Q}, {_dist()}, f as (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from d where kind = 'OB'), "
-        f"fb as (select *, min(distance) over (partition by query_id) as best, count(*) filter (where near) over (partition by query_id) as n_near from (select *, distance <= {X.CUT_FACTOR} * min(distance) over (partition by query_id) as near from f where rank <= 20)), "
-        f"n as (select query_id, vec_id, distance, rank, 'own' as way from fb where query_id % 7 <> 0 and {_KEEP.format(floor=0.6)}), {_R}, {_BAND.format(key='query_id')} "
-        f"select * from n union all select query_id, vec_id, distance, rank, 'advice' from f where query_id % 7 = 0 and rank <= 10 "
-        f"union all select query_id, vec_id, distance, rank, 'fallback' from b where query_id % 7 <> 0 and query_id not in (select query_id from n) and {_KEEP.format(floor=FLOOR)}"
+        f"with {_Q}, {_dist("kind = 'OP'")}, {_R}, {_BAND.format(key='query_id')}, a as (select query_id, {_ADVICE} as advice from {_ASKING}), "
+        f"k as (select query_id, vec_id, distance, rank from b where {_KEEP.format(floor=NARROW)}), e as (select query_id from a where not advice and query_id not in (select query_id from k)) "
+        "select k.*, 'own' as way from k join a using (query_id) where not advice "
+        f"union all select query_id, vec_id, distance, rank, 'advice' from r join a using (query_id) where advice and rank <= {X.K_MOST} "
+        f"union all select e.query_id, vec_id, distance, rank, 'fallback' from e join k on k.query_id = e.query_id - {V.EVERY}"
     ),
     "vector_interleave": f"with {_Q}, {_dist()}, s as ({_SCOPES}), o as (select *, row_number() over (partition by query_id, origin, name, degrees, chunk_index order by rank, scope) as seen from s), p as (select *, row_number() over (partition by query_id order by rank, scope) as position from o where seen = 1) select query_id, position, vec_id, scope, rank, distance from p where position <= {X.K_MOST}",
     "prefilter_probe": f"{BASE}, g as (select label, count(*) as members from embeddings group by label having count(*) >= 10) select query_id, g.label, members from q, g where not exists (select 1 from r where r.query_id = q.query_id and r.label = g.label and rank <= 10)",
@@ -231,7 +260,11 @@ ORACLES = {
     "structural_scan": f"select vec_id, name, year from {CHUNKS} where list_contains(degrees, 'L3') and starts_with(lower(year), 'primer')",
     "existence_count": f"with w(degree, kind) as (values ('L1', 'OB'), ('L9x', 'OP'), ('L77', 'OB')), h as (select d as degree, kind, count(*) as n from (select unnest(degrees) as d, kind from {CHUNKS}) group by all) select w.degree, w.kind, coalesce(n, 0) as n, n is not null as present from w left join h on w.degree = h.degree and w.kind = h.kind",
     "context_order": f"{BASE}, u as (select *, case when origin = 'plan' then 'true:' || degrees[1] else 'false:' || name end as unit from r where rank <= 20), m as (select *, min(distance) over (partition by query_id, unit) as best from u) select query_id, vec_id, unit, best, row_number() over (partition by query_id order by best, unit, case when origin = 'plan' then {_YEAR_PLACE} else 0 end, rank) as place from m",
-    "prompt_assembly": f"{BASE} select query_id, 'Responde solo con el contexto.' || chr(10) || chr(10) || 'CONTEXTO:' || chr(10) || string_agg('- ' || name, chr(10) order by rank) || chr(10) || chr(10) || 'PREGUNTA: ' || query_id as prompt from r where rank <= 5 group by query_id",
-    "incomplete_guides": f"{BASE} select query_id, name, count(distinct chunk_index) as parts, max(total_chunks) as total from r where rank <= 20 and origin = 'guia' group by query_id, name having count(distinct chunk_index) < max(total_chunks)",
-    "suggestions": f"with h as (select distinct d as degree, kind from (select unnest(degrees) as d, kind from {CHUNKS})), p as (select s.i as turn, degree, template, (t + s.i) % 10 as place, degree = 'L' || s.i as own from range(6) s(i), {_TEMPL} m join h using (kind)), k as (select *, row_number() over (partition by turn, degree order by place) as nth from p), v as (select *, row_number() over (partition by turn order by own desc, place, degree) as position from k where nth <= case when own then 2 else 1 end) select turn, position, degree, template from v where position <= 4",
+    "incomplete_guides": (
+        f"{BASE}, g as (select * from r where rank <= 20 and origin = 'guia'), p as (select query_id, name, degrees from g group by all having count(distinct chunk_index) < max(total_chunks)), "
+        f"u as (select query_id, arg_min(name, rank) || case when (query_id // {V.EVERY}) % 3 = 2 then '0' else '' end as unit from g group by query_id) "
+        f"select distinct p.query_id, name from p join u on u.query_id = p.query_id and name = unit where (p.query_id // {V.EVERY}) % 3 <> 1"
+    ),
+    "suggestions": f"with h as (select distinct d as degree, kind from (select unnest(degrees) as d, kind from {CHUNKS})), p as (select s.i as turn, degree, template, (t + s.i) % 10 as place, degree = 'L' || s.i as own from range(6) s(i), {_TEMPL} m join h using (kind) where t <> s.i * 3 % 10), k as (select *, row_number() over (partition by turn, degree order by place) as nth from p), v as (select *, row_number() over (partition by turn order by own desc, place, degree) as position from k where nth <= case when own then 2 else 1 end) select turn, position, degree, template from v where position <= 4",
 }
+ORACLES["prompt_assembly"] = _PROMPT.format(order=ORACLES["context_order"])

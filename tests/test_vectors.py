@@ -84,3 +84,35 @@ def test_index_round_trip(spark, tmp_path):
     assert V.read_index(spark, str(tmp_path), "hash-64").count() == 2
     with pytest.raises(ValueError):
         V.read_index(spark, str(tmp_path), "other")
+
+
+def test_retrieve_ways(spark):
+    chunks = vectors(spark, [(1, [1.0, 0.0]), (2, [0.99, 0.1]), (3, [0.0, 1.0])])
+    near, far = [1.0, 0.0], [-1.0, 0.0]
+    asked = spark.createDataFrame([(10, near, False), (11, far, False), (12, far, True), (13, far, False)], "query_id bigint, query_vec array<float>, advice boolean")
+    before = spark.createDataFrame([(11, near), (12, near)], "query_id bigint, query_vec array<float>")
+    got = {(r.query_id, r.way): 0 for r in V.retrieve(asked, chunks, before).collect()}
+    assert set(got) == {(10, "own"), (11, "fallback"), (12, "advice")}
+    assert {r.query_id for r in V.retrieve(asked, chunks).collect()} == {10, 12}
+
+
+def test_incomplete_guides_named_as_whole_words(spark):
+    part = "query_id bigint, origin string, name string, degrees array<string>, chunk_index int, total_chunks int"
+    context = spark.createDataFrame(
+        [(q, "guia", n, ["A"], 0, 2) for q in range(7) for n in ("Álgebra", "C++ (I)", "\\E.*")] + [(0, "plan", "Física", ["A"], 0, 9), (0, "guia", "Química", ["A"], 0, 2), (0, "guia", "Química", ["A"], 1, 2)], part
+    )
+    said = ["¿Qué tal es ÁLGEBRA? ¿Y Física, y Química?", "álgebras", "superálgebra", "créditos de Álgebra", "¿Qué es C++ (I)?", "", None]
+    asked = spark.createDataFrame(list(enumerate(said)), "query_id bigint, question string")
+    assert sorted(map(tuple, V.incomplete_guides(asked, context).collect())) == [(0, "Álgebra"), (4, "C++ (I)")]
+
+
+def test_prompts(spark):
+    asked = spark.createDataFrame(
+        [(0, "q", None, None, None), (1, "q", ["G"], ["G"], list("abcde")), (2, None, [], ["G", "H"], ["a"])],
+        "query_id bigint, question string, catalogue array<string>, scope array<string>, earlier array<string>",
+    )
+    context = spark.createDataFrame([(1, 2, "n2", ["G", "H"], "t2"), (1, 1, "n1", ["G"], "t1")], "query_id bigint, place int, name string, degrees array<string>, text string")
+    got = dict(map(tuple, V.prompts(asked, context, "I").collect()))
+    assert got[0] == "I\n\nCONTEXTO:\n(no se ha recuperado ningún fragmento)\n\nPREGUNTA: q\n\nRESPUESTA:"
+    assert "PREGUNTAS ANTERIORES DEL ESTUDIANTE:\n- c\n- d\n- e\n\nCONTEXTO:\nn1 — G\nt1\n\nn2 — G, H\nt2\n\nPREGUNTA" in got[1]
+    assert "ÁMBITO: la consulta es sobre el G.\n\n" in got[1] and "abarca estas titulaciones:\n- G\n- H\n\n" in got[2] and "TITULACIONES" not in got[2]
