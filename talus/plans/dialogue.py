@@ -150,12 +150,23 @@ def stream_retraction(spark, sf_dir):
     return V.retractions(parts, "conv_id", "turn", "text", lambda said: F.contains(said, F.lit("hainti")))
 
 
+INSTEAD = "No puedo darte esa respuesta."
+_STREAM = "case turn % 3 when 0 then '**blue bolt** se da en el ter' when 1 then 'cer curso. Son 9 ECTS. ' else case when conv_id % 3 = 0 then 'Mira el Grado en Magia. ' else 'Mira el Grado en Jaén. ' end end"
+
+
+def verified_stream(spark, sf_dir):
+    """Answers in parts that break inside words: corrected by sentence, withdrawn where they name a degree that does not exist."""
+    facts = {"blue bolt": {"term": 1, "year": 2, "ects": "6"}}
+    parts = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_STREAM).alias("text"))
+    return V.verify_streams(parts, "conv_id", "turn", "text", facts, ["Grado en Jaén"], INSTEAD)
+
+
 def drop_greeting(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr("case when turn = 0 and conv_id % 2 = 0 then '¡Hola!' else text end").alias("text"))
     return V.drop_greeting(c, "conv_id", "turn", "text").select("conv_id", "turn")
 
 
-QUERIES = {f.__name__: f for f in (names_in_text, named_by_itself, degrees_in_answer, scope_decision_parse, prepare_queries, last_three_turns, turn_log, named_degrees, invented_degrees, list_elements, enumerated_names, list_scoring, unambiguous_attributes, segment_subject, correct_attributes, stream_retraction, drop_greeting)}
+QUERIES = {f.__name__: f for f in (names_in_text, named_by_itself, degrees_in_answer, scope_decision_parse, prepare_queries, last_three_turns, turn_log, named_degrees, invented_degrees, list_elements, enumerated_names, list_scoring, unambiguous_attributes, segment_subject, correct_attributes, stream_retraction, verified_stream, drop_greeting)}
 _q = lambda s: s.replace("'", "''")
 _NAMED = f"list_distinct(list_transform(regexp_extract_all(text, '{_q(V.DEGREE)}'), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))))"
 _OCC = "((length({0}) - length(replace({0}, {1}, ''))) // length({1}))"
@@ -200,5 +211,12 @@ ORACLES = {
         "select p_partkey, case when p_size % 3 = 0 then p_name when p_size % 3 = 1 and (p_name = 'red widget' or not red) then p_name end as subject from part, has"
     ),
     "stream_retraction": f"with s as (select conv_id, turn, contains(string_agg(text, '') over (partition by conv_id order by turn), 'hainti') as bad from {_PARTS}), f as (select *, sum(bad::int) over (partition by conv_id order by turn) as n from s) select conv_id, turn, case when bad then 'retract' else 'part' end as kind from f where n = 0 or (n = 1 and bad)",
+    "verified_stream": (
+        f"with t as (select conv_id, string_agg({_STREAM}, '' order by turn) as s from conversations group by conv_id), f as (select conv_id, s, regexp_extract_all(s, '[^.!?\\n]*[.!?\\n]') as f from t), "
+        "w as (select conv_id, f, substr(s, length(array_to_string(f, '')) + 1) as rest from f), u as (select conv_id, case when rest = '' then f else list_append(f, rest) end as us from w), "
+        "x as (select conv_id, unnest(range(len(us))) as seq, unnest(us) as text from u), b as (select conv_id, min(seq) as bad from x where contains(text, 'Magia') group by conv_id) "
+        "select x.conv_id as key, seq, 'part' as kind, replace(replace(text, 'tercer curso', 'segundo curso'), '9 ECTS', '6 ECTS') as text from x left join b using (conv_id) where bad is null or seq < bad "
+        f"union all select conv_id, bad, 'retract', null from b union all select conv_id, bad + 1, 'fixed', '{INSTEAD}' from b"
+    ),
     "drop_greeting": "select conv_id, turn from (select *, count(*) over (partition by conv_id) as n from conversations) where not (turn = 0 and conv_id % 2 = 0 and n > 1)",
 }

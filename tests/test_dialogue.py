@@ -116,3 +116,28 @@ def test_invented(spark):
     cat = spark.createDataFrame([("Grado en Ingeniería Informática",)], "name string")
     named = spark.createDataFrame([(1, "Grado en Ingeniería"), (2, "Grado en Piratería"), (3, "Grado en Informática")], "k int, name string")
     assert [r.name for r in V.invented(named, cat, "k").collect()] == ["Grado en Piratería"]
+
+
+def test_verified_stream_does_not_depend_on_the_parts():
+    import random
+
+    facts = {"algebra": {"year": 2, "ects": "6"}, "fisica": {"year": 1}}
+    text = "«Álgebra» es de primer curso. Tiene 9 ECTS.\nSon 9 ECTS. «Física» va en 3º curso! Mira el Grado en Magia Negra. Y más"
+    expected = [("part", "«Álgebra» es de segundo curso."), ("part", " Tiene 6 ECTS."), ("part", "\n"), ("part", "Son 9 ECTS."), ("part", " «Física» va en primer curso!")]
+    names = V.Catalogue(["Grado en Ingeniería Informática"])
+    for seed in range(200):
+        r = random.Random(seed)
+        cuts = sorted(r.sample(range(len(text) + 1), r.randint(0, 20)))
+        parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+        assert list(V.verified(parts, facts, names, "no")) == [*expected, ("retract", None), ("fixed", "no")]
+        kept = list(V.verified(parts, facts, V.Catalogue([]), "no"))
+        assert kept[:5] == expected and kept[5:] == [("part", " Mira el Grado en Magia Negra."), ("part", " Y más")]
+    assert list(V.verified([], facts, names, "no")) == list(V.verified(["", ""], facts, names, "no")) == []
+    assert names.invented("el Grado en Ingeniería, y el grado en Ingeniería Informática de Jaén") == []
+
+
+def test_verified_streams_of_nulls(spark):
+    rows = [(1, 2, "b."), (1, 1, "a"), (2, 1, None), (None, 1, "x")]
+    parts = spark.createDataFrame(rows, "k bigint, i int, t string")
+    got = sorted(map(tuple, V.verify_streams(parts, "k", "i", "t", {}, [], "no").collect()), key=str)
+    assert got == [(1, 0, "part", "ab."), (None, 0, "part", "x")]
