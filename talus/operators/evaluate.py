@@ -123,3 +123,36 @@ def follow_up(turns: DataFrame, prepared: DataFrame) -> DataFrame:
     after = plain.select("conv_id", "turn", F.lit("concatenated").alias("strategy"), F.concat_ws(" ", "_b", "question").alias("text"))
     stateful = plain.select("conv_id", "turn").join(prepared, ["conv_id", "turn"]).select("conv_id", "turn", F.lit("stateful").alias("strategy"), F.concat_ws(" ", "text", F.array_join("scope", " ")).alias("text"))
     return alone.union(after).union(stateful)
+
+
+def plain_number(number: Column) -> Column:
+    """With a point, and without zeros after it."""
+    pointed = F.replace(number, F.lit(","), F.lit("."))
+    return F.regexp_replace(F.regexp_replace(pointed, "(\\.[0-9]*?)0+$", "$1"), "\\.$", "")
+
+
+def scalar_right(answer: Column, family: Column, expected: Column) -> Column:
+    """Whether an answer says what is expected: the number of credits, or, in any other family, a year that the label admits."""
+    from talus.functions import text as T
+
+    said = F.transform(F.regexp_extract_all(answer, F.lit("(?i)([0-9]+(?:[.,][0-9]+)?)[ \\t]*(?:ECTS|cr[ée]ditos?)"), 1), plain_number)
+    normal = T.normalize(answer)
+    year = F.exists(T.admissible_years(expected), lambda y: F.contains(normal, y))
+    return F.coalesce(F.when(family == "creditos", F.array_contains(said, plain_number(expected))).otherwise(year), F.lit(False))
+
+
+def rescore(ledger: DataFrame, bank: DataFrame, known: DataFrame) -> DataFrame:
+    """(run, right, precision, coverage, invented, omitted) of stored answers, anew, without a model.
+
+    ``ledger(run, id, answer)``; ``bank(id, kind, family, expected)`` with an array of what is expected; ``known(name)``. Scalars
+    (kind ``escalar``) are right or not, the other answers are compared as lists. Null answers are empty.
+    """
+    from talus.operators import verify as V
+
+    rows = ledger.join(bank, "id").withColumn("answer", F.coalesce("answer", F.lit("")))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("precision", "double"), ("coverage", "double"), ("invented", "bigint"), ("omitted", "bigint"))]
+    scalar = rows.where("kind = 'escalar'").select("run", scalar_right(F.col("answer"), F.col("family"), F.get("expected", F.lit(0))).alias("right"), *none)
+    lists = rows.where("kind <> 'escalar'")
+    scored = V.score_lists(V.listed_names(lists, "run", "answer").distinct(), lists.select("run", F.explode("expected").alias("name")), known, "run")
+    both = lists.select("run").join(scored, "run", "left").select("run", F.lit(None).cast("boolean").alias("right"), "precision", F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("invented", F.lit(0)).alias("invented"), F.coalesce("omitted", F.lit(0)).alias("omitted"))
+    return scalar.unionByName(both)

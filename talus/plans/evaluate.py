@@ -129,6 +129,27 @@ def summary_by_family(spark, sf_dir):
     return _summary(_ledger(spark, sf_dir), "model", "family")
 
 
+#: A stored answer and what was asked, by the size of a part: credits, a year, a list in lines or in running text.
+_ANSWER = (
+    "case p_size % 3 when 0 then concat('Tiene ', p_size, ',50 ECTS') when 1 then 'Se da en SEGUNDO curso' else "
+    "case when p_size % 2 = 0 then concat('- ', p_name, ': 6 ECTS', chr(10), '- inventada x') else concat('puedes cursar ', upper(substr(p_name, 1, 1)), substr(p_name, 2), ' (6 ECTS).') end end"
+)
+
+
+def rescored_ledger(spark, sf_dir):
+    """Stored answers scored anew by their family."""
+    p = table(spark, sf_dir, "part")
+    ledger = p.select(F.col("p_partkey").alias("run"), F.col("p_partkey").alias("id"), F.expr(_ANSWER).alias("answer"))
+    way, even = F.col("p_size") % 3, F.col("p_size") % 2 == 0
+    credits = F.when(even, F.concat("p_size", F.lit(".5"))).otherwise("7.25")
+    year = F.when(even, "Segundo curso").otherwise("Tercer o cuarto curso")
+    bank = p.select(
+        F.col("p_partkey").alias("id"), F.when(way < 2, "escalar").otherwise("conjunto").alias("kind"), F.when(way == 0, "creditos").otherwise("curso").alias("family"),
+        F.when(way == 0, F.array(credits)).when(way == 1, F.array(year)).otherwise(F.array(F.col("p_name"), F.lit("otra cosa"))).alias("expected"),
+    )
+    return H.rescore(ledger, bank, p.select(F.col("p_name").alias("name")))
+
+
 def completeness_gate(spark, sf_dir):
     """Questions that a model lacks: customers of which a status has no order."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("model"), F.col("o_custkey").alias("id"))
@@ -261,7 +282,7 @@ def _first_words(model: str, question: str) -> str:
     return " ".join(question.split()[:5])
 
 
-QUERIES = {f.__name__: f for f in (follow_up_strategies, run_ledger, relevance_join, recall_at_k, unit_recall_at_k, mrr, metrics_by_type, recall_ceiling, param_sweep, out_of_domain, scalar_accuracy, summary_by_model, summary_by_family, completeness_gate, grade_system, wilson, mcnemar_exact, paired_compare, latency_percentiles, threshold_verdicts, reproducibility, question_bank, stratified_sample, name_universes, run_remaining, hand_written_bank, embedding_models)}
+QUERIES = {f.__name__: f for f in (follow_up_strategies, run_ledger, relevance_join, recall_at_k, unit_recall_at_k, mrr, metrics_by_type, recall_ceiling, param_sweep, out_of_domain, scalar_accuracy, summary_by_model, summary_by_family, rescored_ledger, completeness_gate, grade_system, wilson, mcnemar_exact, paired_compare, latency_percentiles, threshold_verdicts, reproducibility, question_bank, stratified_sample, name_universes, run_remaining, hand_written_bank, embedding_models)}
 _B = f"{PV.BASE}, rel as (select q.query_id, e.vec_id, e.label from q join embeddings s on s.vec_id = q.query_id join embeddings e on e.label = s.label)"
 _LEDGER = "(select o_orderstatus as model, o_orderpriority as family, o_orderkey as id, case when o_custkey % 5 > 0 then (o_custkey % 3) / 2 end as precision, (o_custkey % 4) / 3 as coverage, o_totalprice / 1000 as seconds from orders)"
 _SUM = "count(*) as n, round(avg(precision), 6) as precision, round(avg(coverage), 6) as coverage, round(median(seconds), 6) as median, round(list_sort(list(seconds))[least(count(*) - 1, floor(0.9 * count(*))::bigint) + 1], 6) as p90, round(max(seconds), 6) as longest"
@@ -291,6 +312,10 @@ ORACLES = {
     "scalar_accuracy": f"with a as (select p_partkey, printf('Tiene %.1f ECTS y otros %d ECTS', p_size / 10, p_size) as answer, printf('%.1f', p_size / 10) as expected from part), s as (select *, list_transform(regexp_extract_all(answer, '([0-9]+(?:[.,][0-9]+)?) ECTS', 1), lambda x: {_PLAIN.format('x')}) as said from a) select p_partkey, array_to_string(said, '|') as said, list_contains(said, {_PLAIN.format('expected')}) as right from s".replace(" as right from s", " as \"right\" from s"),
     "summary_by_model": f"select model, {_SUM} from {_LEDGER} group by model",
     "summary_by_family": f"select model, family, {_SUM} from {_LEDGER} group by model, family",
+    "rescored_ledger": (
+        "select p_partkey as run, case when p_size % 3 < 2 then p_size % 2 = 0 end as \"right\", case when p_size % 3 = 2 then case when p_size % 2 = 0 then 0.5 else 1.0 end end::double as precision, "
+        "case when p_size % 3 = 2 then 0.5 end::double as coverage, case when p_size % 3 = 2 then 1 - p_size % 2 end::bigint as invented, case when p_size % 3 = 2 then 1 end::bigint as omitted from part"
+    ),
     "completeness_gate": "with w as (select distinct m.o_orderstatus as model, i.o_custkey as id from (select distinct o_orderstatus from orders) m, (select distinct o_custkey from orders) i) select model, count(*) as missing, min(id) as first from w where not exists (select 1 from orders o where o.o_orderstatus = model and o.o_custkey = id) group by model",
     "grade_system": f"select criterion, count(*) as n, count(*) filter (where case criterion when 'conjunto' then precision >= 1 and coverage >= 1 when 'escalar' then coverage > 0.5 when 'fija' then seconds < 100 when 'sin_invencion' then coalesce(precision, 1) >= 1 when 'rechazo' then precision is null else family = '1-URGENT' end) as passed from (select *, ['conjunto', 'escalar', 'fija', 'sin_invencion', 'rechazo', 'ambito'][id % 6 + 1] as criterion from {_LEDGER}) group by criterion",
     "wilson": f"with n as (select lang, sum(quality)::bigint as k, count(*) as n from labels join documents using (doc_id) group by lang union all select 'none', 0, 0), v as (select *, k / nullif(n, 0) as p, {X.Z95}::double as z from n) select lang, k, n, round(case when n = 0 then 0.0 else greatest(0.0, ((p + z * z / (2 * n)) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)) end, 9) as low, round(case when n = 0 then 1.0 else least(1.0, ((p + z * z / (2 * n)) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)) end, 9) as high from v",

@@ -141,3 +141,21 @@ def test_verified_streams_of_nulls(spark):
     parts = spark.createDataFrame(rows, "k bigint, i int, t string")
     got = sorted(map(tuple, V.verify_streams(parts, "k", "i", "t", {}, [], "no").collect()), key=str)
     assert got == [(1, 0, "part", "ab."), (None, 0, "part", "x")]
+
+
+def test_listed_names_and_scores_anew(spark):
+    from talus.operators import evaluate as H
+
+    answers = [(1, "Son:\n- **Álgebra** (6 ECTS)\n* Cálculo - 6 ECTS"), (2, "puedes cursar Álgebra (6 ECTS), Cálculo (6 créditos)."), (3, ""), (4, None)]
+    rows = spark.createDataFrame(answers, "run bigint, answer string")
+    assert sorted(map(tuple, V.listed_names(rows, "run", "answer").collect())) == [(r, n) for r in (1, 2) for n in ("Cálculo", "Álgebra")]
+    ledger = spark.createDataFrame([(r, 1, a) for r, a in answers] + [(5, 2, "Tiene 6,0 créditos"), (6, 2, None), (7, 3, "en Cuarto")], "run bigint, id int, answer string")
+    bank = spark.createDataFrame(
+        [(1, "conjunto", "asignaturas", ["Álgebra", "Física"]), (2, "escalar", "creditos", ["6"]), (3, "escalar", "curso", ["Tercer o cuarto curso"])],
+        "id int, kind string, family string, expected array<string>",
+    )
+    known = spark.createDataFrame([("Álgebra",), ("Física",)], "name string")
+    got = {r.run: tuple(r)[1:] for r in H.rescore(ledger, bank, known).collect()}
+    assert got[1] == got[2] == (None, 0.5, 0.5, 1, 1)
+    assert got[3] == got[4] == (None, None, 0.0, 0, 2)
+    assert (got[5][0], got[6][0], got[7][0]) == (True, False, True)
