@@ -10,9 +10,13 @@ How it is laid out: texts are read in slices. A slice sends each shard its disti
 all dishes of its contexts, so that counts, seatings and probabilities of a context meet in one place and never move again. The chain of a
 shard follows from its seed and the parent's probabilities: each round runs it anew instead of storing it. In the end a shard answers each
 slice's pairs in the order in which they were sent. Contexts that make up more than one in ``SPLIT`` tokens are split over the shards by
-word, their tables summed through the driver. What is broadcast has a bound whatever the corpus: counts and the parent's probabilities of
-the ``VOCABULARY`` commonest words. Other words are dishes of their own in each context and have exact counts in the base score; only the
-parent spreads what it leaves to them evenly over them and one unknown word.
+word, their tables summed through the driver. Counts and the parent's probabilities of the ``VOCABULARY`` commonest words are broadcast.
+
+Other words are dishes of their own too, in each context and in the parent, and have exact counts in the base score. Each round the shards
+send their tables of these words to the words' parts, which answer with the words' customers in the parent. The parent's base is the same for
+every word, so words with equally many customers there are alike: their tables are summed out together, by the exact law of the number of tables,
+and the driver sees and sends numbers of words by customers only. These words occur less often than each of ``VOCABULARY`` others, so such a list is no
+longer than some training tokens / ``VOCABULARY``.
 
 Null texts are empty: their only token is the end. Rows that repeat an id are scored each and counted each; rows without an id are left
 out, since the id tells training texts. An empty table gives an empty result. Extra columns are ignored. Nothing is ranked but words for
@@ -24,7 +28,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +49,8 @@ FLUSH = 1_000_000
 COLD = np.uint64(1 << 63)
 #: Parts in which sums over the vocabulary are shuffled.
 PARTS = 64
+#: Words outside the vocabulary, counted once a shard, that meet in a part.
+COLD_WORDS = 500_000
 
 
 def is_training(doc: int) -> bool:
@@ -246,11 +252,14 @@ def slice_rows(docs: DataFrame, sent, split: int, shards: int, below: float) ->
     return docs.mapInArrow(run, SLICES)
 
 
-BASE = "shard int, pairs binary, slices array<bigint>, places array<binary>"
+BASE = "shard int, pairs binary, slices array<bigint>, places array<binary>, cold bigint"
+#: Messages to and from the parts: sums over the vocabulary and numbers of words by customers have no shard.
+MESSAGES = "part int, shard int, data binary"
+REPLIES = "array<struct<turn:int,part:int,data:binary>>"
 
 
 def _build(rows: pa.Table) -> pa.Table:
-    """One row for a shard: its distinct pairs with their counts, and each slice's pairs as places in them."""
+    """One row for a shard: its distinct pairs with their counts, each slice's pairs as places in them, and how many words outside the vocabulary."""
     rows = rows.sort_by("slice")
     us, ws, cs, lengths = [], [], [], []
     for data in rows.column("request").to_pylist():
@@ -269,9 +278,10 @@ def _build(rows: pa.Table) -> pa.Table:
     starts = _runs(u)
     cuts = np.append(0, np.cumsum(lengths)).tolist()
     places = [pack(np.diff(place[a:b], prepend=0)) for a, b in zip(cuts, cuts[1:], strict=False)]  # they rise, as pairs stand in order
-    kinds = [pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary())]
-    one = [[rows.column("shard")[0].as_py()], [pack(u[starts], np.diff(np.append(starts, len(u))), w, c)], [rows.column("slice").to_pylist()], [places]]
-    return pa.table([pa.array(x, k) for x, k in zip(one, kinds, strict=True)], ["shard", "pairs", "slices", "places"])
+    cold = len(np.unique(w[w >= COLD]))
+    kinds = [pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.int64()]
+    one = [[rows.column("shard")[0].as_py()], [pack(u[starts], np.diff(np.append(starts, len(u))), w, c)], [rows.column("slice").to_pylist()], [places], [cold]]
+    return pa.table([pa.array(x, k) for x, k in zip(one, kinds, strict=True)], ["shard", "pairs", "slices", "places", "cold"])
 
 
 @lru_cache(8)
@@ -331,8 +341,12 @@ class Parameters:
 
     def __init__(self, counts: np.ndarray, split: int, discount: float, seed: int) -> None:
         self.counts, self.split, self.discount, self.seed = counts, split, discount, seed
-        #: Probabilities by rank, at last that of one word outside the vocabulary; the first two entries start the chain.
+        #: Probabilities by rank, at last that of a word that has no customers; the first two entries start the chain.
         self.parent: list[np.ndarray] = []
+        #: For each entry of ``parent`` and each state that it averages: probabilities of words outside the vocabulary by customers.
+        self.others: list[list[np.ndarray]] = []
+        #: Parts in which the shards' words outside the vocabulary meet.
+        self.parts = 1
         #: Tables of the split contexts at the start of each round; after the last round for each sample.
         self.tables: list[np.ndarray] = []
 
@@ -345,7 +359,13 @@ class Restaurants:
         starts = _runs(u)
         self.of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(u))))
         context = u[starts]
-        self.word = np.where(w < COLD, w, np.uint64(len(parameters.counts))).astype(np.int64)
+        #: Ranks, from there on places in ``cold``.
+        self.word = w.astype(np.int64)
+        outside = w >= COLD
+        self.cold, at = np.unique(w[outside], return_inverse=True)
+        self.word[outside] = len(parameters.counts) + at
+        #: For each round and state the parent's customers of the words in ``cold``, once they are known.
+        self.known: list[list[np.ndarray]] = []
         self.is_split = context < np.uint64(parameters.split)
         self.split_rank = context[self.is_split].astype(np.int64)
         self.customers = np.bincount(self.of, self.c, len(starts))
@@ -353,9 +373,44 @@ class Restaurants:
         self.customers[self.is_split] = parameters.counts[self.split_rank]
 
     @classmethod
-    def read(cls, pairs: bytes, parameters: Parameters, shard: int) -> Restaurants:
-        u, n, w, c = unpack(pairs)
-        return cls(np.repeat(u, n.astype(np.int64)), w, c, parameters, shard)
+    def read(cls, row: dict, parameters: Parameters) -> Restaurants:
+        """From a row of the shards with the parts' replies so far."""
+        u, n, w, c = unpack(row["pairs"])
+        out = cls(np.repeat(u, n.astype(np.int64)), w, c, parameters, row["shard"])
+        out._receive(row["replies"] or [])
+        return out
+
+    def _by_part(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each part with the places of its words in ``cold``."""
+        part = (mix(self.cold) % np.uint64(self.given.parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        for places in np.split(order, _runs(part[order])[1:]) if len(order) else []:
+            yield int(part[places[0]]), places
+
+    def _receive(self, replies: list[dict]) -> None:
+        data = {(r["turn"], r["part"]): r["data"] for r in replies}
+        for turn, states in enumerate(self.given.others):
+            known = [np.zeros(len(self.cold), np.int64) for _ in states]
+            for part, places in self._by_part():
+                for k, got in zip(known, unpack(data[turn, part]), strict=True):
+                    k[places] = got
+            self.known.append(known)
+
+    def messages(self, states: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+        """For each part its words in ``cold``, ascending, and their tables in each state."""
+        n = len(self.given.counts)
+        at = np.flatnonzero(self.word >= n)
+        tables = [np.bincount(self.word[at] - n, t[at], len(self.cold)).astype(np.int64) for t in states]
+        for part, places in self._by_part():
+            yield part, pack(np.diff(self.cold[places] ^ COLD, prepend=np.uint64(0)), *[t[places] for t in tables])
+
+    def parent(self, turn: int) -> np.ndarray:
+        """The parent's probability of each pair's word."""
+        p = self.given.parent[turn]
+        cold = np.full(len(self.cold), p[-1])
+        if self.known:
+            cold = sum(by[k] for by, k in zip(self.given.others[turn], self.known[turn], strict=True)) / len(self.known[turn])
+        return np.append(p[:-1], cold)[self.word]
 
     def tables(self, t: np.ndarray) -> np.ndarray:
         return np.bincount(self.of, t, len(self.customers))
@@ -365,11 +420,11 @@ class Restaurants:
         given, d = self.given, self.given.discount
         t = np.minimum(self.c, 1)
         some = np.flatnonzero(self.c > 1)
-        c, of, word = self.c[some], self.of[some], self.word[some]
+        c, of = self.c[some], self.of[some]
         states = []
         for turn in range(rounds):
             rng = np.random.default_rng([given.seed, self.shard, turn])
-            p, before = given.parent[turn][word], self.tables(t)
+            p, before = self.parent(turn)[some], self.tables(t)
 
             def mass() -> np.ndarray:
                 now = self.tables(t)
@@ -385,43 +440,65 @@ class Restaurants:
         return states or [t]
 
     def sums(self, states: list[np.ndarray]) -> np.ndarray:
-        """For each state the tables by word (customers of the parent), then those of the split contexts."""
+        """For each state the tables by rank (customers of the parent) and of all other words, then those of the split contexts."""
         n, out = len(self.given.counts) + 1, []
+        word = np.minimum(self.word, n - 1)
         for t in states:
             held = np.zeros(self.given.split)
             held[self.split_rank] = self.tables(t)[self.is_split]
-            out += [np.bincount(self.word, t, n), held]
+            out += [np.bincount(word, t, n), held]
         return np.concatenate(out).astype(np.int64)
 
+    def first(self) -> list[np.ndarray]:
+        """The state before the chain: one table for each dish."""
+        return [np.minimum(self.c, 1)]
+
     def first_sums(self) -> np.ndarray:
         """Contexts by word, dishes of the split contexts, and the pairs that occur once and twice."""
-        return np.append(self.sums([np.minimum(self.c, 1)]), [(self.c == 1).sum(), (self.c == 2).sum()])
+        return np.append(self.sums(self.first()), [(self.c == 1).sum(), (self.c == 2).sum()])
 
     def predictive(self) -> np.ndarray:
         """The probability of each pair's word after its context, averaged over the samples."""
         given, d = self.given, self.given.discount
         out = np.zeros(len(self.c))
-        below = STRENGTH + self.customers
+        below, parent = STRENGTH + self.customers, self.parent(ROUNDS)
         for s, t in enumerate(self.chain(ROUNDS)):
             tables = self.tables(t)
             tables[self.is_split] = given.tables[ROUNDS][s][self.split_rank]
             left = (STRENGTH + d * tables) / below
-            out += (self.c - d * t) / below[self.of] + left[self.of] * given.parent[ROUNDS][self.word]
+            out += (self.c - d * t) / below[self.of] + left[self.of] * parent
         return out / SAMPLES
 
 
-def seat_parent(k: np.ndarray, types: int, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Probabilities by rank from the customers ``k`` of each, those outside the vocabulary together in the last; they get what is left evenly."""
-    own, n = k[:-1], len(k) - 1
-    others = types - n  # known words outside, at one table each at least
-    outside = min(int(k[-1]), others) if others else 0
-    p = np.full(n, 1.0 / (types + 1))
+def mean_tables(most: int, mass: float, discount: float) -> np.ndarray:
+    """The mean number of tables of a dish with 0, 1, ... ``most`` customers: t tables of c have weight S(c, t) * mass**t."""
+    out, f = np.zeros(most + 1), np.ones(1)
+    for c in range(1, most + 1):
+        t = np.arange(1, len(f) + 1)
+        out[c] = f @ t
+        f = np.append((c - discount * t) * f, 0.0) + np.append(0.0, mass * f)
+        f /= f.sum()
+        f = f[: np.flatnonzero(f > 1e-30)[-1] + 1]  # what is smaller does not show in a mean
+    return out
+
+
+def seat_parent(k: np.ndarray, types: int, discount: float, rng: np.random.Generator, outside: np.ndarray | None = None) -> np.ndarray:
+    """Probabilities by rank from the customers ``k`` of each (at last of all other words), then those of other words by customers 0, 1, ...
+
+    ``outside``: how many words outside the vocabulary have so many customers. Their tables are summed out.
+    """
+    own, base = k[:-1], 1.0 / (types + 1)
+    outside = np.zeros(1) if outside is None else outside
+    p = np.full(len(own), base)
     t = first_seating(own, (STRENGTH + discount * types) * p, discount, rng)
+    total = float(t.sum() + outside[1:].sum())
     for _ in range(MOVES):
-        t = gibbs(own, t, p, discount, 1, rng, float(t.sum() + outside))
-    total = float(t.sum() + outside)
-    got = (own - discount * t + (STRENGTH + discount * total) * p) / (STRENGTH + float(k.sum()))
-    return np.append(got, max(1e-300, 1.0 - got.sum()) / (others + 1))
+        others = mean_tables(len(outside) - 1, (STRENGTH + discount * total) * base, discount)
+        t = gibbs(own, t, p, discount, 1, rng, float(t.sum() + outside @ others))
+        total = float(t.sum() + outside @ others)
+    left = (STRENGTH + discount * total) * base
+    got = np.append(own - discount * t, np.arange(len(outside)) - discount * others)
+    return (got + left) / (STRENGTH + float(k.sum()))
 
 
 class Model:
@@ -447,48 +524,92 @@ class Model:
         self.base = materialize(made.where("not own").select("slice", "shard", "request").groupBy("shard").applyInArrow(_build, BASE), "shards")
         release(made, "own=false")
         self.slices = made.where("own")
+        self.cold = int(self.base.agg(F.coalesce(F.sum("cold"), F.lit(0))).first()[0])
+        self.replies: list[DataFrame] = []
         settle(spark)
         self._fit(vocabulary, seed)
 
-    def _gather(self, make: Callable[[Restaurants], np.ndarray], given) -> np.ndarray:
-        """The sum of ``make`` over all shards: summed in each task, then in parts, which alone come to the driver."""
+    def _shards(self, *columns: str) -> DataFrame:
+        """The shards, each with the parts' replies so far."""
+        base = self.base.select("shard", "pairs", *columns)
+        if not self.replies:
+            return base.withColumn("replies", F.lit(None).cast(REPLIES))
+        got = reduce(DataFrame.unionAll, self.replies).groupBy("shard").agg(F.collect_list(F.struct("turn", "part", "data")).alias("replies"))
+        return base.join(got, "shard", "left")
+
+    def _gather(self, make: Callable[[Restaurants], tuple[np.ndarray, list[np.ndarray]]], given) -> tuple[np.ndarray, list[np.ndarray]]:
+        """``make`` gives a shard's sums and states. The sums over all shards, and for each state the number of words outside the vocabulary by customers.
+
+        Sums are added in each task, then in parts, which alone come to the driver. Words outside the vocabulary are added in parts of their own,
+        whose replies stay as a table.
+        """
+
+        def row(part: int, shard: int | None, data: bytes) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([data], pa.binary())], ["part", "shard", "data"])
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
             for batch in batches:
-                for shard, pairs in zip(batch.column("shard").to_pylist(), batch.column("pairs").to_pylist(), strict=True):
-                    found = make(Restaurants.read(pairs, given.value, shard))
+                for x in batch.to_pylist():
+                    room = Restaurants.read(x, given.value)
+                    found, states = make(room)
                     total = found if total is None else total + found
+                    yield from (row(PARTS + part, x["shard"], data) for part, data in room.messages(states))
             if total is not None:
-                yield pa.record_batch([pa.array(range(PARTS), pa.int32()), pa.array([pack(x) for x in np.array_split(total, PARTS)], pa.binary())], ["part", "sums"])
+                yield from (row(part, None, pack(x)) for part, x in enumerate(np.array_split(total, PARTS)))
 
         def add(rows: pa.Table) -> pa.Table:
-            total = sum(unpack(x)[0] for x in rows.column("sums").to_pylist())
-            return pa.table([rows.column("part")[:1], pa.array([pack(total)], pa.binary())], ["part", "sums"])
-
-        parts = self.base.select("shard", "pairs").mapInArrow(run, "part int, sums binary").groupBy("part").applyInArrow(add, "part int, sums binary").collect()
-        got = [unpack(bytes(r["sums"]))[0] for r in sorted(parts, key=lambda r: r["part"])]
-        return np.concatenate(got).astype(np.int64) if got else np.zeros(0, np.int64)
+            part, data = rows.column("part")[0].as_py(), [unpack(x) for x in rows.column("data").to_pylist()]
+            if part < PARTS:
+                return pa.Table.from_batches([row(part, None, pack(sum(x[0] for x in data)))])
+            words, at = np.unique(np.concatenate([np.cumsum(x[0]) for x in data]), return_inverse=True)
+            customers = [np.bincount(at, np.concatenate(x), len(words)).astype(np.int64) for x in list(zip(*data, strict=True))[1:]]
+            out, end = [row(part, None, pack(*[np.bincount(k[k > 0], minlength=1) for k in customers]))], 0
+            for shard, x in zip(rows.column("shard").to_pylist(), data, strict=True):
+                end += len(x[0])
+                out.append(row(part - PARTS, shard, pack(*[k[at[end - len(x[0]) : end]] for k in customers])))
+            return pa.Table.from_batches(out)
+
+        made = self._shards().mapInArrow(run, MESSAGES).groupBy("part").applyInArrow(add, MESSAGES).withColumn("own", F.col("shard").isNotNull())
+        made = materialize(made, "replies", by="own")
+        settle(self.base.sparkSession)
+        parts = sorted(made.where("not own").select("part", "data").collect(), key=lambda r: r["part"])
+        if self.cold:
+            self.replies.append(made.where("own").select("shard", F.lit(len(self.replies)).alias("turn"), "part", "data"))
+        got = [unpack(bytes(r["data"]))[0] for r in parts if r["part"] < PARTS]
+        numbers = [unpack(bytes(r["data"])) for r in parts if r["part"] >= PARTS]
+        outside = [np.zeros(max(map(len, x)), np.int64) for x in zip(*numbers, strict=True)]
+        for x in numbers:
+            for total, n in zip(outside, x, strict=True):
+                total[: len(n)] += n.astype(np.int64)
+        return np.concatenate(got).astype(np.int64) if got else np.zeros(0, np.int64), outside or [np.zeros(1, np.int64)] * SAMPLES
 
     def _fit(self, vocabulary: Vocabulary, seed: int) -> None:
         n = len(vocabulary) + 1
         given = Parameters(vocabulary.counts, self.split, 0.5, seed)
+        given.parts = max(1, -(-self.cold // COLD_WORDS))
         sent = self.send(given)
-        first = self._gather(Restaurants.first_sums, sent)
+        first, outside = self._gather(lambda x: (x.first_sums(), x.first()), sent)
         sent.unpersist()
         first = first if len(first) else np.zeros(n + self.split + 2, np.int64)
         given.discount = discount_of(float(first[-2]), float(first[-1]))
-        p = (first[:n] + 1.0) / (first[:n].sum() + n)
-        p[-1] /= self.types - n + 2
-        given.parent, given.tables = [p], [first[n : n + self.split]]
+        below = float(first[:n].sum()) + self.types + 1
+        given.parent, given.tables = [np.append(first[: n - 1] + 1.0, 1.0) / below], [first[n : n + self.split]]
+        given.others = [[(np.arange(len(outside[0])) + 1.0) / below]]
         for turn in range(ROUNDS):
             sent = self.send(given)
-            found = self._gather(lambda x, r=turn + 1: x.sums(x.chain(r)), sent)
+
+            def make(x: Restaurants, rounds: int = turn + 1) -> tuple[np.ndarray, list[np.ndarray]]:
+                states = x.chain(rounds)
+                return x.sums(states), states
+
+            found, outside = self._gather(make, sent)
             sent.unpersist()
             found = found.reshape(-1, n + self.split) if len(found) else np.zeros((SAMPLES, n + self.split), np.int64)
             rng = np.random.default_rng([seed, turn])
-            parents = [seat_parent(x[:n], self.types, self.root_discount, rng) for x in found]
-            given.parent.append(sum(parents) / len(parents))
+            parents = [seat_parent(x[:n], self.types, self.root_discount, rng, k) for x, k in zip(found, outside, strict=False)]
+            given.parent.append(sum(x[:n] for x in parents) / len(parents))
+            given.others.append([x[n - 1 :] for x in parents])
             given.tables.append(found[:, n:] if turn == ROUNDS - 1 else found[0, n:])
         self.given = self.send(given)
 
@@ -498,13 +619,14 @@ class Model:
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for shard, pairs, of, places in zip(*(batch.column(x).to_pylist() for x in ("shard", "pairs", "slices", "places")), strict=True):
-                    logs = np.log10(Restaurants.read(pairs, given.value, shard).predictive()).astype(np.float32).view(np.uint32)
+                for x in batch.to_pylist():
+                    shard, of, places = x["shard"], x["slices"], x["places"]
+                    logs = np.log10(Restaurants.read(x, given.value).predictive()).astype(np.float32).view(np.uint32)
                     for i in range(0, len(of), 256):
-                        got = [pack(logs[np.cumsum(unpack(x)[0]).astype(np.int64)]) for x in places[i : i + 256]]
+                        got = [pack(logs[np.cumsum(unpack(p)[0]).astype(np.int64)]) for p in places[i : i + 256]]
                         yield pa.record_batch([pa.array(of[i : i + 256], pa.int64()), pa.array([shard] * len(got), pa.int32()), pa.array(got, pa.binary())], ["slice", "shard", "logs"])
 
-        return self.base.mapInArrow(run, "slice bigint, shard int, logs binary")
+        return self._shards("slices", "places").mapInArrow(run, "slice bigint, shard int, logs binary")
 
 
 _SCORES = "slice bigint, doc int, doc_id bigint, n_tokens bigint, n_known bigint, base double, score double"

@@ -202,3 +202,44 @@ def test_only_held_out_texts(spark):
     held = [i for i in range(400) if not pitman_yor.is_training(i)]
     got = pitman_yor.pitman_yor_scores(spark.createDataFrame([(i, "a b", "en", "s", 0) for i in held], SCHEMA)).collect()
     assert len(got) == len(held) and all(r.n_known == 0 and r.score == pytest.approx(0) and r.base_score == pytest.approx(0) for r in got)
+
+
+def test_words_outside_the_vocabulary_have_dishes_of_their_own(spark, monkeypatch):
+    """After a word never seen, a word is likely by how many contexts it had, whether it stands in the vocabulary or not."""
+    train = [i for i in range(2000) if pitman_yor.is_training(i)]
+    held = [i for i in range(400) if not pitman_yor.is_training(i)]
+    data = [(i, f"c{i} " + ("often" if i % 8 else "seldom" if i % 40 else f"once{i}"), "en", "s", 0) for i in train]
+    data += [(i, f"new{i} " + ("often", "seldom", "never")[n % 3], "en", "s", 0) for n, i in enumerate(held)]
+    got = {}
+    for most, words, tokens in ((1 << 20, 500_000, 2_500_000), (2, 500_000, 2_500_000), (2, 50, 300)):
+        monkeypatch.setattr(pitman_yor, "VOCABULARY", most)
+        monkeypatch.setattr(pitman_yor, "COLD_WORDS", words, raising=False)
+        monkeypatch.setattr(pitman_yor, "SHARD_TOKENS", tokens)
+        scores = {r.doc_id: r.score for r in pitman_yor.pitman_yor_scores(spark.createDataFrame(data, SCHEMA)).collect()}
+        got[most, words] = [np.mean([scores[i] for i in held[n::3]]) for n in range(3)]
+    whole = got.pop((1 << 20, 500_000))
+    assert whole[0] > whole[1] + 0.5 > whole[2] + 1
+    for some in got.values():
+        assert some == pytest.approx(whole, abs=0.1)
+
+
+def test_probabilities_of_words_outside_the_vocabulary_sum_to_one():
+    rng = np.random.default_rng(4)
+    k = rng.integers(1, 200, 300)
+    outside = np.bincount(k[100:])
+    p = pitman_yor.seat_parent(np.append(k[:100], k[100:].sum()), 300, 0.6, rng, outside)
+    assert p[:101].sum() + outside[1:] @ p[101:] == pytest.approx(1, abs=1e-12)
+    # nearly as if all were in the vocabulary, and rising with the customers
+    whole = pitman_yor.seat_parent(np.append(k, 0), 300, 0.6, rng)
+    assert p[100 + k[100:]] == pytest.approx(whole[100:300], rel=0.1, abs=2e-4) and (np.diff(p[100:]) > 0).all()
+
+
+def test_mean_tables():
+    c, mass, d = 6, 3.0, 0.4
+    s = {0: {0: 1.0}}
+    for k in range(1, c + 1):
+        s[k] = {j: s[k - 1].get(j - 1, 0) + (k - 1 - d * j) * s[k - 1].get(j, 0) for j in range(1, k + 1)}
+    weight = np.array([s[c][j] * mass**j for j in range(1, c + 1)])
+    got = pitman_yor.mean_tables(3000, mass, d)
+    assert got[:2].tolist() == [0, 1] and got[c] == pytest.approx(weight @ np.arange(1, c + 1) / weight.sum())
+    assert got[3000] == pytest.approx(1 + mass / d, rel=0.1)  # its limit is one more than a Poisson number of that mean
