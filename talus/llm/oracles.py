@@ -79,3 +79,12 @@ kept as (select doc_id, flatten(list(ws[a:b - 1] order by a)) as ws from (select
 select d.doc_id, len(d.ws) as n_words, coalesce(n_removed, 0) as n_removed, sha256(array_to_string(coalesce(kept.ws, d.ws), ' ')) as kept_sha256
 from d left join y using (doc_id) left join kept using (doc_id)
 """
+
+LINES = f"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as i from d),
+k as (select *, {_LOWER.format(f"trim(line, {_WS})")} as k from l),
+c as (select k, max(doc_id) as keeper from k where length(k) >= 40 group by k having count(distinct doc_id) >= 5),
+m as (select k.*, keeper is not null and keeper <> doc_id as gone from k left join c using (k))
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256 from m group by doc_id
+"""

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from talus.llm import automaton_dedup, minhash, mixing, oracles, packing, pitman_yor, quality_rules, secrets_scan, suffix_dedup, token_counts, winnowing
+from talus.llm import automaton_dedup, line_dedup, minhash, mixing, oracles, packing, pitman_yor, quality_rules, secrets_scan, suffix_dedup, token_counts, winnowing
 from talus.session import table
 
 
@@ -49,6 +50,11 @@ def op10_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton_dedup.automaton_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_temperature_mixing": op1_temperature_mixing,
     "op2_token_counts": op2_token_counts,
@@ -60,6 +66,7 @@ QUERIES = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_winnowing": op9_winnowing,
     "op10_automaton_dedup": op10_automaton_dedup,
+    "op11_line_dedup": op11_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -67,4 +74,5 @@ ORACLES: dict[str, str] = {
     "op7_quality_rules": oracles.QUALITY,
     "op8_suffix_array_dedup": oracles.SUBSTRINGS,
     "op10_automaton_dedup": oracles.WORD_WINDOWS,
+    "op11_line_dedup": oracles.LINES,
 }
