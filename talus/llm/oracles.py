@@ -88,3 +88,14 @@ c as (select k, max(doc_id) as keeper from k where length(k) >= 40 group by k ha
 m as (select k.*, keeper is not null and keeper <> doc_id as gone from k left join c using (k))
 select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256 from m group by doc_id
 """
+
+NEGATIVES = """
+with r as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+a as (select * from r where vec_id % 50 = 0),
+p as (select a.vec_id as anchor_id, r.vec_id as positive_id, list_dot_product(a.v, r.v)::bigint as positive_score from a join r on a.label = r.label and a.vec_id <> r.vec_id
+  qualify row_number() over (partition by a.vec_id order by positive_score desc, r.vec_id) <= 5),
+n as (select a.vec_id as anchor_id, r.vec_id as negative_id, list_dot_product(a.v, r.v)::bigint as negative_score from a join r on a.label <> r.label)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by negative_score desc, negative_id)::int as rank, negative_id, positive_score, negative_score
+from p join n using (anchor_id) where 50 * positive_score <= 100 * negative_score and 100 * negative_score <= 95 * positive_score qualify rank <= 3
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm import automaton_dedup, line_dedup, minhash, mixing, oracles, packing, pitman_yor, quality_rules, secrets_scan, suffix_dedup, token_counts, winnowing
+from talus.llm import automaton_dedup, hard_negatives, line_dedup, minhash, mixing, oracles, packing, pitman_yor, quality_rules, secrets_scan, suffix_dedup, token_counts, winnowing
 from talus.session import table
 
 
@@ -55,6 +55,11 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
 QUERIES = {
     "op1_temperature_mixing": op1_temperature_mixing,
     "op2_token_counts": op2_token_counts,
@@ -67,6 +72,7 @@ QUERIES = {
     "op9_winnowing": op9_winnowing,
     "op10_automaton_dedup": op10_automaton_dedup,
     "op11_line_dedup": op11_line_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -75,4 +81,5 @@ ORACLES: dict[str, str] = {
     "op8_suffix_array_dedup": oracles.SUBSTRINGS,
     "op10_automaton_dedup": oracles.WORD_WINDOWS,
     "op11_line_dedup": oracles.LINES,
+    "op12_hard_negatives": oracles.NEGATIVES,
 }

@@ -69,7 +69,7 @@ def test_key_length_is_in_code_points():
 
 @pytest.mark.parametrize("share", [7, 1 << 20])
 def test_no_repeated_key_is_missed(spark, share, monkeypatch):
-    """Whatever the shares, keys of two rows are suspected; with room in the filter hardly any others are."""
+    """Whatever the shares, keys of two rows are suspected; with room in the filter one in fifty others is."""
     monkeypatch.setattr(L, "SHARE", share)
     r = np.random.default_rng(1)
     once, twice = r.bytes(16 * 3000), r.bytes(16 * 200)
@@ -78,7 +78,7 @@ def test_no_repeated_key_is_missed(spark, share, monkeypatch):
     lines = spark.createDataFrame([(i, bytearray(k)) for i, k in data], "doc_id bigint, keys binary").repartition(5)
     seen, bits = L.twice_seen(lines)
     found = {bytes(x.key) for x in L.suspects(lines, seen, bits).collect()}
-    assert set(ks(twice)) <= found and len(found - set(ks(twice))) < 30
+    assert set(ks(twice)) <= found and len(found - set(ks(twice))) < 60
     crowded, bits = L.twice_seen(lines, most_bits=16)
     assert set(ks(twice)) <= {bytes(x.key) for x in L.suspects(lines, crowded, bits).collect()}
 
@@ -86,4 +86,4 @@ def test_no_repeated_key_is_missed(spark, share, monkeypatch):
 def test_only_suspects_are_shuffled(spark):
     data = [(i, f"a line of its own, long enough to count: {i} {i * i}\n" * 3, "en", "s", 0) for i in range(500)]
     lines = L.line_keys(spark.createDataFrame(data, SCHEMA))
-    assert L.suspects(lines, *L.twice_seen(lines)).count() < 5
+    assert L.suspects(lines, *L.twice_seen(lines)).count() < 30
