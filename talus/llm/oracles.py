@@ -99,3 +99,20 @@ n as (select a.vec_id as anchor_id, r.vec_id as negative_id, list_dot_product(a.
 select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by negative_score desc, negative_id)::int as rank, negative_id, positive_score, negative_score
 from p join n using (anchor_id) where 50 * positive_score <= 100 * negative_score and 100 * negative_score <= 95 * positive_score qualify rank <= 3
 """
+
+SOURCES = f"""
+with d as (select row_number() over () as r, {_LOWER.format("coalesce(text, '')")} as t, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+w as (select r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from d),
+k as (select lang, term from w group by lang, term having count(distinct r) >= 3),
+c as (select lang, source, term, count(*) as c from w join k using (lang, term) group by lang, source, term),
+g as (select distinct lang, source from d),
+v as (select lang, count(*) as v from k group by lang),
+x as (select g.lang, g.source, k.term, coalesce(c.c, 0) as c, sum(coalesce(c.c, 0)) over (partition by g.lang, g.source) as n from g join k using (lang) left join c using (lang, source, term)),
+p as (select lang, source, term, c, (1 + 1000000000::hugeint * (c + 1) // (n + v)::hugeint)::bigint as p from x join v using (lang)),
+q as (select lang, term, (1 + 1000000000::hugeint * (sum(c) + 1)::hugeint // (any_value(ln) + any_value(v))::hugeint)::bigint as q
+  from x join v using (lang) join (select lang as l, sum(c) as ln from c group by lang) on l = lang group by lang, term),
+f as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p)::bigint as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+u as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+  union all select lang, source, 'term', term, (p - q) * (p - q) // q from p join q using (lang, term) where c > 0 and p > q)
+select lang, source, part, item, value, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from u qualify part = 'pair' or rank <= 200
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm import automaton_dedup, hard_negatives, line_dedup, minhash, mixing, oracles, packing, pitman_yor, quality_rules, secrets_scan, suffix_dedup, token_counts, winnowing
+from talus.llm import automaton_dedup, hard_negatives, line_dedup, minhash, mixing, oracles, packing, pitman_yor, quality_rules, secrets_scan, source_audit, suffix_dedup, token_counts, winnowing
 from talus.session import table
 
 
@@ -60,6 +60,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label))
 
 
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.source_audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_temperature_mixing": op1_temperature_mixing,
     "op2_token_counts": op2_token_counts,
@@ -73,6 +77,7 @@ QUERIES = {
     "op10_automaton_dedup": op10_automaton_dedup,
     "op11_line_dedup": op11_line_dedup,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_source_audit": op13_source_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -82,4 +87,5 @@ ORACLES: dict[str, str] = {
     "op10_automaton_dedup": oracles.WORD_WINDOWS,
     "op11_line_dedup": oracles.LINES,
     "op12_hard_negatives": oracles.NEGATIVES,
+    "op13_source_audit": oracles.SOURCES,
 }
