@@ -12,7 +12,7 @@ source are ''. Each lang keeps the terms that ``least`` of its documents hold. A
 2. ``tiles`` packs up to ``TERMS`` terms of a lang into one row with their counts, as they stream by in order.
 3. ``audited`` makes each tile a dense int64 matrix of all sources of the lang by terms and computes all pairs of it by broadcasting, ``CELLS``
    numbers at a time. A task adds up its tiles' pair matrices and keeps a heap of the best terms of each group, and passes on both;
-   sums and ranks follow. Matrices or heaps that grow too large are passed on at once.
+   sums follow, and heaps are merged in two steps. Matrices or heaps that grow too large are passed on at once.
 
 The groups' totals go to all tasks, ``GROUPS`` at once at most: beyond, langs are taken in turns (one lang's sources always go together; the result
 holds their pairs anyway). Every row is a document of its own, ids are not read. A group without terms has zero counts. Ties go to the smaller
@@ -38,6 +38,8 @@ LEAST, TOP, UNIT = 3, 200, 10**9
 TERMS, CELLS, MATRICES, HEAPS, ENTRIES = 1024, 1 << 20, 1 << 22, 1 << 18, 1 << 18
 #: Groups whose totals go to all tasks at once, and bytes of a text that are read at once.
 GROUPS, PIECE = 100_000, 1 << 20
+#: Parts in which a group's heaps are merged before they meet.
+SALTS = 8
 
 #: A-Z lower-cased, what belongs to no term as a space.
 _TERM = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -237,6 +239,10 @@ def source_audit(docs: DataFrame, least: int = LEAST, top: int = TOP, most_group
     if not parts:
         return docs.sparkSession.createDataFrame([], _FOUND + ", rank int")
     release(sums)
-    out = reduce(DataFrame.union, parts).groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-    rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
-    return out.withColumn("rank", rank).where((F.col("part") == "pair") | (F.col("rank") <= top))
+    found = materialize(reduce(DataFrame.union, parts), "audit")
+    pairs = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    # the heaps of all tasks are merged in SALTS parts first
+    rank = lambda *by: F.row_number().over(Window.partitionBy("lang", "source", *by).orderBy(F.desc("value"), "item"))
+    best = found.where("part = 'term'").withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS))).withColumn("rank", rank("salt")).where(F.col("rank") <= top)
+    best = best.select(found.columns).withColumn("rank", rank()).where(F.col("rank") <= top)
+    return pairs.withColumn("rank", rank()).union(best)
