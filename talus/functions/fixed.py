@@ -74,6 +74,17 @@ SECTION_LABELS = [
 ]
 PAGE_NOISE = ["^Página +[0-9]+ +de +[0-9]+$", "^Guía Docente$", "^[0-9]{8} +- +", "^Curso Académico"]
 
+#: Headings in normalised text: the term, and the year or two years of which a plan leaves the choice open.
+TERM_SAID = r"\b(primer|segundo) cuatrimestre\b"
+YEAR_SAID = r"\b((?:primer[o]?|segundo|tercer[o]?|cuarto|quinto|sexto)(?: o (?:primer[o]?|segundo|tercer[o]?|cuarto|quinto|sexto))?) curso\b"
+ELECTIVE_SAID = "optativ"
+DEGREE_WORD, DOUBLE_DEGREE, ENDING_DEGREE = "Grado", "Doble Grado", "en extincion"
+MENU_PATH = "aside.layout-sidebar-first nav ul.menu li a"
+SUBJECTS_LINKS, CAREERS_LINK = ["asignaturas-y-profesorado", "plan-de-estudios"], "salidas-profesionales"
+SHEET, SUMMARY_ID, CONTENTS_ID, VALUE_CLASS = "#fichadocenteasignatura", "resumen", "descripcioncontenidos", "fdoca_valor_cuadro_ambito"
+LEFT_OUT_IDS = ["coordinador", "equipodocente", "clausulas", "objetivosdesarrollosostenible"]
+LEAST_GUIDE = 200
+
 PASSAGE_PREFIX, QUERY_PREFIX = "passage: ", "query: "
 CHUNK_MAX, CHUNK_MIN = 900, 200
 K_DEFAULT, K_LEAST, K_MOST, CUT_FACTOR, FLOOR = 10, 3, 20, 1.20, 0.137

@@ -65,7 +65,7 @@ def html_tables(spark, sf_dir):
 
 _STEPS = (
     "case when p_partkey % 7 = 0 then 'Primer curso' when p_partkey % 7 = 2 then 'Segundo Cuatrimestre' when p_partkey % 11 = 5 then 'Asignaturas optativas' "
-    "when p_partkey % 11 = 6 then 'Cuarto curso, primer cuatrimestre' when p_partkey % 11 = 7 then 'Optativas del segundo cuatrimestre' when p_partkey % 13 = 3 then 'Tercero curso' else p_name end"
+    "when p_partkey % 11 = 6 then 'Cuarto curso, primer cuatrimestre' when p_partkey % 11 = 7 then 'Optativas del segundo cuatrimestre' when p_partkey % 13 = 3 then 'Tercero curso' when p_partkey % 13 = 7 then 'Tercer  o cuarto curso' when p_partkey % 13 = 9 then 'Decimotercer curso' when p_partkey % 13 = 11 then 'Segundo o Tercero Curso - Segundo cuatrimestre' else p_name end"
 )
 
 
@@ -130,6 +130,7 @@ _ONE = "replace(substr(text, 1, 80), chr(10), ' ')"
 _KIND = "case when doc_id % 4 = 1 then 'other' when doc_id % 5 = 1 then 'empty' when doc_id % 7 = 1 then 'blank' else 'full' end"
 _G = f"(select doc_id, {_KIND} as kind, trim({_ONE}) as one, {_ONE} as raw from documents)"
 #: A summary line as the redaction leaves it; an address in the text itself goes as well.
+_ORDINAL = "(?:primero?|segundo|tercero?|cuarto|quinto|sexto)"
 _LAB = f"(select *, {LABEL.format('label')} as low from (select p_brand, p_partkey, {_STEPS} as label from part))"
 _LINES = "case kind when 'full' then ['FICHA IDENTIFICATIVA', 'x', 'RESUMEN', trim(raw || ' mail a.b@c.es 123456789'), 'PROFESORADO', 'Nadie', 'DESCRIPCIÓN DE CONTENIDOS', one, 'BIBLIOGRAFÍA', 'fin'] when 'other' then ['Otro', one] when 'empty' then ['RESUMEN', 'PROFESORADO', 'x'] else []::varchar[] end"
 ORACLES = {
@@ -143,7 +144,8 @@ ORACLES = {
     "html_tables": "select p_partkey % 50 as page_id, 0 as \"table\", p_partkey as code, p_name as name, p_type as kind, '6' as ects from part",
     "nearest_label": (
         # each row walks back by itself: the nearest heading that says something, then the one before it
-        f"with h as (select p_brand, p_partkey as at, nullif(regexp_extract(low, '{P.TERM}', 1), '') as t, nullif(regexp_extract(low, '{P.YEAR}', 1), '') as y, contains(low, 'optativ') as o from {_LAB}), "
+        f"with h as (select p_brand, p_partkey as at, nullif(regexp_extract(low, '(?:^|[^a-z0-9_])(primer|segundo) cuatrimestre(?:$|[^a-z0-9_])', 1), '') as t, "
+        f"nullif(regexp_extract(low, '(?:^|[^a-z0-9_])({_ORDINAL}(?: o {_ORDINAL})?) curso(?:$|[^a-z0-9_])', 1), '') as y, contains(low, 'optativ') as o from {_LAB}), "
         "k as (select * from h where t is not null or y is not null or o), "
         f"n as (select s.p_brand, s.p_partkey, s.label, max(k.at) as a from {_LAB} s left join k on k.p_brand = s.p_brand and k.at <= s.p_partkey group by all), "
         "m as (select n.p_brand, n.p_partkey, n.label, k.t, k.y, k.o, max(z.at) as b from n left join k on k.p_brand = n.p_brand and k.at = n.a left join k z on z.p_brand = n.p_brand and z.at < n.a and (z.y is not null or z.o) group by all) "

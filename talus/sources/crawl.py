@@ -87,9 +87,12 @@ def replace_block(document: str, name: str, body: str) -> str:
     return f"{head}{start}\n{body.strip()}\n{end}{tail}"
 
 
-def markdown_table(rows: DataFrame, order: str) -> str:
-    """A small result as a Markdown table, the best first."""
+def markdown_table(rows: DataFrame, order: str, most: int = 10_000) -> str:
+    """A small result as a Markdown table, the best first; raises where it has more than ``most`` rows."""
     names = rows.columns
+    found = rows.orderBy(F.desc(order)).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows: a report holds summaries")
     lines = ["| " + " | ".join(names) + " |", "|" + "---|" * len(names)]
-    lines += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.orderBy(F.desc(order)).limit(1000).collect()]
+    lines += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in found]
     return "\n".join(lines)

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talus.functions import fixed as X
 from talus.functions import text as T
 
 TAG = "<[^>]*>"
@@ -119,23 +120,20 @@ def table_rows(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInArrow(run, "page_id bigint, table int, code string, name string, kind string, mention string, ects string")
 
 
-TERM, YEAR, ELECTIVE = "(primer|segundo) cuatrimestre", "(primer[o]?|segundo|tercer[o]?|cuarto|quinto|sexto) curso", "optativ"
-
-
 def nearest_labels(sequence: DataFrame, key: str, position: str, label: str) -> DataFrame:
     """With the term and the year that the headings up to a row say.
 
     Seen from the row, the nearest heading that says a term or a year or ``ELECTIVE`` counts. One that says a term gives it, and the
     next such heading before it gives the year; a year alone leaves the term open; an elective leaves both open. Each heading
-    thus settles what the rows after it get, with one look at the headings before it.
+    thus settles what the rows after it get, with one look at the headings before it. A year may be two ("tercer o cuarto"): both stay.
     """
     low = T.normalize_label(F.col(label))
     found = lambda p: F.nullif(F.regexp_extract(low, p, 1), F.lit(""))
-    elective = F.contains(low, F.lit(ELECTIVE))
-    own = F.when(elective | found(YEAR).isNotNull(), F.struct(F.when(~elective, found(YEAR)).alias("year")))
+    elective = F.contains(low, F.lit(X.ELECTIVE_SAID))
+    own = F.when(elective | found(X.YEAR_SAID).isNotNull(), F.struct(F.when(~elective, found(X.YEAR_SAID)).alias("year")))
     w = Window.partitionBy(key).orderBy(position)
     out = sequence.withColumn("_own", own).withColumn("_before", F.last("_own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    said = F.when(found(TERM).isNotNull(), F.struct(found(TERM).alias("term"), F.col("_before.year").alias("year")))
+    said = F.when(found(X.TERM_SAID).isNotNull(), F.struct(found(X.TERM_SAID).alias("term"), F.col("_before.year").alias("year")))
     said = said.when(F.col("_own").isNotNull(), F.struct(F.lit(None).cast("string").alias("term"), F.col("_own.year").alias("year")))
     out = out.withColumn("_said", F.last(said, ignorenulls=True).over(w))
     return out.withColumns({"term": F.col("_said.term"), "year": F.col("_said.year")}).drop("_own", "_before", "_said")
