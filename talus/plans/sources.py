@@ -9,7 +9,10 @@ from talus.functions import fixed as X
 from talus.functions import text as T
 from talus.plans.text import LABEL, redacted_sql
 from talus.session import table
+from talus.sources import catalogue as K
+from talus.sources import frontier as N
 from talus.sources import guide as U
+from talus.sources import regions as R
 from talus.sources import web as P
 
 
@@ -118,7 +121,38 @@ def json_items(spark, sf_dir):
     return j.select(F.from_json("j", schema).alias("x")).select("x.*")
 
 
-QUERIES = {f.__name__: f for f in (page_links, degree_source_filter, degree_page, page_items, careers_text, page_text_fallback, header_map, html_tables, nearest_label, format_sniff, guide_extraction, guide_lines, section_slice, no_guide_reason, chars_by_section, json_items)}
+_BARRED, _FAN = "/de/1", 6
+
+
+def crawl_frontier(spark, sf_dir):
+    """A crawl of the pages from the first one on: each links to six others, every fifth to one that is missing; one folder of each host is forbidden."""
+    p = _pages(spark, sf_dir).select("page_id", "url", "html")
+    up = ((F.col("page_id") - 1) / _FAN).cast("bigint")
+    links = p.where("page_id > 0").groupBy(up.alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "url"))), lambda x: F.concat(F.lit("<li><a href='"), x.url, F.lit("'>x</a>"))), "").alias("links"))
+    lost = F.when(F.col("page_id") % 5 == 0, "<li><a href=/missing>y").otherwise("")
+    site = p.join(links, "page_id", "left").select(N.addresses(F.lit(None).cast("string"), F.col("url")).alias("url"), F.concat(F.lit("<ul id=next>"), F.coalesce("links", F.lit("")), lost, F.lit("</ul>"), "html").alias("html"))
+    host = F.regexp_extract("url", "^([a-z]+://[^/]*)", 1)
+    robots = p.select(F.concat(host, F.lit("/robots.txt")).alias("url"), F.lit(f"User-agent: *\nDisallow: {_BARRED}").alias("html")).distinct()
+    store = site.union(robots).select("url", F.lit("text/html").alias("content_type"), F.col("html").cast("binary").alias("content"))
+    start = p.where("page_id = 0").first()
+    found = N.crawl(spark, [start.url] if start else [], {r: N.linked("#next a", "page") for r in ("start", "page")}, N.from_table(store))
+    return found.select("url", "status", "round")
+
+
+_AREAS = {"<article>": f'<article id="{X.SUMMARY_ID}">', "<p>": f'<p class="x {X.VALUE_CLASS}">', "<footer>": f'<footer id="{X.CONTENTS_ID}"><div class="{X.VALUE_CLASS}">', '<div class="ad">': '<div id="coordinador">', "<nav>": "<nav id=clausulas>"}
+
+
+def guide_pages(spark, sf_dir):
+    """Pages laid out as guides, with tags left open: both sections by id and class, or all text but excluded sections where these are short."""
+    html = F.when(F.col("page_id") % 2 == 0, F.replace("html", F.lit("<body>"), F.lit(f'<body><div id="{X.SHEET[1:]}">'))).otherwise(F.col("html"))
+    for old, new in _AREAS.items():
+        html = F.replace(html, F.lit(old), F.lit(new))
+    html = F.when(F.col("page_id") % 3 == 0, F.replace(html, F.lit(X.VALUE_CLASS), F.lit("other"))).otherwise(html)
+    g = _pages(spark, sf_dir).select("page_id", R.regions(html).alias("page")).select("page_id", K.guide_parts(F.col("page")).alias("g"))
+    return g.select("page_id", F.md5("g.resumen").alias("summary"), F.md5("g.temario").alias("contents"), F.md5("g.cuerpo_general").alias("general"), F.col("g.fallback").alias("fallback"))
+
+
+QUERIES = {f.__name__: f for f in (crawl_frontier, guide_pages, page_links, degree_source_filter, degree_page, page_items, careers_text, page_text_fallback, header_map, html_tables, nearest_label, format_sniff, guide_extraction, guide_lines, section_slice, no_guide_reason, chars_by_section, json_items)}
 _LINKS = "(select page_id, unnest(range(len(a))) as pos, unnest(a) as a from (select page_id, regexp_extract_all(html, '<a href=\"[^\"]*\"[^>]*>[^<]*</a>') as a from pages))"
 _STRIP = "trim(regexp_replace(regexp_replace({0}, '<[^>]*>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
 _SQ = "trim(regexp_replace({0}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
@@ -133,7 +167,23 @@ _G = f"(select doc_id, {_KIND} as kind, trim({_ONE}) as one, {_ONE} as raw from
 _ORDINAL = "(?:primero?|segundo|tercero?|cuarto|quinto|sexto)"
 _LAB = f"(select *, {LABEL.format('label')} as low from (select p_brand, p_partkey, {_STEPS} as label from part))"
 _LINES = "case kind when 'full' then ['FICHA IDENTIFICATIVA', 'x', 'RESUMEN', trim(raw || ' mail a.b@c.es 123456789'), 'PROFESORADO', 'Nadie', 'DESCRIPCIÓN DE CONTENIDOS', one, 'BIBLIOGRAFÍA', 'fin'] when 'other' then ['Otro', one] when 'empty' then ['RESUMEN', 'PROFESORADO', 'x'] else []::varchar[] end"
+_PLAIN = "replace(replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '&amp', '&')"
+_TEXT = _SQ.format(_PLAIN.format("regexp_replace(regexp_replace({0}, '<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"))
+#: The script's own tag is text.
+_OUTSIDE = "regexp_replace(regexp_replace(replace(case when page_id % 2 = 0 then regexp_extract(html, '(?s)<body>(.*)', 1) else html end, 't=\"</p>\"', 't=\"@@\"'), '(?s)<nav>.*?</nav>', ' '), '(?s)<div class=\"ad\">.*?</div>', ' ')"
 ORACLES = {
+    "crawl_frontier": (
+        f"with recursive p as (select page_id, split_part(url, '#', 1) as url, regexp_extract(url, '^([a-z]+://[^/]*)', 1) as host, starts_with(regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1), '{_BARRED}') as barred from pages), "
+        f"r as (select page_id, 0 as round from p where page_id = 0 union all select c.page_id, round + 1 from r join p o using (page_id) join p c on c.page_id > 0 and (c.page_id - 1) // {_FAN} = r.page_id where not o.barred) "
+        "select url, case when barred then 'disallowed' else 'ok' end as status, round from r join p using (page_id) "
+        "union all select host || '/missing', 'failed', min(round) + 1 from r join p using (page_id) where page_id % 5 = 0 and not barred group by host"
+    ),
+    "guide_pages": (
+        "with h as (select page_id, html, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) as article, regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1) as footer from pages), "
+        f"s as (select page_id, html, case when page_id % 3 = 0 then '' else array_to_string(list_filter(list_transform(string_split(article, '<p>')[2:], lambda x: {_TEXT.format('split_part(x, chr(60) || chr(47) || chr(112) || chr(62), 1)')}), lambda x: x not in ('', '-')), chr(10) || chr(10)) end as a, "
+        f"case when page_id % 3 = 0 then '' else {_TEXT.format('footer')} end as b, replace({_TEXT.format(_OUTSIDE)}, '@@', '</p>') as g from h) "
+        "select page_id, md5(case when short then '' else a end) as summary, md5(case when short then '' else b end) as contents, case when short then md5(g) end as general, short as fallback from (select *, length(a) + length(b) < 200 as short from s)"
+    ),
     "page_links": f"select page_id, pos, regexp_extract(a, '<a href=\"([^\"]*)\"', 1) as href, regexp_extract(a, '>([^<]*)</a>', 1) as label from {_LINKS}",
     "degree_source_filter": f"select page_id, pos, label from (select *, regexp_extract(a, '>([^<]*)</a>', 1) as label from {_LINKS}) where contains(label, 'en') and not contains({LABEL.format('label')}, 'schen')",
     "degree_page": "select page_id, coalesce(nullif(regexp_extract(html, '<a href=\"([^\"]*/th[a-z]*[^\"]*)\"', 1), ''), nullif(regexp_extract(html, '<a href=\"([^\"]*/[A-Z][^\"]*)\"', 1), '')) as subjects, nullif(regexp_extract(html, '<a href=\"([^\"]*/zu[^\"]*)\"', 1), '') as careers, contains(html, 'Nicht') as is_double from pages",
