@@ -190,12 +190,11 @@ def incomplete_guides(questions: DataFrame, context: DataFrame) -> DataFrame:
     its degrees. Questions for data that every part's header has are left out.
     """
     from talus.functions.text import normalize, strings, tokens
+    from talus.operators.contain import bounded
 
     part = context.where("origin = 'guia'").groupBy("query_id", "name", "degrees").agg(F.count_distinct("chunk_index").alias("got"), F.max("total_chunks").alias("of"))
     asked = questions.where(~F.arrays_overlap(tokens(F.col("question")), strings(X.PLAN_WORDS))).select("query_id", normalize(F.col("question")).alias("_said"))
-    quoted = F.replace(normalize(F.col("name")), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
-    named = F.regexp_like("_said", F.concat(F.lit("(?U)(?<!\\w)\\Q"), quoted, F.lit("\\E(?!\\w)")))
-    return part.where("got < of").join(asked, "query_id").where(named).select("query_id", "name").distinct()
+    return part.where("got < of").join(asked, "query_id").where(bounded(F.col("_said"), normalize(F.col("name")))).select("query_id", "name").distinct()
 
 
 def prompts(questions: DataFrame, context: DataFrame, instructions: str) -> DataFrame:
@@ -234,11 +233,14 @@ def resolve_names(wanted: DataFrame, catalogue: DataFrame, strict: bool = True)
     """(wanted, name) by exact normalised name, else by every name that contains it; a name that is in none raises, unless not ``strict``."""
     from talus.functions.text import normalize
 
+    from talus.operators.contain import hits
+
     left = wanted.select("wanted", normalize(F.col("wanted")).alias("_w"))
     right = catalogue.select("name", normalize(F.col("name")).alias("_n"))
     exact = left.join(right, F.col("_w") == F.col("_n"))
     other = left.join(exact.select("_w").distinct(), "_w", "left_anti")
-    found = exact.select("wanted", "name").union(other.join(right, F.contains(F.col("_n"), F.col("_w"))).select("wanted", "name"))
+    held = hits(right.select(F.col("_n").alias("text")), other.select(F.col("_w").alias("name"))).toDF("_n", "_w", "_times")
+    found = exact.select("wanted", "name").union(other.join(held, "_w").join(right, "_n").select("wanted", "name"))
     if not strict:
         return found
     return wanted.select("wanted").join(found, "wanted", "left").select("wanted", F.coalesce("name", F.raise_error(F.concat(F.lit("not in the catalogue: "), "wanted")).cast("string")).alias("name"))

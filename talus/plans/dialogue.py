@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from talus.functions import fixed as X
 from talus.functions import text as T
 from talus.operators import catalog as G
+from talus.operators import contain as C
 from talus.operators import dialogue as D
 from talus.operators import verify as V
 from talus.plans.text import NORMAL, SUBJECTS_SQL, _HEAD_SQL, _degrees, sql_tokens, subjects
@@ -37,13 +38,7 @@ def names_in_text(spark, sf_dir):
 
 def named_by_itself(spark, sf_dir):
     """Occurrences of a name that no longer name explains."""
-    a = answers(spark, sf_dir).withColumn("said", T.normalize(F.col("text")))
-    c = catalogue(spark).select("name", T.normalize(F.col("name")).alias("n"))
-    longer = c.select(F.col("name").alias("other"), F.col("n").alias("o"))
-    pairs = c.join(longer, (F.col("name") != F.col("other")) & F.contains("o", F.col("n")), "left")  # the catalogue with itself
-    both = a.join(F.broadcast(pairs), F.contains("said", F.col("n")))
-    count = both.groupBy("c_custkey", "name").agg(F.max(D.occurrences(F.col("said"), F.col("n"))).alias("all"), F.sum(F.coalesce(D.occurrences(F.col("said"), F.col("o")) * D.occurrences(F.col("o"), F.col("n")), F.lit(0))).alias("inside"))
-    return count.select("c_custkey", "name", (F.col("all") > F.col("inside")).alias("by_itself"))
+    return C.named_by_itself(answers(spark, sf_dir), "c_custkey", "text", catalogue(spark))
 
 
 def degrees_in_answer(spark, sf_dir):
