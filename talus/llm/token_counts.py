@@ -1,16 +1,19 @@
 """Token counts by overlap resynchronisation.
 
-Every text is cut into chunks of ``chunk`` bytes that reach ``overlap`` bytes into the next one, and each chunk is encoded
-with the offsets of its pre-token pieces. Neighbouring chunks are spliced at the last place of their overlap at which both have
-a proven stable boundary; where the overlap holds none, the text is cut again with twice the overlap, at last as one chunk.
+A text of more than one chunk is encoded in chunks of ``chunk`` characters that reach ``overlap`` characters into the next one, each by the library and
+with its offsets. Two neighbouring encodings are spliced at the last place of their overlap at which a boundary is proven stable and both have a token that
+starts there; where there is none, the later chunk starts earlier, with twice the overlap each time, and at last both are one chunk. Counts are
+those of the tokens between splices, so without an overlap nothing could be spliced.
 
-A boundary in front of white space that follows another character is proven: no alternative of the splitting pattern reaches across
-it, matching never looks behind, and merges never cross pre-tokens. So a chunk is also encoded piece by piece between its stable
-boundaries, each distinct piece of a batch once; a task remembers ``most`` pieces. A piece longer than a chunk (text without white
-space) is encoded by ``encode_long``: overlapping chunks through the library with its offsets, spliced where the class of characters changes.
+In front of white space that follows another character a boundary is proven: no alternative of the splitting pattern reaches across it, matching
+never looks behind, and merges never cross pre-tokens. Where an overlap has no white space, places count at which the class of characters changes, away from the
+end and from special strings.
 
-Null texts are empty; repeated rows are counted each, in any order, and nothing is ranked, so ties do not arise; an empty table gives an empty
-result; extra columns are ignored. A very long text costs time and memory in proportion to its length.
+A text of one chunk has nothing to splice. Its pieces between proven boundaries are encoded, each distinct piece of a batch once; a task remembers ``most``
+pieces.
+
+Null texts are empty; repeated rows are counted each, in any order, and nothing is ranked, so ties do not arise; rows without an id are counted like others; an
+empty table gives an empty result; extra columns are ignored. A very long text costs time in proportion to its length; what is held of it are two chunks.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from talus.llm.common import buffers, slices
 
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 TOKENIZER = "byte_bpe_50k.json"
+#: Characters of a chunk, and by which it reaches into the next.
 CHUNK, OVERLAP = 4096, 128
 #: Pieces whose counts a task remembers at most, and the longest that it remembers in bytes.
 CACHE_PIECES, CACHED_BYTES = 400_000, 64
@@ -34,6 +38,11 @@ CACHE_PIECES, CACHED_BYTES = 400_000, 64
 _SIGN = r"[!-&(-/:-@\[-`{-~]"
 _STABLE = re.compile(rf"(?<=[^\W\d_]) (?=[^\W\d_])|(?<=[A-Za-z])(?=[0-9]|{_SIGN}|')|(?<=[0-9])(?=[A-Za-z]|{_SIGN}|')|(?<={_SIGN})(?=[A-Za-z0-9])")
 
+#: A proven boundary: white space after a character that is none.
+_PROVEN = re.compile(r"(?<=[!-~]|[^\W\d_])(?=[\t-\r ])")
+#: Characters at the end of a chunk, and around special strings, in which other places do not count.
+CLEAR = 32
+
 _LOADED: dict[str, object] = {}
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -58,53 +67,54 @@ def load(name: str):
     return _LOADED[name]
 
 
-def _cut(left, right, start: int, low: int, high: int, text: str, special: list[str]) -> tuple[int, int, int] | None:
-    """The splice of two encodings inside text[low:high]: position, tokens left of it, tokens from it on.
+def _starts(encoding, at: int) -> int | None:
+    """The token that starts at a character of an encoded chunk, if one does."""
+    i = encoding.char_to_token(at)
+    return i if i is not None and encoding.token_to_chars(i)[0] == at else None
 
-    ``left`` and ``right`` hold token starts, ``right``'s being relative to ``start``.
-    """
-    ours = {p: i for i, p in enumerate(left) if low <= p < high}
-    for m in reversed(list(_STABLE.finditer(text, low, high))):
-        at = m.start()
-        near = text[max(0, at - 32) : at + 32]
-        if any(s in near for s in special):
+
+def splice(text: str, left, start: int, end: int, right, low: int, special: list[str]) -> tuple[int, int] | None:
+    """(tokens of ``left`` in front of the splice, the token of ``right`` there) of two encodings, of text[start:end] and from ``low`` on."""
+    proven = [m.start() for m in _PROVEN.finditer(text, low + 1, end)]
+    # the last tokens of a chunk may still change where no white space ends them
+    others = [m.start() for m in _STABLE.finditer(text, low + 1, max(low + 1, end - CLEAR))] if not proven else []
+    for at in reversed(proven or others):
+        if not proven and any(x in text[max(0, at - CLEAR) : at + CLEAR] for x in special):
             continue
-        if at in ours:
-            theirs = next((j for j, p in enumerate(right) if p + start == at), None)
-            if theirs is not None:
-                return at, ours[at], theirs
+        ours, theirs = _starts(left, at - start), _starts(right, at - low)
+        if ours is not None and theirs is not None:
+            return ours, theirs
     return None
 
 
-def encode_long(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """The ids of a long text by overlapping chunks, equal to encoding it whole."""
+def spliced(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple]:
+    """(encoding, first token, one past the last) of each chunk of a text; together these are the tokens of the whole."""
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    starts = lambda e: [a for a, _ in e.offsets]
-    ids: list[int] = []
-    start = 0
-    current = tokenizer.encode(text[:chunk], add_special_tokens=False)
-    end = min(chunk, len(text))
-    skip = 0
+    encode = lambda a, b: tokenizer.encode(text[a:b], add_special_tokens=False)
+    start, end, skip = 0, min(len(text), chunk + overlap), 0
+    left = encode(start, end)
     while end < len(text):
         width, found = overlap, None
+        last = min(len(text), end + chunk)
         while found is None:
-            low = max(start + 1, end - width)
-            after = tokenizer.encode(text[low - 1 : low - 1 + chunk + width], add_special_tokens=False)
-            mine = [p + start for p in starts(current)]
-            # the last tokens before the end may still change: stay clear of it
-            found = _cut(mine, starts(after), low - 1, low + 1, end - 32, text, special)
-            if found is None and low == start + 1:
+            low = max(start, end - width)
+            if low == start and width:
                 break
-            width *= 2
-        if found is None:  # no stable place in the whole chunk: widen it to more of the text
-            end = min(len(text), end + max(chunk, end - start))
-            current = tokenizer.encode(text[start:end], add_special_tokens=False)
+            right = encode(low, last)
+            found = splice(text, left, start, end, right, low, special)
+            width = 2 * width or 1
+        if found is None:  # no common boundary however wide: one chunk, twice as long
+            end = min(len(text), start + 2 * (end - start))
+            left = encode(start, end)
             continue
-        _, upto, since = found
-        ids += current.ids[skip:upto]
-        start, current, skip = low - 1, after, since
-        end = min(len(text), low - 1 + chunk + width // 2)
-    return ids + current.ids[skip:]
+        yield left, skip, found[0]
+        start, end, left, skip = low, last, right, found[1]
+    yield left, skip, len(left)
+
+
+def encode_long(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+    """The ids of a text by overlapping chunks, equal to encoding it whole."""
+    return [i for e, a, b in spliced(tokenizer, text, chunk, overlap) for i in e.ids[a:b]]
 
 
 def stable(data: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -133,9 +143,7 @@ class PieceCounts:
         self.tokenizer, self.most, self.chunk, self.overlap, self.known = tokenizer, most, chunk, overlap, {}
 
     def _encode(self, pieces: list[str]) -> list[int]:
-        short = [p for p in pieces if len(p) <= self.chunk]
-        found = iter([len(e) for e in self.tokenizer.encode_batch_fast(short, add_special_tokens=False)])
-        return [next(found) if len(p) <= self.chunk else len(encode_long(self.tokenizer, p, self.chunk, self.overlap)) for p in pieces]
+        return [len(e) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def __call__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The number of tokens of each piece data[start:end]; pieces stand in order and do not overlap."""
@@ -159,69 +167,25 @@ class PieceCounts:
         return np.array(each, np.int64)[coded.indices.to_numpy()]
 
 
-def _chunks(length: np.ndarray, chunk: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start in it, length) of the chunks of documents of ``length`` bytes."""
-    many = np.maximum(1, -(-(length - overlap) // chunk))
-    doc = np.repeat(np.arange(len(length)), many)
-    start = (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * chunk
-    return doc, start, np.minimum(length[doc] - start, chunk + overlap)
-
-
-def resynchronised(data: np.ndarray, offs: np.ndarray, count: PieceCounts, chunk: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
-    """(number of tokens, number of splices) of each document; -1 tokens where two chunks have no stable boundary in common."""
-    doc, start, size = _chunks(np.diff(offs), chunk, overlap)
-    first = np.cumsum(size) - size
-    if len(doc) > len(offs) - 1:
-        data = data[np.repeat(offs[doc] + start - first, size) + np.arange(int(size.sum()))]
-    cut = stable(data, first) if len(data) else np.zeros(0, bool)
-    low, high = first.copy(), first + size
-    after = np.flatnonzero(doc[1:] == doc[:-1]) + 1  # chunks that continue the one before
-    failed = np.zeros(len(offs) - 1, bool)
-    if len(after):
-        at = np.flatnonzero(cut)
-        of = np.searchsorted(first, at, "right") - 1
-        shift = np.zeros(len(doc), np.int64)  # from a place to the same in the chunk before
-        shift[after] = first[after - 1] + start[after] - start[after - 1] - first[after]
-        begins = np.zeros(len(doc), bool)
-        begins[after] = True
-        common = begins[of] & (at - first[of] < np.append(0, first[:-1] + size[:-1])[of] - first[of] - shift[of])
-        at, of = at[common], of[common]
-        both = cut[at + shift[of]]
-        at, of = at[both], of[both]
-        splice = np.full(len(doc), -1, np.int64)
-        np.maximum.at(splice, of, at)
-        none = after[splice[after] < 0]
-        failed[doc[none]] = True
-        good = after[splice[after] >= 0]
-        low[good] = splice[good]
-        high[good - 1] = splice[good] + shift[good]
-    # the pieces of each chunk from its first splice to its last
-    head = np.zeros(len(data) + 1, bool)
-    use = np.flatnonzero((low < high) & ~failed[doc])
-    head[: len(data)] = cut
-    head[low[use]] = True
-    cover = np.zeros(len(data) + 1, np.int8)
-    np.add.at(cover, low[use], 1)
-    np.add.at(cover, high[use], -1)
-    begin = np.flatnonzero(head[: len(data)] & (np.cumsum(cover[: len(data)]) > 0))
-    of = np.searchsorted(first, begin, "right") - 1
-    last = np.append(of[1:] != of[:-1], True) if len(of) else np.zeros(0, bool)
-    end = np.where(last, high[of], np.append(begin[1:], 0)) if len(of) else begin
-    n = np.bincount(doc[of], count(data, begin, end), len(failed)).astype(np.int64) if len(of) else np.zeros(len(failed), np.int64)
-    n[failed] = -1
-    return n, np.bincount(doc[after], minlength=len(failed))
+def whole_counts(data: np.ndarray, offs: np.ndarray, count: PieceCounts) -> np.ndarray:
+    """Numbers of tokens of texts of one chunk, piece by piece between their proven boundaries."""
+    head = stable(data, offs[:-1]) if len(data) else np.zeros(0, bool)
+    head[offs[:-1][np.diff(offs) > 0]] = True
+    begin = np.flatnonzero(head)
+    n = count(data, begin, np.append(begin[1:], len(data))[: len(begin)])
+    return np.bincount(np.searchsorted(offs, begin, "right") - 1, n, len(offs) - 1).astype(np.int64)
 
 
 def count_tokens(texts: pa.Array, count: PieceCounts) -> tuple[np.ndarray, np.ndarray]:
     """(number of tokens, number of splices) of each text."""
-    data, offs = buffers(texts)
-    n, splices = resynchronised(data, offs, count, count.chunk, count.overlap)
-    overlap = count.overlap
-    while (n < 0).any():
-        overlap *= 2
-        for i in np.flatnonzero(n < 0).tolist():
-            part = data[offs[i] : offs[i + 1]]
-            n[i : i + 1], splices[i : i + 1] = resynchronised(part, np.array([0, len(part)]), count, count.chunk, overlap)
+    long = pc.greater(pc.utf8_length(texts), count.chunk + count.overlap).to_numpy(zero_copy_only=False).astype(bool)
+    n, splices = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    n[~long] = whole_counts(*buffers(texts.filter(pa.array(~long))), count)
+    for i in np.flatnonzero(long).tolist():
+        for _, a, b in spliced(count.tokenizer, texts[i].as_py(), count.chunk, count.overlap):
+            n[i] += b - a
+            splices[i] += 1
+        splices[i] -= 1
     return n, splices
 
 
@@ -230,7 +194,7 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = 512,
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = PieceCounts(load(tokenizer), chunk=chunk, overlap=overlap)  # goes with the task: workers live on and serve other stages
-        for batch in slices(batches, most=2 << 20):
+        for batch in slices(batches, most=1 << 20):
             text = pc.fill_null(batch.column("text"), "")
             n = pa.array(count_tokens(text, count)[0])
             yield pa.record_batch([batch.column("doc_id"), pc.cast(pc.binary_length(text), pa.int64()), n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])

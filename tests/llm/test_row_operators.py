@@ -93,10 +93,36 @@ def test_very_long_texts_are_spliced():
     import pyarrow as pa
 
     tok = token_counts.load("byte_bpe_50k.json")
-    texts = [" ".join(f"wort{i % 997}" for i in range(200_000)), "x1" * 50_000, "文字" * 9_000, "a" * 70_000]
+    texts = [" ".join(f"wort{i % 997}" for i in range(200_000)), "x1" * 50_000, "文字" * 9_000, "a" * 70_000, "short text"]
     got, splices = token_counts.count_tokens(pa.array(texts), token_counts.PieceCounts(tok))
     assert got.tolist() == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
-    assert splices[0] > 300 and splices[1] == 0
+    assert splices[0] > 300 and splices[1] > 20 and splices.tolist()[2:] == [0, 0, 0]  # the last have no boundary: one chunk
+
+
+def test_every_text_above_a_chunk_is_spliced_from_overlapping_encodings():
+    """The library sees each chunk with its overlap; splices come from both encodings, and without an overlap there are none."""
+    tok = token_counts.load("byte_bpe_50k.json")
+
+    class Counting:
+        def __init__(self):
+            self.seen = []
+
+        def encode(self, text, **more):
+            self.seen.append(len(text))
+            return tok.encode(text, **more)
+
+        def get_added_tokens_decoder(self):
+            return tok.get_added_tokens_decoder()
+
+    text = " ".join(t for _, t, *_ in rows() if t)
+    counting = Counting()
+    parts = list(token_counts.spliced(counting, text, 500, 60))
+    assert len(parts) == len(counting.seen) > 20 and sum(counting.seen) >= len(text) + 60 * (len(parts) - 1)
+    assert sum(b - a for _, a, b in parts) == len(tok.encode(text, add_special_tokens=False))
+    left, right = tok.encode(text[:500], add_special_tokens=False), tok.encode(text[500:1000], add_special_tokens=False)
+    assert token_counts.splice(text, left, 0, 500, right, 500, []) is None
+    counting = Counting()
+    assert len([0 for _ in token_counts.spliced(counting, text, 500, 0)]) < len(counting.seen)  # overlaps had to be widened
 
 
 def plain_secrets(text):
