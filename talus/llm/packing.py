@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -145,79 +146,113 @@ class LocalSearch:
     to the emptiest; each gets the exchange that leaves least of its free space, of equals the one that takes from the
     emptiest bin, for as long as there is one that leaves it fuller than its partner was. So free space gathers in few bins until they
     are empty. All underfull bins are partners, and passes go on until one changes nothing or ``least`` bins are left.
+
+    What bins offer is indexed by sum: for each number of tokens the underfull bins that hold a piece, or two pieces, of that many, the emptiest first, in
+    heaps whose stale entries go when they come up. A bin's search runs over the gains that some bin's offer makes possible, the
+    largest first, and ends at the first that a partner allows; pieces are looked up only for the exchange that is made.
     """
 
     def __init__(self, bins: list[list[int]], lengths: np.ndarray, capacity: int) -> None:
-        self.size, self.capacity = lengths.astype(np.int64), capacity
+        self.size, self.capacity = [int(n) for n in lengths], capacity
         self.bins = [list(b) for b in bins]
-        self.fill = np.array([int(self.size[b].sum()) for b in self.bins], np.int64)
-        self.where = np.zeros(len(lengths), np.int64)
-        self.twos: list[tuple[np.ndarray, np.ndarray]] = []
-        for k, b in enumerate(self.bins):
-            self.where[b] = k
+        self.fill = [sum(self.size[i] for i in b) for b in self.bins]
         self.alive = sum(map(bool, self.bins))
-
-    def _pairs(self, k: int) -> np.ndarray:
-        b = np.array(self.bins[k], np.int64)
-        i, j = np.triu_indices(len(b), 1)
-        return np.stack([b[i], b[j]], axis=1)
-
-    def _partners(self) -> None:
-        """The pieces of all underfull bins, and the pairs of pieces that share one, with their sums and bins."""
-        open_ = np.flatnonzero((self.fill < self.capacity) & (self.fill > 0))
-        self.ones = np.concatenate([self.bins[k] for k in open_.tolist()]).astype(np.int64) if len(open_) else np.zeros(0, np.int64)
-        pairs = [self._pairs(k) for k in open_.tolist()]
-        self.twos = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-        self.sums = self.size[self.twos].sum(axis=1)
-        self.of = self.where[self.twos[:, 0]] if len(self.twos) else np.zeros(0, np.int64)
-
-    def _best(self, y: int) -> tuple[list[int], list[int]] | None:
-        """What bin ``y`` takes and gives back."""
-        free, fill, mine = self.capacity - self.fill[y], self.fill[y], self.bins[y]
-        best, chosen = (0, 0), None
-        size, where = self.size[self.ones], self.where[self.ones]
-        # pairs that an exchange has parted are left for the next pass
-        whole = self.where[self.twos[:, 1]] == self.where[self.twos[:, 0]] if len(self.twos) else np.zeros(0, bool)
-        of = self.where[self.twos[:, 0]] if len(self.twos) else self.of
-        tries = [(size, where, None, ())] + [(size, where, None, (b,)) for b in mine]
-        tries += [(self.sums, of, whole, ())] + [(self.sums, of, whole, (b,)) for b in mine]
-        tries += [(size, where, None, tuple(p)) for p in self._pairs(y).tolist()]
-        for sizes, bins, use, back in tries:
-            gain = sizes - int(self.size[list(back)].sum())
-            at = np.flatnonzero((gain > 0) & (gain <= free) & (gain >= best[0]))
-            at = at[(bins[at] != y) & (fill + gain[at] > self.fill[bins[at]]) & (self.fill[bins[at]] < self.capacity)]
-            if use is not None:
-                at = at[use[at]]
-            if not len(at):
-                continue
-            at = at[gain[at] == gain[at].max()]
-            k = at[np.argmin(self.fill[bins[at]])]
-            found = (int(gain[k]), -int(self.fill[bins[k]]))
-            if found > best or chosen is None:
-                best, chosen = found, (([int(self.ones[k])] if use is None else self.twos[k].tolist()), list(back))
-            if best[0] == free:
-                break
-        return chosen
-
-    def _exchange(self, y: int, out: list[int], back: list[int]) -> None:
-        x = int(self.where[out[0]])
-        for source, target, moved in ((x, y, out), (y, x, back)):
+        self.version = [0] * len(self.bins)
+        #: By kind (one piece, two): heaps of (fill, bin, version) by number of tokens, and which numbers are on offer.
+        self.heaps: list[list[list[tuple[int, int, int]]]] = [[[] for _ in range(capacity + 1)] for _ in range(2)]
+        self.offered = [0, 0]
+        for k in range(len(self.bins)):
+            self._offer(k)
+
+    def _sums(self, k: int) -> tuple[set[int], set[int]]:
+        """The sums of one piece and of two pieces of a bin."""
+        ones: set[int] = set()
+        twos: set[int] = set()
+        for i in self.bins[k]:
+            n = self.size[i]
+            twos.update([n + m for m in ones])
+            if n in ones:
+                twos.add(2 * n)
+            ones.add(n)
+        return ones, twos
+
+    def _offer(self, k: int) -> None:
+        self.version[k] += 1
+        if 0 < self.fill[k] < self.capacity:
+            entry = (self.fill[k], k, self.version[k])
+            for kind, sums in enumerate(self._sums(k)):
+                heaps, bits = self.heaps[kind], 0
+                for n in sums:
+                    heappush(heaps[n], entry)
+                    bits |= 1 << n
+                self.offered[kind] |= bits
+
+    def _emptiest(self, kind: int, n: int, y: int) -> tuple[int, int] | None:
+        """(fill, bin) of the emptiest bin but ``y`` that offers ``n`` tokens."""
+        heap, own = self.heaps[kind][n], None
+        while heap and (self.version[heap[0][1]] != heap[0][2] or heap[0][1] == y):
+            top = heappop(heap)
+            if top[1] == y and self.version[y] == top[2]:
+                own = top
+        found = heap[0][:2] if heap else None
+        if own:
+            heappush(heap, own)
+        elif not heap:
+            self.offered[kind] &= ~(1 << n)
+        return found
+
+    def _best(self, y: int) -> tuple[int, int, int, int] | None:
+        """(bin, kind, tokens it gives, tokens it gets back) of the exchange that fills bin ``y`` best."""
+        fill, free = self.fill[y], self.capacity - self.fill[y]
+        ones, twos = self._sums(y)
+        room = (2 << free) - 2  # gains of 1 to free
+        tries = [(kind, back, (self.offered[kind] >> back) & room) for kind in (0, 1) for back in (0, *ones)]
+        tries += [(0, back, (self.offered[0] >> back) & room) for back in twos]
+        tries = [t for t in tries if t[2]]
+        gains = 0
+        for _, _, bits in tries:
+            gains |= bits
+        while gains:
+            gain = gains.bit_length() - 1
+            gains ^= 1 << gain
+            best = None
+            for kind, back, bits in tries:
+                if bits >> gain & 1 and (found := self._emptiest(kind, back + gain, y)) and found[0] < fill + gain and (best is None or found[0] < best[0]):
+                    best = (found[0], found[1], kind, back + gain, back)
+            if best:
+                return best[1:]
+        return None
+
+    def _pick(self, k: int, kind: int, n: int) -> list[int]:
+        """One piece, or two, of ``n`` tokens in a bin."""
+        if not kind:
+            return [next(i for i in self.bins[k] if self.size[i] == n)]
+        seen: dict[int, int] = {}
+        for i in self.bins[k]:
+            if n - self.size[i] in seen:
+                return [seen[n - self.size[i]], i]
+            seen[self.size[i]] = i
+        raise AssertionError("no such pair")
+
+    def _exchange(self, y: int, x: int, kind: int, n: int, back: int) -> None:
+        out = self._pick(x, kind, n)
+        # one piece back where one has that many tokens, else two
+        given = self._pick(y, int(back not in self._sums(y)[0]), back) if back else []
+        for source, target, moved in ((x, y, out), (y, x, given)):
             for i in moved:
                 self.bins[source].remove(i)
                 self.bins[target].append(i)
-                self.where[i] = target
-        gain = int(self.size[out].sum()) - int(self.size[back].sum())
-        self.fill[x] -= gain
-        self.fill[y] += gain
+        self.fill[x] -= n - back
+        self.fill[y] += n - back
         self.alive -= not self.bins[x]
+        self._offer(x)
+        self._offer(y)
 
     def run(self, least: int) -> list[list[int]]:
         changed = True
         while changed and self.alive > least:
             changed = False
-            self._partners()
-            order = np.lexsort((np.arange(len(self.fill)), -self.fill))
-            for y in order.tolist():
+            for y in sorted(range(len(self.fill)), key=lambda k: (-self.fill[k], k)):
                 while 0 < self.fill[y] < self.capacity and self.alive > least and (found := self._best(y)):
                     self._exchange(y, *found)
                     changed = True
