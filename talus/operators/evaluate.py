@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talus.functions import fixed as X
+from talus.operators.ranks import first_rows, quantiles
 
 
 def recall_at_k(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
@@ -70,17 +73,27 @@ def mcnemar(b: Column, c: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.when(k == 0, none).otherwise(total)))
 
 
-def nearest_rank(values: str, share: float) -> Column:
-    """The element at min(n - 1, int(share * n)) of the sorted values."""
-    s = F.array_sort(F.collect_list(values))
-    return F.element_at(s, F.least(F.size(s) - 1, F.floor(F.lit(share) * F.size(s)).cast("int")) + 1)
+def summary(df: DataFrame, *keys: str) -> DataFrame:
+    """Runs by ``keys``: how many, mean precision and coverage, median, p90 by nearest rank and longest of the seconds; groups of any size."""
+    means = [F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in ("precision", "coverage")], F.round(F.max("seconds"), 6).alias("longest")]
+    ranks = quantiles(df, list(keys), "seconds", {"median": 0.5}, {"p90": 0.9})
+    rounded = ranks.select(*[F.col(k).alias(f"_{k}") for k in keys], F.round("median", 6).alias("median"), F.round("p90", 6).alias("p90"))
+    base = df.groupBy(*keys).agg(*means)
+    return base.join(rounded, reduce(lambda a, b: a & b, [base[k].eqNullSafe(rounded[f"_{k}"]) for k in keys])).drop(*[f"_{k}" for k in keys])
+
+
+def latencies(df: DataFrame, key: str, order: str, value: str, warm: int = 5) -> DataFrame:
+    """(key, median, p90) of the values, each key's first ``warm`` ones left out; p90 between ranks."""
+    first = first_rows(df.select(key, order), [key], [order], warm)
+    kept = df.select(key, order, value).join(first, [key, order], "left_anti")
+    out = quantiles(kept, [key], value, {"median": 0.5, "p90": 0.9})
+    return out.select(key, F.round("median", 6).alias("median"), F.round("p90", 6).alias("p90"))
 
 
 def stratified(rows: DataFrame, family: str, key: str, per_family: int, total: int, seed: int) -> DataFrame:
     """An equal quota from each family in seeded hash order, filled up from the rest; ``position`` keeps the original order."""
     hashed = rows.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string"))))
-    nth = F.row_number().over(Window.partitionBy(family).orderBy("_h", key))
-    quota = hashed.withColumn("_r", nth).where(F.col("_r") <= per_family).drop("_r")
+    quota = first_rows(hashed, [family], ["_h", key], per_family)
     # as many rows in hash order as the quota may take away still hold what fills up
     rest = hashed.orderBy("_h", key).limit(total + quota.count()).join(quota.select(key), key, "left_anti")
     both = quota.withColumn("_q", F.lit(0)).unionByName(rest.withColumn("_q", F.lit(1)))

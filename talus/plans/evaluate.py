@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from talus.functions import fixed as X
 from talus.operators import evaluate as H
 from talus.operators import vectors as V
+from talus.operators.ranks import numbered
 from talus.plans import vectors as PV
 from talus.plans.text import NORMAL, SAMPLES, _ADVICE, _OTHER, _SAMPLE_SQL, messages
 from talus.functions import text as T
@@ -116,17 +117,13 @@ def _ledger(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("model"), F.col("o_orderpriority").alias("family"), F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 5 > 0, (F.col("o_custkey") % 3) / 2).alias("precision"), ((F.col("o_custkey") % 4) / 3).alias("coverage"), (F.col("o_totalprice") / 1000).alias("seconds"))
 
 
-def _summary(df: DataFrame, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg("precision"), 6).alias("precision"), F.round(F.avg("coverage"), 6).alias("coverage"), F.round(F.median("seconds"), 6).alias("median"), F.round(H.nearest_rank("seconds", 0.9), 6).alias("p90"), F.round(F.max("seconds"), 6).alias("longest"))
-
-
 def summary_by_model(spark, sf_dir):
-    return _summary(_ledger(spark, sf_dir), "model")
+    return H.summary(_ledger(spark, sf_dir), "model")
 
 
 def summary_by_family(spark, sf_dir):
     """Rescored from the stored ledger, by model and family."""
-    return _summary(_ledger(spark, sf_dir), "model", "family")
+    return H.summary(_ledger(spark, sf_dir), "model", "family")
 
 
 #: A stored answer and what was asked, by the size of a part: credits, a year, a list in lines or in running text.
@@ -188,10 +185,7 @@ def paired_compare(spark, sf_dir):
 
 def latency_percentiles(spark, sf_dir):
     """Median and linear p90 by event type, five warm-ups left out."""
-    e = table(spark, sf_dir, "events")
-    warm = e.select("event_type", "event_id").withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))).where("r <= 5")
-    kept = e.join(warm, ["event_type", "event_id"], "left_anti")
-    return kept.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"), F.round(F.percentile("value", 0.9), 6).alias("p90"))
+    return H.latencies(table(spark, sf_dir, "events"), "event_type", "event_id", "value")
 
 
 def threshold_verdicts(spark, sf_dir):
@@ -208,8 +202,7 @@ def question_bank(spark, sf_dir):
     """A numbered question for each brand and type of the catalogue."""
     p = table(spark, sf_dir, "part")
     g = p.groupBy("p_brand", "p_type").agg(F.count("*").alias("n"), F.min("p_name").alias("first"))
-    w = Window.orderBy("p_brand", "p_type")  # over brands times types
-    return g.withColumn("i", F.row_number().over(w)).select(F.format_string("q-%04d", "i").alias("id"), F.format_string("¿Qué asignaturas de %s hay en %s?", "p_type", "p_brand").alias("question"), "n", "first")
+    return numbered(g, ["p_brand", "p_type"], "i", 1).select(F.format_string("q-%04d", "i").alias("id"), F.format_string("¿Qué asignaturas de %s hay en %s?", "p_type", "p_brand").alias("question"), "n", "first")
 
 
 def stratified_sample(spark, sf_dir):
