@@ -31,7 +31,7 @@ from talus.llm.common import buffers, slices
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 TOKENIZER = "byte_bpe_50k.json"
 #: Characters of a chunk, and by which it reaches into the next.
-CHUNK, OVERLAP = 4096, 128
+CHUNK, OVERLAP = 8192, 128
 #: Pieces whose counts a task remembers at most, and the longest that it remembers in bytes.
 CACHE_PIECES, CACHED_BYTES = 400_000, 64
 #: Inside a piece: ASCII letter, digit and sign next to another class (an apostrophe may bind the letters after it), or a space between letters.
