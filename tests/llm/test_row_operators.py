@@ -96,7 +96,7 @@ def test_very_long_texts_are_spliced():
     texts = [" ".join(f"wort{i % 997}" for i in range(200_000)), "x1" * 50_000, "文字" * 9_000, "a" * 70_000, "short text"]
     got, splices = token_counts.count_tokens(pa.array(texts), token_counts.PieceCounts(tok))
     assert got.tolist() == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
-    assert splices[0] > 200 and splices[1] > 10 and splices.tolist()[2:] == [0, 0, 0]  # the last have no boundary: one chunk
+    assert splices[0] > 150 and splices[1] > 10 and splices.tolist()[2:] == [0, 0, 0]  # the last have no boundary: one chunk
 
 
 def test_every_text_above_a_chunk_is_spliced_from_overlapping_encodings():
