@@ -128,9 +128,13 @@ def step(state: State, question: str, answer: str, cat: Catalogue, decide: Decid
 RESULT = "conv_id bigint, turn bigint, text string, scope array<string>, fallback string, open boolean, decision string, remembered array<string>"
 
 
-def prepare_turns(turns: Iterator[tuple[int, str, str]], state: State, cat: Catalogue, decide: Decider | None) -> tuple[State, list[dict]]:
+def prepare_turns(turns: Iterator[tuple[int, str, str, bool]], state: State, cat: Catalogue, decide: Decider | None) -> tuple[State, list[dict]]:
+    """The queries of turns in order; one that resets forgets all and is no question."""
     out = []
-    for turn, question, answer in turns:
+    for turn, question, answer, reset in turns:
+        if reset:
+            state = State()
+            continue
         before = state.questions
         state, query = step(state, question, answer, cat, decide)
         out.append({"turn": turn, **asdict(query), "remembered": before})
@@ -138,14 +142,17 @@ def prepare_turns(turns: Iterator[tuple[int, str, str]], state: State, cat: Cata
 
 
 def prepare(turns: DataFrame, names: list[str], decide: Decider | None = None) -> DataFrame:
-    """The queries of ``turns(conv_id, turn, question, answer)``; a conversation is one group, its turns in order."""
+    """The queries of ``turns(conv_id, turn, question, answer)``; a conversation is one group, its turns in order. A column ``reset`` may mark turns that forget all before."""
+    built: list[Catalogue] = []
+    columns = ["conv_id", "turn", "text", "scope", "fallback", "open", "decision", "remembered"]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        if not built:  # once a task, not once a conversation
+            built.append(Catalogue(names))
         rows = rows.sort_values("turn")
-        _, made = prepare_turns(zip(rows["turn"], rows["question"], rows["answer"], strict=True), State(), Catalogue(names), decide)
-        out = pd.DataFrame(made)
-        out.insert(0, "conv_id", rows["conv_id"].iloc[0])
-        return out[["conv_id", "turn", "text", "scope", "fallback", "open", "decision", "remembered"]]
+        resets = rows["reset"].fillna(False).astype(bool) if "reset" in rows else [False] * len(rows)
+        _, made = prepare_turns(zip(rows["turn"], rows["question"], rows["answer"], resets, strict=True), State(), built[0], decide)
+        return pd.DataFrame([{"conv_id": rows["conv_id"].iloc[0], **m} for m in made], columns=columns)
 
     return turns.groupBy("conv_id").applyInPandas(run, RESULT)
 
