@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talus.functions import fixed as X
+from talus.operators.vector_index import current, rebuild
 
 #: Queries that are sent to all executors, or stand in one block; vectors in one block.
 BLOCK, VECTORS = 4096, 65_536
@@ -286,21 +287,16 @@ def embed(df: DataFrame, text: str = "text", embedder: Embedder = hash_embedder,
 
 
 def write_index(chunks: DataFrame, path: str, model: str, prefix: str = X.PASSAGE_PREFIX, metric: str = "cosine") -> None:
-    """Rebuild an index: the vectors and a table of one row that says how they were made."""
-    chunks.write.mode("overwrite").parquet(f"{path}/vectors")
-    chunks.sparkSession.createDataFrame([(model, prefix, metric)], "model string, prefix string, metric string").write.mode("overwrite").parquet(f"{path}/about")
+    """Rebuild an index; readers see the old one until the new one is written and checked (``vector_index``)."""
+    rebuild(chunks, path, model, prefix, metric)
 
 
 def read_index(spark, path: str, model: str, prefix: str = X.PASSAGE_PREFIX) -> DataFrame:
-    """The vectors of an index; raises if it was made with another model or prefix, accepts one that does not say."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        about = spark.read.parquet(f"{path}/about").first()
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        about = None  # an index without the table is accepted
-    if about and (about.model, about.prefix) != (model, prefix):
-        raise ValueError(f"the index was made with {about.model} and {about.prefix!r}, not {model} and {prefix!r}")
-    return spark.read.parquet(f"{path}/vectors")
+    """The vectors of an index; raises if it was made with another model or prefix, accepts a plain table that does not say."""
+    found = current(spark, path)
+    if found is None:
+        return spark.read.parquet(path)
+    about, vectors = found
+    if (about["model"], about["prefix"]) != (model, prefix):
+        raise ValueError(f"the index was made with {about['model']} and {about['prefix']!r}, not {model} and {prefix!r}")
+    return vectors

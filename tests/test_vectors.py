@@ -86,6 +86,29 @@ def test_index_round_trip(spark, tmp_path):
         V.read_index(spark, str(tmp_path), "other")
 
 
+def test_a_rebuild_is_seen_whole_or_not_at_all(spark, tmp_path):
+    from talus.operators import vector_index as I
+
+    path = str(tmp_path)
+    df = lambda *ids: vectors(spark, [(i, [float(i), 1.0]) for i in ids])
+    assert I.current(spark, path) is None
+    V.write_index(df(1, 2), path, "m")
+    old = V.read_index(spark, path, "m")
+    for broken in (vectors(spark, [(1, [1.0, 2.0]), (2, [1.0])]), vectors(spark, [(1, [float("nan"), 2.0])]), vectors(spark, [(1, None)])):
+        with pytest.raises(ValueError, match="stays as it was"):
+            V.write_index(broken, path, "m")
+    failing = df(3).select("*", F.raise_error(F.lit("gone")).alias("x"))
+    with pytest.raises(Exception, match="gone"):
+        V.write_index(failing, path, "m")
+    assert sorted(r.vec_id for r in V.read_index(spark, path, "m").collect()) == [1, 2]
+    V.write_index(df(3, 4, 5), path, "m2")
+    assert old.count() == 2 and V.read_index(spark, path, "m2").count() == 3  # who has begun with the old one goes on
+    with pytest.raises(RuntimeError, match="faster"):
+        I._publish(spark, path, 2, {})
+    V.write_index(df(6), path, "m2")
+    assert [n for n, _ in I._manifests(spark, path)] == [3, 2, 1] and I.current(spark, path)[0]["rows"] == 1
+
+
 def test_retrieve_ways(spark):
     chunks = vectors(spark, [(1, [1.0, 0.0]), (2, [0.99, 0.1]), (3, [0.0, 1.0])])
     near, far = [1.0, 0.0], [-1.0, 0.0]
