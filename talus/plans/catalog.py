@@ -90,7 +90,7 @@ def shared_units(spark, sf_dir):
 
 
 def no_guide_antijoin(spark, sf_dir):
-    """Subjects that no order line of 1999 or later mentions, with the text for those that say they have a guide."""
+    """Subjects that no order line of fifty pieces or more mentions, with the text for those that say they have a guide."""
     recent = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") > 49).select("l_partkey")
     s = subjects(spark, sf_dir)
     out = s.join(recent, s.p_partkey == recent.l_partkey, "left_anti")

@@ -232,7 +232,7 @@ def hand_written_bank(spark, sf_dir):
 
 
 def embedding_models(spark, sf_dir):
-    """Two injected embedders over the same texts, scored against each text's own first line; a model that fails is left out."""
+    """Two injected embedders over the same texts, by the mean distance of the nearest text."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     made = None

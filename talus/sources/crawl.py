@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from talus.store import stored
+
 MAX_BYTES = 2 * 1024 * 1024
 SCHEMAS = {
     "asignatura": "tipo string, grado string, codigo string, nombre string, tipo_asignatura string, menciones array<string>, ects string, ofertada boolean, url_guia string, tiene_guia boolean, curso string, cuatrimestre string",
@@ -65,11 +67,16 @@ def crawl_source(fetch: Callable[[str], tuple[str, bytes]], allowed: Callable[[s
 
 
 def read_items(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """One typed table for each kind of item in a JSON array; what an item lacks is null, ``ofertada`` is true."""
+    """One typed table for each kind of item in a JSON array; what an item lacks is null, ``ofertada`` is true.
+
+    The file is parsed once, into a table that is parted by kind; each kind reads its own part of it.
+    """
+    fields = {f: None for schema in SCHEMAS.values() for f in schema.split(", ")}
+    items = stored(spark.read.schema(", ".join(fields)).json(path, multiLine=True).where(F.col("tipo").isin(list(SCHEMAS))), "items", "tipo")
     out = {}
     for kind, schema in SCHEMAS.items():
-        items = spark.read.schema(schema).json(path, multiLine=True).where(F.col("tipo") == kind).drop("tipo")
-        out[kind] = items.withColumn("ofertada", F.coalesce("ofertada", F.lit(True))) if kind == "asignatura" else items
+        own = items.where(F.col("tipo") == kind).select(*[f.split()[0] for f in schema.split(", ")[1:]])
+        out[kind] = own.withColumn("ofertada", F.coalesce("ofertada", F.lit(True))) if kind == "asignatura" else own
     return out
 
 

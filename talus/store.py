@@ -44,10 +44,10 @@ def _delete_late(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back; it goes when the driver ends."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder, parted by a column if one is given, and read back; it goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/talus-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     atexit.register(_delete_late, spark, path)
     return spark.read.schema(df.schema).parquet(path)
