@@ -8,7 +8,8 @@ Anchors with very many contents are salted over shards, and their windows' first
 Automata of the whole reference would outgrow any broadcast, so segments are sent to the automaton of their shard instead.
 
 Null texts have no words. Rows that repeat an id are one document; rows without an id have no place in the order and are left out. An empty table gives an empty result.
-Extra columns are ignored.
+Extra columns are ignored. Of equal windows the smallest id counts, so no tie is left; equal rows of one id count once. A very long text is hashed whole in one
+task, in time and memory in proportion to its length; its segments go to shards like others.
 """
 
 from __future__ import annotations

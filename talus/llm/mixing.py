@@ -8,7 +8,8 @@ the block in which that happens up to a cut-off found by refining hash ranges. U
 budget is given, the largest source is taken exactly once, so that no document is lost.
 
 Tokens are words. A null source is the source ''. Null texts have no tokens. Repeated rows are drawn each.
-An empty table gives an empty result. Extra columns pass through ``apply_mix`` unchanged.
+An empty table gives an empty result. Extra columns pass through ``apply_mix`` unchanged. Rows without an id share one place of the order, and with it one block: they are taken
+together or not at all in the last epoch. Rows at one place are ties; they are taken together or not at all. A very long text is one row, which the budget counts whole.
 """
 
 from __future__ import annotations

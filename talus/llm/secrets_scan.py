@@ -5,7 +5,8 @@ satisfies (letters A-Z count as lower case). Each block of documents gets an inv
 trigrams that the rules ask for; a rule's query intersects and unites postings, and only the documents
 that remain are searched with the expression itself. Rules without mandatory trigrams search every document.
 
-Null texts are empty; repeated rows are scanned each; an empty table gives an empty result.
+Null texts are empty; repeated rows are scanned each, rows without an id too; an empty table gives an empty result. Spans that start at one place stand in the
+order of their kinds. A very long text is a block of its own, searched whole in one task.
 """
 
 from __future__ import annotations

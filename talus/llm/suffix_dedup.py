@@ -8,7 +8,8 @@ Anchors with very many contents are salted over shards; the windows that these l
 Places are (doc_id, start). Matches never cross documents.
 
 Null texts are empty. Rows that repeat an id are one document; rows without an id have no place in the order and are left out. An empty table gives an empty result.
-Extra columns are ignored.
+Extra columns are ignored. Places are a total order, so equal strings leave no tie; equal rows of one id count once. A very long text is hashed whole in one
+task, in time and memory in proportion to its length; its segments are sorted in shards like others.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ none shorter than k is seen. A text shorter than k is one gram; shorter than a w
 
 Null texts are empty and have no fingerprint; two empty fingerprints are alike (1); repeated rows are
 documents each, equal ids standing in the order of their texts; rows without an id
-have no next document and are left out; an empty table gives an empty result.
+have no next document and are left out; an empty table gives an empty result. A very long text and its edited text are hashed in one task, in time and memory in
+proportion to their length; rows with one id stand in one task.
 """
 
 from __future__ import annotations
