@@ -6,12 +6,15 @@ and an order line of a supplier's nation the row of a degree's subject table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talus.functions import fixed as X
 from talus.functions import text as T
 from talus.operators import catalog as G
+from talus.operators.ranks import numbered
 from talus.plans.text import NORMAL, SUBJECTS_SQL, subjects, sql_tokens
 from talus.session import table
 
@@ -124,11 +127,20 @@ def mention_listing(spark, sf_dir):
 
 
 def dataset_union(spark, sf_dir):
-    """The parts of the corpus in their order, under one schema."""
-    part = lambda df, n, o, key: df.select(F.lit(n).alias("ord"), F.lit(o).alias("origin"), key.cast("string").alias("name"))
-    d, s = degrees(spark, sf_dir), subjects(spark, sf_dir)
-    made = part(table(spark, sf_dir, "documents"), 1, "guia", F.col("doc_id")).unionByName(part(d.where("careers_url is not null"), 2, "salidas", F.col("degree"))).unionByName(part(d, 3, "catalogo", F.col("degree"))).unionByName(part(s.where("name = ''"), 4, "sin_guia", F.col("p_partkey")))
-    return made.groupBy("ord", "origin").agg(F.count("*").alias("n"), F.min("name").alias("first"), F.max("name").alias("last"))
+    """The seven parts of the corpus in their order, as rows with running numbers: guides, careers, plans, catalogue, records, mentions, subjects without a guide."""
+    part = lambda n, origin, df, name, *text: df.select(F.lit(n).alias("ord"), F.lit(origin).alias("origin"), name.cast("string").alias("name"), F.md5(F.concat_ws("|", *text)).alias("text"))
+    d = degrees(spark, sf_dir)
+    parts = [
+        part(1, "guia", table(spark, sf_dir, "documents"), F.col("doc_id"), "text"),
+        part(2, "salidas", d.where("careers_url is not null"), F.col("degree"), F.lit("Salidas profesionales"), "degree", "careers_url"),
+        part(3, "plan", plan_listing(spark, sf_dir), F.concat_ws("|", "degree", "grp", "year"), "n", "names"),
+        part(4, "catalogo", catalog_rollup(spark, sf_dir), F.coalesce(F.col("is_double").cast("string"), F.lit("total")), "n", "names"),
+        part(5, "ficha", degree_record(spark, sf_dir), F.col("degree"), "total", "obligatory", "elective", "duration", "mentions", "notice"),
+        part(6, "mencion", mention_listing(spark, sf_dir), F.col("mention"), "n", "names"),
+        part(7, "sin_guia", no_guide_antijoin(spark, sf_dir), F.col("p_partkey"), "text"),
+    ]
+    rows_ = numbered(reduce(DataFrame.unionByName, parts), ["ord", "name"])
+    return rows_.select(F.format_string("chunk-%04d", "number").alias("id"), "origin", "name", "text")
 
 
 def provenance_rollup(spark, sf_dir):
@@ -195,7 +207,6 @@ ORACLES = {
     "catalog_rollup": f"select is_double, count(*) as n, string_agg(degree, '; ' order by degree) as names from {DEGREES_SQL} group by rollup (is_double)",
     "degree_record": f"with d as (select degree from {DEGREES_SQL} union all select 'Grado en Nada'), s as (select degree, count(*) as total, count(*) filter (where kind <> 'OP') as obligatory, count(*) filter (where kind = 'OP') as elective, max({_HIGH}) as duration, count(distinct mention) as mentions from {TABLE_SQL} group by degree) select degree, coalesce(total, 0) as total, coalesce(obligatory, 0) as obligatory, coalesce(elective, 0) as elective, coalesce(duration, 0) as duration, coalesce(mentions, 0) as mentions, case when total is null then 'sin asignaturas publicadas' end as notice from d left join s using (degree)",
     "mention_listing": f"select mention, count(*) as n, md5(string_agg(distinct name, '; ' order by name)) as names from (select name, p_brand as mention from {SUBJECTS_SQL} union all select name, p_type from {SUBJECTS_SQL}) group by mention",
-    "dataset_union": f"with p as (select 1 as ord, 'guia' as origin, doc_id::varchar as name from documents union all select 2, 'salidas', degree from {DEGREES_SQL} where careers_url is not null union all select 3, 'catalogo', degree from {DEGREES_SQL} union all select 4, 'sin_guia', p_partkey::varchar from {SUBJECTS_SQL} where name = '') select ord, origin, count(*) as n, min(name) as first, max(name) as last from p group by ord, origin",
     "provenance_rollup": f"select string_agg(distinct year, '|' order by year) as years, count(*) filter (where year is null or year = '') as without from {SUBJECTS_SQL}",
     "catalogue": f"select distinct degree as name from {ROWS_SQL} union select distinct mention from {ROWS_SQL}",
     "distinctive_words": f"with c as (select p_name || ' ' || p_type || ' de la Universidad' as name from part), w as (select unnest({sql_tokens('name')}) as word from c) select word, count(*) as names from w group by word having count(*) < (select count(*) from c) / 2 and length(word) >= 4",
@@ -205,3 +216,13 @@ ORACLES = {
     "source_list": "select conv_id, role, min(turn) as turn from conversations group by conv_id, role",
     "set_differences": "with a as (select distinct o_custkey as k from orders where o_orderstatus = 'F'), b as (select c_custkey as k from customer where c_acctbal > 0) select k, 'missing' as side from a where k not in (select k from b) union all select k, 'extra' from b where k not in (select k from a)",
 }
+_PARTS = " union all ".join(
+    f"select {n} as ord, '{origin}' as origin, ({name})::varchar as name, md5(concat_ws('|', {text})) as text from {of}"
+    for n, origin, of, name, text in (
+        (1, "guia", "documents", "doc_id", "text"), (2, "salidas", f"{DEGREES_SQL} where careers_url is not null", "degree", "'Salidas profesionales', degree, careers_url"),
+        (3, "plan", f"({ORACLES['plan_listing']})", "degree || '|' || grp || '|' || year", "n, names"), (4, "catalogo", f"({ORACLES['catalog_rollup']})", "coalesce(is_double::varchar, 'total')", "n, names"),
+        (5, "ficha", f"({ORACLES['degree_record']})", "degree", "total, obligatory, elective, duration, mentions, notice"), (6, "mencion", f"({ORACLES['mention_listing']})", "mention", "n, names"),
+        (7, "sin_guia", f"({ORACLES['no_guide_antijoin']})", "p_partkey", "text"),
+    )
+)
+ORACLES["dataset_union"] = f"select printf('chunk-%04d', row_number() over (order by ord, name) - 1) as id, origin, name, text from ({_PARTS})"
