@@ -90,6 +90,25 @@ def latencies(df: DataFrame, key: str, order: str, value: str, warm: int = 5) ->
     return out.select(key, F.round("median", 6).alias("median"), F.round("p90", 6).alias("p90"))
 
 
+def store_verdicts(measures: DataFrame, filters: DataFrame) -> DataFrame:
+    """(store, threshold, verdict) of what was measured, a row for each threshold that can be judged.
+
+    ``measures(store, fidelity, median_ms, memory_mb, returned, asked, all_fit)``, the last three null where no filtered search was made;
+    ``filters(store, got, expected, false_positives)``, a row a case. Fidelity must be exactly 1, each filter must return exactly what it should,
+    the median is held against a limit, memory falls into one of three bands, and a filtered search must return as many as were asked for, all of them fitting.
+    """
+    said = lambda ok, yes="met", no="not met": F.when(ok, yes).otherwise(no)
+    exact = filters.groupBy("store").agg(F.bool_and((F.col("false_positives") == 0) & (F.col("got") == F.col("expected"))).alias("exact"))
+    m = measures.join(exact, "store", "left")
+    memory = F.when(F.col("memory_mb") <= X.MEMORY_MB[0], "met").when(F.col("memory_mb") <= X.MEMORY_MB[1], "between").otherwise("ruled out")
+    verdicts = {
+        "fidelity": said(F.col("fidelity") == 1), "filters": F.when(F.col("exact").isNotNull(), said(F.col("exact"))), "latency": said(F.col("median_ms") <= X.LATENCY_MS), "memory": memory,
+        "prefilter": F.when(F.col("asked").isNotNull(), said((F.col("returned") == F.col("asked")) & F.col("all_fit"), "before", "after, or loses rows")),
+    }
+    listed = F.array(*[F.struct(F.lit(k).alias("threshold"), v.alias("verdict")) for k, v in verdicts.items()])
+    return m.select("store", F.inline(listed)).where("verdict is not null")
+
+
 def stratified(rows: DataFrame, family: str, key: str, per_family: int, total: int, seed: int) -> DataFrame:
     """An equal quota from each family in seeded hash order, filled up from the rest; ``position`` keeps the original order."""
     hashed = rows.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string"))))

@@ -189,8 +189,15 @@ def latency_percentiles(spark, sf_dir):
 
 
 def threshold_verdicts(spark, sf_dir):
-    e = latency_percentiles(spark, sf_dir)
-    return e.select("event_type", (F.col("p90") <= 20).alias("fast"), F.when(F.col("median") < 5, "green").when(F.col("median") < 8, "amber").otherwise("red").alias("verdict"))
+    """Thresholds of vector stores, an event type being a store: values as milliseconds times ten, counts as memory, users as cases of a filter."""
+    e = table(spark, sf_dir, "events")
+    some = e.groupBy(F.col("event_type").alias("store")).agg((F.count_if(F.col("value") < 500) / F.count("*")).alias("fidelity"), (F.count("*") / 2).alias("memory_mb"), F.count_if(F.col("user_id") % 2 == 0).alias("returned"), F.count("*").alias("n"), F.min("value").alias("least"))
+    medians = latency_percentiles(spark, sf_dir).select(F.col("event_type").alias("store"), (F.col("median") * 10).alias("median_ms"))
+    searched = F.col("store") != "error"
+    measures = some.join(medians, "store").select("store", "fidelity", "median_ms", "memory_mb", F.when(searched, F.col("returned")).alias("returned"), F.when(searched, F.expr("n div 2")).alias("asked"), (F.col("least") >= 0).alias("all_fit"))
+    cases = e.where("event_type <> 'view'").groupBy(F.col("event_type").alias("store"), (F.col("user_id") % 3).alias("case"))
+    filters = cases.agg(F.count_if(F.col("value") < 1000).alias("got"), F.count("*").alias("expected"), F.count_if(F.col("value") < 0).alias("false_positives"))
+    return H.store_verdicts(measures, filters)
 
 
 def reproducibility(spark, sf_dir):
@@ -315,7 +322,16 @@ ORACLES = {
     "mcnemar_exact": f"with x as (select quality as a, toxic as b from labels), {_PAIR}",
     "paired_compare": f"with o as (select model, id % 500 as q, precision as m from {_LEDGER}), x as (select a, b from (select q, max(m) as a from o where model = 'F' group by q) join (select q, min(m) as b from o where model = 'O' group by q) using (q)), {_PAIR}",
     "latency_percentiles": f"select * from {_LAT}",
-    "threshold_verdicts": f"select event_type, p90 <= 20 as fast, case when median < 5 then 'green' when median < 8 then 'amber' else 'red' end as verdict from {_LAT}",
+    "threshold_verdicts": (
+        "with s as (select event_type as store, count(*) filter (where value < 500) / count(*) as fidelity, count(*) / 2 as memory, count(*) filter (where user_id % 2 = 0) as returned, count(*) // 2 as asked, min(value) >= 0 as fit from events group by event_type), "
+        f"l as (select event_type as store, median * 10 as ms from {_LAT}), "
+        "c as (select store, bool_and(got = expected and fp = 0) as exact from (select event_type as store, count(*) filter (where value < 1000) as got, count(*) as expected, count(*) filter (where value < 0) as fp from events where event_type <> 'view' group by event_type, user_id % 3) group by store), "
+        "m as (select * from s join l using (store) left join c using (store)) "
+        "select store, 'fidelity' as threshold, case when fidelity = 1 then 'met' else 'not met' end as verdict from m "
+        "union all select store, 'filters', case when exact then 'met' else 'not met' end from m where exact is not null union all select store, 'latency', case when ms <= 500 then 'met' else 'not met' end from m "
+        "union all select store, 'memory', case when memory <= 512 then 'met' when memory <= 1024 then 'between' else 'ruled out' end from m "
+        "union all select store, 'prefilter', case when returned = asked and fit then 'before' else 'after, or loses rows' end from m where store <> 'error'"
+    ),
     "reproducibility": "select user_id % 20 as run, min(value) as least, max(value) as largest, count(distinct round(value, 0)) as distinct_values from events group by run",
     "question_bank": "select printf('q-%04d', row_number() over (order by p_brand, p_type)) as id, '¿Qué asignaturas de ' || p_type || ' hay en ' || p_brand || '?' as question, n, first from (select p_brand, p_type, count(*) as n, min(p_name) as first from part group by p_brand, p_type)",
     "stratified_sample": "select doc_id, lang from (select *, row_number() over (partition by lang order by md5('42-' || doc_id), doc_id) > 20 as q from documents) order by q, md5('42-' || doc_id), doc_id limit 100",

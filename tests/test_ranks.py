@@ -72,3 +72,16 @@ def test_numbered(spark):
     got = K.numbered(df, ["x"], "n", 1).collect()
     assert len(got) == 5000 and all(r.n == r.x + 1 for r in got)
     assert K.numbered(df.where("false"), ["x"]).count() == 0
+
+
+def test_store_verdicts(spark):
+    from talus.operators import evaluate as H
+
+    m = [("a", 1.0, 500.0, 512.0, 3, 3, True), ("b", 0.999, 500.1, 512.1, 3, 4, True), ("c", 1.0, 1.0, 1024.1, 3, 3, False), ("d", 1.0, 1.0, 1024.0, None, None, None)]
+    measures = spark.createDataFrame(m, "store string, fidelity double, median_ms double, memory_mb double, returned int, asked int, all_fit boolean")
+    filters = spark.createDataFrame([("a", 5, 5, 0), ("a", 0, 0, 0), ("b", 5, 5, 0), ("b", 5, 6, 0), ("c", 5, 5, 1)], "store string, got int, expected int, false_positives int")
+    got = {(r.store, r.threshold): r.verdict for r in H.store_verdicts(measures, filters).collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == "a"} == {"fidelity": "met", "filters": "met", "latency": "met", "memory": "met", "prefilter": "before"}
+    assert {k[1]: v for k, v in got.items() if k[0] == "b"} == {"fidelity": "not met", "filters": "not met", "latency": "not met", "memory": "between", "prefilter": "after, or loses rows"}
+    assert got["c", "filters"] == "not met" and got["c", "memory"] == "ruled out" and got["c", "prefilter"].startswith("after")
+    assert ("d", "filters") not in got and ("d", "prefilter") not in got and got["d", "memory"] == "between"
