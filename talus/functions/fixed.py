@@ -89,6 +89,8 @@ PASSAGE_PREFIX, QUERY_PREFIX = "passage: ", "query: "
 CHUNK_MAX, CHUNK_MIN = 900, 200
 K_DEFAULT, K_LEAST, K_MOST, CUT_FACTOR, FLOOR = 10, 3, 20, 1.20, 0.137
 REMEMBERED = 3
+#: Words that deny, in normalised text.
+NEGATIONS = "no ninguna ninguno ningun nada tampoco nunca ni".split()
 #: Thresholds of a vector store: milliseconds of the median, MiB of memory.
 LATENCY_MS, MEMORY_MB = 500, (512, 1024)
 Z95 = 1.959963984540054

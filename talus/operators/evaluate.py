@@ -188,3 +188,39 @@ def rescore(ledger: DataFrame, bank: DataFrame, known: DataFrame) -> DataFrame:
     scored = V.score_lists(V.listed_names(lists, "run", "answer").distinct(), lists.select("run", F.explode("expected").alias("name")), known, "run")
     both = lists.select("run").join(scored, "run", "left").select("run", F.lit(None).cast("boolean").alias("right"), "precision", F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("invented", F.lit(0)).alias("invented"), F.coalesce("omitted", F.lit(0)).alias("omitted"))
     return scalar.unionByName(both)
+
+
+def grade(answers: DataFrame, bank: DataFrame, known: DataFrame, catalogue: DataFrame, refusals: list[str] = (), withdrawn: str = "") -> DataFrame:
+    """(run, criterion, passed) of ``answers(run, id, answer)`` by what the bank asks of each item.
+
+    ``bank(id, criterion, family, expected, forbidden)``. ``conjunto``: a list without anything false (one that lists nothing has nothing false) that holds
+    all expected; ``escalar``: the value; ``fija``: exactly the expected reply; ``sin_invencion``: degrees are named, and only real ones, and the answer was not
+    withdrawn; ``rechazo``: a fixed refusal, or no invented degree and a denial in the first two sentences; ``ambito``: all expected degrees are named by
+    themselves and no forbidden one. Null answers are empty.
+    """
+    from talus.functions import text as T
+    from talus.operators import verify as V
+    from talus.operators.contain import named_by_itself, unknown_names
+
+    scored = bank.where("criterion in ('conjunto', 'escalar')").select("id", F.col("criterion").alias("kind"), "family", "expected")
+    lists = rescore(answers, scored, known).select("run", F.coalesce("right", (F.coalesce("precision", F.lit(1.0)) == 1) & (F.col("coverage") == 1)).alias("passed"))
+    rows = answers.join(bank.where("criterion not in ('conjunto', 'escalar')"), "id").withColumn("answer", F.coalesce("answer", F.lit("")))
+    named = rows.select("run", F.explode(V.named_degrees(F.col("answer"))).alias("name"))
+    some = named.groupBy("run").agg(F.count("*").alias("_named"))
+    bad = unknown_names(named, catalogue, "run").groupBy("run").agg(F.count("*").alias("_invented"))
+    said = named_by_itself(rows.where("criterion = 'ambito'"), "run", "answer", catalogue).where("by_itself").groupBy("run").agg(F.collect_set("name").alias("_said"))  # names of the catalogue
+    both = rows.join(some, "run", "left").join(bad, "run", "left").join(said, "run", "left")
+    none = F.array().cast("array<string>")
+    real, told = F.col("_invented").isNull(), F.coalesce("_said", none)
+    opening = F.array_join(F.slice(F.split("answer", "[.!?\n]"), 1, 2), " ")
+    ways = {
+        "fija": F.col("answer") == F.get("expected", 0),
+        "sin_invencion": real & (F.col("answer") != withdrawn) & F.col("_named").isNotNull(),
+        "rechazo": F.col("answer").isin(list(refusals)) | (real & F.arrays_overlap(T.tokens(opening), T.strings(X.NEGATIONS))),
+        "ambito": (F.size(F.array_except("expected", told)) == 0) & ~F.arrays_overlap(F.coalesce("forbidden", none), told),
+    }
+    passed = F.raise_error(F.concat(F.lit("unknown criterion: "), "criterion")).cast("boolean")
+    for way, ok in ways.items():
+        passed = F.when(F.col("criterion") == way, F.coalesce(ok, F.lit(False))).otherwise(passed)
+    named_ones = answers.select("run", "id").join(bank.select("id", "criterion"), "id").select("run", "criterion")
+    return lists.join(named_ones, "run").select("run", "criterion", "passed").union(both.select("run", "criterion", passed))

@@ -9,6 +9,7 @@ from talus.functions import fixed as X
 from talus.operators import evaluate as H
 from talus.operators import vectors as V
 from talus.operators.ranks import numbered
+from talus.plans import dialogue as PD
 from talus.plans import vectors as PV
 from talus.plans.text import NORMAL, SAMPLES, _ADVICE, _OTHER, _SAMPLE_SQL, messages
 from talus.functions import text as T
@@ -153,15 +154,23 @@ def completeness_gate(spark, sf_dir):
     return H.missing_runs(o).groupBy("model").agg(F.count("*").alias("missing"), F.min("id").alias("first"))
 
 
+_CRITERIA = ["fija", "sin_invencion", "rechazo", "ambito"]
+
+
 def grade_system(spark, sf_dir):
-    """Six ways to grade an item, by its criterion."""
-    o = _ledger(spark, sf_dir).withColumn("criterion", F.element_at(F.array(*map(F.lit, ("conjunto", "escalar", "fija", "sin_invencion", "rechazo", "ambito"))), (F.col("id") % 6 + 1).cast("int")))
-    ok = (
-        F.when(F.col("criterion") == "conjunto", (F.col("precision") >= 1) & (F.col("coverage") >= 1)).when(F.col("criterion") == "escalar", F.col("coverage") > 0.5)
-        .when(F.col("criterion") == "fija", F.col("seconds") < 100).when(F.col("criterion") == "sin_invencion", F.coalesce(F.col("precision"), F.lit(1.0)) >= 1)
-        .when(F.col("criterion") == "rechazo", F.col("precision").isNull()).otherwise(F.col("family") == "1-URGENT")
-    )
-    return o.groupBy("criterion").agg(F.count("*").alias("n"), F.count_if(F.coalesce(ok, F.lit(False))).alias("passed"))
+    """Items graded by their six criteria: stored answers on parts as lists and values, answers to customers as replies, advice, refusals and scopes."""
+    p = table(spark, sf_dir, "part")
+    way, even = F.col("p_size") % 3, F.col("p_size") % 2 == 0
+    none = F.array().cast("array<string>")
+    expected = F.when(way == 0, F.array(F.when(even, F.concat("p_size", F.lit(".5"))).otherwise("7.25"))).when(way == 1, F.array(F.when(even, F.lit("Segundo curso")).otherwise("Tercer o cuarto curso"))).otherwise(F.array("p_name"))
+    one = p.select(F.col("p_partkey").alias("id"), F.when(way < 2, "escalar").otherwise("conjunto").alias("criterion"), F.when(way == 0, "creditos").otherwise("curso").alias("family"), expected.alias("expected"), none.alias("forbidden"), F.expr(_ANSWER).alias("answer"))
+    criterion = F.element_at(F.array(*map(F.lit, _CRITERIA)), (F.col("c_custkey") % 4 + 1).cast("int"))
+    wanted = F.when(criterion == "fija", F.array(F.lit("Pregunta por building en segundo."))).otherwise(F.array(F.lit(PD.NAMES[1])))
+    two = PD.answers(spark, sf_dir).select((-F.col("c_custkey") - 1).alias("id"), criterion.alias("criterion"), F.lit("").alias("family"), wanted.alias("expected"), F.array(F.lit(PD.NAMES[2])).alias("forbidden"), F.col("text").alias("answer"))
+    items = one.union(two)
+    known = p.select(F.col("p_name").alias("name"))
+    graded = H.grade(items.select(F.col("id").alias("run"), "id", "answer"), items.drop("answer"), known, PD.catalogue(spark))
+    return graded.groupBy("criterion").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"))
 
 
 def wilson(spark, sf_dir):
@@ -317,7 +326,15 @@ ORACLES = {
         "case when p_size % 3 = 2 then 0.5 end::double as coverage, case when p_size % 3 = 2 then 1 - p_size % 2 end::bigint as invented, case when p_size % 3 = 2 then 1 end::bigint as omitted from part"
     ),
     "completeness_gate": "with w as (select distinct m.o_orderstatus as model, i.o_custkey as id from (select distinct o_orderstatus from orders) m, (select distinct o_custkey from orders) i) select model, count(*) as missing, min(id) as first from w where not exists (select 1 from orders o where o.o_orderstatus = model and o.o_custkey = id) group by model",
-    "grade_system": f"select criterion, count(*) as n, count(*) filter (where case criterion when 'conjunto' then precision >= 1 and coverage >= 1 when 'escalar' then coverage > 0.5 when 'fija' then seconds < 100 when 'sin_invencion' then coalesce(precision, 1) >= 1 when 'rechazo' then precision is null else family = '1-URGENT' end) as passed from (select *, ['conjunto', 'escalar', 'fija', 'sin_invencion', 'rechazo', 'ambito'][id % 6 + 1] as criterion from {_LEDGER}) group by criterion",
+    "grade_system": (
+        "with a as (select case when p_size % 3 < 2 then 'escalar' else 'conjunto' end as criterion, case when p_size % 3 < 2 then p_size % 2 = 0 else p_size % 2 = 1 end as passed from part), "
+        f"t as (select c_custkey, text, c_custkey % 4 as k from {PD.ANSWERS}), i as (select distinct c_custkey from ({PD.ORACLES['invented_degrees']})), s as ({PD.ORACLES['degrees_in_answer']}), "
+        f"d as (select c_custkey from ({PD.ORACLES['named_degrees']}) where degrees <> ''), "
+        "b as (select ['fija', 'sin_invencion', 'rechazo', 'ambito'][k + 1] as criterion, case k when 0 then text = 'Pregunta por building en segundo.' when 1 then c_custkey not in (from i) and c_custkey in (from d) "
+        "when 2 then c_custkey not in (from i) and regexp_matches(lower(split_part(text, '.', 1)), '(^|[^a-z])no([^a-z]|$)') "
+        f"else exists (from s where s.c_custkey = t.c_custkey and name = '{PD.NAMES[1]}') and not exists (from s where s.c_custkey = t.c_custkey and name = '{PD.NAMES[2]}') end as passed from t) "
+        "select criterion, count(*) as n, count(*) filter (where passed) as passed from (from a union all from b) group by criterion"
+    ),
     "wilson": f"with n as (select lang, sum(quality)::bigint as k, count(*) as n from labels join documents using (doc_id) group by lang union all select 'none', 0, 0), v as (select *, k / nullif(n, 0) as p, {X.Z95}::double as z from n) select lang, k, n, round(case when n = 0 then 0.0 else greatest(0.0, ((p + z * z / (2 * n)) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)) end, 9) as low, round(case when n = 0 then 1.0 else least(1.0, ((p + z * z / (2 * n)) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)) end, 9) as high from v",
     "mcnemar_exact": f"with x as (select quality as a, toxic as b from labels), {_PAIR}",
     "paired_compare": f"with o as (select model, id % 500 as q, precision as m from {_LEDGER}), x as (select a, b from (select q, max(m) as a from o where model = 'F' group by q) join (select q, min(m) as b from o where model = 'O' group by q) using (q)), {_PAIR}",

@@ -85,3 +85,24 @@ def test_store_verdicts(spark):
     assert {k[1]: v for k, v in got.items() if k[0] == "b"} == {"fidelity": "not met", "filters": "not met", "latency": "not met", "memory": "between", "prefilter": "after, or loses rows"}
     assert got["c", "filters"] == "not met" and got["c", "memory"] == "ruled out" and got["c", "prefilter"].startswith("after")
     assert ("d", "filters") not in got and ("d", "prefilter") not in got and got["d", "memory"] == "between"
+
+
+def test_grades_by_six_criteria(spark):
+    from talus.operators import evaluate as H
+
+    catalogue = ["Grado en Minas", "Grado en Minas y Energía", "Grado en Sol"]
+    cases = [
+        ("conjunto", ["Álgebra"], [], "- Álgebra (6 ECTS)", True), ("conjunto", ["Álgebra"], [], "- Álgebra\n- Magia", False), ("conjunto", ["Álgebra", "Física"], [], "- Álgebra", False),
+        ("escalar", ["6"], [], "Tiene 6,0 ECTS", True), ("escalar", ["6"], [], None, False), ("fija", ["Hola."], [], "Hola.", True), ("fija", ["Hola."], [], "Hola", False),
+        ("sin_invencion", [], [], "Mira el Grado en Sol.", True), ("sin_invencion", [], [], "Mira el Grado en Magia y el Grado en Sol.", False), ("sin_invencion", [], [], "Ninguno.", False),
+        ("rechazo", [], [], "Aquí no se estudia eso. Hay Grado en Sol.", True), ("rechazo", [], [], "Sí. Claro. No cuesta nada.", False), ("rechazo", [], [], "NO HAY CONTEXTO", True), ("rechazo", [], [], "No, haz el Grado en Magia", False),
+        ("rechazo", [], [], "Vale. De las que hay, ninguna encaja.", True), ("ambito", ["Grado en Minas"], ["Grado en Sol"], "El Grado en Minas tiene ocho.", True),
+        ("ambito", ["Grado en Minas"], [], "El Grado en Minas y Energía tiene ocho.", False), ("ambito", ["Grado en Minas"], ["Grado en Sol"], "Grado en Minas o Grado en Sol", False), ("ambito", [], None, "", True),
+    ]
+    bank = spark.createDataFrame([(i, c, "creditos", e, f) for i, (c, e, f, *_) in enumerate(cases)], "id int, criterion string, family string, expected array<string>, forbidden array<string>")
+    answers = spark.createDataFrame([(10 + i, i, c[3]) for i, c in enumerate(cases)], "run int, id int, answer string")
+    names = spark.createDataFrame([("Álgebra",), ("Física",)], "name string")
+    got = {r.run - 10: r.passed for r in H.grade(answers, bank, names, spark.createDataFrame([(c,) for c in catalogue], "name string"), ["NO HAY CONTEXTO"]).collect()}
+    assert got == {i: c[4] for i, c in enumerate(cases)}
+    with pytest.raises(Exception, match="unknown criterion"):
+        H.grade(answers, bank.withColumn("criterion", F.lit("otro")), names, names).collect()
