@@ -130,7 +130,8 @@ def crawl_frontier(spark, sf_dir):
     up = ((F.col("page_id") - 1) / _FAN).cast("bigint")
     links = p.where("page_id > 0").groupBy(up.alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "url"))), lambda x: F.concat(F.lit("<li><a href='"), x.url, F.lit("'>x</a>"))), "").alias("links"))
     lost = F.when(F.col("page_id") % 5 == 0, "<li><a href=/missing>y").otherwise("")
-    site = p.join(links, "page_id", "left").select(N.addresses(F.lit(None).cast("string"), F.col("url")).alias("url"), F.concat(F.lit("<ul id=next>"), F.coalesce("links", F.lit("")), lost, F.lit("</ul>"), "html").alias("html"))
+    site = p.join(links, "page_id", "left").select(N.addresses(F.lit(None).cast("string"), F.col("url")).alias("url"), F.concat(F.lit("<ul id=next>"), F.coalesce("links", F.lit("")), lost, F.lit("</ul>"), "html").alias("html"), "page_id")
+    site = site.groupBy("url").agg(F.min_by("html", "page_id").alias("html"))  # of pages with one address the first is served
     host = F.regexp_extract("url", "^([a-z]+://[^/]*)", 1)
     robots = p.select(F.concat(host, F.lit("/robots.txt")).alias("url"), F.lit(f"User-agent: *\nDisallow: {_BARRED}").alias("html")).distinct()
     store = site.union(robots).select("url", F.lit("text/html").alias("content_type"), F.col("html").cast("binary").alias("content"))
@@ -173,9 +174,10 @@ _TEXT = _SQ.format(_PLAIN.format("regexp_replace(regexp_replace({0}, '<!--.*?-->
 _OUTSIDE = "regexp_replace(regexp_replace(replace(case when page_id % 2 = 0 then regexp_extract(html, '(?s)<body>(.*)', 1) else html end, 't=\"</p>\"', 't=\"@@\"'), '(?s)<nav>.*?</nav>', ' '), '(?s)<div class=\"ad\">.*?</div>', ' ')"
 ORACLES = {
     "crawl_frontier": (
-        f"with recursive p as (select page_id, split_part(url, '#', 1) as url, regexp_extract(url, '^([a-z]+://[^/]*)', 1) as host, starts_with(regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1), '{_BARRED}') as barred from pages), "
-        f"r as (select page_id, 0 as round from p where page_id = 0 union all select c.page_id, round + 1 from r join p o using (page_id) join p c on c.page_id > 0 and (c.page_id - 1) // {_FAN} = r.page_id where not o.barred) "
-        "select url, case when barred then 'disallowed' else 'ok' end as status, round from r join p using (page_id) "
+        "with recursive a as (select page_id, split_part(url, '#', 1) as url from pages), "
+        f"p as (select page_id, url, min(page_id) over (partition by url) as served, regexp_extract(url, '^([a-z]+://[^/]*)', 1) as host, starts_with(regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1), '{_BARRED}') as barred from a), "
+        f"r as (select 0::bigint as page_id, 0 as round where exists (from p where page_id = 0) union select c.served, round + 1 from r join p o using (page_id) join p c on c.page_id > 0 and (c.page_id - 1) // {_FAN} = r.page_id where not o.barred and round < 20) "
+        "select url, case when barred then 'disallowed' else 'ok' end as status, min(round) as round from r join p using (page_id) group by all "
         "union all select host || '/missing', 'failed', min(round) + 1 from r join p using (page_id) where page_id % 5 = 0 and not barred group by host"
     ),
     "guide_pages": (

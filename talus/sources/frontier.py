@@ -101,7 +101,7 @@ def by_host(fetch: Fetch, delay: float = 1.0, max_bytes: int = MAX_BYTES, agent:
 
 
 def from_table(store: DataFrame, agent: str = AGENT) -> Callable[[DataFrame], DataFrame]:
-    """Fetches pages from a table (url, content_type, content) by a join, under the same robots rules."""
+    """Fetches pages from a table (url, content_type, content) by a join, under the same robots rules; an address stands there once."""
 
     def allowed(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         rules: dict[str, RobotFileParser] = {}
