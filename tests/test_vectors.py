@@ -1,5 +1,6 @@
 """Cases of the vector operators."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +44,29 @@ def test_query_blocks(spark, monkeypatch):
     assert V.top_k(V.probe_set(emb.where("false")), emb, 5).count() == 0
 
 
+@pytest.mark.parametrize("block", [3, 4096])
+def test_distances_come_a_few_queries_at_a_time(spark, monkeypatch, block):
+    emb = vectors(spark, [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)])
+    monkeypatch.setattr(V, "BLOCK", block)
+    monkeypatch.setattr(V, "CELLS", 120, raising=False)
+    kernel = lambda q, v, distance: {"query_id": q["query_id"][:1], "n": np.array([distance.size])[: len(q["query_id"])]}
+    sizes = [r.n for r in V.search(V.probe_set(emb, 3), emb, kernel, "query_id bigint, n bigint").collect()]
+    assert sum(sizes) == 20 * 60 and max(sizes) <= 120
+
+
+def test_best_rows_with_ties_and_missing_numbers():
+    distance = np.array([[0.5, 0.1, 0.5, 0.5, np.nan], [np.nan, np.nan, 0.2, np.nan, np.nan]])
+    got = V._best(3)({"query_id": np.array([7, 8])}, {"vec_id": np.array([9, 8, 3, 4, 1])}, distance)
+    assert got["query_id"].tolist() == [7, 7, 7, 8, 8, 8] and got["vec_id"].tolist() == [8, 3, 4, 3, 1, 4]
+
+
+def test_hash_embedder_counts_words():
+    got = np.array(V.hash_embedder(["a b a", "", "c"]))
+    assert got.shape == (3, 64) and not got[1].any() and np.allclose((got * got).sum(axis=1), [1, 0, 1])
+    assert sorted(np.abs(got[0][got[0] != 0]).round(6)) == [0.447214, 0.894427]
+    assert V.hash_embedder([]) == []
+
+
 def test_first_relevant_is_the_first_of_the_ranking(spark):
     emb = vectors(spark, [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)]).withColumn("label", F.col("vec_id") % 9)
     order = V.top_k(V.probe_set(emb, 7), emb, 60).collect()
