@@ -231,9 +231,7 @@ def close_sentence(text: Column) -> Column:
 
 def units(text: Column) -> Column:
     """Sentences with their boundary, and what remains."""
-    found = F.regexp_extract_all(text, F.lit("[^.!?\\n]*[.!?\\n]"), 0)
-    rest = F.substring(text, F.char_length(F.array_join(found, "")) + 1, F.char_length(text))
-    return F.when(rest == "", found).otherwise(F.concat(found, F.array(rest)))
+    return F.array_remove(F.split(text, "(?<=[.!?\\n])"), "")  # cut behind each boundary: a long rest without one is looked at once
 
 
 def admissible_years(label: Column) -> Column:

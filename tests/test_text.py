@@ -1,5 +1,7 @@
 """Acceptance cases of the text functions."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,9 +123,16 @@ def test_text(apply, function, value, want):
 def test_tokens_and_units(apply):
     assert [sorted(x) for x in apply(T.tokens, "¿Informática?, ¡sí!", "hola — ...", "")] == [["informatica", "si"], ["hola"], []]
     assert apply(T.units, "Uno. Dos!tres\nfin") == [["Uno.", " Dos!", "tres\n", "fin"]]
+    assert apply(T.units, "a.. b", "", "x", "é\U0001F600!?", None) == [["a.", ".", " b"], [], ["x"], ["é\U0001F600!", "?"], None]
     assert apply(T.split_mentions, "A / B/ A /") == [["A", "B"]]
 
 
+def test_units_of_a_long_rest(apply):
+    """A text without a boundary is looked at once, not once from each of its characters."""
+    text, began = "x " * 150_000, time.monotonic()
+    assert apply(T.units, "a." + text) == [["a.", text]] and time.monotonic() - began < 10
+
+
 @pytest.mark.parametrize("text", ["¿Informática?, ¡sí!", "Ácido  ñandú — 6", "", "a-b c_d"])
 def test_plain_functions_agree(apply, text):
     assert apply(T.normalize, text) == [P.normalize(text)]
