@@ -132,10 +132,11 @@ def _within(host: Column, domains: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [(name == d) | F.endswith(name, F.lit(f".{d}")) for d in domains], F.lit(not domains))
 
 
-def crawl(spark: SparkSession, start: list[str], follow: dict[str, Follow], fetch: Callable[[DataFrame], DataFrame], domains: list[str] = (), per_host: int = 10_000, most_rounds: int | None = None) -> DataFrame:
+def crawl(spark: SparkSession, start: list[str], follow: dict[str, Follow], fetch: Callable[[DataFrame], DataFrame], domains: list[str] = (), per_host: int | None = 10_000, most_rounds: int | None = None) -> DataFrame:
     """All pages reached from ``start`` (whose role is ``start``): url, host, role, name, parent, status, content_type, content, round.
 
-    ``most_rounds`` ends the crawl early, at a depth of links if ``per_host`` is never reached.
+    ``most_rounds`` ends the crawl early, at a depth of links if ``per_host`` is never reached. With ``per_host`` None nothing waits (for tables, which
+    need no politeness), so ``round`` is the depth of links.
     """
     first = [(u, "start", None, None, i) for i, u in enumerate(filter(None, (canonical(None, x) for x in start)))]
     frontier = spark.createDataFrame(first, "url string, role string, name string, parent string, pos int").withColumn("host", _host(F.col("url")))
@@ -144,10 +145,14 @@ def crawl(spark: SparkSession, start: list[str], follow: dict[str, Follow], fetc
     pages: list[DataFrame] = []
     seen = frontier.select("url")
     while (most_rounds is None or len(pages) < most_rounds) and not frontier.isEmpty():
-        turn = F.row_number().over(Window.partitionBy("host").orderBy("pos", "url"))
-        frontier = frontier.withColumn("turn", turn)
-        now = stored(frontier.where(F.col("turn") <= per_host).drop("turn"), "round")
-        later = frontier.where(F.col("turn") > per_host).drop("turn")
+        if per_host is None:
+            now, later = frontier, None
+        else:
+            turn = F.row_number().over(Window.partitionBy("host").orderBy("pos", "url"))
+            frontier = frontier.withColumn("turn", turn)
+            now = stored(frontier.where(F.col("turn") <= per_host).drop("turn"), "round")
+            later = stored(frontier.where(F.col("turn") > per_host).drop("turn"), "later")
+            later = None if later.isEmpty() else later
         robots = _robots(now, robots, fetch)
         got = fetch(now.select("url", "host").join(robots, "host", "left"))
         page = stored(now.join(got, "url").select(*_names(_PAGE)), "pages")
@@ -160,7 +165,9 @@ def crawl(spark: SparkSession, start: list[str], follow: dict[str, Follow], fetc
             new = _first(links.select(*_names(_ASKED))).join(seen, "url", "left_anti").select(*_names(_ASKED))
             new = stored(new, "frontier")
             seen = seen.union(new.select("url"))
-            frontier = stored(new.union(later.select(*_names(_ASKED))), "frontier") if not later.isEmpty() else new
+            frontier = new if later is None else stored(new.union(later.select(*_names(_ASKED))), "frontier")
+        elif later is None:
+            break
         else:
             frontier = later.select(*_names(_ASKED))
     if not pages:

@@ -100,6 +100,12 @@ def test_few_pages_a_host_and_round_give_the_same_pages(spark, pages):
     assert few.groupBy("host", "round").count().where("count > 2").isEmpty() and few.count() == pages.count()
 
 
+def test_without_a_limit_rounds_are_depths(spark, pages):
+    """Where nothing waits for a host's turn, a page's round is its depth, however many pages its host has."""
+    rounds = lambda p: {r.url: r["round"] for r in p.select("url", "round").collect()}
+    assert rounds(crawled(spark, per_host=None)) == rounds(pages) != rounds(crawled(spark, per_host=2))
+
+
 def test_other_domains_failures_and_sizes(spark):
     site = {"http://a.es/": '<a href="/big">1</a><a href="http://b.org/">2</a><a href="http://c.a.es:80/none">3</a><a href="mailto:x@a.es">4</a><a href="http://[bad">5</a>', "http://a.es/big": "x" * 500}
 
