@@ -21,7 +21,20 @@ from talus.operators.vectors import Embedder, hash_embedder
 
 _BLANKS = " \t\n\x0b\f\r"
 _BLANK_LINES = re.compile(r"\n{2,}")
-_SENTENCE_END = re.compile(r"(?<=[.;!?])\s+")
+_SENTENCE_END = re.compile(r"[.;!?]\s+")
+
+
+def _paragraphs(text: str) -> list[str]:
+    return [p for p in map(str.strip, _BLANK_LINES.split(text) if "\n\n" in text else [text]) if p]
+
+
+def _sentences(paragraph: str) -> list[str]:
+    """What stands between white space after a sentence's end; the sign stays."""
+    out, start = [], 0
+    for end in _SENTENCE_END.finditer(paragraph):
+        out.append(paragraph[start : end.start() + 1])
+        start = end.end()
+    return [s for s in map(str.strip, [*out, paragraph[start:]]) if s]
 
 
 def _bounded(text: str, most: int) -> Iterator[str]:
@@ -41,10 +54,9 @@ def _bounded(text: str, most: int) -> Iterator[str]:
 def split_pieces(text: str, most: int = X.CHUNK_MAX) -> list[str]:
     """Paragraphs; where one is too long, its sentences; where one of these is, bounded parts."""
     out: list[str] = []
-    for paragraph in filter(None, map(str.strip, _BLANK_LINES.split(text or ""))):
-        parts = [paragraph] if len(paragraph) <= most else _SENTENCE_END.split(paragraph)
-        for part in parts:
-            out.extend(_bounded(part.strip(), most))
+    for paragraph in _paragraphs(text or ""):
+        for part in [paragraph] if len(paragraph) <= most else _sentences(paragraph):
+            out.extend([part] if len(part) <= most else _bounded(part, most))
     return out
 
 
@@ -68,9 +80,10 @@ def merge_short(chunks: list[str], least: int = X.CHUNK_MIN, most: int = X.CHUNK
     A zipper over the chunks: what is settled lies left, what is to come right. Each step that leaves fewer
     chunks starts anew, all others move on, so it ends.
     """
-    left: list[str] = []
-    right = deque(chunks)
-    safe = 0  # so many of ``left`` a new start would leave as they are, so it begins behind them
+    # so many of ``left`` a new start would leave as they are, so it begins behind them; at first all before the first short one
+    safe = next((i for i, c in enumerate(chunks) if len(c) < least), len(chunks))
+    left = chunks[:safe]
+    right = deque(chunks[safe:])
     while right:
         whole = safe == len(left)
         if len(right[0]) >= least or len(left) + len(right) == 1:
@@ -136,28 +149,41 @@ class Pieces:
 
     def __init__(self, text: str, embedder: Embedder) -> None:
         self.text, self.embedder = text, embedder
-        self.vectors: dict[str, np.ndarray] = {}
+        self.rows: dict[str, int] = {}  # of the pieces in ``vectors``
+        self.vectors: np.ndarray | None = None
+        self.paragraphs = _paragraphs(text)
+        self.sentences: dict[str, list[str]] = {}
         self.parts: dict[int, list[str]] = {}
         self.jumps: dict[int, np.ndarray] = {}
 
     def split(self, room: int) -> list[str]:
+        """As ``split_pieces``; limits that cut alike share one list, and with it the distances."""
         if room not in self.parts:
-            self.parts[room] = split_pieces(self.text, room)
+            found: list[str] = []
+            for paragraph in self.paragraphs:
+                if len(paragraph) > room and paragraph not in self.sentences:
+                    self.sentences[paragraph] = _sentences(paragraph)
+                for part in [paragraph] if len(paragraph) <= room else self.sentences[paragraph]:
+                    found.extend([part] if len(part) <= room else _bounded(part, room))
+            self.parts[room] = next((p for p in self.parts.values() if p == found), found)
         return self.parts[room]
 
     def distances(self, room: int) -> np.ndarray:
         """The cosine distance of each piece but the first to the one before, to six decimals."""
-        if room not in self.jumps:
-            self.jumps[room] = self._jumps(self.split(room))
-        return self.jumps[room]
+        pieces = self.split(room)
+        if id(pieces) not in self.jumps:
+            self.jumps[id(pieces)] = self._jumps(pieces)
+        return self.jumps[id(pieces)]
 
     def _jumps(self, pieces: list[str]) -> np.ndarray:
         if len(pieces) < 2:
             return np.zeros(0)
-        new = [p for p in dict.fromkeys(pieces) if p not in self.vectors]
+        new = [p for p in dict.fromkeys(pieces) if p not in self.rows]
         if new:
-            self.vectors.update(zip(new, np.asarray(self.embedder([X.PASSAGE_PREFIX + p for p in new]), dtype=np.float64), strict=True))
-        m = np.stack([self.vectors[p] for p in pieces])
+            made = np.asarray(self.embedder([X.PASSAGE_PREFIX + p for p in new]), dtype=np.float64)
+            self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(made)), strict=True))
+            self.vectors = made if self.vectors is None else np.concatenate([self.vectors, made])
+        m = self.vectors[[self.rows[p] for p in pieces]]
         n = np.sqrt((m * m).sum(axis=1))
         n[n == 0] = 1.0
         return np.abs(np.round(1.0 - (m[1:] * m[:-1]).sum(axis=1) / (n[1:] * n[:-1]), 6))
@@ -170,7 +196,7 @@ def semantic_text(pieces: Pieces, threshold: float, header: str = "", most: int
     starts = [0, *(np.flatnonzero(pieces.distances(room) >= threshold) + 1).tolist(), len(parts)]
     bodies: list[str] = []
     for a, b in pairwise(starts):
-        bodies += pack(parts[a:b], room)  # a group within the limit is one
+        bodies += pack(parts[a:b], room) if b - a != 1 else [parts[a].strip()]  # a group within the limit is one
     return _under(header, merge_short(bodies, min(least, room), room))
 
 
@@ -250,11 +276,11 @@ def run_grid(units: DataFrame, configurations: list[tuple[int, str, float]], thr
         for b in batches:
             total = np.zeros((len(configurations), len(FIGURES)), np.int64)
             for header, text in zip(*(b.column(c).to_pylist() for c in ("header", "text")), strict=True):
-                pieces, before = Pieces(text or "", embedder), len(header) + 1 if header else 0
+                pieces, before, heading = Pieces(text or "", embedder), len(header) + 1 if header else 0, _visible(header or "")
                 for row, one in zip(total, configurations, strict=True):
                     made = chunks(pieces, header or "", *one)
-                    row[:4] += (bool(made), len(made), sum(_visible(c[before:]) for c in made), sum(len(c) - before < least for c in made))
-                    row[4] = max([row[4], *map(len, made)])
+                    row[:4] += (bool(made), len(made), _visible("".join(made)) - len(made) * heading, sum(n - before < least for n in map(len, made)))
+                    row[4] = max(row[4], max(map(len, made), default=0))
             columns = [pa.array(c, k) for c, k in zip(zip(*configurations, strict=True), (pa.int32(), pa.string(), pa.float64()), strict=True)]
             yield pa.record_batch([*columns, *map(pa.array, total.T)], ["most", "strategy", "setting", *FIGURES])
 

@@ -106,6 +106,21 @@ def test_grid_agrees_with_one_run_a_configuration(spark):
         assert got.longest <= most
 
 
+def test_limits_that_cut_alike_share_pieces_and_distances():
+    asked = []
+
+    def model(texts):
+        asked.append(len(texts))
+        return K.hash_embedder(texts)
+
+    text = "One two. Three;  four!\n\n\nFive" + " six" * 20 + ". Seven?\t\n8.9 .. end "
+    pieces = K.Pieces(text, model)
+    for room in (10, 40, 95, 97, 200, 300):
+        assert pieces.split(room) == K.split_pieces(text, room) and "".join("".join(pieces.split(room)).split()) == "".join(text.split())
+    assert pieces.split(200) is pieces.split(300) and pieces.distances(200) is pieces.distances(300)
+    assert K.split_pieces("a.  b;c; d", 2) == ["a.", "b;", "c;", "d"]
+
+
 def test_grid_of_nothing(spark):
     none = spark.createDataFrame([], "key bigint, header string, text string")
     assert K.distance_percentiles(none, [600], [0.5]) == {600: [float("inf")]}
