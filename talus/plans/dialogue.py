@@ -113,8 +113,9 @@ def list_scoring(spark, sf_dir):
 
 
 def _headers(spark, sf_dir):
-    s = subjects(spark, sf_dir)
-    return s.select(T.subject_header(F.concat("name", F.lit(" "), "p_type"), F.upper(F.btrim("kind")), F.col("ects"), _degrees(), F.array("p_type"), F.col("term"), F.col("year"), F.lit(True)).alias("text"))
+    """The different headers: parts that differ in what no header holds have one."""
+    s = subjects(spark, sf_dir).select(F.concat("name", F.lit(" "), "p_type").alias("name"), F.upper(F.btrim("kind")).alias("kind"), "ects", _degrees().alias("degrees"), F.array("p_type").alias("mentions"), "term", "year").distinct()
+    return s.select(T.subject_header(*map(F.col, ("name", "kind", "ects", "degrees", "mentions", "term", "year")), F.lit(True)).alias("text"))
 
 
 def unambiguous_attributes(spark, sf_dir):

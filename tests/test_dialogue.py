@@ -289,3 +289,29 @@ def test_listed_names_and_scores_anew(spark):
     assert got[1] == got[2] == (None, 0.5, 0.5, 1, 1)
     assert got[3] == got[4] == (None, None, 0.0, 0, 2)
     assert (got[5][0], got[6][0], got[7][0]) == (True, False, True)
+
+
+def test_context_attributes(spark):
+    """Headers that agree, whose text is written out once in the plan, however often it is asked."""
+    from pyspark.sql import functions as F
+
+    from talus.functions import text as T
+
+    units = [
+        ("Álgebra", ["A"], "Primer cuatrimestre", "Segundo curso", "6"), ("Álgebra", ["A"], "Primer cuatrimestre", "Segundo curso", "6"), ("ÁLGEBRA", ["A", "B"], "Primer cuatrimestre", "Segundo curso", "6"),
+        ("Física", ["A"], "Primer cuatrimestre", None, "6"), ("Física", ["B"], "Segundo cuatrimestre", None, "6"),
+        ("Redes", ["A", "B"], "Primer cuatrimestre", None, "6"), ("Lógica", ["A"], None, None, None), ("Lógica", ["B"], None, "Tercer curso", None), ("", ["A"], "Primer cuatrimestre", None, "6"), ("Nada", ["A"], None, None, None),
+    ]
+    df = spark.createDataFrame(units, "name string, degrees array<string>, term string, year string, ects string")
+    head = T.subject_header(F.col("name"), F.lit("OB"), F.col("ects"), F.col("degrees"), F.array(F.lit("M")), F.col("term"), F.col("year"), F.lit(True))
+    out = V.context_attributes(df.select(F.concat(head, F.lit("\nSe imparte en el quinto curso")).alias("text")))
+    assert sorted(map(tuple, out.collect())) == [("algebra", 1, 2, "6"), ("logica", None, 3, None)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") < 20 and plan.count("titulaciones: ") < 3
+
+
+def test_ordinal(spark):
+    from pyspark.sql import functions as F
+
+    got = spark.createDataFrame([("Primer",), ("3º",), ("sexto",), (None,)], "w string").select(V.ordinal(F.col("w"))).collect()
+    assert [r[0] for r in got] == [1, 3, None, None]
