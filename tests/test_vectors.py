@@ -1,5 +1,8 @@
 """Cases of the vector operators."""
 
+import tracemalloc
+from uuid import uuid4
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +57,34 @@ def test_distances_come_a_few_queries_at_a_time(spark, monkeypatch, block):
     assert sum(sizes) == 20 * 60 and max(sizes) <= 120
 
 
+def test_the_nearest_relevant_is_looked_for_once(spark, monkeypatch, tmp_path):
+    """In blocks, each search counts and reads its vectors; a first search that is planned anew leaves more marks."""
+
+    def marked(batches):
+        for batch in batches:
+            (tmp_path / uuid4().hex).touch()
+            yield batch
+
+    plain = vectors(spark, [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)]).withColumn("label", F.col("vec_id") % 4).coalesce(1)
+    want = sorted(V.first_relevant(V.probe_set(plain, 3), plain).collect())
+    emb = plain.mapInArrow(marked, plain.schema)
+    monkeypatch.setattr(V, "BLOCK", 3)
+    assert sorted(V.first_relevant(V.probe_set(plain, 3), emb).collect()) == want
+    # labels of the queries thrice (to see how many there are, to count and to search), and two searches that count and read
+    assert len(list(tmp_path.iterdir())) <= 7
+
+
+def test_norms_make_no_second_matrix():
+    m = np.ones((32_768, 64))
+    tracemalloc.start()
+    try:
+        got = V._unit(m)
+        assert tracemalloc.get_traced_memory()[1] < m.nbytes / 4
+    finally:
+        tracemalloc.stop()
+    assert np.allclose(got, 1 / 8)
+
+
 def test_best_rows_with_ties_and_missing_numbers():
     distance = np.array([[0.5, 0.1, 0.5, 0.5, np.nan], [np.nan, np.nan, 0.2, np.nan, np.nan]])
     got = V._best(3)({"query_id": np.array([7, 8])}, {"vec_id": np.array([9, 8, 3, 4, 1])}, distance)
