@@ -1,6 +1,7 @@
 """Cases of the queries that evaluate."""
 
 import numpy as np
+import pytest
 
 from talus.functions import fixed as X
 from talus.operators import dialogue as D
@@ -50,3 +51,23 @@ def test_follow_up_strategies_ask_all_conversations(spark, tmp_path):
     wanted = {s: (len(r), round(sum(x <= 20 for x in r) / len(r), 6), round(sum(1 / x for x in r if x <= 20) / len(r), 6)) for s, r in plainly().items()}
     assert got == wanted and wanted["alone"][0] == 18
     assert any(x > 20 for r in plainly().values() for x in r)
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_rank_of_equals_the_ranking_in_small_tiles(spark, monkeypatch, block):
+    emb = spark.createDataFrame([((i * 37) % 101, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "vec_id bigint, embedding array<float>")
+    monkeypatch.setattr(V, "BLOCK", block)
+    monkeypatch.setattr(V, "TILE", 7)
+    probes = emb.where("vec_id % 4 = 0").selectExpr("vec_id as query_id", "embedding as query_vec")
+    wanted = {(r.query_id, r.vec_id): r.rank for r in V.top_k(probes, emb, 60).collect()}
+    ids = sorted({i for _, i in wanted})
+    pick = {q: ids[(q * 13) % len(ids)] for q in {q for q, _ in wanted}}
+    asked = probes.join(spark.createDataFrame(list(pick.items()), "query_id bigint, sought bigint"), "query_id")
+    assert {(r.query_id, r.rank) for r in V.rank_of(asked, emb).collect()} == {(q, wanted[q, i]) for q, i in pick.items()}
+    assert [(r.query_id, r.vec_id) for r in V.top_k(probes, emb, 1).orderBy("query_id").collect()] == sorted((q, i) for (q, i), n in wanted.items() if n == 1)
+
+
+def test_the_one_sought_does_not_stand_before_itself():
+    q = {"query_id": np.array([5, 6]), "d": np.array([0.5, 0.2]), "id": np.array([8, 8])}
+    got = V._before(q, {"vec_id": np.array([9, 8, 3])}, np.array([[0.1, 0.499999, 0.5], [0.2, 0.2, 0.2]]))
+    assert got["query_id"].tolist() == [5, 6] and got["n"].tolist() == [2, 1]
